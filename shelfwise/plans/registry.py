@@ -242,3 +242,277 @@ def _customer_order_summary_recent(spark, d):
 @register("public_users", "SELECT id, name, email FROM s_users")
 def _public_users(spark, d):
     return C.public_users(T(spark, d).users)
+
+
+# ======================================================================= catalogue
+from pyspark.sql import functions as F  # noqa: E402
+
+from shelfwise.operators import catalog as K  # noqa: E402
+
+_CAT_COLS = "id, name, description, price, stock, category, category_id, color, material"
+
+
+@register("catalog", f"""
+SELECT {_CAT_COLS}, COALESCE(i.urls, '') AS image_list, COALESCE(i.n, 0) AS image_total
+FROM s_products p LEFT JOIN (
+  SELECT product_id, string_agg(image_url, ',' ORDER BY sort_order, id) AS urls,
+         COUNT(*) AS n
+  FROM s_images GROUP BY product_id) i ON i.product_id = p.id
+WHERE p.stock > 0""")
+def _catalog(spark, d):
+    t = T(spark, d)
+    c = K.catalog(t.products, t.product_images)
+    return c.select(*_CAT_COLS.split(", "), F.array_join("images", ",").alias("image_list"),
+                    F.size("images").cast("long").alias("image_total"))
+
+
+@register("image_urls", """
+SELECT product_id, string_agg(image_url, ',' ORDER BY sort_order, id) AS image_list
+FROM s_images GROUP BY product_id""")
+def _image_urls(spark, d):
+    u = K.image_urls(T(spark, d).product_images)
+    return u.select("product_id", F.array_join("images", ",").alias("image_list"))
+
+
+@register("image_counts", """
+SELECT p.id, CAST(COALESCE(n, 0) AS INTEGER) AS image_count
+FROM s_products p LEFT JOIN (SELECT product_id, COUNT(*) AS n FROM s_images GROUP BY 1) i
+  ON i.product_id = p.id""")
+def _image_counts(spark, d):
+    t = T(spark, d)
+    return K.image_counts(t.products, t.product_images).select("id", "image_count")
+
+
+@register("first_image", """
+SELECT product_id, id AS image_id, image_url FROM (
+  SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY sort_order, id) AS rn
+  FROM s_images) WHERE rn = 1""")
+def _first_image(spark, d):
+    return K.first_image(T(spark, d).product_images)
+
+
+@register("number_images", """
+SELECT id, product_id, CAST(row_number() OVER (PARTITION BY product_id ORDER BY id) - 1 AS INTEGER)
+         AS position,
+       row_number() OVER (PARTITION BY product_id ORDER BY id) = 1 AS is_primary
+FROM pages_as_images""".replace("pages_as_images",
+                                "(SELECT page_id AS id, page_id % 100 AS product_id FROM pages) x"))
+def _number_images(spark, d):
+    # Number each product's images from 0 in upload (id) order; first is primary.
+    pg = T(spark, d).source("pages").select(F.col("page_id").alias("id"),
+                                            (F.col("page_id") % 100).alias("product_id"))
+    return K.number_images(pg, order=("id",)).select("id", "product_id", "position", "is_primary")
+
+
+@register("search_red", """
+SELECT id, name, price FROM s_products
+WHERE contains(lower(name), 'red') OR COALESCE(contains(lower(description), 'red'), false)""")
+def _search_red(spark, d):
+    return K.search(T(spark, d).products, "RED").select("id", "name", "price")
+
+
+@register("search_economy_in_description", """
+SELECT id, name, price FROM s_products
+WHERE contains(lower(name), 'economy') OR COALESCE(contains(lower(description), 'economy'), false)""")
+def _search_economy(spark, d):
+    return K.search(T(spark, d).products, "Economy").select("id", "name", "price")
+
+
+@register("search_empty", "SELECT id, name, price FROM s_products")
+def _search_empty(spark, d):
+    return K.search(T(spark, d).products, "").select("id", "name", "price")
+
+
+@register("by_category", "SELECT id, name, category FROM s_products WHERE category = 'PROMO'")
+def _by_category(spark, d):
+    return K.by_category(T(spark, d).products, "PROMO").select("id", "name", "category")
+
+
+@register("filter_catalog_page", """
+SELECT id, name, price, category FROM s_products
+WHERE stock > 0 AND category = 'SMALL'
+  AND (contains(lower(name), 'widget') OR COALESCE(contains(lower(description), 'widget'), false))""")
+def _filter_catalog_page(spark, d):
+    # The page's flow: in-stock catalogue -> search -> category -> sort by price.
+    t = T(spark, d)
+    in_stock = t.products.filter(F.col("stock") > 0)
+    return K.filter_catalog(in_stock, "widget", "SMALL", "price-low").select(
+        "id", "name", "price", "category")
+
+
+@register("head_products", "SELECT id, name, category, category_id, color, price, stock "
+                           "FROM s_products ORDER BY id LIMIT 5")
+def _head_products(spark, d):
+    return K.head(T(spark, d).products, 5).select("id", "name", "category", "category_id",
+                                                  "color", "price", "stock")
+
+
+@register("product_images_of_search", """
+SELECT i.product_id, i.id, i.image_url, i.sort_order FROM s_images i
+WHERE i.product_id IN (SELECT id FROM s_products
+                       WHERE contains(lower(name), 'red')
+                          OR COALESCE(contains(lower(description), 'red'), false))""")
+def _product_images_of_search(spark, d):
+    t = T(spark, d)
+    return K.product_images(t.product_images, K.search(t.products, "red")).select(
+        "product_id", "id", "image_url", "sort_order")
+
+
+@register("active_categories", "SELECT id, name FROM s_categories WHERE status = 'active'")
+def _active_categories(spark, d):
+    return K.active_categories(T(spark, d).categories)
+
+
+@register("category_list", "SELECT id, name, CAST(NULL AS VARCHAR) AS description FROM s_categories")
+def _category_list(spark, d):
+    return K.category_list(T(spark, d).categories)
+
+
+@register("resolve_category", """
+SELECT p.id, COALESCE(c.name, p.category) AS category FROM s_products p
+LEFT JOIN s_categories c ON c.id = p.category_id""")
+def _resolve_category(spark, d):
+    t = T(spark, d)
+    return K.resolve_category(t.products, t.categories).select("id", "category")
+
+
+# ======================================================================= orders
+from shelfwise.operators import orders as O  # noqa: E402
+
+
+@register("lookup_users_with_events", """
+SELECT id, name, email FROM s_users WHERE id IN (SELECT user_id FROM events)""")
+def _lookup(spark, d):
+    t = T(spark, d)
+    keys = t.events.select(F.col("user_id").alias("id"))
+    return O.lookup(t.users, keys, "id").select("id", "name", "email")
+
+
+@register("by_status_delivered", "SELECT id, user_id, status FROM s_orders WHERE lower(status) = 'delivered'")
+def _by_status(spark, d):
+    return O.by_status(T(spark, d).orders, "Delivered").select("id", "user_id", "status")
+
+
+@register("orders_of_inactive_users", """
+SELECT id, user_id, total_amount, status, created_at FROM s_orders
+WHERE user_id IN (SELECT id FROM s_users WHERE status = 'inactive')""")
+def _orders_of(spark, d):
+    t = T(spark, d)
+    return O.orders_of(t.orders, t.users.filter(F.col("status") == "inactive")).select(
+        "id", "user_id", "total_amount", "status", "created_at")
+
+
+@register("pending_orders", "SELECT id, user_id, total_amount FROM s_orders WHERE status = 'pending'")
+def _pending(spark, d):
+    return O.pending(T(spark, d).orders).select("id", "user_id", "total_amount")
+
+
+@register("recent_orders", """
+SELECT id, user_id, total_amount, status, created_at FROM s_orders
+ORDER BY created_at DESC, id DESC LIMIT 5""")
+def _recent_orders(spark, d):
+    return O.recent_orders(T(spark, d).orders, 5).select(
+        "id", "user_id", "total_amount", "status", "created_at")
+
+
+@register("admin_orders", """
+SELECT o.id, o.user_id, u.name AS customer_name, CAST(NULL AS VARCHAR) AS customer_phone,
+       o.total_amount, o.status, o.delivery_address, o.created_at
+FROM s_orders o JOIN s_users u ON o.user_id = u.id""")
+def _admin_orders(spark, d):
+    t = T(spark, d)
+    return O.admin_orders(t.orders, t.users)
+
+
+@register("order_lines", """
+SELECT oi.order_id, oi.product_id, p.name AS product_name, oi.quantity, p.price
+FROM s_items oi JOIN s_products p ON oi.product_id = p.id""")
+def _order_lines(spark, d):
+    t = T(spark, d)
+    return O.order_lines(t.order_items, t.products)
+
+
+@register("orders_without_items", """
+SELECT id, user_id, status FROM s_orders o
+WHERE NOT EXISTS (SELECT 1 FROM s_items i WHERE i.order_id = o.id)""")
+def _orders_without_items(spark, d):
+    t = T(spark, d)
+    _, missing = O.existing(t.orders.withColumnRenamed("id", "order_id"),
+                            t.order_items.select(F.col("order_id").alias("id")), "order_id")
+    return missing.select(F.col("order_id").alias("id"), "user_id", "status")
+
+
+@register("items_with_known_product", """
+SELECT order_id, product_id, quantity FROM s_items i
+WHERE EXISTS (SELECT 1 FROM s_products p WHERE p.id = i.product_id)""")
+def _items_known(spark, d):
+    t = T(spark, d)
+    ok, _ = O.existing(t.order_items, t.products, "product_id")
+    return ok.select("order_id", "product_id", "quantity")
+
+
+@register("orders_with_items", """
+SELECT o.id, o.customer_name, o.total_amount, o.status, l.product_id, l.product_name,
+       l.quantity, l.price
+FROM (SELECT o.*, u.name AS customer_name FROM s_orders o JOIN s_users u ON o.user_id = u.id) o
+LEFT JOIN (SELECT oi.order_id, oi.product_id, p.name AS product_name, oi.quantity, p.price
+           FROM s_items oi JOIN s_products p ON oi.product_id = p.id) l ON l.order_id = o.id""")
+def _orders_with_items(spark, d):
+    # Checked in exploded form: every nested line back as a row, orders
+    # without lines as one row of NULLs.
+    t = T(spark, d)
+    nested = O.orders_with_items(t.orders, t.order_items, t.products, t.users)
+    return nested.select("id", "customer_name", "total_amount", "status",
+                         F.explode_outer("items").alias("l")).select(
+        "id", "customer_name", "total_amount", "status", "l.product_id", "l.product_name",
+        "l.quantity", "l.price")
+
+
+@register("line_counts", """
+SELECT o.id, COUNT(l.order_id) AS line_count FROM s_orders o
+LEFT JOIN (SELECT oi.order_id FROM s_items oi JOIN s_products p ON oi.product_id = p.id) l
+  ON l.order_id = o.id GROUP BY o.id""")
+def _line_counts(spark, d):
+    t = T(spark, d)
+    return O.line_counts(O.orders_with_items(t.orders, t.order_items, t.products))
+
+
+@register("order_totals", """
+SELECT o.id AS order_id,
+       CAST(COALESCE(s.subtotal, 0) AS DECIMAL(31,2)) AS subtotal,
+       CAST(CASE WHEN s.subtotal IS NULL THEN 0 WHEN s.subtotal >= 5000 THEN 0 ELSE 250 END
+            AS DECIMAL(10,2)) AS delivery,
+       CAST(COALESCE(s.subtotal, 0)
+            + CASE WHEN s.subtotal IS NULL THEN 0 WHEN s.subtotal >= 5000 THEN 0 ELSE 250 END
+            AS DECIMAL(31,2)) AS total
+FROM s_orders o LEFT JOIN (
+  SELECT order_id, SUM(quantity * price) AS subtotal FROM s_items GROUP BY 1) s
+  ON s.order_id = o.id""")
+def _order_totals(spark, d):
+    t = T(spark, d)
+    return O.order_totals(t.order_items, t.orders)
+
+
+@register("cart_lines", """
+SELECT order_id, product_id, CAST(SUM(quantity) AS BIGINT) AS quantity, COUNT(*) AS merged_lines
+FROM s_items GROUP BY 1, 2""")
+def _cart_lines(spark, d):
+    return O.cart_lines(T(spark, d).order_items)
+
+
+@register("cart_units", """
+SELECT order_id, CAST(SUM(quantity) AS BIGINT) AS total_units FROM s_items GROUP BY 1""")
+def _cart_units(spark, d):
+    return O.cart_units(T(spark, d).order_items)
+
+
+@register("order_line_text", """
+SELECT oi.order_id, oi.product_id,
+       p.name || ' (Qty: ' || CAST(oi.quantity AS VARCHAR) || ') - Rs. '
+         || CAST(CAST(oi.quantity * oi.price AS DECIMAL(31,2)) AS VARCHAR) AS line_text
+FROM s_items oi JOIN s_products p ON oi.product_id = p.id""")
+def _order_line_text(spark, d):
+    t = T(spark, d)
+    items = t.order_items.join(t.products.select(F.col("id").alias("product_id"),
+                                                 F.col("name").alias("product_name")), "product_id")
+    return O.order_line_text(items).select("order_id", "product_id", "line_text")
