@@ -516,3 +516,60 @@ def _order_line_text(spark, d):
     items = t.order_items.join(t.products.select(F.col("id").alias("product_id"),
                                                  F.col("name").alias("product_name")), "product_id")
     return O.order_line_text(items).select("order_id", "product_id", "line_text")
+
+
+# ======================================================================= inventory
+from shelfwise.operators import inventory as V  # noqa: E402
+
+
+@register("stock_ledger", """
+SELECT product_id, order_id, quantity,
+       CAST(stock - used + quantity AS INTEGER) AS old_stock,
+       CAST(stock - used AS INTEGER) AS new_stock,
+       'order_placed' AS action, created_at
+FROM (
+  SELECT oi.product_id, oi.order_id, oi.quantity, p.stock, o.created_at,
+         SUM(oi.quantity) OVER (PARTITION BY oi.product_id
+                                ORDER BY o.created_at, oi.order_id, oi.product_id, oi.quantity
+                                ROWS UNBOUNDED PRECEDING) AS used
+  FROM s_items oi JOIN s_orders o ON o.id = oi.order_id JOIN s_products p ON p.id = oi.product_id)""")
+def _stock_ledger(spark, d):
+    t = T(spark, d)
+    return V.stock_ledger(t.products, t.order_items, t.orders)
+
+
+@register("price_lines", """
+SELECT oi.order_id, oi.product_id, oi.quantity, p.price
+FROM s_items oi JOIN s_products p ON p.id = oi.product_id""")
+def _price_lines(spark, d):
+    t = T(spark, d)
+    return V.price_lines(t.order_items.select("order_id", "product_id", "quantity"), t.products)
+
+
+def _admission_frame(res: "V.Admission") -> DataFrame:
+    acc = res.accepted.select(
+        "order_id", F.lit("accepted").alias("decision"), F.lit(None).cast("string").alias("reason"),
+        F.lit(None).cast("long").alias("product_id"), F.lit(None).cast("long").alias("available"),
+        F.lit(None).cast("long").alias("requested"))
+    rej = res.rejected.select("order_id", F.lit("rejected").alias("decision"), "reason",
+                              "product_id", "available", "requested")
+    return acc.unionByName(rej)
+
+
+@register("admit_orders")
+def _admit_orders(spark, d):
+    # Every order, in placement order, against the catalogue's stock.
+    t = T(spark, d)
+    return _admission_frame(V.admit_orders(t.products, t.orders, t.order_items, t.users))
+
+
+@register("admit_orders_half_demand")
+def _admit_orders_half(spark, d):
+    # Opening stock = half of each product's total ordered units, so about
+    # half the demand can be met and decisions depend on earlier orders.
+    t = T(spark, d)
+    demand = t.order_items.groupBy(F.col("product_id").alias("id")).agg(
+        (F.sum("quantity") / 2).cast("int").alias("stock"))
+    products = t.products.drop("stock").join(demand, "id", "left") \
+        .withColumn("stock", F.coalesce(F.col("stock"), F.lit(0)))
+    return _admission_frame(V.admit_orders(products, t.orders, t.order_items, t.users))
