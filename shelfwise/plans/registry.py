@@ -573,3 +573,316 @@ def _admit_orders_half(spark, d):
     products = t.products.drop("stock").join(demand, "id", "left") \
         .withColumn("stock", F.coalesce(F.col("stock"), F.lit(0)))
     return _admission_frame(V.admit_orders(products, t.orders, t.order_items, t.users))
+
+
+# ======================================================================= quality
+from shelfwise.operators import quality as Q  # noqa: E402
+
+_V = 'SELECT {t} AS "table", {r} AS rule, CAST({k} AS VARCHAR) AS key, CAST({d} AS VARCHAR) AS detail'
+
+
+@register("dq_not_null_orders", " UNION ALL ".join(
+    _V.format(t="'orders'", r="'not_null'", k="id", d=f"'{c}'") + f" FROM s_orders WHERE {c} IS NULL"
+    for c in ("id", "user_id", "total_amount", "delivery_address")))
+def _dq_not_null(spark, d):
+    return Q.null_violations(T(spark, d).orders, ["id", "user_id", "total_amount", "delivery_address"],
+                             "orders")
+
+
+@register("dq_duplicate_order_product", """
+SELECT 'order_items' AS "table", 'unique:order_id,product_id' AS rule,
+       CAST(order_id AS VARCHAR) || '|' || CAST(product_id AS VARCHAR) AS key,
+       'rows=' || CAST(COUNT(*) AS VARCHAR) AS detail
+FROM s_items GROUP BY order_id, product_id HAVING COUNT(*) > 1""")
+def _dq_duplicates(spark, d):
+    return Q.duplicate_keys(T(spark, d).order_items, ["order_id", "product_id"], "order_items")
+
+
+@register("dq_duplicate_emails", """
+SELECT 'users' AS "table", 'unique:email' AS rule, email AS key,
+       'rows=' || CAST(COUNT(*) AS VARCHAR) AS detail
+FROM s_users GROUP BY email HAVING COUNT(*) > 1""")
+def _dq_dup_emails(spark, d):
+    return Q.duplicate_keys(T(spark, d).users, ["email"], "users")
+
+
+@register("dq_orphan_orders_of_active_users", """
+SELECT 'orders' AS "table", 'fk:user_id->users.id' AS rule, CAST(id AS VARCHAR) AS key,
+       CAST(user_id AS VARCHAR) AS detail
+FROM s_orders WHERE user_id NOT IN (SELECT id FROM s_users WHERE status = 'active')""")
+def _dq_orphans(spark, d):
+    # Orders whose owner is not among the active users (as if inactive users
+    # had been removed): the orphan check finds exactly their orders.
+    t = T(spark, d)
+    return Q.orphans(t.orders, "user_id", t.users.filter(F.col("status") == "active"), "id",
+                     "orders", "users")
+
+
+@register("dq_orphan_items", """
+SELECT 'order_items' AS "table", 'fk:order_id->orders.id' AS rule,
+       CAST(order_id AS VARCHAR) || '|' || CAST(product_id AS VARCHAR) AS key,
+       CAST(order_id AS VARCHAR) AS detail
+FROM s_items WHERE order_id NOT IN (SELECT id FROM s_orders)""")
+def _dq_orphan_items(spark, d):
+    t = T(spark, d)
+    return Q.orphans(t.order_items, "order_id", t.orders, "id", "order_items", "orders",
+                     key=["order_id", "product_id"])
+
+
+@register("dq_order_status_domain", """
+SELECT 'orders' AS "table", 'domain:status' AS rule, CAST(id AS VARCHAR) AS key, status AS detail
+FROM s_orders WHERE status NOT IN ('pending', 'confirmed', 'shipped', 'delivered', 'cancelled')""")
+def _dq_domain(spark, d):
+    return Q.out_of_domain(T(spark, d).orders, "status", "orders")
+
+
+@register("dq_category_domain_strict", """
+SELECT 'products' AS "table", 'domain:category' AS rule, CAST(id AS VARCHAR) AS key,
+       category AS detail
+FROM s_products WHERE category NOT IN ('ECONOMY', 'STANDARD', 'SMALL')""")
+def _dq_category_domain(spark, d):
+    # A domain rule that real rows break: categories outside a short list.
+    return Q.out_of_domain(T(spark, d).products, "category", "products",
+                           values=("ECONOMY", "STANDARD", "SMALL"))
+
+
+@register("dq_product_rules", """
+SELECT 'products' AS "table", rule, CAST(id AS VARCHAR) AS key, CAST(NULL AS VARCHAR) AS detail
+FROM (
+  SELECT id, 'name_missing' AS rule FROM s_products WHERE name IS NULL OR trim(name) = ''
+  UNION ALL SELECT id, 'description_missing' FROM s_products
+    WHERE description IS NULL OR trim(description) = ''
+  UNION ALL SELECT id, 'category_missing' FROM s_products WHERE category IS NULL OR trim(category) = ''
+  UNION ALL SELECT id, 'price_missing_or_zero' FROM s_products WHERE price IS NULL OR price = 0
+  UNION ALL SELECT id, 'stock_negative' FROM s_products WHERE stock < 0)""")
+def _dq_product_rules(spark, d):
+    return Q.product_violations(T(spark, d).products)
+
+
+@register("dq_zero_stock_as_negative", """
+SELECT 'products' AS "table", 'stock_negative' AS rule, CAST(id AS VARCHAR) AS key,
+       CAST(NULL AS VARCHAR) AS detail
+FROM s_products WHERE stock - 1 < 0""")
+def _dq_zero_stock(spark, d):
+    # The product rules after selling one unit of everything: the products
+    # that had stock 0 go negative and are flagged.
+    p = T(spark, d).products.withColumn("stock", F.col("stock") - 1)
+    return Q.product_violations(p)
+
+
+@register("dq_line_quantity", """
+SELECT 'order_items' AS "table", 'quantity_not_positive' AS rule,
+       CAST(order_id AS VARCHAR) || '|' || CAST(product_id AS VARCHAR) AS key,
+       CAST(quantity AS VARCHAR) AS detail
+FROM s_items WHERE quantity <= 0""")
+def _dq_lines(spark, d):
+    return Q.line_violations(T(spark, d).order_items)
+
+
+@register("dq_bad_emails_in_urls", r"""
+SELECT 'pages' AS "table", 'email_shape' AS rule, CAST(page_id AS VARCHAR) AS key, url AS detail
+FROM pages WHERE url IS NULL OR NOT regexp_matches(url, '^[^\s@]+@[^\s@]+\.[^\s@]+$')""")
+def _dq_emails(spark, d):
+    # The e-mail shape rule over a text column that holds no e-mail addresses.
+    pg = T(spark, d).source("pages").select("page_id", "url")
+    return Q.bad_emails(pg, "pages", col="url", key="page_id")
+
+
+@register("dq_bad_user_emails", r"""
+SELECT 'users' AS "table", 'email_shape' AS rule, CAST(id AS VARCHAR) AS key, email AS detail
+FROM s_users WHERE email IS NULL OR NOT regexp_matches(email, '^[^\s@]+@[^\s@]+\.[^\s@]+$')""")
+def _dq_user_emails(spark, d):
+    return Q.bad_emails(T(spark, d).users, "users")
+
+
+@register("dq_image_url_width", """
+SELECT 'products' AS "table", 'width:image_url>500' AS rule, CAST(id AS VARCHAR) AS key,
+       CAST(NULL AS VARCHAR) AS detail
+FROM (SELECT page_id AS id, url AS image_url FROM pages) WHERE length(image_url) > 500
+UNION ALL
+SELECT 'products', 'width:name>255', CAST(id AS VARCHAR), CAST(NULL AS VARCHAR)
+FROM (SELECT page_id AS id, html AS name FROM pages) WHERE length(name) > 255""")
+def _dq_widths(spark, d):
+    # Page URLs as product image URLs and page bodies as product names:
+    # the long bodies break the 255-character name width.
+    pg = T(spark, d).source("pages").select(F.col("page_id").alias("id"),
+                                            F.col("url").alias("image_url"),
+                                            F.col("html").alias("name"))
+    return Q.width_violations(pg, "products")
+
+
+# ======================================================================= maintenance
+from shelfwise.operators import maintenance as M  # noqa: E402
+
+_LAST = """
+SELECT order_id, status, admin_id, ts FROM (
+  SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY ts DESC, status DESC, admin_id DESC) AS rn
+  FROM s_changes) WHERE rn = 1"""
+
+
+@register("latest_changes", _LAST)
+def _latest_changes(spark, d):
+    return M.latest_changes(T(spark, d).status_changes, "order_id", "ts", ("status", "admin_id"))
+
+
+@register("apply_status_changes_orders", f"""
+SELECT o.id, COALESCE(c.status, o.status) AS status,
+       CASE WHEN c.order_id IS NULL THEN o.created_at ELSE c.ts END AS updated_at
+FROM s_orders o LEFT JOIN ({_LAST}) c ON c.order_id = o.id""")
+def _apply_status_orders(spark, d):
+    from shelfwise.streaming.events import apply_status_changes
+    t = T(spark, d)
+    updated, _ = apply_status_changes(t.orders, t.status_changes)
+    return updated.select("id", "status", "updated_at")
+
+
+@register("apply_status_changes_log", """
+SELECT admin_id, 'Order ' || CAST(order_id AS VARCHAR) || ' status updated' AS action,
+       'New status: ' || status AS details, ts AS created_at
+FROM s_changes""")
+def _apply_status_log(spark, d):
+    from shelfwise.streaming.events import apply_status_changes
+    t = T(spark, d)
+    _, log = apply_status_changes(t.orders, t.status_changes)
+    return log.select("admin_id", "action", "details", "created_at")
+
+
+@register("upsert_users_by_email", """
+WITH active AS (SELECT * FROM s_users WHERE status = 'active'),
+     feed AS (SELECT email, upper(name) AS name FROM s_users)
+SELECT a.id, f.name, a.email FROM active a JOIN feed f ON f.email = a.email
+UNION ALL
+SELECT (SELECT MAX(id) FROM active) + row_number() OVER (ORDER BY f.email) AS id, f.name, f.email
+FROM feed f WHERE f.email NOT IN (SELECT email FROM active)""")
+def _upsert_users(spark, d):
+    # The active-user table receives the full customer feed (names upper
+    # case): known e-mails are updated, the rest inserted with new ids.
+    t = T(spark, d)
+    active = t.users.filter(F.col("status") == "active")
+    feed = t.users.select("email", F.upper("name").alias("name"))
+    out = M.upsert(active, feed, "email", ["name"], order_by=["email"])
+    return out.select("id", "name", "email")
+
+
+@register("assign_ids_new_products", """
+SELECT (SELECT MAX(p_partkey) FROM part) + row_number() OVER (ORDER BY p_type, p_brand) AS id,
+       p_type, p_brand
+FROM (SELECT DISTINCT p_type, p_brand FROM part)""")
+def _assign_ids(spark, d):
+    # One new product per (type, brand) pair, keyed after the current maximum.
+    t = T(spark, d)
+    rows = t.source("part").select("p_type", "p_brand").distinct()
+    return M.assign_ids(t.products, rows, ["p_type", "p_brand"])
+
+
+@register("rekey_categories", """
+SELECT p.id, p.category_id + 100 AS category_id FROM s_products p""")
+def _rekey(spark, d):
+    # Category keys moved up by 100 (ON UPDATE CASCADE to products).
+    t = T(spark, d)
+    changes = t.categories.select(F.col("id").alias("old_id"), (F.col("id") + 100).alias("new_id"))
+    return M.rekey(changes, t.products, "category_id").select("id", "category_id")
+
+
+@register("delete_inactive_users_cascade", """
+SELECT 'users' AS "table", COUNT(*) AS remaining FROM s_users WHERE status <> 'inactive'
+UNION ALL
+SELECT 'orders', COUNT(*) FROM s_orders
+  WHERE user_id NOT IN (SELECT id FROM s_users WHERE status = 'inactive')
+UNION ALL
+SELECT 'order_items', COUNT(*) FROM s_items
+  WHERE order_id IN (SELECT id FROM s_orders
+                     WHERE user_id NOT IN (SELECT id FROM s_users WHERE status = 'inactive'))
+UNION ALL
+SELECT 'products', COUNT(*) FROM s_products""")
+def _delete_cascade(spark, d):
+    # Delete inactive users: their orders and those orders' lines go too.
+    t = T(spark, d)
+    tables = {"users": t.users, "orders": t.orders, "order_items": t.order_items,
+              "products": t.products}
+    out = M.delete_cascade(tables, "users", t.users.filter(F.col("status") == "inactive"))
+    parts = [out[n].agg(F.count(F.lit(1)).alias("remaining")).select(
+        F.lit(n).alias("table"), "remaining") for n in ("users", "orders", "order_items", "products")]
+    res = parts[0]
+    for p in parts[1:]:
+        res = res.unionByName(p)
+    return res
+
+
+@register("conform_users", """
+SELECT id, name, email, false AS is_verified, CAST(NULL AS VARCHAR) AS reset_token,
+       CAST(0 AS INTEGER) AS login_count
+FROM s_users""")
+def _conform_users(spark, d):
+    # Migration: add is_verified / reset_token / login_count if missing, drop phone.
+    from shelfwise.sources.tables import conform
+    u = T(spark, d).users.select("id", "name", "email", "is_verified")
+    out = conform(u, add={"is_verified": ("boolean", False), "reset_token": ("string", None),
+                          "login_count": ("int", 0)}, drop=["phone"])
+    return conform(out, add={"login_count": ("int", 5)}, drop=["phone"])
+
+
+@register("typed_read_orders", """
+SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'P'""")
+def _typed_read(spark, d):
+    from shelfwise.sources.tables import read_table
+    return read_table(spark, d, "orders", source=True).filter(F.col("o_orderstatus") == "P") \
+        .select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@register("new_users_from_feed", """
+SELECT id, name, email FROM (
+  SELECT c_custkey AS id, c_name AS name,
+         concat(lower(replace(c_name, '#', '')), '@example.com') AS email,
+         row_number() OVER (PARTITION BY concat(lower(replace(c_name, '#', '')), '@example.com')
+                            ORDER BY c_custkey) AS rn
+  FROM customer WHERE c_acctbal < 0) WHERE rn = 1""")
+def _new_users(spark, d):
+    # Registrations from inactive customers against the active users: none
+    # of their e-mails is taken, so all are new (earliest per e-mail wins).
+    t = T(spark, d)
+    cands = t.users.filter(F.col("status") == "inactive").select("id", "name", "email")
+    from shelfwise.operators.customers import new_users
+    return new_users(cands, t.users.filter(F.col("status") == "active"), order_by=("id",))
+
+
+# ======================================================================= events
+from shelfwise.streaming import events as E  # noqa: E402
+
+
+@register("over_limit_daily", """
+SELECT date_trunc('day', ts) AS window_start, user_id, COUNT(*) AS n
+FROM events GROUP BY 1, 2 HAVING COUNT(*) > 5""")
+def _over_limit_daily(spark, d):
+    return E.over_limit(T(spark, d).events, "user_id", 5, "1 day")
+
+
+@register("over_limit_per_minute", """
+SELECT date_trunc('minute', ts) AS window_start, user_id, COUNT(*) AS n
+FROM events GROUP BY 1, 2 HAVING COUNT(*) > 1""")
+def _over_limit_minute(spark, d):
+    return E.over_limit(T(spark, d).events, "user_id", 1, "1 minute")
+
+
+@register("cart_state", """
+WITH ev AS (
+  SELECT user_id, ts, event_id,
+         CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN -1 ELSE 0 END AS delta,
+         CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS clr
+  FROM events),
+c AS (SELECT *, SUM(clr) OVER (PARTITION BY user_id ORDER BY ts, event_id
+                               ROWS UNBOUNDED PRECEDING) AS seg FROM ev),
+s AS (SELECT user_id, seg, delta, SUM(delta) OVER (PARTITION BY user_id, seg ORDER BY ts, event_id
+                                                   ROWS UNBOUNDED PRECEDING) AS run FROM c),
+v AS (SELECT user_id, seg, SUM(delta) - LEAST(MIN(run), 0) AS v FROM s GROUP BY 1, 2)
+SELECT user_id, CAST(arg_max(v, seg) AS BIGINT) AS cart_items FROM v GROUP BY 1""")
+def _cart_state(spark, d):
+    return E.cart_state(T(spark, d).events)
+
+
+@register("daily_sales", f"""
+SELECT CAST(created_at AS DATE) AS date, COUNT(*) AS orders,
+       CAST(SUM(total_amount) AS DECIMAL(20,2)) AS revenue
+FROM s_orders WHERE {SALE} GROUP BY 1""")
+def _daily_sales(spark, d):
+    return E.daily_sales(T(spark, d).orders)
