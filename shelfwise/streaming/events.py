@@ -45,8 +45,21 @@ def over_limit_stream(stream: DataFrame, key: str = "user_id", limit: int = 5,
                       window: str = "1 minute", ts: str = "ts",
                       watermark: str = "10 minutes") -> DataFrame:
     """ST-1 as a stream: events later than the watermark are dropped; in
-    append mode each window is emitted once, when it closes."""
-    return over_limit(stream.withWatermark(ts, watermark), key, limit, window, ts)
+    append mode each window is emitted once, when it closes.
+
+    Watermarks need a ``timestamp`` event time; a ``timestamp_ntz`` column is
+    read as wall-clock time in the session zone (UTC) and the window start is
+    given back as ``timestamp_ntz``, as in the batch form."""
+    timed = _event_time(stream, ts).withWatermark(ts, watermark)
+    out = over_limit(timed, key, limit, window, ts)
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+def _event_time(df: DataFrame, ts: str) -> DataFrame:
+    from pyspark.sql import types as T
+    if isinstance(df.schema[ts].dataType, T.TimestampNTZType):
+        return df.withColumn(ts, F.col(ts).cast("timestamp"))
+    return df
 
 
 # ---------------------------------------------------------------- ST-2
@@ -107,7 +120,7 @@ def daily_sales(orders: DataFrame) -> DataFrame:
 def stream_sales(orders_stream: DataFrame, watermark: str = "2 days") -> DataFrame:
     """ST-3 as a stream: the same daily windows with a watermark; in update
     mode each trigger emits the days that changed."""
-    return daily_sales(orders_stream.withWatermark("created_at", watermark))
+    return daily_sales(_event_time(orders_stream, "created_at").withWatermark("created_at", watermark))
 
 
 # ---------------------------------------------------------------- ST-4
