@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from shelfwise.operators.scan import running_sum
 
 LEDGER_ACTION = "order_placed"
+# When at most this many undecided (order, product) pairs remain, they are
+# decided in one exact sequential pass inside a single task (a proven bound).
+FINISH_PAIRS = 50_000
 
 
 def price_lines(items: DataFrame, products: DataFrame) -> DataFrame:
@@ -66,8 +69,32 @@ def _order_product(items: DataFrame) -> DataFrame:
         F.max("quantity").cast("long").alias("need"))
 
 
+def _finish_sequential(pdf):
+    """Decide the remaining orders one after another (pandas, one task).
+
+    ``pdf`` holds every undecided pair with ``stock - acc_before``, the stock
+    left by all orders accepted so far that come before it; orders accepted
+    here consume stock from the later ones.
+    """
+    import pandas as pd
+
+    pdf = pdf.sort_values(["created_at", "order_id", "product_id"], kind="mergesort")
+    used: dict = {}
+    out = []
+    for oid, grp in pdf.groupby(["created_at", "order_id"], sort=False):
+        prods = grp["product_id"].to_numpy()
+        left = grp["left"].to_numpy() - [used.get(p, 0) for p in prods]
+        ok = bool((grp["need"].to_numpy() <= left).all())
+        if ok:
+            for p, t in zip(prods, grp["total"].to_numpy()):
+                used[p] = used.get(p, 0) + int(t)
+        out.append((oid[1], "A" if ok else "R"))
+    return pd.DataFrame(out, columns=["order_id", "_v"])
+
+
 def admit_orders(products: DataFrame, orders: DataFrame, items: DataFrame,
-                 users: DataFrame | None = None, max_rounds: int | None = None) -> Admission:
+                 users: DataFrame | None = None, max_rounds: int | None = None,
+                 finish_pairs: int = FINISH_PAIRS) -> Admission:
     """WN-4: accept an order only if every line fits the stock left by earlier
     *accepted* orders; a rejected order deducts nothing.
 
@@ -86,6 +113,8 @@ def admit_orders(products: DataFrame, orders: DataFrame, items: DataFrame,
     the pairs accepted in the round before (their totals are folded into a
     stored ``accepted`` sum), so rounds shrink.  Each round's running sums are
     the skew-safe scan (checkpointed), and the loop reads one count per round.
+    Once at most ``finish_pairs`` undecided pairs remain, they are decided in
+    one sequential pass in a single task (bounded input; exact).
 
     Orders of unknown users and orders with a line for an unknown product are
     rejected up front (``unknown_user`` / ``unknown_product``), as the shop
@@ -121,16 +150,15 @@ def admit_orders(products: DataFrame, orders: DataFrame, items: DataFrame,
                        F.lit(0).cast("long").alias("acc_before"))
 
     spark = products.sparkSession
-    empty_pairs = cand.limit(0).select("order_id", "product_id", "created_at", "total")
+    cand = cand.checkpoint(eager=True)
+    n_cand = cand.count()
     undecided = cand
-    newly_accepted = empty_pairs
+    newly_accepted = cand.limit(0).select("order_id", "product_id", "created_at", "total")
+    n_left, n_new = n_cand, 0
     accepted_orders = []
     rejected_orders = []
     rounds = 0
-    while True:
-        n_left = undecided.count()
-        if n_left == 0:
-            break
+    while n_left > 0:
         rounds += 1
         if max_rounds is not None and rounds > max_rounds:
             raise RuntimeError(f"order admission did not finish in {max_rounds} rounds")
@@ -150,7 +178,7 @@ def admit_orders(products: DataFrame, orders: DataFrame, items: DataFrame,
         both = u.unionByName(a)
         run = running_sum(both, ["product_id"], ["created_at", "order_id"],
                           ["a_new", "u_pos", "u_neg"], ["a_run", "pos_run", "neg_run"],
-                          inclusive=False).filter(F.col("_u"))
+                          inclusive=False, rows_hint=n_left + n_new).filter(F.col("_u"))
         acc = F.col("acc_before") + F.col("a_run")
         scored = run.select(
             "order_id", "product_id", "created_at", "total", "need", "stock",
@@ -163,12 +191,40 @@ def admit_orders(products: DataFrame, orders: DataFrame, items: DataFrame,
             "order_id",
             F.when(F.col("_all_sure"), "A").when(F.col("_any_bad"), "R").otherwise("U").alias("_v"))
         tagged = scored.join(verdict, "order_id", "inner").checkpoint(eager=True)
+        # one small read per round: pair counts by verdict (at most 3 rows)
+        counts = {r["_v"]: r["n"] for r in
+                  tagged.groupBy("_v").agg(F.count(F.lit(1)).alias("n")).collect()}
+        n_new, n_left = counts.get("A", 0), counts.get("U", 0)
         accepted_orders.append(tagged.filter(F.col("_v") == "A").select("order_id").distinct())
         rejected_orders.append(tagged.filter(F.col("_v") == "R").select("order_id").distinct())
         newly_accepted = tagged.filter(F.col("_v") == "A").select(
             "order_id", "product_id", "created_at", "total")
         undecided = tagged.filter(F.col("_v") == "U").select(
             "order_id", "product_id", "created_at", "total", "need", "stock", "acc_before")
+        if 0 < n_left <= finish_pairs:
+            # Fold this round's acceptances into acc_before, then decide the
+            # rest in order within one task.
+            u2 = undecided.select("order_id", "product_id", "created_at", "total", "need",
+                                  "stock", "acc_before", F.lit(0).cast("long").alias("a_new"),
+                                  F.lit(True).alias("_u"))
+            a2 = newly_accepted.select(
+                "order_id", "product_id", "created_at", F.lit(None).cast("long").alias("total"),
+                F.lit(None).cast("long").alias("need"), F.lit(None).cast("long").alias("stock"),
+                F.lit(None).cast("long").alias("acc_before"),
+                F.col("total").cast("long").alias("a_new"), F.lit(False).alias("_u"))
+            run2 = running_sum(u2.unionByName(a2), ["product_id"], ["created_at", "order_id"],
+                               ["a_new"], ["a_run"], inclusive=False,
+                               rows_hint=n_left + n_new).filter(F.col("_u"))
+            rest = run2.select(
+                "order_id", "product_id", "created_at", "total", "need",
+                (F.col("stock") - F.col("acc_before") - F.col("a_run")).alias("left"))
+            decided = (rest.groupBy(F.lit(0).alias("_all"))
+                       .applyInPandas(_finish_sequential, "order_id long, _v string")
+                       .checkpoint(eager=True))
+            accepted_orders.append(decided.filter(F.col("_v") == "A").select("order_id"))
+            rejected_orders.append(decided.filter(F.col("_v") == "R").select("order_id"))
+            rounds += 1
+            break
 
     # An order without lines passes every check.
     accepted_orders.append(o.select("order_id").join(pairs, "order_id", "left_anti"))
@@ -186,7 +242,7 @@ def admit_orders(products: DataFrame, orders: DataFrame, items: DataFrame,
                                           F.lit(0).cast("long").alias("a_new"),
                                           F.lit(True).alias("_r"))))
     run = running_sum(both, ["product_id"], ["created_at", "order_id"], ["a_new"], ["a_run"],
-                      inclusive=False).filter(F.col("_r"))
+                      inclusive=False, rows_hint=n_cand).filter(F.col("_r"))
     failing = run.withColumn("available", F.col("stock") - F.col("a_run")) \
         .filter(F.col("need") > F.col("available"))
     stock_rejects = failing.groupBy("order_id").agg(

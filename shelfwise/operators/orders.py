@@ -66,7 +66,7 @@ def admin_orders(orders: DataFrame, users: DataFrame) -> DataFrame:
         "delivery_address", "created_at"))
 
 
-def order_lines(items: DataFrame, products: DataFrame) -> DataFrame:
+def order_lines(items: DataFrame, products: DataFrame, extra=()) -> DataFrame:
     """JN-2: order lines with product name and the *current* product price.
 
     A product in a large share of all lines is split by AQE's skew-join
@@ -76,7 +76,7 @@ def order_lines(items: DataFrame, products: DataFrame) -> DataFrame:
                         F.col("price").alias("current_price"))
     return items.join(p, "product_id", "inner").select(
         "order_id", "product_id", "product_name", "quantity",
-        F.col("current_price").alias("price"))
+        F.col("current_price").alias("price"), *extra)
 
 
 def existing(df: DataFrame, parent: DataFrame, fk: str, pk: str = "id") -> tuple[DataFrame, DataFrame]:
@@ -97,11 +97,14 @@ def orders_with_items(orders: DataFrame, items: DataFrame, products: DataFrame,
     Orders without lines keep an empty array.  Lines of one order are split
     over rows ``chunk = 0, 1, ...`` of at most ``max_per_row`` lines.
     """
-    lines = order_lines(items, products)
-    numbered = row_number_within(lines, ["order_id"], ["product_id", "quantity", "price"], "_pos")
-    nested = (numbered
-              .withColumn("chunk", F.floor((F.col("_pos") - 1) / F.lit(max_per_row)).cast("int"))
-              .groupBy("order_id", "chunk")
+    # Number the lines on a narrow projection (price and name are functions
+    # of the product), then attach names and current prices.
+    narrow = items.select("order_id", "product_id", "quantity")
+    numbered = row_number_within(narrow, ["order_id"], ["product_id", "quantity"], "_pos")
+    chunked = numbered.withColumn(
+        "chunk", F.floor((F.col("_pos") - 1) / F.lit(max_per_row)).cast("int"))
+    lines = order_lines(chunked, products.select("id", "name", "price"), extra=("_pos", "chunk"))
+    nested = (lines.groupBy("order_id", "chunk")
               .agg(F.array_sort(F.collect_list(F.struct(
                   "_pos", "product_id", "product_name", "quantity", "price"))).alias("_l"))
               .select(F.col("order_id").alias("id"), "chunk",

@@ -35,6 +35,28 @@ from shelfwise.session import require_checkpoint_dir
 
 _PID = "_scan_pid"
 
+# Inputs at or under these sizes use a plain window (one task per key holds
+# at most this much); larger inputs take the skew-safe range scan.
+SMALL_ROWS = 1_000_000
+SMALL_BYTES = 8 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of ``df`` (no job runs), or None if unknown."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # Spark Connect or a plan without statistics
+        return None
+
+
+def is_small(df: DataFrame, rows_hint: int | None = None) -> bool:
+    """True when ``df`` is known to be small: an exact row count from the
+    caller, or Catalyst's (upper-bound style) size estimate."""
+    if rows_hint is not None:
+        return rows_hint <= SMALL_ROWS
+    est = estimated_bytes(df)
+    return est is not None and est <= SMALL_BYTES
+
 
 def _names(cols) -> list[str]:
     if cols is None:
@@ -89,7 +111,8 @@ def _local_scan_fn(keys: list[str], values: list[str], outs: list[str]):
 
 
 def running_sum(df: DataFrame, keys, order, values, outs=None, *,
-                inclusive: bool = True, partitions: int | None = None) -> DataFrame:
+                inclusive: bool = True, partitions: int | None = None,
+                rows_hint: int | None = None, force_scan: bool = False) -> DataFrame:
     """Add running sums of ``values`` within ``keys`` in ``order``.
 
     ``order`` must make the order within a key total (append a unique
@@ -97,16 +120,25 @@ def running_sum(df: DataFrame, keys, order, values, outs=None, *,
     be non-null integral or floating columns.  ``outs`` names the new columns
     (default ``<value>_run``).  ``inclusive=False`` gives the sum of the rows
     strictly before each row.
+
+    Small inputs (``rows_hint`` rows, or a Catalyst size estimate, under the
+    ``SMALL_*`` limits) use a plain window: every key then holds a bounded
+    number of rows.  ``force_scan`` always takes the skew-safe scan.
     """
     keys, order, values = _names(keys), _names(order), _names(values)
     outs = _names(outs) or [f"{v}_run" for v in values]
-    spark = df.sparkSession
-    require_checkpoint_dir(spark)
-    n_part = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-
     is_float = any(isinstance(df.schema[v].dataType, (T.DoubleType, T.FloatType))
                    for v in values)
     out_type = T.DoubleType() if is_float else T.LongType()
+    if not force_scan and is_small(df, rows_hint):
+        w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(*order)
+        frame = w.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        cols = [F.coalesce(F.sum(v).over(frame), F.lit(0)).cast(out_type).alias(o)
+                for v, o in zip(values, outs)]
+        return df.select(*df.columns, *cols)
+    spark = df.sparkSession
+    require_checkpoint_dir(spark)
+    n_part = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = T.StructType(df.schema.fields
                           + [T.StructField(_PID, T.IntegerType(), False)]
                           + [T.StructField(o, out_type, False) for o in outs])
@@ -136,9 +168,10 @@ def running_sum(df: DataFrame, keys, order, values, outs=None, *,
 
 
 def row_number_within(df: DataFrame, keys, order, out: str = "rn", *,
-                      partitions: int | None = None) -> DataFrame:
+                      partitions: int | None = None, rows_hint: int | None = None,
+                      force_scan: bool = False) -> DataFrame:
     """1-based position of each row within its key (skew-safe ``row_number``)."""
     one = "_scan_one"
     res = running_sum(df.withColumn(one, F.lit(1)), keys, order, [one], [out],
-                      partitions=partitions)
+                      partitions=partitions, rows_hint=rows_hint, force_scan=force_scan)
     return res.drop(one)

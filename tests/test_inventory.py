@@ -66,7 +66,11 @@ def test_two_lines_same_product_checked_per_line(spark):
     assert closing[8] == -10
 
 
-def test_random_against_sequential(spark):
+import pytest
+
+
+@pytest.mark.parametrize("finish_pairs", [0, 50_000])
+def test_random_against_sequential(spark, finish_pairs):
     rnd = random.Random(11)
     stock = {p: rnd.randint(0, 30) for p in range(12)}
     orders = [(oid, rnd.randint(0, 50)) for oid in range(300)]
@@ -78,7 +82,7 @@ def test_random_against_sequential(spark):
             items.append((oid, pid, rnd.randint(1, 6)))
     exp_acc, exp_rej, exp_stock = sequential(stock, orders, items)
     p, o, i = _frames(spark, stock, orders, items)
-    res = admit_orders(p, o, i)
+    res = admit_orders(p, o, i, finish_pairs=finish_pairs)
     got_acc = {r.order_id for r in res.accepted.collect()}
     got_rej = {r.order_id for r in res.rejected.collect()}
     assert got_acc == exp_acc

@@ -18,7 +18,8 @@ def _rows(n=5000, seed=7):
 
 def test_running_sum_matches_window(spark):
     df = spark.createDataFrame(_rows(), "k long, t long, i long, q long, x double")
-    got = running_sum(df, ["k"], ["t", "i"], ["q", "x"], ["q_run", "x_run"], partitions=7)
+    got = running_sum(df, ["k"], ["t", "i"], ["q", "x"], ["q_run", "x_run"], partitions=7,
+                      force_scan=True)
     w = Window.partitionBy("k").orderBy("t", "i").rowsBetween(Window.unboundedPreceding, 0)
     exp = df.select("k", "t", "i", F.sum("q").over(w).alias("q_exp"),
                     F.sum("x").over(w).alias("x_exp"))
@@ -33,14 +34,22 @@ def test_running_sum_matches_window(spark):
 
 def test_exclusive_and_global(spark):
     df = spark.createDataFrame(_rows(800, 3), "k long, t long, i long, q long, x double")
-    got = running_sum(df, [], ["i"], ["q"], ["before"], inclusive=False, partitions=5)
+    got = running_sum(df, [], ["i"], ["q"], ["before"], inclusive=False, partitions=5,
+                      force_scan=True)
     rows = sorted(got.select("i", "q", "before").collect())
     acc = 0
     for i, q, before in rows:
         assert before == acc
         acc += q
-    rn = row_number_within(df, ["k"], ["t", "i"], "rn", partitions=4)
+    rn = row_number_within(df, ["k"], ["t", "i"], "rn", partitions=4, force_scan=True)
     w = Window.partitionBy("k").orderBy("t", "i")
     exp = df.select("k", "t", "i", F.row_number().over(w).alias("rn_exp"))
     assert rn.join(exp, ["k", "t", "i"]).filter("rn != rn_exp").count() == 0
     assert "_scan_one" not in rn.columns
+
+
+def test_small_path_equals_scan(spark):
+    df = spark.createDataFrame(_rows(600, 9), "k long, t long, i long, q long, x double")
+    a = running_sum(df, ["k"], ["t", "i"], ["q"], ["r"], inclusive=False, force_scan=True)
+    b = running_sum(df, ["k"], ["t", "i"], ["q"], ["r"], inclusive=False, rows_hint=600)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
