@@ -12,10 +12,11 @@ the same running sums with the key split across tasks:
    block (vectorised ``cumsum`` per key, carrying the running value across
    batches).  The result is checkpointed (reliable, into the cluster's
    ``spark.checkpoint.dir``) so partition ids stay fixed under retries.
-3. Block totals ``(partition, key) -> sum`` are an ordinary aggregate.  Only a
-   key that crosses a partition boundary needs an offset, and each of the
-   ``P - 1`` boundaries is crossed by at most one key, so the offset table has
-   fewer than ``P`` rows: a proven bound, broadcast to the blocks.
+3. Only a key that crosses a partition boundary needs an offset: the first
+   key of a partition may continue from earlier partitions.  One summary row
+   per partition (first key; last key and its local total) is enough to
+   compute every offset, so the offset table has fewer than ``P`` rows: a
+   proven bound, broadcast to the blocks.  No aggregate over all keys runs.
 
 Rows are never dropped or sampled; the only driver traffic is the range
 sample Spark takes itself.
@@ -147,14 +148,25 @@ def running_sum(df: DataFrame, keys, order, values, outs=None, *,
     local = ranged.mapInPandas(_local_scan_fn(keys, values, outs), schema)
     local = local.checkpoint(eager=True)
 
-    # Block totals per (partition, key); offsets only for keys that continue
-    # from an earlier partition (< P rows in all).
-    blocks = local.groupBy(_PID, *keys).agg(*[F.sum(v).alias(o) for v, o in zip(values, outs)])
-    w = Window.partitionBy(*keys).orderBy(_PID) if keys else Window.orderBy(_PID)
+    # Only the first key of a partition can continue from earlier partitions,
+    # and only the last key of a partition can continue into later ones.  One
+    # summary row per partition (its last key with that key's local total,
+    # and its first key) gives every offset: the offset table has < P rows.
+    order_struct = F.struct(*[F.col(c) for c in keys + order])
+    tail = local.groupBy(_PID).agg(
+        F.max_by(F.struct(*[F.col(c) for c in keys + outs]), order_struct).alias("_last"),
+        F.min_by(F.struct(*[F.col(c) for c in keys] or [F.lit(0)]), order_struct).alias("_first"))
+    contrib = tail.select(_PID, *[F.col(f"_last.{k}").alias(k) for k in keys],
+                          F.lit(1).alias("_is_c"),
+                          *[F.col(f"_last.{o}").alias(o) for o in outs])
+    query = tail.select(_PID, *[F.col(f"_first.{k}").alias(k) for k in keys],
+                        F.lit(0).alias("_is_c"), *[F.lit(0).cast(out_type).alias(o) for o in outs])
+    w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(_PID, "_is_c")
     prior = w.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select(_PID, *keys,
-                            *[F.sum(o).over(prior).alias(f"{o}_off") for o in outs])
-    offsets = offsets.filter(F.col(f"{outs[0]}_off").isNotNull())
+    offsets = (contrib.unionByName(query)
+               .select(_PID, *keys, "_is_c", *[F.sum(o).over(prior).alias(f"{o}_off") for o in outs])
+               .filter((F.col("_is_c") == 0) & F.col(f"{outs[0]}_off").isNotNull())
+               .drop("_is_c"))
 
     joined = local.join(F.broadcast(offsets), on=[_PID, *keys], how="left")
     cols = [c for c in df.columns]
