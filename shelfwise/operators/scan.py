@@ -45,9 +45,13 @@ SMALL_BYTES = 8 * 1024 * 1024
 def estimated_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of ``df`` (no job runs), or None if unknown."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     except Exception:  # Spark Connect or a plan without statistics
         return None
+    try:
+        return int(size)
+    except TypeError:  # a JVM BigInt handle
+        return int(size.toString())
 
 
 def is_small(df: DataFrame, rows_hint: int | None = None) -> bool:
