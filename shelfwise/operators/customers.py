@@ -28,7 +28,7 @@ def customers(users: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def customer_order_summary(users: DataFrame, orders: DataFrame) -> DataFrame:
-    """AG-5 (view ``customer_order_summary``): orders, total spent (0 when
+    """AG-5 (the customer summary view): orders, total spent (0 when
     none) and the last order time (NULL when none) per user, all statuses."""
     per_user = orders.groupBy(F.col("user_id")).agg(
         F.count("id").alias("total_orders"),

@@ -58,7 +58,7 @@ def dashboard(users: DataFrame, products: DataFrame, orders: DataFrame) -> DataF
 # ---------------------------------------------------------------- views
 def top_selling(products: DataFrame, items: DataFrame, orders: DataFrame | None = None,
                 sales_only: bool = False) -> DataFrame:
-    """AG-6 (view ``top_selling_bags``): per product the number of lines,
+    """AG-6 (the best-seller view): per product the number of lines,
     units and revenue at the price of sale, by revenue descending.
 
     The shop's view puts the status test inside the ``ON`` of a second left
