@@ -886,3 +886,28 @@ SELECT CAST(created_at AS DATE) AS date, COUNT(*) AS orders,
 FROM s_orders WHERE {SALE} GROUP BY 1""")
 def _daily_sales(spark, d):
     return E.daily_sales(T(spark, d).orders)
+
+
+@register("block_over_limit_users", """
+SELECT u.id, CASE WHEN b.user_id IS NULL THEN u.status ELSE 'blocked' END AS status,
+       b.ts AS updated_at
+FROM s_users u LEFT JOIN (
+  SELECT user_id, MAX(w) AS ts FROM (
+    SELECT user_id, date_trunc('day', ts) AS w FROM events GROUP BY 1, 2 HAVING COUNT(*) > 5)
+  GROUP BY user_id) b ON b.user_id = u.id""")
+def _block_over_limit_users(spark, d):
+    # Users over 5 calls a day are blocked (ST-1 -> status change).
+    t = T(spark, d)
+    users, _ = E.block_over_limit(t.users, t.events, 5, "1 day")
+    return users.select("id", "status", "updated_at")
+
+
+@register("block_over_limit_log", """
+SELECT CAST(NULL AS BIGINT) AS admin_id,
+       'Customer ' || CAST(user_id AS VARCHAR) || ' deactivated' AS action,
+       'Status: blocked' AS details, w AS created_at
+FROM (SELECT user_id, date_trunc('day', ts) AS w FROM events GROUP BY 1, 2 HAVING COUNT(*) > 5)""")
+def _block_over_limit_log(spark, d):
+    t = T(spark, d)
+    _, log = E.block_over_limit(t.users, t.events, 5, "1 day")
+    return log.select("admin_id", "action", "details", "created_at")

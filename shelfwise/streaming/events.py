@@ -144,6 +144,34 @@ def apply_status_changes(orders: DataFrame, changes: DataFrame) -> tuple[DataFra
     return updated, activity_log(changes)
 
 
+def apply_user_status_changes(users: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Customer status changes (``user_id, status, admin_id, ts``): the last
+    change per user is applied and each change writes one activity row,
+    worded as the shop words it."""
+    last = latest_changes(changes.select("user_id", "ts", "status", "admin_id"),
+                          "user_id", "ts", tiebreak=("status", "admin_id"))
+    updated = apply_updates(users, last.withColumnRenamed("user_id", "id"), "id",
+                            ["status"], as_of="ts")
+    log = changes.select(
+        F.col("admin_id"),
+        F.concat(F.lit("Customer "), F.col("user_id").cast("string"), F.lit(" deactivated")).alias("action"),
+        F.concat(F.lit("Status: "), F.col("status")).alias("details"),
+        F.lit(None).cast("string").alias("ip_address"),
+        F.col("ts").alias("created_at"))
+    return updated, log
+
+
+def block_over_limit(users: DataFrame, events: DataFrame, limit: int = 5,
+                     window: str = "1 day", admin_id: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """ST-1 feeding the customer status change: every user over the limit
+    in a window is set to ``blocked`` (one change per offending window)."""
+    hits = over_limit(events, "user_id", limit, window)
+    changes = hits.select("user_id", F.lit("blocked").alias("status"),
+                          F.lit(admin_id).cast("long").alias("admin_id"),
+                          F.col("window_start").alias("ts"))
+    return apply_user_status_changes(users, changes)
+
+
 def status_change_batch_writer(log_path: str):
     """ST-4 as a stream: a ``foreachBatch`` function that writes each
     micro-batch's activity rows to ``log_path/batch=<id>`` with overwrite, so a
