@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 from shelfwise.operators.scan import running_sum
 
 LEDGER_ACTION = "order_placed"
-# When at most this many undecided (order, product) pairs remain, they are
-# decided in one exact sequential pass inside a single task (a proven bound).
-FINISH_PAIRS = 50_000
+# When at most this many undecided (order, product) pairs remain after a
+# round, they are decided in one exact sequential pass inside a single task
+# (a proven bound; the whole input never takes this path).
+FINISH_PAIRS = 100_000
+_DEBUG = False
 
 
 def price_lines(items: DataFrame, products: DataFrame) -> DataFrame:
@@ -70,26 +72,33 @@ def _order_product(items: DataFrame) -> DataFrame:
 
 
 def _finish_sequential(pdf):
-    """Decide the remaining orders one after another (pandas, one task).
+    """Decide the remaining orders one after another (one task, bounded input).
 
-    ``pdf`` holds every undecided pair with ``stock - acc_before``, the stock
-    left by all orders accepted so far that come before it; orders accepted
-    here consume stock from the later ones.
+    ``pdf`` holds every undecided pair with ``left = stock - acc_before``, the
+    stock left by all orders accepted so far that come before it; orders
+    accepted here consume stock from the later ones.
     """
+    import numpy as np
     import pandas as pd
 
     pdf = pdf.sort_values(["created_at", "order_id", "product_id"], kind="mergesort")
+    oid = pdf["order_id"].to_numpy()
+    prod = pdf["product_id"].to_numpy().tolist()
+    need = pdf["need"].to_numpy().tolist()
+    left = pdf["left"].to_numpy().tolist()
+    total = pdf["total"].to_numpy().tolist()
+    # order boundaries in the sorted pairs
+    starts = np.flatnonzero(np.r_[True, oid[1:] != oid[:-1]]).tolist() + [len(oid)]
     used: dict = {}
-    out = []
-    for oid, grp in pdf.groupby(["created_at", "order_id"], sort=False):
-        prods = grp["product_id"].to_numpy()
-        left = grp["left"].to_numpy() - [used.get(p, 0) for p in prods]
-        ok = bool((grp["need"].to_numpy() <= left).all())
+    ids, verdicts = [], []
+    for a, b in zip(starts[:-1], starts[1:]):
+        ok = all(need[i] <= left[i] - used.get(prod[i], 0) for i in range(a, b))
         if ok:
-            for p, t in zip(prods, grp["total"].to_numpy()):
-                used[p] = used.get(p, 0) + int(t)
-        out.append((oid[1], "A" if ok else "R"))
-    return pd.DataFrame(out, columns=["order_id", "_v"])
+            for i in range(a, b):
+                used[prod[i]] = used.get(prod[i], 0) + total[i]
+        ids.append(int(oid[a]))
+        verdicts.append("A" if ok else "R")
+    return pd.DataFrame({"order_id": ids, "_v": verdicts})
 
 
 def admit_orders(products: DataFrame, orders: DataFrame, items: DataFrame,
@@ -122,7 +131,7 @@ def admit_orders(products: DataFrame, orders: DataFrame, items: DataFrame,
     """
     o = orders.select(F.col("id").alias("order_id"), "user_id", "created_at")
     stock = products.select(F.col("id").alias("product_id"), F.col("stock").cast("long").alias("stock"))
-    pairs = _order_product(items.select("order_id", "product_id", "quantity"))
+    pairs = _order_product(items.select("order_id", "product_id", "quantity")).checkpoint(eager=True)
 
     rejected_parts = []
     if users is not None:
@@ -141,7 +150,7 @@ def admit_orders(products: DataFrame, orders: DataFrame, items: DataFrame,
                            F.lit(0).cast("long").alias("available"),
                            F.col("_f.need").alias("requested")))
     rejected_parts.append(bad_product)
-    o = o.join(bad_product.select("order_id"), "order_id", "left_anti")
+    o = o.join(bad_product.select("order_id"), "order_id", "left_anti").checkpoint(eager=True)
 
     # Candidate pairs with the order's position and the product's stock.
     cand = (pairs.join(o.select("order_id", "created_at"), "order_id", "inner")
@@ -152,11 +161,12 @@ def admit_orders(products: DataFrame, orders: DataFrame, items: DataFrame,
     spark = products.sparkSession
     cand = cand.checkpoint(eager=True)
     n_cand = cand.count()
+    if _DEBUG:
+        print(f"admission candidates: {n_cand}", flush=True)
     undecided = cand
     newly_accepted = cand.limit(0).select("order_id", "product_id", "created_at", "total")
     n_left, n_new = n_cand, 0
-    accepted_orders = []
-    rejected_orders = []
+    decisions: list[DataFrame] = []
     rounds = 0
     while n_left > 0:
         rounds += 1
@@ -195,8 +205,9 @@ def admit_orders(products: DataFrame, orders: DataFrame, items: DataFrame,
         counts = {r["_v"]: r["n"] for r in
                   tagged.groupBy("_v").agg(F.count(F.lit(1)).alias("n")).collect()}
         n_new, n_left = counts.get("A", 0), counts.get("U", 0)
-        accepted_orders.append(tagged.filter(F.col("_v") == "A").select("order_id").distinct())
-        rejected_orders.append(tagged.filter(F.col("_v") == "R").select("order_id").distinct())
+        if _DEBUG:
+            print(f"admission round {rounds}: {counts}", flush=True)
+        decisions.append(tagged.filter(F.col("_v") != "U").select("order_id", "_v"))
         newly_accepted = tagged.filter(F.col("_v") == "A").select(
             "order_id", "product_id", "created_at", "total")
         undecided = tagged.filter(F.col("_v") == "U").select(
@@ -221,26 +232,26 @@ def admit_orders(products: DataFrame, orders: DataFrame, items: DataFrame,
             decided = (rest.groupBy(F.lit(0).alias("_all"))
                        .applyInPandas(_finish_sequential, "order_id long, _v string")
                        .checkpoint(eager=True))
-            accepted_orders.append(decided.filter(F.col("_v") == "A").select("order_id"))
-            rejected_orders.append(decided.filter(F.col("_v") == "R").select("order_id"))
+            decisions.append(decided)
             rounds += 1
             break
 
-    # An order without lines passes every check.
-    accepted_orders.append(o.select("order_id").join(pairs, "order_id", "left_anti"))
-    accepted = _union_all(accepted_orders, spark, "order_id long")
-    rejected_ids = _union_all(rejected_orders, spark, "order_id long")
+    # One small table of order-level decisions (an order without lines
+    # passes every check), checkpointed once.
+    decisions.append(o.select("order_id").join(pairs, "order_id", "left_anti")
+                     .withColumn("_v", F.lit("A")))
+    decided_orders = _union_all(decisions, spark, "order_id long, _v string").distinct() \
+        .checkpoint(eager=True)
+    accepted = decided_orders.filter(F.col("_v") == "A").select("order_id")
 
     # Exact "available" for rejected orders: stock left by all earlier
     # accepted orders, reported for the failing line with the smallest
     # product id.
-    acc_pairs = cand.join(accepted, "order_id", "left_semi")
-    rej_pairs = cand.join(rejected_ids, "order_id", "left_semi")
-    both = (acc_pairs.select("order_id", "product_id", "created_at", "need", "stock",
-                             F.col("total").alias("a_new"), F.lit(False).alias("_r"))
-            .unionByName(rej_pairs.select("order_id", "product_id", "created_at", "need", "stock",
-                                          F.lit(0).cast("long").alias("a_new"),
-                                          F.lit(True).alias("_r"))))
+    cand_dec = cand.join(decided_orders, "order_id", "inner")
+    both = cand_dec.select(
+        "order_id", "product_id", "created_at", "need", "stock", "total",
+        F.when(F.col("_v") == "A", F.col("total")).otherwise(F.lit(0)).cast("long").alias("a_new"),
+        (F.col("_v") == "R").alias("_r"))
     run = running_sum(both, ["product_id"], ["created_at", "order_id"], ["a_new"], ["a_run"],
                       inclusive=False, rows_hint=n_cand).filter(F.col("_r"))
     failing = run.withColumn("available", F.col("stock") - F.col("a_run")) \
@@ -254,7 +265,8 @@ def admit_orders(products: DataFrame, orders: DataFrame, items: DataFrame,
     for part in rejected_parts:
         rejected = rejected.unionByName(part)
 
-    used = acc_pairs.groupBy("product_id").agg(F.sum("total").alias("_used"))
+    used = (cand_dec.filter(F.col("_v") == "A")
+            .groupBy("product_id").agg(F.sum("total").alias("_used")))
     closing = (stock.join(used, "product_id", "left")
                .select("product_id",
                        (F.col("stock") - F.coalesce(F.col("_used"), F.lit(0))).alias("stock")))
