@@ -10,5 +10,7 @@ from shelfwise.functions.expressions import (  # noqa: F401
     name_token,
     search_match,
     since,
+    since_month,
+    window_start,
     status_is,
 )

@@ -40,20 +40,31 @@ def is_sale(status="status") -> Column:
     return _col(status).isin(*SALE_STATUSES)
 
 
+def window_start(as_of=None, days: int | None = None, months: int | None = None) -> Column:
+    """SC-4: ``as_of - INTERVAL n DAY|MONTH`` (a constant Catalyst folds)."""
+    if (days is None) == (months is None):
+        raise ValueError("give exactly one of days= or months=")
+    start = as_of_literal(as_of)
+    if days is not None:
+        return start - F.make_dt_interval(F.lit(int(days)))
+    return start - F.make_ym_interval(F.lit(0), F.lit(int(months)))
+
+
 def since(ts="created_at", as_of=None, days: int | None = None,
           months: int | None = None) -> Column:
     """FLT-4 / SC-4: ``ts >= as_of - INTERVAL n DAY|MONTH`` keeping the time of day.
 
     Month arithmetic clamps at month end (31 Mar - 1 month = 29 Feb 2024).
     """
-    if (days is None) == (months is None):
-        raise ValueError("give exactly one of days= or months=")
-    start = as_of_literal(as_of)
-    if days is not None:
-        start = start - F.make_dt_interval(F.lit(int(days)))
-    else:
-        start = start - F.make_ym_interval(F.lit(0), F.lit(int(months)))
-    return _col(ts) >= start
+    return _col(ts) >= window_start(as_of, days, months)
+
+
+def since_month(month="created_month", as_of=None, days: int | None = None,
+                months: int | None = None) -> Column:
+    """The partition-column form of :func:`since` for a table partitioned by
+    the first day of the month: implied by ``since``, so adding it changes no
+    result, and it lets Spark skip every month before the window."""
+    return _col(month) >= F.trunc(window_start(as_of, days, months), "MM")
 
 
 def status_is(status_value: str, status="status") -> Column:

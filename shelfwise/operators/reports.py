@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.functions.expressions import is_sale, since
+from shelfwise.functions.expressions import is_sale, since, since_month
 from shelfwise.schemas import LINE_MONEY_SUM, MONEY_SUM
 
 
@@ -95,6 +95,13 @@ def _period_key(period: str):
     return F.to_date(F.col("created_at")), dict(days=7)
 
 
+def _in_window(orders: DataFrame, as_of, window: dict):
+    pred = is_sale() & since("created_at", as_of, **window)
+    if "created_month" in orders.columns:   # month-partitioned storage: prune
+        pred = pred & since_month("created_month", as_of, **window)
+    return orders.filter(pred)
+
+
 def sales_report(orders: DataFrame, period: str = "daily", as_of=None) -> DataFrame:
     """AG-7 / AG-8: sale orders per day over the last 7 days, or per month
     (first day of the month, as a date) over the last 12 months.
@@ -104,7 +111,7 @@ def sales_report(orders: DataFrame, period: str = "daily", as_of=None) -> DataFr
     """
     period = "monthly" if period == "monthly" else "daily"
     key, window = _period_key(period)
-    return (orders.filter(is_sale() & since("created_at", as_of, **window))
+    return (_in_window(orders, as_of, window)
             .groupBy(key.alias("date"))
             .agg(F.count(F.lit(1)).alias("orders"),
                  F.coalesce(F.sum("total_amount"), _zero_money()).cast(MONEY_SUM).alias("revenue"))
@@ -116,7 +123,7 @@ def sales_report_proc(orders: DataFrame, period: str, as_of=None) -> DataFrame:
     plain SUM; an unknown period gives an empty result with the same columns."""
     known = period in ("daily", "monthly")
     key, window = _period_key(period if known else "daily")
-    out = (orders.filter(is_sale() & since("created_at", as_of, **window))
+    out = (_in_window(orders, as_of, window)
            .groupBy(key.alias("date"))
            .agg(F.count(F.lit(1)).alias("total_orders"),
                 F.sum("total_amount").cast(MONEY_SUM).alias("revenue")))

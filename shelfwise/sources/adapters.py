@@ -9,6 +9,7 @@ scan and are materialised once per session and source folder.
 
 from __future__ import annotations
 
+import hashlib
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,21 +17,92 @@ from pyspark.sql import functions as F
 
 from shelfwise.operators.scan import row_number_within
 from shelfwise.schemas import MONEY
+from shelfwise.session import require_checkpoint_dir
 from shelfwise.sources.tables import read_table
 
 _CACHE: dict[tuple[int, str], "ShopTables"] = {}
 
 
 class ShopTables:
-    def __init__(self, spark: SparkSession, base: str):
+    """Shop tables over one folder of driver tables.
+
+    With ``store`` set (the default from :func:`shop_tables`), each shop
+    table is written once as Parquet under that folder and read back with
+    its declared schema, as a deployed shop's tables would be stored:
+    ``orders`` is partitioned by ``created_month`` and sorted by
+    ``created_at`` (time-window reports prune partitions and row groups), and
+    derived columns such as ``status`` are real columns whose filters reach
+    the scan.  Without ``store`` the tables are the derivations themselves.
+    """
+
+    # name -> (partition column expression or None, sort columns)
+    LAYOUT = {
+        "users": (None, ("id",)),
+        "categories": (None, ("id",)),
+        "products": (None, ("id",)),
+        "product_images": (None, ("product_id", "sort_order", "id")),
+        "orders": ("created_month", ("created_at", "id")),
+    }
+
+    def __init__(self, spark: SparkSession, base: str, store: str | None = None):
         self.spark = spark
         self.base = base
+        self.store = store
+
+    def _table(self, name: str) -> DataFrame:
+        df = getattr(self, f"_derive_{name}")()
+        if self.store is None or name not in self.LAYOUT:
+            return df
+        part, sort = self.LAYOUT[name]
+        path = f"{self.store}/{name}"
+        if part == "created_month":
+            df = df.withColumn("created_month", F.trunc(F.col("created_at"), "MM"))
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        # contiguous, balanced ranges: no month or key funnels into one writer
+        out = df.repartitionByRange(n, *sort).sortWithinPartitions(*sort)
+        writer = out.write.mode("overwrite")
+        if part:
+            writer = writer.partitionBy(part)
+        writer.parquet(path)
+        schema = df.schema
+        return self.spark.read.schema(schema).parquet(path)
+
+    @cached_property
+    def users(self) -> DataFrame:
+        return self._table("users")
+
+    @cached_property
+    def categories(self) -> DataFrame:
+        return self._table("categories")
+
+    @cached_property
+    def products(self) -> DataFrame:
+        return self._table("products")
+
+    @cached_property
+    def product_images(self) -> DataFrame:
+        return self._table("product_images")
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        return self._table("orders")
+
+    @cached_property
+    def order_items(self) -> DataFrame:
+        return self._derive_order_items()
+
+    @cached_property
+    def events(self) -> DataFrame:
+        return self._derive_events()
+
+    @cached_property
+    def status_changes(self) -> DataFrame:
+        return self._derive_status_changes()
 
     def source(self, name: str) -> DataFrame:
         return read_table(self.spark, self.base, name, source=True)
 
-    @cached_property
-    def users(self) -> DataFrame:
+    def _derive_users(self) -> DataFrame:
         c = self.source("customer")
         return c.select(
             F.col("c_custkey").alias("id"),
@@ -45,8 +117,7 @@ class ShopTables:
             F.lit(None).cast("timestamp_ntz").alias("updated_at"),
         )
 
-    @cached_property
-    def categories(self) -> DataFrame:
+    def _derive_categories(self) -> DataFrame:
         # dense_rank over p_type == position of the type among the distinct types.
         types = self.source("part").select(F.col("p_type").alias("name")).distinct()
         ranked = row_number_within(types, [], ["name"], "id")
@@ -58,8 +129,7 @@ class ShopTables:
             F.lit(None).cast("timestamp_ntz").alias("created_at"),
         )
 
-    @cached_property
-    def products(self) -> DataFrame:
+    def _derive_products(self) -> DataFrame:
         p = self.source("part")
         cats = self.categories.select(F.col("name").alias("p_type"), F.col("id").alias("category_id"))
         return p.join(cats, "p_type", "left").select(
@@ -80,8 +150,7 @@ class ShopTables:
             F.lit(None).cast("timestamp_ntz").alias("updated_at"),
         )
 
-    @cached_property
-    def product_images(self) -> DataFrame:
+    def _derive_product_images(self) -> DataFrame:
         pg = self.source("pages").select(
             F.col("page_id").alias("id"),
             (F.col("page_id") % 100).alias("product_id"),
@@ -94,8 +163,7 @@ class ShopTables:
             F.lit(None).cast("timestamp_ntz").alias("created_at"),
         )
 
-    @cached_property
-    def orders(self) -> DataFrame:
+    def _derive_orders(self) -> DataFrame:
         o = self.source("orders")
         status = (F.when(F.col("o_orderstatus") == "F", "delivered")
                   .when((F.col("o_orderstatus") == "O")
@@ -115,8 +183,7 @@ class ShopTables:
             F.col("o_orderdate").alias("updated_at"),
         )
 
-    @cached_property
-    def order_items(self) -> DataFrame:
+    def _derive_order_items(self) -> DataFrame:
         li = self.source("lineitem")
         return li.select(
             F.lit(None).cast("long").alias("id"),
@@ -129,13 +196,11 @@ class ShopTables:
             F.col("l_shipdate").alias("created_at"),
         )
 
-    @cached_property
-    def events(self) -> DataFrame:
+    def _derive_events(self) -> DataFrame:
         return self.source("events").select("event_id", "ts", "user_id", "event_type",
                                             "value", "props")
 
-    @cached_property
-    def status_changes(self) -> DataFrame:
+    def _derive_status_changes(self) -> DataFrame:
         """A status-change feed derived from order lines: each shipped line
         reports its order's state (R returned -> cancelled, A accepted ->
         delivered, otherwise shipped) at its ship date, by its supplier."""
@@ -150,8 +215,19 @@ class ShopTables:
         )
 
 
-def shop_tables(spark: SparkSession, base: str) -> ShopTables:
-    key = (id(spark), base.rstrip("/"))
+def shop_tables(spark: SparkSession, base: str, stored: bool = True) -> ShopTables:
+    """The shop tables over ``base``, built once per session.
+
+    Stored tables go to this application's own folder under the cluster's
+    checkpoint directory (``spark.checkpoint.dir``), so nothing is shared
+    with, or left stale for, another application.
+    """
+    key = (id(spark), base.rstrip("/"), stored)
     if key not in _CACHE:
-        _CACHE[key] = ShopTables(spark, base.rstrip("/"))
+        store = None
+        if stored:
+            root = require_checkpoint_dir(spark)
+            tag = hashlib.sha1(base.rstrip("/").encode()).hexdigest()[:12]
+            store = f"{root.rstrip('/')}/shelfwise-tables/{tag}"
+        _CACHE[key] = ShopTables(spark, base.rstrip("/"), store)
     return _CACHE[key]

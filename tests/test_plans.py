@@ -34,3 +34,16 @@ def test_top_selling_aggregates_before_join(spark):
     # the line table is reduced by a partial aggregate, and orders is not read at all
     assert "HashAggregate" in plan and "partial_sum" in plan
     assert "o_orderstatus" not in plan
+
+
+def test_stored_tables_equal_derivation_and_prune_months(spark):
+    stored = shop_tables(spark, SF001)
+    derived = shop_tables(spark, SF001, stored=False)
+    for period in ("daily", "monthly"):
+        a = R.sales_report(stored.orders, period, "2001-08-01 12:00:00").collect()
+        b = R.sales_report(derived.orders, period, "2001-08-01 12:00:00").collect()
+        assert a == b
+    assert sorted(map(tuple, stored.products.collect())) == sorted(map(tuple, derived.products.collect()))
+    plan = _plan(R.sales_report(stored.orders, "monthly", "2001-08-01 12:00:00"))
+    assert "PartitionFilters: [isnotnull(created_month" in plan or "created_month#" in plan
+    assert "In(status" in plan
