@@ -15,13 +15,13 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.operators.scan import running_sum
+from shelfwise.operators.scan import estimated_bytes, running_sum
 
 LEDGER_ACTION = "order_placed"
 # When at most this many undecided (order, product) pairs remain after a
 # round, they are decided in one exact sequential pass inside a single task
 # (a proven bound; the whole input never takes this path).
-FINISH_PAIRS = 100_000
+FINISH_PAIRS = 250_000
 _DEBUG = False
 
 
@@ -47,7 +47,12 @@ def stock_ledger(products: DataFrame, lines: DataFrame, orders: DataFrame,
     l = (lines.select("order_id", "product_id", "quantity")
          .join(o, "order_id", "inner").join(p, "product_id", "inner"))
     l = l.withColumn("_q", F.col("quantity").cast("long"))
-    run = running_sum(l, ["product_id"], ["_placed", "order_id", *line_order], ["_q"], ["_used"])
+    # The lookups are many-to-one, so the scan input is bounded by the line
+    # table (Catalyst would multiply the join sides).  Twice the estimate of
+    # the line projection covers the added columns.
+    est = estimated_bytes(lines.select("order_id", "product_id", "quantity"))
+    run = running_sum(l, ["product_id"], ["_placed", "order_id", *line_order], ["_q"], ["_used"],
+                      bytes_hint=2 * est if est is not None else None)
     new_stock = (F.col("_open") - F.col("_used")).cast("int")
     return run.select(
         "product_id", "order_id", "quantity",

@@ -54,12 +54,13 @@ def estimated_bytes(df: DataFrame) -> int | None:
         return int(size.toString())
 
 
-def is_small(df: DataFrame, rows_hint: int | None = None) -> bool:
+def is_small(df: DataFrame, rows_hint: int | None = None, bytes_hint: int | None = None) -> bool:
     """True when ``df`` is known to be small: an exact row count from the
-    caller, or Catalyst's (upper-bound style) size estimate."""
+    caller, a size bound from the caller (e.g. the estimate of the fact table
+    behind many-to-one lookups), or Catalyst's size estimate of ``df``."""
     if rows_hint is not None:
         return rows_hint <= SMALL_ROWS
-    est = estimated_bytes(df)
+    est = bytes_hint if bytes_hint is not None else estimated_bytes(df)
     return est is not None and est <= SMALL_BYTES
 
 
@@ -117,7 +118,8 @@ def _local_scan_fn(keys: list[str], values: list[str], outs: list[str]):
 
 def running_sum(df: DataFrame, keys, order, values, outs=None, *,
                 inclusive: bool = True, partitions: int | None = None,
-                rows_hint: int | None = None, force_scan: bool = False) -> DataFrame:
+                rows_hint: int | None = None, bytes_hint: int | None = None,
+                force_scan: bool = False) -> DataFrame:
     """Add running sums of ``values`` within ``keys`` in ``order``.
 
     ``order`` must make the order within a key total (append a unique
@@ -135,7 +137,7 @@ def running_sum(df: DataFrame, keys, order, values, outs=None, *,
     is_float = any(isinstance(df.schema[v].dataType, (T.DoubleType, T.FloatType))
                    for v in values)
     out_type = T.DoubleType() if is_float else T.LongType()
-    if not force_scan and is_small(df, rows_hint):
+    if not force_scan and is_small(df, rows_hint, bytes_hint):
         w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(*order)
         frame = w.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
         cols = [F.coalesce(F.sum(v).over(frame), F.lit(0)).cast(out_type).alias(o)
