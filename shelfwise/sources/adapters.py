@@ -15,7 +15,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.operators.scan import row_number_within
+from shelfwise.operators.scan import estimated_bytes, row_number_within
 from shelfwise.schemas import MONEY
 from shelfwise.session import require_checkpoint_dir
 from shelfwise.sources.tables import read_table
@@ -35,14 +35,16 @@ class ShopTables:
     the scan.  Without ``store`` the tables are the derivations themselves.
     """
 
-    # name -> (partition column expression or None, sort columns)
+    # name -> (partition column or None, sort columns, source table)
     LAYOUT = {
-        "users": (None, ("id",)),
-        "categories": (None, ("id",)),
-        "products": (None, ("id",)),
-        "product_images": (None, ("product_id", "sort_order", "id")),
-        "orders": ("created_month", ("created_at", "id")),
+        "users": (None, ("id",), "customer"),
+        "categories": (None, ("id",), "part"),
+        "products": (None, ("id",), "part"),
+        "product_images": (None, ("product_id", "sort_order", "id"), "pages"),
+        "orders": ("created_month", ("created_at", "id"), "orders"),
     }
+    # Target size of one written file (one write task).
+    WRITE_TARGET_BYTES = 256 * 1024 * 1024
 
     def __init__(self, spark: SparkSession, base: str, store: str | None = None):
         self.spark = spark
@@ -53,11 +55,14 @@ class ShopTables:
         df = getattr(self, f"_derive_{name}")()
         if self.store is None or name not in self.LAYOUT:
             return df
-        part, sort = self.LAYOUT[name]
+        part, sort, src = self.LAYOUT[name]
         path = f"{self.store}/{name}"
         if part == "created_month":
             df = df.withColumn("created_month", F.trunc(F.col("created_at"), "MM"))
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        # Write tasks sized from the source table (Catalyst would multiply
+        # join sides): about one 256 MB file per task.
+        est = estimated_bytes(self.source(src)) or self.WRITE_TARGET_BYTES
+        n = max(1, -(-est // self.WRITE_TARGET_BYTES))
         # contiguous, balanced ranges: no month or key funnels into one writer
         out = df.repartitionByRange(n, *sort).sortWithinPartitions(*sort)
         writer = out.write.mode("overwrite")
