@@ -115,3 +115,21 @@ def line_text(name="product_name", quantity="quantity", price="price") -> Column
     amount = (_col(quantity) * _col(price)).cast("decimal(31,2)")
     return F.format_string("%s (Qty: %d) - Rs. %s", _col(name), _col(quantity),
                            amount.cast("string"))
+
+
+def split_list(c, sep: str = ",") -> Column:
+    """SC-12: a delimited string as an array; NULL or empty gives ``[]``
+    (``split('')`` alone would give ``['']``)."""
+    col = _col(c)
+    return F.when(col.isNull() | (col == ""), F.array().cast("array<string>")) \
+        .otherwise(F.split(col, F.lit(sep)))
+
+
+def month_label(ts="created_at") -> Column:
+    """SC-3, text form: ``yyyy-MM`` of a timestamp."""
+    return F.date_format(_col(ts), "yyyy-MM")
+
+
+def first_element(arr) -> Column:
+    """SC-19: first element of an array, NULL when empty."""
+    return F.get(_col(arr), 0)
