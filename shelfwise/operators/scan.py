@@ -124,7 +124,7 @@ def running_sum(df: DataFrame, keys, order, values, outs=None, *,
 
     ``order`` must make the order within a key total (append a unique
     tie-break column), otherwise results are not repeatable.  ``values`` must
-    be non-null integral or floating columns.  ``outs`` names the new columns
+    be non-null integral or floating columns; a NULL key is one key.  ``outs`` names the new columns
     (default ``<value>_run``).  ``inclusive=False`` gives the sum of the rows
     strictly before each row.
 
@@ -174,7 +174,11 @@ def running_sum(df: DataFrame, keys, order, values, outs=None, *,
                .filter((F.col("_is_c") == 0) & F.col(f"{outs[0]}_off").isNotNull())
                .drop("_is_c"))
 
-    joined = local.join(F.broadcast(offsets), on=[_PID, *keys], how="left")
+    # Null-safe on the keys, so a NULL key is one key as in the window path.
+    ren = offsets.select(F.col(_PID).alias("_o_pid"), *[F.col(k).alias(f"_o_{k}") for k in keys],
+                         *[F.col(f"{o}_off") for o in outs])
+    cond = [F.col(_PID) == F.col("_o_pid")] + [F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in keys]
+    joined = local.join(F.broadcast(ren), on=cond, how="left")
     cols = [c for c in df.columns]
     res = []
     for v, o in zip(values, outs):

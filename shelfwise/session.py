@@ -19,6 +19,10 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Streaming state in RocksDB (needed by transformWithState; keeps large
+    # keyed state off the JVM heap).
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # Remove reliable-checkpoint files once nothing references them.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }

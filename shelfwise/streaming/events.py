@@ -43,7 +43,7 @@ def over_limit(events: DataFrame, key: str = "user_id", limit: int = 5,
 
 def over_limit_stream(stream: DataFrame, key: str = "user_id", limit: int = 5,
                       window: str = "1 minute", ts: str = "ts",
-                      watermark: str = "10 minutes") -> DataFrame:
+                      watermark: str = "10 minutes", route: str | None = None) -> DataFrame:
     """ST-1 as a stream: events later than the watermark are dropped; in
     append mode each window is emitted once, when it closes.
 
@@ -51,7 +51,7 @@ def over_limit_stream(stream: DataFrame, key: str = "user_id", limit: int = 5,
     read as wall-clock time in the session zone (UTC) and the window start is
     given back as ``timestamp_ntz``, as in the batch form."""
     timed = _event_time(stream, ts).withWatermark(ts, watermark)
-    out = over_limit(timed, key, limit, window, ts)
+    out = over_limit(timed, key, limit, window, ts, route)
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 

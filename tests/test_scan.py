@@ -53,3 +53,24 @@ def test_small_path_equals_scan(spark):
     a = running_sum(df, ["k"], ["t", "i"], ["q"], ["r"], inclusive=False, force_scan=True)
     b = running_sum(df, ["k"], ["t", "i"], ["q"], ["r"], inclusive=False, rows_hint=600)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_null_keys_match_window_path(spark):
+    rows = [(None if i % 5 == 0 else i % 3, i, i % 7) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, i long, q long")
+    a = running_sum(df, ["k"], ["i"], ["q"], ["r"], partitions=4, force_scan=True)
+    b = running_sum(df, ["k"], ["i"], ["q"], ["r"], rows_hint=300)
+    assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
+
+
+def test_range_blocks_split_a_hot_key(spark):
+    # the scan's first step: a key with a third of all rows is spread over
+    # many range partitions, each about N/P rows
+    df = spark.createDataFrame(_rows(6000, 1), "k long, t long, i long, q long, x double")
+    P = 12
+    sizes = [r["count"] for r in df.repartitionByRange(P, "k", "t", "i")
+             .groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    hot_parts = (df.repartitionByRange(P, "k", "t", "i").filter("k = 0")
+                 .select(F.spark_partition_id().alias("p")).distinct().count())
+    assert max(sizes) <= 2 * 6000 / P
+    assert hot_parts >= 3
