@@ -135,33 +135,41 @@ def admit_orders(products: DataFrame, orders: DataFrame, items: DataFrame,
     does.  ``max_rounds`` (default: none) raises instead of looping longer.
     """
     o = orders.select(F.col("id").alias("order_id"), "user_id", "created_at")
+    if users is not None:
+        known_users = users.select(F.col("id").alias("user_id"), F.lit(True).alias("_user_ok"))
+        o = o.join(known_users, "user_id", "left")
+    else:
+        o = o.withColumn("_user_ok", F.lit(True))
+    o = o.withColumn("_user_ok", F.coalesce(F.col("_user_ok"), F.lit(False)))
     stock = products.select(F.col("id").alias("product_id"), F.col("stock").cast("long").alias("stock"))
-    pairs = _order_product(items.select("order_id", "product_id", "quantity")).checkpoint(eager=True)
 
-    rejected_parts = []
-    if users is not None:
-        bad_user = o.join(users.select(F.col("id").alias("user_id")), "user_id", "left_anti")
-        rejected_parts.append(bad_user.select(
-            "order_id", F.lit("unknown_user").alias("reason"),
-            F.lit(None).cast("long").alias("product_id"),
-            F.lit(None).cast("long").alias("available"),
-            F.lit(None).cast("long").alias("requested")))
-        o = o.join(users.select(F.col("id").alias("user_id")), "user_id", "left_semi")
-    unknown = pairs.join(stock.select("product_id"), "product_id", "left_anti")
-    bad_product = (unknown.join(o.select("order_id"), "order_id", "left_semi")
+    # Every (order, product) pair of a known order, with the order's position,
+    # whether its user exists and the product's stock (NULL: unknown product).
+    # One checkpoint; everything below reads it.
+    pairs = _order_product(items.select("order_id", "product_id", "quantity"))
+    pe = (pairs.join(o.select("order_id", "created_at", "_user_ok"), "order_id", "inner")
+          .join(stock, "product_id", "left")
+          .checkpoint(eager=True))
+
+    rejected_parts = [o.filter(~F.col("_user_ok")).select(
+        "order_id", F.lit("unknown_user").alias("reason"),
+        F.lit(None).cast("long").alias("product_id"),
+        F.lit(None).cast("long").alias("available"),
+        F.lit(None).cast("long").alias("requested"))]
+    ok_pairs = pe.filter(F.col("_user_ok"))
+    bad_product = (ok_pairs.filter(F.col("stock").isNull())
                    .groupBy("order_id").agg(F.min(F.struct("product_id", "need")).alias("_f"))
                    .select("order_id", F.lit("unknown_product").alias("reason"),
                            F.col("_f.product_id").alias("product_id"),
                            F.lit(0).cast("long").alias("available"),
                            F.col("_f.need").alias("requested")))
     rejected_parts.append(bad_product)
-    o = o.join(bad_product.select("order_id"), "order_id", "left_anti").checkpoint(eager=True)
 
-    # Candidate pairs with the order's position and the product's stock.
-    cand = (pairs.join(o.select("order_id", "created_at"), "order_id", "inner")
-            .join(stock, "product_id", "inner"))
-    cand = cand.select("order_id", "product_id", "created_at", "total", "need", "stock",
-                       F.lit(0).cast("long").alias("acc_before"))
+    # Candidate pairs: orders of known users with only known products.
+    cand = (ok_pairs.filter(F.col("stock").isNotNull())
+            .join(bad_product.select("order_id"), "order_id", "left_anti")
+            .select("order_id", "product_id", "created_at", "total", "need", "stock",
+                    F.lit(0).cast("long").alias("acc_before")))
 
     spark = products.sparkSession
     cand = cand.checkpoint(eager=True)
@@ -243,7 +251,8 @@ def admit_orders(products: DataFrame, orders: DataFrame, items: DataFrame,
 
     # One small table of order-level decisions (an order without lines
     # passes every check), checkpointed once.
-    decisions.append(o.select("order_id").join(pairs, "order_id", "left_anti")
+    decisions.append(o.filter(F.col("_user_ok")).select("order_id")
+                     .join(pe.select("order_id"), "order_id", "left_anti")
                      .withColumn("_v", F.lit("A")))
     decided_orders = _union_all(decisions, spark, "order_id long, _v string").distinct() \
         .checkpoint(eager=True)
