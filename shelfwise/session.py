@@ -52,11 +52,16 @@ def require_checkpoint_dir(spark: SparkSession) -> str:
     nothing is configured it raises, and callers such as tests set one first
     with :func:`ensure_checkpoint_dir`.
     """
-    sc = spark.sparkContext
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server owns the directory
+        if conf_dir:
+            return conf_dir
+        raise RuntimeError("spark.checkpoint.dir is not set on the server session") from None
     current = sc.getCheckpointDir()
     if current:
         return current
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir()
