@@ -227,7 +227,11 @@ def shop_tables(spark: SparkSession, base: str, stored: bool = True) -> ShopTabl
     checkpoint directory (``spark.checkpoint.dir``), so nothing is shared
     with, or left stale for, another application.
     """
-    key = (id(spark), base.rstrip("/"), stored)
+    try:
+        app = spark.conf.get("spark.app.id")
+    except Exception:
+        app = None
+    key = (id(spark), app, base.rstrip("/"), stored)
     if key not in _CACHE:
         store = None
         if stored:
