@@ -102,15 +102,19 @@ def _in_window(orders: DataFrame, as_of, window: dict):
     return orders.filter(pred)
 
 
-def sales_report(orders: DataFrame, period: str = "daily", as_of=None) -> DataFrame:
+def sales_report(orders: DataFrame, period: str = "daily", as_of=None,
+                 days: int | None = None, months: int | None = None) -> DataFrame:
     """AG-7 / AG-8: sale orders per day over the last 7 days, or per month
     (first day of the month, as a date) over the last 12 months.
 
-    The window keeps the time of day of ``as_of``.  An unknown period gives
-    the daily report, as the endpoint does.  Columns: ``date, orders, revenue``.
+    The window keeps the time of day of ``as_of``; ``days`` / ``months``
+    replace the default window length.  An unknown period gives the daily
+    report, as the endpoint does.  Columns: ``date, orders, revenue``.
     """
     period = "monthly" if period == "monthly" else "daily"
     key, window = _period_key(period)
+    if days is not None or months is not None:
+        window = dict(days=days) if days is not None else dict(months=months)
     return (_in_window(orders, as_of, window)
             .groupBy(key.alias("date"))
             .agg(F.count(F.lit(1)).alias("orders"),

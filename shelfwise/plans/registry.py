@@ -98,14 +98,7 @@ WHERE {SALE} AND created_at >= {AS_OF_SQL} - INTERVAL 120 MONTH
 GROUP BY 1""")
 def _sales_report_all_time(spark, d):
     # The monthly report over a ten-year window: every sale order in the data.
-    from pyspark.sql import functions as F
-
-    from shelfwise.functions import is_sale, since
-    o = T(spark, d).orders
-    return (o.filter(is_sale() & since("created_at", AS_OF, months=120))
-            .groupBy(F.trunc("created_at", "MM").alias("date"))
-            .agg(F.count(F.lit(1)).alias("orders"),
-                 F.coalesce(F.sum("total_amount"), F.lit(0)).cast("decimal(20,2)").alias("revenue")))
+    return R.sales_report(T(spark, d).orders, "monthly", AS_OF, months=120)
 
 
 @register("report_totals_monthly", f"""
