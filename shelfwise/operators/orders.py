@@ -83,7 +83,8 @@ def existing(df: DataFrame, parent: DataFrame, fk: str, pk: str = "id") -> tuple
     """JN-5: split ``df`` into rows whose ``fk`` exists in ``parent`` and rows
     whose does not (a NULL key is neither accepted nor a missing reference:
     it goes with the rejected rows)."""
-    keys = parent.select(F.col(pk).alias(fk)).distinct()
+    # semi / anti joins ignore repeated keys: no distinct (no extra shuffle)
+    keys = parent.select(F.col(pk).alias(fk))
     return df.join(keys, fk, "left_semi"), df.join(keys, fk, "left_anti")
 
 
