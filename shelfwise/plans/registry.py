@@ -902,3 +902,29 @@ def _block_over_limit_log(spark, d):
     t = T(spark, d)
     _, log = E.block_over_limit(t.users, t.events, 5, "1 day")
     return log.select("admin_id", "action", "details", "created_at")
+
+
+@register("over_route_limits_hourly", """
+WITH lim(event_type, lim) AS (VALUES ('view', 5), ('click', 10), ('error', 3), ('signup', 5),
+                                     ('purchase', 5))
+SELECT date_trunc('hour', e.ts) AS window_start, e.user_id, e.event_type, COUNT(*) AS n
+FROM events e JOIN lim USING (event_type)
+GROUP BY 1, 2, 3, lim.lim HAVING COUNT(*) > lim.lim""")
+def _over_route_limits(spark, d):
+    # Per-route limits (the shop's five limits, one per event type as route)
+    # over hourly windows.
+    ev = T(spark, d).events
+    limits = {"view": 5, "click": 10, "error": 3, "signup": 5, "purchase": 5}
+    return E.over_route_limits(ev, limits, "user_id", "event_type", "1 hour")
+
+
+@register("over_route_limits_daily", """
+WITH lim(event_type, lim) AS (VALUES ('view', 5), ('click', 10), ('error', 3), ('signup', 5),
+                                     ('purchase', 5))
+SELECT date_trunc('day', e.ts) AS window_start, e.user_id, e.event_type, COUNT(*) AS n
+FROM events e JOIN lim USING (event_type)
+GROUP BY 1, 2, 3, lim.lim HAVING COUNT(*) > lim.lim""")
+def _over_route_limits_daily(spark, d):
+    ev = T(spark, d).events
+    limits = {"view": 5, "click": 10, "error": 3, "signup": 5, "purchase": 5}
+    return E.over_route_limits(ev, limits, "user_id", "event_type", "1 day")

@@ -41,6 +41,22 @@ def over_limit(events: DataFrame, key: str = "user_id", limit: int = 5,
     return counted.filter(F.col("n") > limit).select(*cols)
 
 
+def over_route_limits(events: DataFrame, limits: dict[str, int], key: str = "user_id",
+                      route: str = "route", window: str = "1 minute", ts: str = "ts") -> DataFrame:
+    """ST-1 with a limit per route (the shop allows 5 registrations, 10
+    log-ins, 3 password requests, ... per minute).  The limits table has one
+    row per route, a fixed, small input, so it is broadcast; routes without
+    a limit are not checked."""
+    spark = events.sparkSession
+    lim = spark.createDataFrame([(r, int(n)) for r, n in limits.items()],
+                                f"{route} string, _limit int")
+    counted = (events.join(F.broadcast(lim), route, "inner")
+               .groupBy(F.window(F.col(ts), window).alias("w"), F.col(key), F.col(route), "_limit")
+               .agg(F.count(F.lit(1)).alias("n")))
+    return counted.filter(F.col("n") > F.col("_limit")).select(
+        F.col("w.start").alias("window_start"), key, route, "n")
+
+
 def over_limit_stream(stream: DataFrame, key: str = "user_id", limit: int = 5,
                       window: str = "1 minute", ts: str = "ts",
                       watermark: str = "10 minutes", route: str | None = None) -> DataFrame:
