@@ -22,6 +22,9 @@ LEDGER_ACTION = "order_placed"
 # round, they are decided in one exact sequential pass inside a single task
 # (a proven bound; the whole input never takes this path).
 FINISH_PAIRS = 250_000
+# The per-round verdict (one row per undecided order, at most one per pair)
+# is broadcast to the pairs when the round has at most this many pairs.
+VERDICT_BROADCAST_PAIRS = 1_000_000
 _DEBUG = False
 
 
@@ -172,7 +175,6 @@ def admit_orders(products: DataFrame, orders: DataFrame, items: DataFrame,
                     F.lit(0).cast("long").alias("acc_before")))
 
     spark = products.sparkSession
-    cand = cand.checkpoint(eager=True)
     n_cand = cand.count()
     if _DEBUG:
         print(f"admission candidates: {n_cand}", flush=True)
@@ -213,6 +215,8 @@ def admit_orders(products: DataFrame, orders: DataFrame, items: DataFrame,
         verdict = verdict.select(
             "order_id",
             F.when(F.col("_all_sure"), "A").when(F.col("_any_bad"), "R").otherwise("U").alias("_v"))
+        if n_left + n_new <= VERDICT_BROADCAST_PAIRS:   # proven bound: rows <= pairs
+            verdict = F.broadcast(verdict)
         tagged = scored.join(verdict, "order_id", "inner").checkpoint(eager=True)
         # one small read per round: pair counts by verdict (at most 3 rows)
         counts = {r["_v"]: r["n"] for r in
