@@ -12,6 +12,7 @@ import datetime as _dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shelfwise.fixed import DELIVERY_FEE, FREE_DELIVERY_FROM, LINE_TEXT_FORMAT
 from shelfwise.schemas import MONEY, SALE_STATUSES
 
 
@@ -91,7 +92,7 @@ def money(c) -> Column:
     return _col(c).cast(MONEY)
 
 
-def delivery_fee(subtotal, free_from=5000, fee=250) -> Column:
+def delivery_fee(subtotal, free_from=FREE_DELIVERY_FROM, fee=DELIVERY_FEE) -> Column:
     """SC-8 / AG-15: 0 when the subtotal reaches ``free_from``, else ``fee``."""
     return F.when(_col(subtotal) >= F.lit(free_from), F.lit(0)).otherwise(F.lit(fee))
 
@@ -113,7 +114,7 @@ def name_token(*parts) -> Column:
 def line_text(name="product_name", quantity="quantity", price="price") -> Column:
     """SC-15: ``<name> (Qty: <q>) - Rs. <amount>`` for one order line."""
     amount = (_col(quantity) * _col(price)).cast("decimal(31,2)")
-    return F.format_string("%s (Qty: %d) - Rs. %s", _col(name), _col(quantity),
+    return F.format_string(LINE_TEXT_FORMAT, _col(name), _col(quantity),
                            amount.cast("string"))
 
 

@@ -15,9 +15,9 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.fixed import LEDGER_ACTION
 from shelfwise.operators.scan import estimated_bytes, running_sum
 
-LEDGER_ACTION = "order_placed"
 # When at most this many undecided (order, product) pairs remain after a
 # round, they are decided in one exact sequential pass inside a single task
 # (a proven bound; the whole input never takes this path).

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.expressions import delivery_fee, line_text, status_is
 from shelfwise.operators.scan import row_number_within
+from shelfwise.fixed import DELIVERY_FEE, FREE_DELIVERY_FROM
 from shelfwise.schemas import LINE_MONEY_SUM, MONEY
 
 DEFAULT_MAX_PER_ROW = 1000
@@ -124,7 +125,7 @@ def line_counts(nested_orders: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- money
 def order_totals(lines: DataFrame, orders: DataFrame | None = None, key: str = "order_id",
-                 free_from=5000, fee=250) -> DataFrame:
+                 free_from=FREE_DELIVERY_FROM, fee=DELIVERY_FEE) -> DataFrame:
     """AG-15: ``subtotal = sum(quantity * price)``, ``delivery`` (0 from
     ``free_from`` up, else ``fee``) and ``total`` per order or cart.
 

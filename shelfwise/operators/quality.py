@@ -13,16 +13,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.fixed import (ALLOWED_EXTENSIONS, EMAIL_PATTERN, MAX_IMAGE_BYTES,
+                             MAX_IMAGES_PER_UPLOAD)
 from shelfwise.functions.expressions import file_extension
 from shelfwise.schemas import DOMAINS, WIDTHS
 
 VIOLATION_COLUMNS = ("table", "rule", "key", "detail")
-
-# The shop's e-mail pattern, allowed image types and upload limits.
-EMAIL_PATTERN = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
-ALLOWED_EXTENSIONS = ("jpg", "jpeg", "png", "webp")
-MAX_IMAGE_BYTES = 5 * 1024 * 1024
-MAX_IMAGES_PER_UPLOAD = 5
 MONEY_LIMIT = 100_000_000  # decimal(10,2) holds |x| < 1e8
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.expressions import is_sale, since, since_month
+from shelfwise.fixed import DAILY_WINDOW_DAYS, MONTHLY_WINDOW_MONTHS
 from shelfwise.schemas import LINE_MONEY_SUM, MONEY_SUM
 
 
@@ -91,8 +92,8 @@ def top_selling(products: DataFrame, items: DataFrame, orders: DataFrame | None
 # ---------------------------------------------------------------- sales reports
 def _period_key(period: str):
     if period == "monthly":
-        return F.trunc(F.col("created_at"), "MM"), dict(months=12)
-    return F.to_date(F.col("created_at")), dict(days=7)
+        return F.trunc(F.col("created_at"), "MM"), dict(months=MONTHLY_WINDOW_MONTHS)
+    return F.to_date(F.col("created_at")), dict(days=DAILY_WINDOW_DAYS)
 
 
 def _in_window(orders: DataFrame, as_of, window: dict):

@@ -15,6 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.fixed import UPLOAD_URL_PREFIX
 from shelfwise.functions.expressions import file_extension, name_token
 from shelfwise.operators.catalog import image_counts, number_images
 from shelfwise.operators.maintenance import assign_ids
@@ -28,7 +29,7 @@ class Intake(NamedTuple):
 
 
 def intake_uploads(manifest: DataFrame, products: DataFrame, images: DataFrame,
-                   url_prefix: str = "/uploads/") -> Intake:
+                   url_prefix: str = UPLOAD_URL_PREFIX) -> Intake:
     """``manifest`` is :func:`shelfwise.sources.read_images` output whose
     ``upload`` folder name is the product id."""
     m = manifest.withColumn("product_id", F.col("upload").cast("long"))

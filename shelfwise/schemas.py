@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+from shelfwise.fixed import DEFAULTS, DOMAINS, SALE_STATUSES, WIDTHS  # noqa: F401
+
 MONEY = T.DecimalType(10, 2)
 # sum(decimal(10,2)) -> decimal(20,2); sum(int * decimal(10,2)) -> decimal(31,2)
 MONEY_SUM = T.DecimalType(20, 2)
@@ -82,41 +84,6 @@ SOURCE_SCHEMAS: dict[str, T.StructType] = {
     "pages": _s(("page_id", L, True), ("url", S, True), ("html", S, True)),
 }
 
-# Fixed values of the shop (must equal the reference's for equal results).
-# Enum domains per table and column:
-DOMAINS: dict[tuple[str, str], tuple[str, ...]] = {
-    ("users", "status"): ("active", "inactive", "blocked"),
-    ("admins", "status"): ("active", "inactive"),
-    ("categories", "status"): ("active", "inactive"),
-    ("products", "status"): ("active", "inactive"),
-    ("orders", "status"): ("pending", "confirmed", "shipped", "delivered", "cancelled"),
-}
-# Order statuses that count as a sale in KPIs and reports:
-SALE_STATUSES = ("confirmed", "shipped", "delivered")
-# Column defaults from the DDL:
-DEFAULTS: dict[str, dict[str, object]] = {
-    "users": {"is_verified": False, "status": "active"},
-    "admins": {"role": "admin", "status": "active"},
-    "categories": {"status": "active"},
-    "products": {"stock": 0, "image_count": 0, "status": "active"},
-    "product_images": {"is_primary": False, "sort_order": 0},
-    "orders": {"status": "pending", "payment_method": "cash_on_delivery"},
-    "user_addresses": {"is_default": False},
-}
-# Maximum text widths (VARCHAR(n)); TEXT columns are unbounded.
-WIDTHS: dict[str, dict[str, int]] = {
-    "users": {"name": 255, "email": 255, "password": 255, "reset_token": 255},
-    "admins": {"name": 255, "email": 255, "password": 255, "role": 50},
-    "categories": {"name": 100},
-    "products": {"name": 255, "category": 100, "image_url": 500, "color": 100,
-                 "material": 100, "size": 100},
-    "product_images": {"image_url": 1000},
-    "orders": {"payment_method": 50},
-    "order_items": {"color": 100, "size": 100},
-    "inventory_logs": {"action": 100},
-    "activity_logs": {"action": 255, "ip_address": 45},
-    "user_addresses": {"city": 100, "postal_code": 10},
-}
 # Foreign keys: (child, fk column, parent, parent key, on delete).
 FOREIGN_KEYS: tuple[tuple[str, str, str, str, str], ...] = (
     ("products", "category_id", "categories", "id", "RESTRICT"),

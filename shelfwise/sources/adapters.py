@@ -15,6 +15,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfwise.fixed import ORDER_DELIVERY_ADDRESS, ORDER_PAYMENT_METHOD
 from shelfwise.operators.scan import estimated_bytes, row_number_within
 from shelfwise.schemas import MONEY
 from shelfwise.session import require_checkpoint_dir
@@ -181,8 +182,8 @@ class ShopTables:
             F.col("o_custkey").alias("user_id"),
             F.col("o_totalprice").cast(MONEY).alias("total_amount"),
             status.alias("status"),
-            F.lit("Pakistan").alias("delivery_address"),
-            F.lit("cash_on_delivery").alias("payment_method"),
+            F.lit(ORDER_DELIVERY_ADDRESS).alias("delivery_address"),
+            F.lit(ORDER_PAYMENT_METHOD).alias("payment_method"),
             F.lit(None).cast("string").alias("notes"),
             F.col("o_orderdate").alias("created_at"),
             F.col("o_orderdate").alias("updated_at"),

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfwise.fixed import SEED_CATEGORIES, SEED_PRODUCTS
 from shelfwise.schemas import DEFAULTS, SCHEMAS, SOURCE_SCHEMAS
 
 
@@ -48,28 +49,6 @@ def read_jdbc(spark: SparkSession, url: str, name: str, *, partition_column: str
                        if f.name in df.columns])
 
 
-# The shop's seed rows (names, descriptions, prices, stock), as declared.
-SEED_CATEGORIES = [
-    ("Primary School Bags", "Lightweight and colorful school bags for young children (Grade 1-5)"),
-    ("Secondary School Bags", "Durable and spacious bags for middle and high school students (Grade 6-10)"),
-    ("College & University Bags", "Stylish backpacks with laptop compartments for college and university students"),
-    ("Trolley School Bags", "Wheeled trolley bags to reduce back strain for younger students"),
-    ("Pencil Cases & Pouches", "Matching pencil cases, pouches and accessories for school"),
-]
-SEED_PRODUCTS = [
-    ("Butterfly Kids School Bag", "Lightweight colorful bag with padded straps for young students", "Primary School Bags", 1, "1500.00", 60, "Pink", "Polyester", "Small"),
-    ("Dino Adventure Primary Bag", "Fun dinosaur-themed bag perfect for nursery and KG students", "Primary School Bags", 1, "1200.00", 75, "Green", "Polyester", "Small"),
-    ("Pro Student Backpack", "Spacious multi-compartment bag for secondary school students", "Secondary School Bags", 2, "2500.00", 50, "Blue", "Polyester", "Large"),
-    ("Heavy Duty School Bag", "Extra-strong bag with reinforced base and padded back for daily use", "Secondary School Bags", 2, "3200.00", 40, "Black", "Oxford Fabric", "Large"),
-    ("Campus Laptop Backpack", "Anti-theft backpack with USB charging port and 15.6\" laptop compartment", "College & University Bags", 3, "4500.00", 30, "Grey", "Canvas", "XL"),
-    ("College Premium Bag", "Stylish backpack with organizer panel for college students", "College & University Bags", 3, "3800.00", 35, "Navy Blue", "Polyester", "Large"),
-    ("Kids Trolley School Bag", "Easy-roll trolley bag that converts to backpack for primary students", "Trolley School Bags", 4, "2800.00", 25, "Red", "ABS & Polyester", "Medium"),
-    ("Superhero Trolley Bag", "Superhero-themed trolley bag for boys with strong wheels", "Trolley School Bags", 4, "3000.00", 20, "Blue", "Polycarbonate", "Medium"),
-    ("Zip Pencil Case Set", "Matching pencil case with pen holder and eraser pocket", "Pencil Cases & Pouches", 5, "350.00", 150, "Multi-color", "Nylon", "Small"),
-    ("Large Stationery Pouch", "Wide capacity pouch for all stationery and art supplies", "Pencil Cases & Pouches", 5, "500.00", 100, "Black", "Canvas", "Medium"),
-]
-
-
 def seed_categories(spark: SparkSession) -> DataFrame:
     """SRC-2: the five seed categories, keys 1-5 in insertion order."""
     rows = [(i + 1, n, d, "active", None) for i, (n, d) in enumerate(SEED_CATEGORIES)]

@@ -15,14 +15,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.fixed import (CUSTOMER_STATUS_ACTION, CUSTOMER_STATUS_DETAILS,  # noqa: F401
+                             ORDER_STATUS_ACTION, ORDER_STATUS_DETAILS, ROUTE_LIMITS)
 from shelfwise.functions.expressions import is_sale
 from shelfwise.operators.maintenance import apply_updates, latest_changes
 from shelfwise.operators.scan import running_sum
 from shelfwise.schemas import MONEY_SUM
 
-# The shop's per-minute request limits by route.
-ROUTE_LIMITS = {"register": 5, "login": 10, "forgot_password": 3, "reset_password": 5,
-                "admin_login": 5}
 # Event types of the cart fold (FIXTURES section 3): add one, remove one, clear.
 CART_ADD, CART_REMOVE, CART_CLEAR = "click", "error", "purchase"
 
@@ -144,8 +143,9 @@ def activity_log(changes: DataFrame) -> DataFrame:
     """One activity row per status change, worded as the shop words it."""
     return changes.select(
         F.col("admin_id"),
-        F.concat(F.lit("Order "), F.col("order_id").cast("string"), F.lit(" status updated")).alias("action"),
-        F.concat(F.lit("New status: "), F.col("status")).alias("details"),
+        F.concat(F.lit(ORDER_STATUS_ACTION[0]), F.col("order_id").cast("string"),
+                 F.lit(ORDER_STATUS_ACTION[1])).alias("action"),
+        F.concat(F.lit(ORDER_STATUS_DETAILS), F.col("status")).alias("details"),
         F.lit(None).cast("string").alias("ip_address"),
         F.col("ts").alias("created_at"))
 
@@ -170,8 +170,9 @@ def apply_user_status_changes(users: DataFrame, changes: DataFrame) -> tuple[Dat
                             ["status"], as_of="ts")
     log = changes.select(
         F.col("admin_id"),
-        F.concat(F.lit("Customer "), F.col("user_id").cast("string"), F.lit(" deactivated")).alias("action"),
-        F.concat(F.lit("Status: "), F.col("status")).alias("details"),
+        F.concat(F.lit(CUSTOMER_STATUS_ACTION[0]), F.col("user_id").cast("string"),
+                 F.lit(CUSTOMER_STATUS_ACTION[1])).alias("action"),
+        F.concat(F.lit(CUSTOMER_STATUS_DETAILS), F.col("status")).alias("details"),
         F.lit(None).cast("string").alias("ip_address"),
         F.col("ts").alias("created_at"))
     return updated, log
