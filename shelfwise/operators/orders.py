@@ -67,15 +67,22 @@ def admin_orders(orders: DataFrame, users: DataFrame) -> DataFrame:
         "delivery_address", "created_at"))
 
 
-def order_lines(items: DataFrame, products: DataFrame, extra=()) -> DataFrame:
+def order_lines(items: DataFrame, products: DataFrame, extra=(),
+                skew_salts: int | None = None) -> DataFrame:
     """JN-2: order lines with product name and the *current* product price.
 
     A product in a large share of all lines is split by AQE's skew-join
-    handling (or the product side is broadcast when measured small).
+    handling (or the product side is broadcast when measured small); with
+    ``skew_salts`` the join salts hot products explicitly instead.
     """
     p = products.select(F.col("id").alias("product_id"), F.col("name").alias("product_name"),
                         F.col("price").alias("current_price"))
-    return items.join(p, "product_id", "inner").select(
+    if skew_salts:
+        from shelfwise.operators.joins import salted_join
+        joined = salted_join(items, p, "product_id", "inner", salts=skew_salts)
+    else:
+        joined = items.join(p, "product_id", "inner")
+    return joined.select(
         "order_id", "product_id", "product_name", "quantity",
         F.col("current_price").alias("price"), *extra)
 

@@ -928,3 +928,12 @@ def _over_route_limits_daily(spark, d):
     ev = T(spark, d).events
     limits = {"view": 5, "click": 10, "error": 3, "signup": 5, "purchase": 5}
     return E.over_route_limits(ev, limits, "user_id", "event_type", "1 day")
+
+
+@register("order_lines_salted", """
+SELECT oi.order_id, oi.product_id, p.name AS product_name, oi.quantity, p.price
+FROM s_items oi JOIN s_products p ON oi.product_id = p.id""")
+def _order_lines_salted(spark, d):
+    # JN-2 with hot products salted explicitly (the fallback to AQE's split).
+    t = T(spark, d)
+    return O.order_lines(t.order_items, t.products, skew_salts=16)
