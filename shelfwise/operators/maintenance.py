@@ -62,9 +62,10 @@ def assign_ids(target: DataFrame, rows: DataFrame, order_by: list[str],
     """WN-5: give new rows consecutive keys after the current largest key, in
     ``order_by`` order (AUTO_INCREMENT for a batch).
 
-    The position of each row is the skew-safe global running count (range
-    partitions plus a per-partition offset table), not a single-partition
-    window.  The current maximum is a one-row aggregate joined on a constant.
+    The position of each row is the global running count: range partitions
+    plus a per-partition offset table for large batches, a plain window only
+    for batches proven small.  The current maximum is a one-row aggregate
+    joined on a constant.
     """
     one = "_one"
     numbered = running_sum(rows.withColumn(one, F.lit(1)), [], order_by, [one], ["_pos"])
