@@ -10,6 +10,7 @@ scan and are materialised once per session and source folder.
 from __future__ import annotations
 
 import hashlib
+import threading
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,9 @@ from shelfwise.schemas import MONEY
 from shelfwise.session import require_checkpoint_dir
 from shelfwise.sources.tables import read_table
 
-_CACHE: dict[tuple[int, str], "ShopTables"] = {}
+_CACHE: dict[tuple, "ShopTables"] = {}
+# Materialising a stored table happens once; concurrent callers wait for it.
+_LOCK = threading.RLock()
 
 
 class ShopTables:
@@ -51,8 +54,15 @@ class ShopTables:
         self.spark = spark
         self.base = base
         self.store = store
+        self._built: dict[str, DataFrame] = {}
 
     def _table(self, name: str) -> DataFrame:
+        with _LOCK:
+            if name not in self._built:
+                self._built[name] = self._build(name)
+            return self._built[name]
+
+    def _build(self, name: str) -> DataFrame:
         df = getattr(self, f"_derive_{name}")()
         if self.store is None or name not in self.LAYOUT:
             return df
@@ -234,6 +244,11 @@ def shop_tables(spark: SparkSession, base: str, stored: bool = True) -> ShopTabl
     except Exception:
         app = None
     key = (id(spark), app, base.rstrip("/"), stored)
+    with _LOCK:
+        return _shop_tables_locked(spark, base, stored, key)
+
+
+def _shop_tables_locked(spark: SparkSession, base: str, stored: bool, key: tuple) -> ShopTables:
     if key not in _CACHE:
         store = None
         if stored:
