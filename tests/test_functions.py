@@ -40,3 +40,14 @@ def test_running_sum_property(spark, rows):
     for k, i, q in data:
         acc[k] = acc.get(k, 0) + q
         assert got[i] == acc[k]
+
+
+def test_cli_list_and_run(spark, tmp_path, capsys):
+    from shelfwise.__main__ import main
+    assert main(["list"]) == 0
+    assert "sales_report_monthly" in capsys.readouterr().out
+    out = str(tmp_path / "rep")
+    assert main(["run", "sales_report_monthly", "--source", "/root/testdata/sf0.001",
+                 "--out", out]) == 0
+    assert spark.read.parquet(out).count() > 0
+    assert main(["run", "no_such_query", "--source", "/root/testdata/sf0.001"]) == 2
