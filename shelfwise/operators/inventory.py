@@ -82,30 +82,36 @@ def _order_product(items: DataFrame) -> DataFrame:
 def _finish_sequential(pdf):
     """Decide the remaining orders one after another (one task, bounded input).
 
-    ``pdf`` holds every undecided pair with ``left = stock - acc_before``, the
-    stock left by all orders accepted so far that come before it; orders
-    accepted here consume stock from the later ones.
+    ``pdf`` holds the undecided pairs (``_u``) with ``left = stock -
+    acc_before`` (stock left by orders accepted in earlier rounds), and the
+    pairs accepted in the last round (not ``_u``), whose stock is consumed
+    when they come up in order, as is the stock of orders accepted here.
     """
     import numpy as np
     import pandas as pd
 
     pdf = pdf.sort_values(["created_at", "order_id", "product_id"], kind="mergesort")
     oid = pdf["order_id"].to_numpy()
+    undecided = pdf["_u"].to_numpy().tolist()
     prod = pdf["product_id"].to_numpy().tolist()
-    need = pdf["need"].to_numpy().tolist()
-    left = pdf["left"].to_numpy().tolist()
+    need = pdf["need"].fillna(0).to_numpy().tolist()
+    left = pdf["left"].fillna(0).to_numpy().tolist()
     total = pdf["total"].to_numpy().tolist()
     # order boundaries in the sorted pairs
     starts = np.flatnonzero(np.r_[True, oid[1:] != oid[:-1]]).tolist() + [len(oid)]
     used: dict = {}
     ids, verdicts = [], []
     for a, b in zip(starts[:-1], starts[1:]):
-        ok = all(need[i] <= left[i] - used.get(prod[i], 0) for i in range(a, b))
+        if undecided[a]:
+            ok = all(need[i] <= left[i] - used.get(prod[i], 0) for i in range(a, b))
+        else:
+            ok = True          # accepted in the last round: only consumes stock
         if ok:
             for i in range(a, b):
                 used[prod[i]] = used.get(prod[i], 0) + total[i]
-        ids.append(int(oid[a]))
-        verdicts.append("A" if ok else "R")
+        if undecided[a]:
+            ids.append(int(oid[a]))
+            verdicts.append("A" if ok else "R")
     return pd.DataFrame({"order_id": ids, "_v": verdicts})
 
 
@@ -229,23 +235,16 @@ def admit_orders(products: DataFrame, orders: DataFrame, items: DataFrame,
             "order_id", "product_id", "created_at", "total")
         undecided = tagged.filter(F.col("_v") == "U").select(
             "order_id", "product_id", "created_at", "total", "need", "stock", "acc_before")
-        if 0 < n_left <= finish_pairs:
-            # Fold this round's acceptances into acc_before, then decide the
-            # rest in order within one task.
-            u2 = undecided.select("order_id", "product_id", "created_at", "total", "need",
-                                  "stock", "acc_before", F.lit(0).cast("long").alias("a_new"),
-                                  F.lit(True).alias("_u"))
-            a2 = newly_accepted.select(
-                "order_id", "product_id", "created_at", F.lit(None).cast("long").alias("total"),
-                F.lit(None).cast("long").alias("need"), F.lit(None).cast("long").alias("stock"),
-                F.lit(None).cast("long").alias("acc_before"),
-                F.col("total").cast("long").alias("a_new"), F.lit(False).alias("_u"))
-            run2 = running_sum(u2.unionByName(a2), ["product_id"], ["created_at", "order_id"],
-                               ["a_new"], ["a_run"], inclusive=False,
-                               rows_hint=n_left + n_new).filter(F.col("_u"))
-            rest = run2.select(
+        if 0 < n_left and n_left + n_new <= finish_pairs:
+            # Decide the rest in order within one task; the pairs accepted in
+            # this round come along and consume their stock as they come up.
+            rest = undecided.select(
                 "order_id", "product_id", "created_at", "total", "need",
-                (F.col("stock") - F.col("acc_before") - F.col("a_run")).alias("left"))
+                (F.col("stock") - F.col("acc_before")).alias("left"), F.lit(True).alias("_u")
+            ).unionByName(newly_accepted.select(
+                "order_id", "product_id", "created_at", "total",
+                F.lit(None).cast("long").alias("need"), F.lit(None).cast("long").alias("left"),
+                F.lit(False).alias("_u")))
             decided = (rest.groupBy(F.lit(0).alias("_all"))
                        .applyInPandas(_finish_sequential, "order_id long, _v string")
                        .checkpoint(eager=True))
