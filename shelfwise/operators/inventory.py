@@ -47,7 +47,9 @@ def stock_ledger(products: DataFrame, lines: DataFrame, orders: DataFrame,
     """
     o = orders.select(F.col("id").alias("order_id"), F.col("created_at").alias("_placed"))
     p = products.select(F.col("id").alias("product_id"), F.col("stock").alias("_open"))
-    l = (lines.select("order_id", "product_id", "quantity")
+    keep = ["order_id", "product_id", "quantity"] + [c for c in line_order
+                                                     if c not in ("order_id", "product_id", "quantity")]
+    l = (lines.select(*keep)
          .join(o, "order_id", "inner").join(p, "product_id", "inner"))
     l = l.withColumn("_q", F.col("quantity").cast("long"))
     # The lookups are many-to-one, so the scan input is bounded by the line
@@ -297,3 +299,62 @@ def _union_all(parts: list[DataFrame], spark, schema: str) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+class Placement(NamedTuple):
+    orders: DataFrame         # new order rows (shop schema), accepted orders only
+    items: DataFrame          # new order_items rows, price at sale
+    ledger: DataFrame         # one inventory_logs row per accepted line
+    products: DataFrame       # products with the closing stock
+    rejected: DataFrame       # order_ref, reason, product_id, available, requested
+
+
+def place_orders(products: DataFrame, users: DataFrame, requests: DataFrame,
+                 orders: DataFrame | None = None) -> Placement:
+    """The order endpoint in set form (JN-5, WN-4, WN-7, WN-1, WN-5).
+
+    ``requests`` has the :data:`shelfwise.schemas.NEW_ORDERS` shape:
+    ``order_ref, user_id, items array<struct<product_id, quantity>>,
+    total_amount, status, created_at``.  Orders are admitted in
+    ``(created_at, order_ref)`` order against the products' stock; accepted
+    ones get new ids after the largest id in ``orders`` (or keep
+    ``order_ref``), their lines the current price, and one ledger row per line
+    in item order.  Total and status are stored as sent.
+    """
+    from shelfwise.fixed import ORDER_DELIVERY_ADDRESS, ORDER_PAYMENT_METHOD
+    from shelfwise.operators.maintenance import assign_ids
+    from shelfwise.sources.tables import with_defaults
+
+    lines = requests.select("order_ref", "created_at",
+                            F.posexplode("items").alias("line_no", "item")).select(
+        F.col("order_ref").alias("order_id"), "created_at", "line_no",
+        F.col("item.product_id").alias("product_id"), F.col("item.quantity").alias("quantity"))
+    cand = requests.select(F.col("order_ref").alias("id"), "user_id", "created_at")
+    adm = admit_orders(products, cand, lines.select("order_id", "product_id", "quantity"), users)
+
+    accepted = requests.join(adm.accepted.withColumnRenamed("order_id", "order_ref"),
+                             "order_ref", "left_semi")
+    if orders is not None:
+        keyed = assign_ids(orders, accepted, ["created_at", "order_ref"], "id")
+    else:
+        keyed = accepted.withColumn("id", F.col("order_ref"))
+    new_orders = with_defaults(keyed.select(
+        "id", "user_id", "total_amount", "status", "created_at",
+        F.lit(ORDER_DELIVERY_ADDRESS).alias("delivery_address"),
+        F.lit(ORDER_PAYMENT_METHOD).alias("payment_method"),
+        F.col("created_at").alias("updated_at")), "orders")
+    id_map = keyed.select("order_ref", F.col("id").alias("_new_id"))
+
+    acc_lines = (lines.join(id_map, lines["order_id"] == id_map["order_ref"], "inner")
+                 .select(F.col("_new_id").alias("order_id"), "line_no", "product_id", "quantity",
+                         "created_at"))
+    priced = price_lines(acc_lines, products)
+    new_items = with_defaults(priced, "order_items")
+    ledger = stock_ledger(products, acc_lines, new_orders.select("id", "created_at"),
+                          line_order=("line_no",))
+    closing = adm.closing_stock.select(F.col("product_id").alias("id"), F.col("stock").alias("_s"))
+    new_products = (products.join(closing, "id", "left")
+                    .withColumn("stock", F.coalesce(F.col("_s"), F.col("stock")).cast("int"))
+                    .drop("_s").select(*products.columns))
+    rejected = adm.rejected.withColumnRenamed("order_id", "order_ref")
+    return Placement(new_orders, new_items, ledger, new_products, rejected)

@@ -98,3 +98,36 @@ def test_ledger_fixture(spark):
     led = stock_ledger(seed, i, o).orderBy("order_id").collect()
     assert [(r.old_stock, r.new_stock, r.action) for r in led] == [
         (150, 147, "order_placed"), (147, 145, "order_placed")]
+
+
+def test_place_orders_end_to_end(spark):
+    import datetime as dt
+    from decimal import Decimal
+
+    from shelfwise.operators.inventory import place_orders
+    from shelfwise.schemas import NEW_ORDERS
+
+    seed = seed_products(spark)
+    users = spark.createDataFrame([(1,), (2,)], "id long")
+    d = lambda h: dt.datetime(2024, 1, 1, h)
+    req = spark.createDataFrame([
+        (101, 1, [(8, 20)], Decimal("60000.00"), "pending", d(1)),
+        (102, 2, [(8, 1)], Decimal("3000.00"), "pending", d(2)),          # no stock left
+        (103, 1, [(9, 3), (10, 1)], Decimal("1550.00"), "pending", d(3)),
+        (104, 1, [(9, 2)], Decimal("700.00"), None, d(4)),
+        (105, 9, [(9, 1)], Decimal("350.00"), "pending", d(5)),           # unknown user
+    ], NEW_ORDERS)
+    existing = spark.createDataFrame([(500,)], "id long")
+    res = place_orders(seed, users, req, existing)
+    orders = {r.id: r for r in res.orders.collect()}
+    assert sorted(orders) == [501, 502, 503]
+    assert orders[503].status == "pending" and orders[501].payment_method == "cash_on_delivery"
+    items = sorted((r.order_id, r.product_id, r.quantity, r.price) for r in res.items.collect())
+    assert items[0] == (501, 8, 20, Decimal("3000.00"))
+    ledger = sorted((r.product_id, r.old_stock, r.new_stock) for r in res.ledger.collect()
+                    if r.product_id == 9)
+    assert ledger == [(9, 147, 145), (9, 150, 147)]
+    stock = {r.id: r.stock for r in res.products.collect()}
+    assert stock[8] == 0 and stock[9] == 145 and stock[10] == 99
+    rej = {r.order_ref: (r.reason, r.available, r.requested) for r in res.rejected.collect()}
+    assert rej == {102: ("insufficient_stock", 0, 1), 105: ("unknown_user", None, None)}
