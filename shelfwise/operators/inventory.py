@@ -119,7 +119,7 @@ def _finish_sequential(pdf):
 
 def admit_orders(products: DataFrame, orders: DataFrame, items: DataFrame,
                  users: DataFrame | None = None, max_rounds: int | None = None,
-                 finish_pairs: int = FINISH_PAIRS) -> Admission:
+                 finish_pairs: int = FINISH_PAIRS, line_order: str | None = None) -> Admission:
     """WN-4: accept an order only if every line fits the stock left by earlier
     *accepted* orders; a rejected order deducts nothing.
 
@@ -143,7 +143,8 @@ def admit_orders(products: DataFrame, orders: DataFrame, items: DataFrame,
 
     Orders of unknown users and orders with a line for an unknown product are
     rejected up front (``unknown_user`` / ``unknown_product``), as the shop
-    does.  ``max_rounds`` (default: none) raises instead of looping longer.
+    does.  A rejected order reports its first failing line: in ``line_order``
+    (a column of ``items``) when given, else the smallest product id.  ``max_rounds`` (default: none) raises instead of looping longer.
     """
     o = orders.select(F.col("id").alias("order_id"), "user_id", "created_at")
     if users is not None:
@@ -275,11 +276,23 @@ def admit_orders(products: DataFrame, orders: DataFrame, items: DataFrame,
                       inclusive=False, rows_hint=n_cand).filter(F.col("_r"))
     failing = run.withColumn("available", F.col("stock") - F.col("a_run")) \
         .filter(F.col("need") > F.col("available"))
-    stock_rejects = failing.groupBy("order_id").agg(
-        F.min(F.struct("product_id", "available", "need")).alias("_f")).select(
+    if line_order is None:
+        first = failing.groupBy("order_id").agg(
+            F.min(F.struct("product_id", "available", F.col("need").alias("q"))).alias("_f"))
+    else:
+        # The failing lines of rejected orders, checked one by one against the
+        # stock available to the order; the first in item order is reported.
+        lines = items.select("order_id", "product_id", F.col("quantity").cast("long").alias("q"),
+                             F.col(line_order).alias("_pos"))
+        first = (lines.join(failing.select("order_id", "product_id", "available"),
+                            ["order_id", "product_id"], "inner")
+                 .filter(F.col("q") > F.col("available"))
+                 .groupBy("order_id")
+                 .agg(F.min_by(F.struct("product_id", "available", "q"), F.col("_pos")).alias("_f")))
+    stock_rejects = first.select(
         "order_id", F.lit("insufficient_stock").alias("reason"),
         F.col("_f.product_id").alias("product_id"), F.col("_f.available").alias("available"),
-        F.col("_f.need").alias("requested"))
+        F.col("_f.q").alias("requested"))
     rejected = stock_rejects
     for part in rejected_parts:
         rejected = rejected.unionByName(part)
@@ -330,7 +343,8 @@ def place_orders(products: DataFrame, users: DataFrame, requests: DataFrame,
         F.col("order_ref").alias("order_id"), "created_at", "line_no",
         F.col("item.product_id").alias("product_id"), F.col("item.quantity").alias("quantity"))
     cand = requests.select(F.col("order_ref").alias("id"), "user_id", "created_at")
-    adm = admit_orders(products, cand, lines.select("order_id", "product_id", "quantity"), users)
+    adm = admit_orders(products, cand, lines.select("order_id", "product_id", "quantity", "line_no"),
+                       users, line_order="line_no")
 
     accepted = requests.join(adm.accepted.withColumnRenamed("order_id", "order_ref"),
                              "order_ref", "left_semi")

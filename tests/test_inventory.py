@@ -131,3 +131,15 @@ def test_place_orders_end_to_end(spark):
     assert stock[8] == 0 and stock[9] == 145 and stock[10] == 99
     rej = {r.order_ref: (r.reason, r.available, r.requested) for r in res.rejected.collect()}
     assert rej == {102: ("insufficient_stock", 0, 1), 105: ("unknown_user", None, None)}
+
+
+def test_first_failing_line_in_item_order(spark):
+    seed = seed_products(spark).select("id", "stock")
+    o = spark.createDataFrame([(1, 1, 1)], "id long, user_id long, created_at long")
+    # both lines fail (stock 100 and 50); the first in item order is product 10
+    i = spark.createDataFrame([(1, 10, 200, 0), (1, 3, 1000, 1)],
+                              "order_id long, product_id long, quantity int, line_no int")
+    by_pos = admit_orders(seed, o, i, line_order="line_no").rejected.collect()[0]
+    assert (by_pos.product_id, by_pos.available, by_pos.requested) == (10, 100, 200)
+    by_id = admit_orders(seed, o, i.drop("line_no")).rejected.collect()[0]
+    assert (by_id.product_id, by_id.available, by_id.requested) == (3, 50, 1000)
