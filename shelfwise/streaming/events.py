@@ -109,6 +109,22 @@ def cart_state(events: DataFrame, **types) -> DataFrame:
             .groupBy("user_id").agg(F.max_by("v", "C").cast("long").alias("cart_items")))
 
 
+def cart_state_stream_ordered(stream: DataFrame, watermark: str = "10 minutes",
+                              **types) -> DataFrame:
+    """ST-2 as an event-time exact stream: events are buffered in list state
+    until the watermark passes them and then folded in order (timers finish
+    the fold without new input), so events that arrive out of order within
+    the watermark delay give the batch result.  Needs a ``timestamp`` event
+    time (``timestamp_ntz`` is read in the session zone)."""
+    from shelfwise.streaming.cart_processor import OUTPUT_SCHEMA, OrderedCartProcessor
+
+    timed = _event_time(stream, "ts").withWatermark("ts", watermark)
+    d = cart_deltas(timed, **types)
+    return d.groupBy("user_id").transformWithStateInPandas(
+        statefulProcessor=OrderedCartProcessor(), outputStructType=OUTPUT_SCHEMA,
+        outputMode="Update", timeMode="EventTime")
+
+
 def cart_state_stream(stream: DataFrame, **types) -> DataFrame:
     """ST-2 as a stream: one value state per user, updated with the clamped
     fold in event order within each micro-batch (``transformWithStateInPandas``

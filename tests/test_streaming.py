@@ -178,3 +178,37 @@ def test_stream_jobs_to_sinks(spark):
     q.awaitTermination(300)
     got = sorted(map(tuple, jobs.latest(spark, f"{tmp}/sales", "date").collect()))
     assert got == sorted(map(tuple, E.daily_sales(orders).collect()))
+
+
+def test_cart_stream_ordered_handles_out_of_order(spark):
+    import random
+    tmp = tempfile.mkdtemp(prefix="sw-st2o-")
+    ev = spark.read.parquet(f"{SF001}/events.parquet")
+    rows = sorted(ev.collect(), key=lambda r: (r.ts, r.event_id))
+    # four files in time order, but each row may arrive one file early or late
+    rnd = random.Random(4)
+    n = len(rows)
+    parts = [[] for _ in range(4)]
+    for i, r in enumerate(rows):
+        b = min(3, max(0, i * 4 // n + rnd.choice([-1, 0, 0, 1])))
+        parts[b].append(r)
+    src = os.path.join(tmp, "events")
+    span = rows[-1].ts - rows[0].ts
+    for i, p in enumerate(parts):
+        d = os.path.join(src, f"p{i}")
+        spark.createDataFrame(p, ev.schema).coalesce(1).write.parquet(d)
+        for f in os.listdir(d):
+            os.utime(os.path.join(d, f), (1_700_000_000 + 100 * i, 1_700_000_000 + 100 * i))
+    delay_s = int(span.total_seconds() // 2) + 1          # covers one file of disorder
+    stream = _stream(spark, src, SOURCE_SCHEMAS["events"])
+    out = E.cart_state_stream_ordered(stream, watermark=f"{delay_s} seconds")
+    _run(out, "update", "st2o", tmp)
+    got = {r.user_id: r.cart_items for r in spark.sql(
+        "SELECT user_id, max_by(cart_items, _o) AS cart_items FROM "
+        "(SELECT *, monotonically_increasing_id() AS _o FROM st2o) GROUP BY user_id").collect()}
+    # finalised = events at or before the last watermark (max ts - delay)
+    import datetime as _dt
+    cutoff = rows[-1].ts - _dt.timedelta(seconds=delay_s)
+    final = ev.filter(F.col("ts") <= F.lit(cutoff))
+    exp = {r.user_id: r.cart_items for r in E.cart_state(final).collect()}
+    assert {k: v for k, v in got.items() if k in exp} == exp
