@@ -67,13 +67,15 @@ def start_over_limit(spark: SparkSession, source: str, sink: str, checkpoint: st
 
 
 def start_cart_state(spark: SparkSession, source: str, sink: str, checkpoint: str, *,
-                     schema: T.StructType | None = None,
+                     watermark: str = "10 minutes", schema: T.StructType | None = None,
                      max_files_per_trigger: int | None = None,
                      trigger: dict | None = None) -> StreamingQuery:
-    """ST-2: cart size per user, updated per micro-batch (read with
+    """ST-2: cart size per user in event-time order: events out of order by
+    less than ``watermark`` give the batch result (read with
     ``latest(spark, sink, 'user_id')``)."""
     stream = _source(spark, source, schema or SOURCE_SCHEMAS["events"], max_files_per_trigger)
-    return _start_update(E.cart_state_stream(stream), sink, checkpoint, "cart_state", trigger)
+    return _start_update(E.cart_state_stream_ordered(stream, watermark), sink, checkpoint,
+                         "cart_state", trigger)
 
 
 def start_stream_sales(spark: SparkSession, source: str, sink: str, checkpoint: str, *,

@@ -153,7 +153,7 @@ def test_stream_jobs_to_sinks(spark):
 
     tmp = tempfile.mkdtemp(prefix="sw-jobs-")
     src, ev = _event_files(spark, tmp, n_files=3)
-    q = jobs.start_cart_state(spark, src, f"{tmp}/cart", f"{tmp}/ck-cart",
+    q = jobs.start_cart_state(spark, src, f"{tmp}/cart", f"{tmp}/ck-cart", watermark="0 seconds",
                               max_files_per_trigger=1, trigger={"availableNow": True})
     q.awaitTermination(300)
     got = {r.user_id: r.cart_items for r in jobs.latest(spark, f"{tmp}/cart", "user_id").collect()}
