@@ -24,7 +24,6 @@ sample Spark takes itself.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
