@@ -24,7 +24,6 @@ sample Spark takes itself.
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window

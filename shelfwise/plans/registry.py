@@ -937,3 +937,29 @@ def _order_lines_salted(spark, d):
     # JN-2 with hot products salted explicitly (the fallback to AQE's split).
     t = T(spark, d)
     return O.order_lines(t.order_items, t.products, skew_salts=16)
+
+
+@register("cart_lines_state", """
+WITH ev AS (
+  SELECT user_id, CAST(json_extract(props, '$.k') AS BIGINT) AS product_id, ts, event_id, event_type
+  FROM events),
+ur AS (SELECT user_id, ts AS r_ts, event_id AS r_id FROM (
+         SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
+         FROM ev WHERE event_type = 'purchase') WHERE rn = 1),
+d AS (SELECT e.user_id, e.product_id, e.ts, e.event_id,
+             CASE e.event_type WHEN 'click' THEN 1 ELSE -1 END AS delta
+      FROM ev e LEFT JOIN ur ON ur.user_id = e.user_id
+      WHERE e.event_type IN ('click', 'error') AND e.product_id IS NOT NULL
+        AND (ur.user_id IS NULL OR e.ts > ur.r_ts OR (e.ts = ur.r_ts AND e.event_id > ur.r_id))),
+r AS (SELECT user_id, product_id, delta,
+             SUM(delta) OVER (PARTITION BY user_id, product_id ORDER BY ts, event_id
+                              ROWS UNBOUNDED PRECEDING) AS run FROM d),
+q AS (SELECT user_id, product_id, CAST(SUM(delta) - LEAST(MIN(run), 0) AS BIGINT) AS quantity
+      FROM r GROUP BY 1, 2)
+SELECT * FROM q WHERE quantity > 0""")
+def _cart_lines_state(spark, d):
+    # Cart lines per (user, product), the product taken from each event's
+    # properties ("k"): click adds one, error takes one away, purchase clears.
+    ev = T(spark, d).events
+    product = F.get_json_object("props", "$.k").cast("long")
+    return E.cart_lines_state(ev, product)

@@ -10,7 +10,8 @@ from .compare import compare
 from .conftest import SF01
 
 SCAN_QUERIES = ["stock_ledger", "cart_state", "orders_with_items", "line_counts",
-                "number_images", "assign_ids_new_products", "upsert_users_by_email", "image_urls"]
+                "number_images", "assign_ids_new_products", "upsert_users_by_email", "image_urls",
+                "cart_lines_state"]
 
 
 @pytest.fixture

@@ -212,3 +212,41 @@ def test_cart_stream_ordered_handles_out_of_order(spark):
     final = ev.filter(F.col("ts") <= F.lit(cutoff))
     exp = {r.user_id: r.cart_items for r in E.cart_state(final).collect()}
     assert {k: v for k, v in got.items() if k in exp} == exp
+
+
+def test_cart_lines_state_matches_loop(spark):
+    import random
+    rnd = random.Random(8)
+    rows = []
+    for i in range(1500):
+        user = 0 if rnd.random() < 0.4 else rnd.randint(1, 6)        # user 0 is hot
+        kind = rnd.choice(["click", "click", "click", "error", "error", "remove", "purchase", "view"])
+        rows.append((i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=rnd.randint(0, 5000)),
+                     user, kind, rnd.randint(0, 4)))
+    ev = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, "
+                                     "event_type string, product_id long")
+    cart = {}
+    for eid, ts, user, kind, prod in sorted(rows, key=lambda r: (r[1], r[0])):
+        if kind == "purchase":
+            cart = {k: v for k, v in cart.items() if k[0] != user}
+        elif kind == "remove":
+            cart.pop((user, prod), None)
+        elif kind == "click":
+            cart[(user, prod)] = cart.get((user, prod), 0) + 1
+        elif kind == "error":
+            q = cart.get((user, prod), 0) - 1
+            if q <= 0:
+                cart.pop((user, prod), None)
+            else:
+                cart[(user, prod)] = q
+    for force in (False, True):
+        from shelfwise.operators import scan
+        saved = scan.SMALL_ROWS, scan.SMALL_BYTES
+        if force:
+            scan.SMALL_ROWS, scan.SMALL_BYTES = -1, -1
+        try:
+            got = {(r.user_id, r.product_id): r.quantity for r in
+                   E.cart_lines_state(ev, "product_id", remove_line="remove").collect()}
+        finally:
+            scan.SMALL_ROWS, scan.SMALL_BYTES = saved
+        assert got == cart
