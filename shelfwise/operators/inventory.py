@@ -25,7 +25,6 @@ FINISH_PAIRS = 250_000
 # The per-round verdict (one row per undecided order, at most one per pair)
 # is broadcast to the pairs when the round has at most this many pairs.
 VERDICT_BROADCAST_PAIRS = 1_000_000
-_DEBUG = False
 
 
 def price_lines(items: DataFrame, products: DataFrame) -> DataFrame:
@@ -185,8 +184,6 @@ def admit_orders(products: DataFrame, orders: DataFrame, items: DataFrame,
 
     spark = products.sparkSession
     n_cand = cand.count()
-    if _DEBUG:
-        print(f"admission candidates: {n_cand}", flush=True)
     undecided = cand
     newly_accepted = cand.limit(0).select("order_id", "product_id", "created_at", "total")
     n_left, n_new = n_cand, 0
@@ -231,8 +228,6 @@ def admit_orders(products: DataFrame, orders: DataFrame, items: DataFrame,
         counts = {r["_v"]: r["n"] for r in
                   tagged.groupBy("_v").agg(F.count(F.lit(1)).alias("n")).collect()}
         n_new, n_left = counts.get("A", 0), counts.get("U", 0)
-        if _DEBUG:
-            print(f"admission round {rounds}: {counts}", flush=True)
         decisions.append(tagged.filter(F.col("_v") != "U").select("order_id", "_v"))
         newly_accepted = tagged.filter(F.col("_v") == "A").select(
             "order_id", "product_id", "created_at", "total")
