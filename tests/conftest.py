@@ -30,3 +30,11 @@ def duck():
               "embeddings pages benchmark labels conversations").split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF01}/{t}.parquet')")
     return con
+
+
+@pytest.fixture(scope="session")
+def skewed_base(spark):
+    """sf0.01 tables with a third of all lines on one product, a third of all
+    orders on one customer and a third of all events on one user."""
+    from .test_skew import make_skewed_copy
+    return make_skewed_copy(spark)

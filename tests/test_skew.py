@@ -23,7 +23,14 @@ SKEW_QUERIES = ["stock_ledger", "top_selling", "orders_with_items", "order_lines
 
 
 @pytest.fixture(scope="module")
-def skewed(spark):
+def skewed(spark, skewed_base):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{skewed_base}/{t}.parquet')")
+    return skewed_base, con
+
+
+def make_skewed_copy(spark):
     base = tempfile.mkdtemp(prefix="sw-skew-")
     hot = lambda c, key: F.when(F.pmod(F.xxhash64(c), F.lit(3)) == 0, F.lit(key)).otherwise(F.col(c))
     for t in TABLES:
@@ -35,10 +42,7 @@ def skewed(spark):
         elif t == "events":
             df = df.withColumn("user_id", hot("event_id", 5).cast("long"))
         df.write.parquet(os.path.join(base, f"{t}.parquet"))
-    con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{base}/{t}.parquet')")
-    return base, con
+    return base
 
 
 @pytest.mark.parametrize("name", SKEW_QUERIES)
