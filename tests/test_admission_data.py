@@ -12,17 +12,20 @@ from shelfwise.plans.registry import QUERIES
 from .conftest import SF01
 
 
-def sequential_decisions(base):
+def sequential_decisions(base, half_demand=True):
     con = duckdb.connect()
     orders = con.sql(f"SELECT o_orderkey, o_custkey, o_orderdate FROM '{base}/orders.parquet'").fetchall()
     users = {r[0] for r in con.sql(f"SELECT c_custkey FROM '{base}/customer.parquet'").fetchall()}
     items = con.sql(f"SELECT l_orderkey, l_partkey, CAST(l_quantity AS INTEGER) "
                     f"FROM '{base}/lineitem.parquet'").fetchall()
-    parts = {r[0] for r in con.sql(f"SELECT p_partkey FROM '{base}/part.parquet'").fetchall()}
-    demand = defaultdict(int)
-    for _, p, q in items:
-        demand[p] += q
-    stock = {p: int(demand.get(p, 0) / 2) for p in parts}      # cast(sum/2 as int)
+    parts = dict(con.sql(f"SELECT p_partkey, p_size % 10 FROM '{base}/part.parquet'").fetchall())
+    if half_demand:
+        demand = defaultdict(int)
+        for _, p, q in items:
+            demand[p] += q
+        stock = {p: int(demand.get(p, 0) / 2) for p in parts}      # cast(sum/2 as int)
+    else:
+        stock = dict(parts)                                        # the catalogue's stock
     need, total = defaultdict(dict), defaultdict(dict)
     for o, p, q in items:
         need[o][p] = max(need[o].get(p, 0), q)
@@ -63,3 +66,9 @@ def test_admission_on_skewed_tables(spark, skewed_base, monkeypatch):
     got = {r.order_id: (r.decision, r.reason, r.product_id, r.available, r.requested)
            for r in QUERIES["admit_orders_half_demand"](spark, skewed_base).collect()}
     assert got == sequential_decisions(skewed_base)
+
+
+def test_admission_with_catalogue_stock(spark):
+    got = {r.order_id: (r.decision, r.reason, r.product_id, r.available, r.requested)
+           for r in QUERIES["admit_orders"](spark, SF01).collect()}
+    assert got == sequential_decisions(SF01, half_demand=False)
