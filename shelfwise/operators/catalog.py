@@ -53,7 +53,10 @@ def catalog(products: DataFrame, images: DataFrame,
     images).  The stock filter is pushed to the scan of ``products``.
     """
     in_stock = products.filter(F.col("stock") > 0).select(*CATALOG_COLUMNS)
-    urls = image_urls(images, max_per_row).withColumnRenamed("product_id", "id")
+    # only the images of shown products are numbered and nested (positions
+    # are per product, so this changes no result)
+    shown = images.join(in_stock.select(F.col("id").alias("product_id")), "product_id", "left_semi")
+    urls = image_urls(shown, max_per_row).withColumnRenamed("product_id", "id")
     joined = in_stock.join(urls, "id", "left")
     return joined.select(*CATALOG_COLUMNS,
                          F.coalesce(F.col("chunk"), F.lit(0)).alias("chunk"),
