@@ -1,10 +1,11 @@
 """Catalogue operators: FLT-1, FLT-2, FLT-6, FLT-7, FLT-11, AG-11, AG-12,
 WN-2, WN-3, SR-3, SR-4, SR-5, JN-7.
 
-Image lists are nested per product, but never as one unbounded group: images
-are numbered within their product by the skew-safe scan and packed into
-chunks of at most ``max_per_row`` images, so a product with millions of
-images yields several bounded rows instead of one giant array.
+Image lists are nested per product, but never as one unbounded group: a
+product with more than ``max_per_row`` images has its images numbered by the
+skew-safe scan and packed into chunks of at most ``max_per_row``, so a
+product with millions of images yields several bounded rows instead of one
+giant array; other products are one chunk.
 """
 
 from __future__ import annotations
@@ -37,10 +38,23 @@ def image_urls(images: DataFrame, max_per_row: int = DEFAULT_MAX_PER_ROW) -> Dat
     has more than ``max_per_row`` images, in which case its list continues in
     chunk 1, 2, ... (concatenating the chunks in order gives the full list).
     """
-    numbered = number_images(images, order=("sort_order", "id"), out="_p")
-    chunked = numbered.withColumn("chunk", F.floor(F.col("_p") / F.lit(max_per_row)).cast("int"))
-    grouped = chunked.groupBy("product_id", "chunk").agg(
-        F.array_sort(F.collect_list(F.struct("_p", "image_url"))).alias("_l"))
+    # Only products with more than ``max_per_row`` images need positions;
+    # the rest are one chunk ordered by (sort_order, id) directly.
+    narrow = images.select("product_id", "sort_order", "id", "image_url")
+    counts = narrow.groupBy("product_id").agg(F.count(F.lit(1)).alias("_n"))
+    big_counts = counts.filter(F.col("_n") > max_per_row)
+    n_big = big_counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()["n"]
+    small = narrow.withColumn("chunk", F.lit(0)).withColumn("_p", F.lit(0).cast("int"))
+    if n_big:
+        big = big_counts.select("product_id")
+        small = small.join(big, "product_id", "left_anti")
+        numbered = row_number_within(narrow.join(big, "product_id", "left_semi"), ["product_id"],
+                                     ["sort_order", "id"], "_pos", rows_hint=n_big)
+        numbered = (numbered.withColumn("_p", (F.col("_pos") - 1).cast("int"))
+                    .withColumn("chunk", F.floor(F.col("_p") / F.lit(max_per_row)).cast("int")))
+        small = small.unionByName(numbered.select(*small.columns))
+    grouped = small.groupBy("product_id", "chunk").agg(
+        F.array_sort(F.collect_list(F.struct("_p", "sort_order", "id", "image_url"))).alias("_l"))
     return grouped.select("product_id", "chunk",
                           F.transform("_l", lambda x: x["image_url"]).alias("images"))
 

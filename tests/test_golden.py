@@ -131,3 +131,14 @@ def test_nested_orders_chunks(spark):
     counts = {r.id: r.line_count for r in O.line_counts(
         O.orders_with_items(orders, items, p, max_per_row=3)).collect()}
     assert counts == {1: 7, 2: 0}
+
+
+def test_image_chunks(spark):
+    imgs = spark.createDataFrame(
+        [(i, 1, f"u{i}", False, 10 - i, None) for i in range(7)] + [(100, 2, "only", True, 0, None)],
+        "id long, product_id long, image_url string, is_primary boolean, sort_order int, "
+        "created_at timestamp_ntz")
+    rows = {(r.product_id, r.chunk): r.images for r in K.image_urls(imgs, max_per_row=3).collect()}
+    # product 1: by sort_order (10 - i), so ids 6, 5, 4 | 3, 2, 1 | 0
+    assert rows == {(1, 0): ["u6", "u5", "u4"], (1, 1): ["u3", "u2", "u1"], (1, 2): ["u0"],
+                    (2, 0): ["only"]}
