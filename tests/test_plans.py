@@ -47,3 +47,11 @@ def test_stored_tables_equal_derivation_and_prune_months(spark):
     plan = _plan(R.sales_report(stored.orders, "monthly", "2001-08-01 12:00:00"))
     assert "PartitionFilters: [isnotnull(created_month" in plan or "created_month#" in plan
     assert "In(status" in plan
+
+
+def test_scan_plan_reads_checkpoint_and_broadcasts_offsets(spark):
+    from shelfwise.operators.scan import running_sum
+    df = spark.createDataFrame([(i % 3, i, 1) for i in range(500)], "k long, i long, q long")
+    plan = _plan(running_sum(df, ["k"], ["i"], ["q"], ["r"], partitions=4, force_scan=True))
+    assert "Scan ExistingRDD" in plan or "ExistingRDD" in plan      # the checkpointed blocks
+    assert "BroadcastExchange" in plan                               # the < P-row offset table
