@@ -137,8 +137,9 @@ def admit_orders(products: DataFrame, orders: DataFrame, items: DataFrame,
     the pairs accepted in the round before (their totals are folded into a
     stored ``accepted`` sum), so rounds shrink.  Each round's running sums are
     the skew-safe scan (checkpointed), and the loop reads one count per round.
-    Once at most ``finish_pairs`` undecided pairs remain, they are decided in
-    one sequential pass in a single task (bounded input; exact).
+    Once the undecided pairs plus the pairs accepted in the last round number
+    at most ``finish_pairs`` (the whole input of that task), the rest is
+    decided in one sequential pass in a single task (bounded input; exact).
 
     Orders of unknown users and orders with a line for an unknown product are
     rejected up front (``unknown_user`` / ``unknown_product``), as the shop
