@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 from shelfwise.fixed import LEDGER_ACTION
 from shelfwise.operators.scan import estimated_bytes, running_sum
 
-# When at most this many undecided (order, product) pairs remain after a
-# round, they are decided in one exact sequential pass inside a single task
-# (a proven bound; the whole input never takes this path).
+# When the undecided (order, product) pairs plus the pairs accepted in the
+# last round number at most this many after a round, the rest is decided in
+# one exact sequential pass inside a single task (a proven bound on that
+# task's input; the whole input never takes this path).
 FINISH_PAIRS = 250_000
 # The per-round verdict (one row per undecided order, at most one per pair)
 # is broadcast to the pairs when the round has at most this many pairs.
