@@ -93,3 +93,79 @@ class OrderedCartProcessor(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+LINES_OUTPUT_SCHEMA = T.StructType([T.StructField("user_id", T.LongType()),
+                                    T.StructField("product_id", T.LongType()),
+                                    T.StructField("quantity", T.LongType())])
+_LINE_EVENT_SCHEMA = T.StructType([T.StructField("ts_ms", T.LongType()),
+                                   T.StructField("event_id", T.LongType()),
+                                   T.StructField("product_id", T.LongType()),
+                                   T.StructField("kind", T.IntegerType())])
+# event kinds in the buffered list
+ADD, REMOVE, CLEAR, REMOVE_LINE = 1, -1, 2, 3
+
+
+class OrderedCartLinesProcessor(StatefulProcessor):
+    """Cart lines per user (map state product -> quantity), folded in
+    event-time order once the watermark passes each event.  A user's clear
+    empties all lines; a line at zero is removed.  Each update emits the
+    user's changed lines, a removed line with quantity 0."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.lines = handle.getMapState("lines", "product_id long", "quantity long")
+        self.pending = handle.getListState("pending", _LINE_EVENT_SCHEMA)
+
+    def _advance(self, key, watermark_ms: int, new_rows=()):
+        waiting = list(self.pending.get()) if self.pending.exists() else []
+        waiting.extend(new_rows)
+        ready = sorted((e for e in waiting if e[0] <= watermark_ms), key=lambda e: (e[0], e[1]))
+        rest = [e for e in waiting if e[0] > watermark_ms]
+        current = {k[0]: v[0] for k, v in self.lines.iterator()} if self.lines.exists() else {}
+        before = dict(current)
+        for _, _, product, kind in ready:
+            if kind == CLEAR:
+                current.clear()
+            elif kind == REMOVE_LINE:
+                current.pop(product, None)
+            elif kind == ADD:
+                current[product] = current.get(product, 0) + 1
+            elif kind == REMOVE and product in current:
+                if current[product] <= 1:
+                    del current[product]
+                else:
+                    current[product] -= 1
+        for p in before:
+            if p not in current:
+                self.lines.removeKey((p,))
+        for p, q in current.items():
+            if before.get(p) != q:
+                self.lines.updateValue((p,), (q,))
+        for t in self.handle.listTimers():
+            self.handle.deleteTimer(t)
+        if rest:
+            self.pending.put(rest)
+            self.handle.registerTimer(min(e[0] for e in rest))
+        else:
+            self.pending.clear()
+        changed = [(p, current.get(p, 0)) for p in set(before) | set(current)
+                   if before.get(p) != current.get(p)]
+        return pd.DataFrame({"user_id": [key[0]] * len(changed),
+                             "product_id": [p for p, _ in changed],
+                             "quantity": [q for _, q in changed]},
+                            columns=["user_id", "product_id", "quantity"]).astype("int64")
+
+    def handleInputRows(self, key, rows, timerValues):
+        batch = pd.concat(list(rows), ignore_index=True)
+        ts_ms = (pd.to_datetime(batch["ts"], utc=True).astype("int64") // 1_000_000).tolist()
+        prods = batch["product_id"].tolist()
+        new = [(int(t), int(e), None if pd.isna(p) else int(p), int(k)) for t, e, p, k in
+               zip(ts_ms, batch["event_id"], prods, batch["kind"])]
+        yield self._advance(key, timerValues.getCurrentWatermarkInMs(), new)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield self._advance(key, timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass

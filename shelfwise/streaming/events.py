@@ -152,6 +152,33 @@ def cart_lines_state(events: DataFrame, product="product_id", add=CART_ADD,
         .filter(F.col("quantity") > 0)
 
 
+def cart_lines_stream(stream: DataFrame, product="product_id", watermark: str = "10 minutes",
+                      add=CART_ADD, remove=CART_REMOVE, clear=CART_CLEAR,
+                      remove_line: str | None = None) -> DataFrame:
+    """ST-2 per cart line as an event-time exact stream (keyed by user, map
+    state per product): emits changed lines, a removed line with quantity 0.
+    The latest row per (user, product) with quantity > 0 equals
+    :func:`cart_lines_state` over the events the watermark has passed."""
+    from pyspark.sql import Column
+
+    from shelfwise.streaming.cart_processor import (ADD, CLEAR, LINES_OUTPUT_SCHEMA, REMOVE,
+                                                    REMOVE_LINE, OrderedCartLinesProcessor)
+
+    prod = product if isinstance(product, Column) else F.col(product)
+    et = F.col("event_type")
+    kind = (F.when(et == add, ADD).when(et == remove, REMOVE).when(et == clear, CLEAR))
+    if remove_line:
+        kind = kind.when(et == remove_line, REMOVE_LINE)
+    timed = _event_time(stream, "ts").withWatermark("ts", watermark)
+    ev = (timed.select("user_id", "ts", "event_id", prod.cast("long").alias("product_id"),
+                       kind.cast("int").alias("kind"))
+          .filter(F.col("kind").isNotNull()
+                  & (F.col("product_id").isNotNull() | (F.col("kind") == CLEAR))))
+    return ev.groupBy("user_id").transformWithStateInPandas(
+        statefulProcessor=OrderedCartLinesProcessor(), outputStructType=LINES_OUTPUT_SCHEMA,
+        outputMode="Update", timeMode="EventTime")
+
+
 def cart_state_stream_ordered(stream: DataFrame, watermark: str = "10 minutes",
                               **types) -> DataFrame:
     """ST-2 as an event-time exact stream: events are buffered in list state

@@ -250,3 +250,17 @@ def test_cart_lines_state_matches_loop(spark):
         finally:
             scan.SMALL_ROWS, scan.SMALL_BYTES = saved
         assert got == cart
+
+
+def test_cart_lines_stream_equals_batch(spark):
+    tmp = tempfile.mkdtemp(prefix="sw-lines-")
+    src, ev = _event_files(spark, tmp, n_files=3)
+    product = F.get_json_object("props", "$.k").cast("long")
+    stream = _stream(spark, src, SOURCE_SCHEMAS["events"])
+    _run(E.cart_lines_stream(stream, product, watermark="0 seconds"), "update", "lines", tmp)
+    got = {(r.user_id, r.product_id): r.quantity for r in spark.sql(
+        "SELECT user_id, product_id, max_by(quantity, _o) AS quantity FROM "
+        "(SELECT *, monotonically_increasing_id() AS _o FROM lines) "
+        "GROUP BY user_id, product_id").collect() if r.quantity > 0}
+    exp = {(r.user_id, r.product_id): r.quantity for r in E.cart_lines_state(ev, product).collect()}
+    assert got == exp
