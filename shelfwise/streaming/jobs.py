@@ -78,6 +78,18 @@ def start_cart_state(spark: SparkSession, source: str, sink: str, checkpoint: st
                          "cart_state", trigger)
 
 
+def start_cart_lines(spark: SparkSession, source: str, sink: str, checkpoint: str, *,
+                     product="product_id", watermark: str = "10 minutes",
+                     schema: T.StructType | None = None, max_files_per_trigger: int | None = None,
+                     trigger: dict | None = None) -> StreamingQuery:
+    """ST-2 per cart line: changed lines per micro-batch, a removed line with
+    quantity 0 (read with ``latest(spark, sink, ['user_id', 'product_id'])``
+    and keep quantity > 0)."""
+    stream = _source(spark, source, schema or SOURCE_SCHEMAS["events"], max_files_per_trigger)
+    return _start_update(E.cart_lines_stream(stream, product, watermark), sink, checkpoint,
+                         "cart_lines", trigger)
+
+
 def start_stream_sales(spark: SparkSession, source: str, sink: str, checkpoint: str, *,
                        schema: T.StructType, watermark: str = "2 days",
                        max_files_per_trigger: int | None = None,

@@ -159,6 +159,16 @@ def test_stream_jobs_to_sinks(spark):
     got = {r.user_id: r.cart_items for r in jobs.latest(spark, f"{tmp}/cart", "user_id").collect()}
     assert got == {r.user_id: r.cart_items for r in E.cart_state(ev).collect()}
 
+    product = F.get_json_object("props", "$.k").cast("long")
+    q = jobs.start_cart_lines(spark, src, f"{tmp}/lines", f"{tmp}/ck-lines", product=product,
+                              watermark="0 seconds", max_files_per_trigger=1,
+                              trigger={"availableNow": True})
+    q.awaitTermination(300)
+    lines = {(r.user_id, r.product_id): r.quantity for r in
+             jobs.latest(spark, f"{tmp}/lines", ["user_id", "product_id"]).collect() if r.quantity > 0}
+    assert lines == {(r.user_id, r.product_id): r.quantity
+                     for r in E.cart_lines_state(ev, product).collect()}
+
     q = jobs.start_over_limit(spark, src, f"{tmp}/limit", f"{tmp}/ck-limit", limit=1,
                               window="1 minute", watermark="1 minute",
                               max_files_per_trigger=1, trigger={"availableNow": True})
