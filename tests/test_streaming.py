@@ -274,3 +274,31 @@ def test_cart_lines_stream_equals_batch(spark):
         "GROUP BY user_id, product_id").collect() if r.quantity > 0}
     exp = {(r.user_id, r.product_id): r.quantity for r in E.cart_lines_state(ev, product).collect()}
     assert got == exp
+
+
+def test_stream_sales_drops_late_orders(spark):
+    from decimal import Decimal
+    tmp = tempfile.mkdtemp(prefix="sw-st3late-")
+    schema = ("id long, user_id long, total_amount decimal(10,2), status string, "
+              "created_at timestamp_ntz")
+    d = lambda day, h=12: dt.datetime(2024, 1, day, h)
+    batches = [
+        [(1, 1, Decimal("10.00"), "confirmed", d(1)), (2, 1, Decimal("5.00"), "shipped", d(1, 13))],
+        [(3, 1, Decimal("7.00"), "delivered", d(3))],          # moves the watermark past day 1
+        [(4, 1, Decimal("1.00"), "delivered", d(3, 13))],
+        [(5, 1, Decimal("99.00"), "confirmed", d(1, 14))],     # late for day 1: dropped
+        [(6, 1, Decimal("2.00"), "confirmed", d(5))],
+    ]
+    src = os.path.join(tmp, "orders")
+    for i, rows in enumerate(batches):
+        p = os.path.join(src, f"p{i}")
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(p)
+        for f in os.listdir(p):
+            os.utime(os.path.join(p, f), (1_700_000_000 + 100 * i, 1_700_000_000 + 100 * i))
+    stream = _stream(spark, src, spark.createDataFrame([], schema).schema)
+    _run(E.stream_sales(stream, watermark="1 day"), "update", "late_sales", tmp)
+    latest = {r.date: (r.orders, r.revenue) for r in spark.sql(
+        "SELECT date, max_by(orders, _o) AS orders, max_by(revenue, _o) AS revenue FROM "
+        "(SELECT *, monotonically_increasing_id() AS _o FROM late_sales) GROUP BY date").collect()}
+    assert latest[dt.date(2024, 1, 1)] == (2, Decimal("15.00"))
+    assert latest[dt.date(2024, 1, 3)] == (2, Decimal("8.00"))
