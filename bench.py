@@ -35,6 +35,9 @@ def main() -> None:
     wanted = os.environ.get("BENCH_QUERIES", "")
     names = sorted(QUERIES) if wanted == "all" else (
         [n for n in wanted.split(",") if n] or HEADLINE)
+    unknown = [n for n in names if n not in QUERIES]
+    if unknown:
+        sys.exit(f"unknown queries in BENCH_QUERIES: {unknown}")
 
     spark = get_session(master=f"local[{cpus}]", shuffle_partitions=cpus,
                         app_name="shelfwise-bench",
