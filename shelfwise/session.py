@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -79,3 +81,20 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
         os.makedirs(fallback, exist_ok=True)
         spark.sparkContext.setCheckpointDir(fallback)
         return spark.sparkContext.getCheckpointDir()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers, which need not have it on their
+    path.  Once per application; Spark hands the file to every executor."""
+    sc = spark.sparkContext
+    if getattr(sc, "_shelfwise_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="shelfwise-"), "shelfwise.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(here):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                z.write(path, os.path.relpath(path, os.path.dirname(here)))
+    sc.addPyFile(archive)
+    sc._shelfwise_shipped = True
