@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from shelfwise.session import require_checkpoint_dir
 
-#: Stands for a null id inside an operator, so that joins and ties have one rule.
-NULL_ID = -(1 << 63)
+#: Stands for a null id inside an operator (its negative is a long, too), so that joins and ties have one rule.
+NULL_ID = -(1 << 63) + 1
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

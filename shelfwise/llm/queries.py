@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import substring
+from shelfwise.llm import bitpack, decontam, ngram_join, packing, perplexity, substring
 from shelfwise.llm.common import read
 
 QUERIES: dict = {}
@@ -18,7 +18,48 @@ def _register(fn):
     return fn
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """The file of a public tokenizer; the library that has it is installed on
+    every machine.  The operators take the path as a parameter."""
+    import public_tokenizers
+    return str(public_tokenizers.path(name))
+
+
+VOCABULARY = 49_408
+
+
 @_register
 def op1_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
     found = substring.deduplicate(read(spark, d, "documents"), window=20)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "factors")
+
+
+@_register
+def op2_quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    found = perplexity.judge(read(spark, d, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+                        "kept", "log_perplexity", "lower", "upper")
+
+
+@_register
+def op3_benchmark_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    found = decontam.Decontaminator(read(spark, d, "documents"), read(spark, d, "benchmark"), window=10).report()
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@_register
+def op7_ngram_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
+    return ngram_join.components_of(read(spark, d, "documents"), size=5)
+
+
+@_register
+def op9_token_bit_packing(spark: SparkSession, d: str) -> DataFrame:
+    path, files = bitpack.write(read(spark, d, "documents"), tokenizer_path(), VOCABULARY, end=2)
+    return bitpack.read_back(path, files).mapInArrow(
+        bitpack.crc32_of, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+@_register
+def op10_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(read(spark, d, "documents"), tokenizer_path(), VOCABULARY, end=1, window=2048)
