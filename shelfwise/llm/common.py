@@ -40,9 +40,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     and a lost executor costs no more than the tasks it ran."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    free_shuffles(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of finished steps when the driver's garbage
+    is collected, which may be hours away: have it collected now."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -18,7 +18,8 @@ their prefixes of ``n - ceil(3n/4) + l`` shingles share at least l, for every l.
    prefix is shared (the likely original); links found join components.  Round
    two takes, list by list, all pairs of *different* components, so no pair
    between dissimilar groups is lost, and a group of thousands of near copies
-   is never expanded into its pairs.
+   is never expanded into its pairs.  A pair also goes if the places of its
+   shared shingles leave too few that could still be shared.
 6. Candidates are verified on the two whole texts: 100 |A n B| >= 75 |A u B|.
 
 Defined cases: a null text or one without words has the empty set and is linked
@@ -41,6 +42,7 @@ from shelfwise.llm.words import Block, blocks, mix, ngram_hashes
 HOT = 1 << 18
 HOT_FROM = 16           # documents from which a shingle may count as frequent
 DEPTH = 4               # largest l
+STAR = 0.3              # share of its prefix that a text must share with a likely original in round one
 VERIFY = 24             # cost of a verification in list entries read
 
 _U = np.uint64
@@ -57,8 +59,11 @@ def sets_of(b: Block, size: int) -> tuple[np.ndarray, np.ndarray]:
     if len(short):
         whole = [mix(ngram_hashes(h[b.first[k]:b.first[k + 1]], int(n[k])) + _U(n[k])) for k in short]
         value, doc = np.concatenate([value, *whole]), np.concatenate([doc, short])
-    order = np.lexsort((value, doc))
-    value, doc = value[order], doc[order]
+        order = np.argsort(doc, kind="stable")
+        value, doc = value[order], doc[order]
+    cut = np.searchsorted(doc, np.arange(b.n_docs + 1))
+    for i, j in zip(cut[:-1], cut[1:]):
+        value[i:j].sort()
     new = np.ones(len(value), dtype=bool)
     new[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
     value, doc = value[new], doc[new]
@@ -119,7 +124,7 @@ def _prefixes(size: int, hot):
                 if len(common) and len(value):
                     spot = np.minimum(np.searchsorted(common, value), len(common) - 1)
                     late = np.where(common[spot] == value, rank[spot] + 1, 0)
-                order = np.lexsort((value, late, doc))
+                order = np.argsort(doc * (len(common) + 1) + late, kind="stable")    # by hash where late is equal
                 pos = np.arange(len(value)) - cut[doc]
                 keep = pos < (n - need(n) + np.minimum(DEPTH, need(n)))[doc]
                 total = np.zeros(len(value) + 1, dtype=_U)
@@ -159,6 +164,9 @@ def _linked(size: int):
 
 def _verified(pairs: DataFrame, base: DataFrame, size: int) -> DataFrame:
     """Linked pairs among ``pairs`` (x, y)."""
+    pairs = stored(pairs, "pairs")
+    ids = pairs.select(F.col("x").alias("d")).unionByName(pairs.select(F.col("y").alias("d"))).distinct()
+    base = stored(base.join(ids, "d", "left_semi"), "texts")
     one = base.select(F.col("d").alias("x"), "text")
     two = base.select(F.col("d").alias("y"), F.col("text").alias("other"))
     return pairs.join(one, "x").join(two, "y").select("x", "y", "text", "other").mapInArrow(_linked(size), "a long, b long")
@@ -186,7 +194,7 @@ def components_of(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_c
             .join(reps, "d", "left_semi"))
     live = stored(live, "prefixes")
 
-    at = lambda k: F.col("n") - F.expr("(3 * n + 3) div 4") + k
+    at = lambda k: F.col("n") - F.expr("(3 * n + 3) div 4") + k  # noqa: E731   length of the l-prefix
     costs = live.groupBy("d", "n").agg(
         F.count(F.lit(1)).alias("shared"),
         *[F.sum(F.when(F.col("pos") < at(k), F.col("df"))).alias(f"c{k}") for k in range(1, DEPTH + 1)])
@@ -195,31 +203,34 @@ def components_of(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_c
     lists = stored(
         live.join(costs.select("d", "n", F.least(cheapest, F.expr("(3 * n + 3) div 4")).alias("l"),
                                F.round(F.col("shared") / at(DEPTH), 3).alias("central")), ["d", "n"])
-        .filter(F.col("pos") < at(F.col("l"))).select("h", "d", "n", "l", "central"), "lists")
-    members = stored(base.join(lists.select("d").distinct(), "d", "left_semi"), "members")
-
+        .filter(F.col("pos") < at(F.col("l"))).select("h", "d", "n", "l", "central", "pos"), "lists")
     alike = "4 * least(n, m) >= 3 * greatest(n, m)"
     centre = lists.groupBy("h").agg(F.max_by(F.struct("d", "n"), F.struct("central", -F.col("d"))).alias("p"))
     stars = (lists.join(centre.select("h", F.col("p.d").alias("x"), F.col("p.n").alias("m")), "h")
-             .filter(f"d <> x AND {alike}").groupBy("d", "x").agg(F.count(F.lit(1)).alias("c"))
-             .groupBy("d").agg(F.max_by("x", F.struct("c", -F.col("x"))).alias("x")))
-    first = stored(_verified(stars.select("x", F.col("d").alias("y")), members, size), "links")
+             .filter(f"d <> x AND {alike}").groupBy("d", "x", "n").agg(F.count(F.lit(1)).alias("c"))
+             .filter(F.col("c") >= STAR * at(0)).groupBy("d").agg(F.max_by("x", F.struct("c", -F.col("x"))).alias("x")))
+    first = stored(_verified(stars.select("x", F.col("d").alias("y")), base, size), "links")
     group = stored(components(copies.unionByName(first)), "groups")
 
     placed = lists.join(group.withColumnRenamed("node", "d"), "d", "left") \
-        .withColumn("g", F.coalesce("component", "d")).drop("component", "central")
+        .withColumn("g", F.coalesce("component", "d")).drop("component", "central", "df")
     placed = stored(placed, "placed")
     per = placed.groupBy("h", "g").agg(F.count(F.lit(1)).alias("c"))
     mode = per.groupBy("h").agg(F.max_by("g", F.struct("c", "g")).alias("mode"), F.count(F.lit(1)).alias("groups")) \
         .filter("groups > 1").drop("groups")
     mixed = placed.join(mode, "h")
     strangers = mixed.filter("g <> mode").select("h", F.col("d").alias("x"), F.col("n").alias("m"), F.col("l").alias("k"),
-                                                 F.col("g").alias("f"))
+                                                 F.col("g").alias("f"), F.col("pos").alias("at"))
     pairs = (strangers.join(mixed, "h").filter(f"g <> f AND (g = mode OR x < d) AND {alike}")
-             .groupBy(F.least("x", "d").alias("x"), F.greatest("x", "d").alias("y"))
-             .agg(F.count(F.lit(1)).alias("c"), F.min(F.least("k", "l")).alias("least"))
-             .filter("c >= least"))
-    second = _verified(pairs.select("x", "y"), members, size)
+             .withColumn("swap", F.col("x") > F.col("d"))
+             .select(F.least("x", "d").alias("x"), F.greatest("x", "d").alias("y"), F.least("k", "l").alias("l"),
+                     *[F.when(F.col("swap"), F.col(p)).otherwise(F.col(q)).alias(o)
+                       for p, q, o in (("n", "m", "nx"), ("m", "n", "ny"), ("pos", "at", "px"), ("at", "pos", "py"))])
+             .groupBy("x", "y", "nx", "ny").agg(F.count(F.lit(1)).alias("c"), F.min("l").alias("l"), F.max("px").alias("px"),
+                                                F.max("py").alias("py"))
+             # shared shingles that are not counted stand behind the last counted one in both sets
+             .filter("c >= l AND 7 * (c + least(nx - px, ny - py) - 1) >= 3 * (nx + ny)"))
+    second = _verified(pairs.select("x", "y"), base, size)
     final = components(group.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second))
     return (sets.join(final.withColumnRenamed("node", "d"), "d", "left")
             .select(id_out().alias("doc_id"), F.col("n").alias("n_shingles"),
