@@ -43,8 +43,10 @@ def lines(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     newline = np.flatnonzero(b.buf == 0x0A)
     start = np.unique(np.concatenate([b.offsets[:-1], newline + 1]))
     start = start[start < len(b.buf)]
+    if not len(start):
+        return start, start, start
     end = np.append(start[1:], len(b.buf))
-    end = end - (b.buf[end - 1] == 0x0A) if len(end) else end
+    end = end - (b.buf[end - 1] == 0x0A)
     doc = np.searchsorted(b.offsets, start, side="right") - 1
     has = np.searchsorted(b.start, end) > np.searchsorted(b.start, start)
     return start[has], end[has], doc[has]
