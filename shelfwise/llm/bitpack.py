@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.llm.common import filesystem, id_out, scratch_path, shuffle_partitions, stored, texts
-from shelfwise.llm.tokens import Encoder, encoded
+from shelfwise.llm.tokens import encoded
 
 MAGIC = b"FWBP0001"
 BLOCK = 1 << 14          # ids; a multiple of 64, so that blocks begin at whole words
@@ -151,16 +151,15 @@ def _write(path: str, tokenizer: str, end: int, bits: int):
         part, writer, out = TaskContext.get().partitionId(), None, None
         fs, folder = filesystem(path)
         temp = f"{folder}/_writing-{uuid.uuid4().hex}"
-        encoder = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             if writer is None:
                 fs.create_dir(folder, recursive=True)
-                encoder, out = Encoder(tokenizer), fs.open_output_stream(temp)
+                out = fs.open_output_stream(temp)
                 writer = Writer(out, bits)
             docs = batch.column(0).to_numpy(zero_copy_only=False)
-            for row, ids, cut in encoded(batch.column(1), encoder, end):
+            for row, ids, cut in encoded(batch.column(1), tokenizer, end):
                 writer.add(docs[row:row + len(cut) - 1], ids, np.diff(cut))
         if writer is not None:
             n_docs, n_ids = writer.close()

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.llm.common import id_out, stored, texts
-from shelfwise.llm.tokens import Encoder, encoded
+from shelfwise.llm.tokens import encoded
 
 GROUP = 4096
 TRIPLES = 60_000        # combinations of three lengths that are tried, the commonest lengths first
@@ -42,10 +42,9 @@ def _encode(tokenizer: str, end: int, wide: bool):
     kind = np.dtype("<u4" if wide else "<u2")
 
     def run(batches):
-        encoder = Encoder(tokenizer)
         for batch in batches:
             r, d = batch.column(0), batch.column(1)
-            for row, ids, cut in encoded(batch.column(2), encoder, end):
+            for row, ids, cut in encoded(batch.column(2), tokenizer, end):
                 n = len(cut) - 1
                 data = ids.astype(kind).tobytes()
                 yield pa.record_batch([

@@ -12,7 +12,8 @@ from tokenizers import Tokenizer
 
 from shelfwise.llm import bitpack, packing
 from shelfwise.llm.queries import QUERIES, VOCABULARY, tokenizer_path
-from shelfwise.llm.tokens import Encoder, encoded
+from shelfwise.llm import tokens
+from shelfwise.llm.tokens import encoded
 from tests.conftest import SF01
 
 PLAIN = Tokenizer.from_file(tokenizer_path())
@@ -24,15 +25,24 @@ def ids_of(text, end):
     return np.array(PLAIN.encode(text or "", add_special_tokens=False).ids + [end], dtype="<u4")
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=400, deadline=None)
 @given(st.lists(st.text(st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" \n\t'<|>aAéＡ́ \x1c\x85"))), min_size=1, max_size=6))
 def test_pieces_give_the_ids_of_the_whole_text(texts):
-    encoder = Encoder(tokenizer_path())
-    for row, ids, cut in encoded(pa.array(texts), encoder, 3):
+    for row, ids, cut in encoded(pa.array(texts), tokenizer_path(), 3):
         for k in range(len(cut) - 1):
             assert ids[cut[k]:cut[k + 1]].tolist() == ids_of(texts[row + k], 3).tolist()
 
 
+def test_units_of_real_texts(duck, monkeypatch):
+    texts = [t for t, in duck.sql("select text from documents").fetchall()]
+    for memory in (tokens.MEMORY, 500):
+        monkeypatch.setattr(tokens, "MEMORY", memory)
+        monkeypatch.setattr(tokens, "_encoders", {})
+        for row, ids, cut in encoded(pa.array(texts), tokenizer_path(), 3):
+            for k in range(len(cut) - 1):
+                assert ids[cut[k]:cut[k + 1]].tolist() == ids_of(texts[row + k], 3).tolist()
+
+
 @given(st.integers(1, 32).flatmap(lambda b: st.tuples(st.just(b), st.lists(st.integers(0, (1 << b) - 1), max_size=200))))
 def test_pack_and_unpack(case):
     bits, ids = case
