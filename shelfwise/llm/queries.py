@@ -3,10 +3,12 @@ derives the contract's columns from the operator's results."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import bitpack, decontam, ngram_join, packing, perplexity, substring
+from shelfwise.llm import (
+    bitpack, decontam, language, ngram_join, packing, perplexity, quality, secret_scan, sharding, substring,
+)
 from shelfwise.llm.common import read
 
 QUERIES: dict = {}
@@ -63,3 +65,32 @@ def op9_token_bit_packing(spark: SparkSession, d: str) -> DataFrame:
 @_register
 def op10_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(read(spark, d, "documents"), tokenizer_path(), VOCABULARY, end=1, window=2048)
+
+
+def held_out() -> Column:
+    """Rows that no model may learn from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+
+
+@_register
+def op4_secret_scan(spark: SparkSession, d: str) -> DataFrame:
+    found = secret_scan.scan(read(spark, d, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secret_scan.written("base"), 256).alias("base_sha256"),
+                        secret_scan.written("spans").alias("spans"))
+
+
+@_register
+def op5_label_propagation_sharding(spark: SparkSession, d: str) -> DataFrame:
+    found = sharding.shard_documents(read(spark, d, "documents"), shards=16)
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                        F.lit(None).cast("int").alias("grown_shard"))
+
+
+@_register
+def op6_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
+    return quality.classify(read(spark, d, "documents"), read(spark, d, "labels"), held_out())
+
+
+@_register
+def op8_language_id(spark: SparkSession, d: str) -> DataFrame:
+    return language.identify(read(spark, d, "documents"), held_out())
