@@ -1,19 +1,86 @@
-"""The corpus pipeline: stages over ``documents``, each one of the operators."""
+"""The corpus pipeline: stages over ``documents``, each one of the operators.
+
+1. ``language``: string-kernel language ID; documents without a letter, or with
+   no likely language (score under ``LEAST_SCORE``), go.
+2. ``near_duplicates``: n-gram Jaccard join; of each group of documents linked
+   by near copies the one with the smallest doc_id stays.
+3. ``decontamination``: documents that hold a benchmark passage go.
+4. ``secrets``: each secret becomes a mask in the text; n_chars follows.
+5. ``packing``: the rest is encoded and packed into windows of 2048 tokens.
+
+All but the last return the columns of their input.  A decision is by doc_id, so
+rows that repeat one share it, and stage 2 leaves one row of each doc_id (that
+with the smallest text).  A null doc_id is an id like any other.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from shelfwise.llm import decontam, language, ngram_join, packing, secret_scan
 from shelfwise.llm.common import read, stored
+from shelfwise.llm.queries import VOCABULARY, tokenizer_path
+from shelfwise.session import ship_package
+
+LEAST_SCORE = 0.15
+
+
+def _with_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is (``left_semi``) or is not (``left_anti``)
+    among ``ids``."""
+    ids = ids.select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), how)
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    found = language.identify(docs, F.lit(False))
+    likely: Column = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
+    return _with_ids(docs, found.filter(likely), "left_semi")
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    groups = ngram_join.components_of(docs, size=5)
+    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    one = Window.partitionBy("doc_id").orderBy("text")
+    return _with_ids(docs, first, "left_semi").withColumn("_n", F.row_number().over(one)).filter("_n = 1").drop("_n")
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    report = decontam.Decontaminator(docs, read(spark, sf_dir, "benchmark"), window=10).report()
+    return _with_ids(docs, report.filter("contaminated"), "left_anti")
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    masked = secret_scan.masked(docs)
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return masked
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return packing.pack(docs, tokenizer_path(), VOCABULARY, end=1, window=2048)
+
 
-STAGES: list = []
+STAGES: list = [
+    ("language", language_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("secrets", secret_stage),
+    ("packing", packing_stage),
+]
 
-#: Most stages have no SQL form; tests/llm/test_pipeline.py compares with brute force.
+#: Language ID, components of links and packing have no SQL form;
+#: tests/llm/test_pipeline.py compares every stage with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
