@@ -1,11 +1,9 @@
 """Catalogue operators: FLT-1, FLT-2, FLT-6, FLT-7, FLT-11, AG-11, AG-12,
 WN-2, WN-3, SR-3, SR-4, SR-5, JN-7.
 
-Image lists are nested per product, but never as one unbounded group: a
-product with more than ``max_per_row`` images has its images numbered by the
-skew-safe scan and packed into chunks of at most ``max_per_row``, so a
-product with millions of images yields several bounded rows instead of one
-giant array; other products are one chunk.
+Image lists are numbered rows, ``(product_id, position, image_url)``, for all
+products alike; nesting them into one array per product is a separate last step
+(the page's shape), the same at every size.
 """
 
 from __future__ import annotations
@@ -18,7 +16,6 @@ from shelfwise.operators.scan import row_number_within
 
 CATALOG_COLUMNS = ("id", "name", "description", "price", "stock", "category", "category_id",
                    "color", "material", "size", "created_at")
-DEFAULT_MAX_PER_ROW = 1000
 
 
 def number_images(images: DataFrame, key: str = "product_id",
@@ -31,50 +28,30 @@ def number_images(images: DataFrame, key: str = "product_id",
             .drop("_pos"))
 
 
-def image_urls(images: DataFrame, max_per_row: int = DEFAULT_MAX_PER_ROW) -> DataFrame:
-    """AG-11: image URLs per product ordered by ``(sort_order, id)``.
-
-    Returns ``(product_id, chunk, images)``; ``chunk`` is 0 unless a product
-    has more than ``max_per_row`` images, in which case its list continues in
-    chunk 1, 2, ... (concatenating the chunks in order gives the full list).
-    """
-    # Only products with more than ``max_per_row`` images need positions;
-    # the rest are one chunk ordered by (sort_order, id) directly.
+def image_urls(images: DataFrame) -> DataFrame:
+    """AG-11: image URLs per product in ``(sort_order, id)`` order, as rows
+    ``(product_id, position, image_url)`` with positions from 0."""
     narrow = images.select("product_id", "sort_order", "id", "image_url")
-    counts = narrow.groupBy("product_id").agg(F.count(F.lit(1)).alias("_n"))
-    big_counts = counts.filter(F.col("_n") > max_per_row)
-    n_big = big_counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()["n"]
-    small = narrow.withColumn("chunk", F.lit(0)).withColumn("_p", F.lit(0).cast("int"))
-    if n_big:
-        big = big_counts.select("product_id")
-        small = small.join(big, "product_id", "left_anti")
-        numbered = row_number_within(narrow.join(big, "product_id", "left_semi"), ["product_id"],
-                                     ["sort_order", "id"], "_pos", rows_hint=n_big)
-        numbered = (numbered.withColumn("_p", (F.col("_pos") - 1).cast("int"))
-                    .withColumn("chunk", F.floor(F.col("_p") / F.lit(max_per_row)).cast("int")))
-        small = small.unionByName(numbered.select(*small.columns))
-    grouped = small.groupBy("product_id", "chunk").agg(
-        F.array_sort(F.collect_list(F.struct("_p", "sort_order", "id", "image_url"))).alias("_l"))
-    return grouped.select("product_id", "chunk",
-                          F.transform("_l", lambda x: x["image_url"]).alias("images"))
-
-
-def catalog(products: DataFrame, images: DataFrame,
-            max_per_row: int = DEFAULT_MAX_PER_ROW) -> DataFrame:
-    """FLT-1 + AG-11: in-stock products with their image URLs (``[]`` when none).
-
-    One row per product (per image chunk for products above ``max_per_row``
-    images).  The stock filter is pushed to the scan of ``products``.
+    return number_images(narrow).select("product_id", "position", "image_url")
+
+
+def nest_images(urls: DataFrame) -> DataFrame:
+    """AG-11 as the page shows it: one row ``(product_id, images)`` per product."""
+    return urls.groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("position", "image_url"))).alias("_l")) \
+        .select("product_id", F.transform("_l", lambda x: x["image_url"]).alias("images"))
+
+
+def catalog(products: DataFrame, images: DataFrame) -> DataFrame:
+    """FLT-1 + AG-11: in-stock products with their image URLs (``[]`` when none),
+    one row per product.  The stock filter is pushed to the scan of ``products``.
     """
     in_stock = products.filter(F.col("stock") > 0).select(*CATALOG_COLUMNS)
     # only the images of shown products are numbered and nested (positions
     # are per product, so this changes no result)
     shown = images.join(in_stock.select(F.col("id").alias("product_id")), "product_id", "left_semi")
-    urls = image_urls(shown, max_per_row).withColumnRenamed("product_id", "id")
-    joined = in_stock.join(urls, "id", "left")
-    return joined.select(*CATALOG_COLUMNS,
-                         F.coalesce(F.col("chunk"), F.lit(0)).alias("chunk"),
-                         F.coalesce(F.col("images"), F.array().cast("array<string>")).alias("images"))
+    nested = nest_images(image_urls(shown)).withColumnRenamed("product_id", "id")
+    return in_stock.join(nested, "id", "left").select(
+        *CATALOG_COLUMNS, F.coalesce(F.col("images"), F.array().cast("array<string>")).alias("images"))
 
 
 def image_counts(products: DataFrame, images: DataFrame) -> DataFrame:

@@ -16,16 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.fixed import LEDGER_ACTION
-from shelfwise.operators.scan import estimated_bytes, running_sum
-
-# When the undecided (order, product) pairs plus the pairs accepted in the
-# last round number at most this many after a round, the rest is decided in
-# one exact sequential pass inside a single task (a proven bound on that
-# task's input; the whole input never takes this path).
-FINISH_PAIRS = 250_000
-# The per-round verdict (one row per undecided order, at most one per pair)
-# is broadcast to the pairs when the round has at most this many pairs.
-VERDICT_BROADCAST_PAIRS = 1_000_000
+from shelfwise.operators.scan import running_sum
+from shelfwise.session import require_checkpoint_dir
 
 
 def price_lines(items: DataFrame, products: DataFrame) -> DataFrame:
@@ -52,12 +44,7 @@ def stock_ledger(products: DataFrame, lines: DataFrame, orders: DataFrame,
     l = (lines.select(*keep)
          .join(o, "order_id", "inner").join(p, "product_id", "inner"))
     l = l.withColumn("_q", F.col("quantity").cast("long"))
-    # The lookups are many-to-one, so the scan input is bounded by the line
-    # table (Catalyst would multiply the join sides).  Twice the estimate of
-    # the line projection covers the added columns.
-    est = estimated_bytes(lines.select("order_id", "product_id", "quantity"))
-    run = running_sum(l, ["product_id"], ["_placed", "order_id", *line_order], ["_q"], ["_used"],
-                      bytes_hint=2 * est if est is not None else None)
+    run = running_sum(l, ["product_id"], ["_placed", "order_id", *line_order], ["_q"], ["_used"])
     new_stock = (F.col("_open") - F.col("_used")).cast("int")
     return run.select(
         "product_id", "order_id", "quantity",
@@ -81,45 +68,9 @@ def _order_product(items: DataFrame) -> DataFrame:
         F.max("quantity").cast("long").alias("need"))
 
 
-def _finish_sequential(pdf):
-    """Decide the remaining orders one after another (one task, bounded input).
-
-    ``pdf`` holds the undecided pairs (``_u``) with ``left = stock -
-    acc_before`` (stock left by orders accepted in earlier rounds), and the
-    pairs accepted in the last round (not ``_u``), whose stock is consumed
-    when they come up in order, as is the stock of orders accepted here.
-    """
-    import numpy as np
-    import pandas as pd
-
-    pdf = pdf.sort_values(["created_at", "order_id", "product_id"], kind="mergesort")
-    oid = pdf["order_id"].to_numpy()
-    undecided = pdf["_u"].to_numpy().tolist()
-    prod = pdf["product_id"].to_numpy().tolist()
-    need = pdf["need"].fillna(0).to_numpy().tolist()
-    left = pdf["left"].fillna(0).to_numpy().tolist()
-    total = pdf["total"].to_numpy().tolist()
-    # order boundaries in the sorted pairs
-    starts = np.flatnonzero(np.r_[True, oid[1:] != oid[:-1]]).tolist() + [len(oid)]
-    used: dict = {}
-    ids, verdicts = [], []
-    for a, b in zip(starts[:-1], starts[1:]):
-        if undecided[a]:
-            ok = all(need[i] <= left[i] - used.get(prod[i], 0) for i in range(a, b))
-        else:
-            ok = True          # accepted in the last round: only consumes stock
-        if ok:
-            for i in range(a, b):
-                used[prod[i]] = used.get(prod[i], 0) + total[i]
-        if undecided[a]:
-            ids.append(int(oid[a]))
-            verdicts.append("A" if ok else "R")
-    return pd.DataFrame({"order_id": ids, "_v": verdicts})
-
-
 def admit_orders(products: DataFrame, orders: DataFrame, items: DataFrame,
                  users: DataFrame | None = None, max_rounds: int | None = None,
-                 finish_pairs: int = FINISH_PAIRS, line_order: str | None = None) -> Admission:
+                 line_order: str | None = None) -> Admission:
     """WN-4: accept an order only if every line fits the stock left by earlier
     *accepted* orders; a rejected order deducts nothing.
 
@@ -136,17 +87,16 @@ def admit_orders(products: DataFrame, orders: DataFrame, items: DataFrame,
     The earliest undecided order has ``sure_left == best_left``, so each round
     decides at least one order.  A round only carries the undecided pairs and
     the pairs accepted in the round before (their totals are folded into a
-    stored ``accepted`` sum), so rounds shrink.  Each round's running sums are
-    the skew-safe scan (checkpointed), and the loop reads one count per round.
-    Once the undecided pairs plus the pairs accepted in the last round number
-    at most ``finish_pairs`` (the whole input of that task), the rest is
-    decided in one sequential pass in a single task (bounded input; exact).
+    stored ``accepted`` sum), so rounds shrink.  Each round is one checkpoint
+    of its pairs with their verdict; the loop reads three counts from it.
 
     Orders of unknown users and orders with a line for an unknown product are
     rejected up front (``unknown_user`` / ``unknown_product``), as the shop
-    does.  A rejected order reports its first failing line: in ``line_order``
-    (a column of ``items``) when given, else the smallest product id.  ``max_rounds`` (default: none) raises instead of looping longer.
+    does.  A rejected order reports its first failing line, whatever fails in it:
+    in ``line_order`` (a column of ``items``) when given, else by product id.
+    ``max_rounds`` (default: none) raises instead of looping longer.
     """
+    require_checkpoint_dir(products.sparkSession)
     o = orders.select(F.col("id").alias("order_id"), "user_id", "created_at")
     if users is not None:
         known_users = users.select(F.col("id").alias("user_id"), F.lit(True).alias("_user_ok"))
@@ -164,31 +114,22 @@ def admit_orders(products: DataFrame, orders: DataFrame, items: DataFrame,
           .join(stock, "product_id", "left")
           .checkpoint(eager=True))
 
-    rejected_parts = [o.filter(~F.col("_user_ok")).select(
+    unknown_user = o.filter(~F.col("_user_ok")).select(
         "order_id", F.lit("unknown_user").alias("reason"),
-        F.lit(None).cast("long").alias("product_id"),
-        F.lit(None).cast("long").alias("available"),
-        F.lit(None).cast("long").alias("requested"))]
+        *[F.lit(None).cast("long").alias(c) for c in ("product_id", "available", "requested")])
     ok_pairs = pe.filter(F.col("_user_ok"))
-    bad_product = (ok_pairs.filter(F.col("stock").isNull())
-                   .groupBy("order_id").agg(F.min(F.struct("product_id", "need")).alias("_f"))
-                   .select("order_id", F.lit("unknown_product").alias("reason"),
-                           F.col("_f.product_id").alias("product_id"),
-                           F.lit(0).cast("long").alias("available"),
-                           F.col("_f.need").alias("requested")))
-    rejected_parts.append(bad_product)
+    bad_product = ok_pairs.filter(F.col("stock").isNull()).select("order_id").distinct()
 
     # Candidate pairs: orders of known users with only known products.
     cand = (ok_pairs.filter(F.col("stock").isNotNull())
-            .join(bad_product.select("order_id"), "order_id", "left_anti")
+            .join(bad_product, "order_id", "left_anti")
             .select("order_id", "product_id", "created_at", "total", "need", "stock",
                     F.lit(0).cast("long").alias("acc_before")))
 
     spark = products.sparkSession
-    n_cand = cand.count()
     undecided = cand
     newly_accepted = cand.limit(0).select("order_id", "product_id", "created_at", "total")
-    n_left, n_new = n_cand, 0
+    n_left = cand.count()
     decisions: list[DataFrame] = []
     rounds = 0
     while n_left > 0:
@@ -211,7 +152,7 @@ def admit_orders(products: DataFrame, orders: DataFrame, items: DataFrame,
         both = u.unionByName(a)
         run = running_sum(both, ["product_id"], ["created_at", "order_id"],
                           ["a_new", "u_pos", "u_neg"], ["a_run", "pos_run", "neg_run"],
-                          inclusive=False, rows_hint=n_left + n_new).filter(F.col("_u"))
+                          inclusive=False).filter(F.col("_u"))
         acc = F.col("acc_before") + F.col("a_run")
         scored = run.select(
             "order_id", "product_id", "created_at", "total", "need", "stock",
@@ -223,34 +164,16 @@ def admit_orders(products: DataFrame, orders: DataFrame, items: DataFrame,
         verdict = verdict.select(
             "order_id",
             F.when(F.col("_all_sure"), "A").when(F.col("_any_bad"), "R").otherwise("U").alias("_v"))
-        if n_left + n_new <= VERDICT_BROADCAST_PAIRS:   # proven bound: rows <= pairs
-            verdict = F.broadcast(verdict)
         tagged = scored.join(verdict, "order_id", "inner").checkpoint(eager=True)
         # one small read per round: pair counts by verdict (at most 3 rows)
         counts = {r["_v"]: r["n"] for r in
                   tagged.groupBy("_v").agg(F.count(F.lit(1)).alias("n")).collect()}
-        n_new, n_left = counts.get("A", 0), counts.get("U", 0)
+        n_left = counts.get("U", 0)
         decisions.append(tagged.filter(F.col("_v") != "U").select("order_id", "_v"))
         newly_accepted = tagged.filter(F.col("_v") == "A").select(
             "order_id", "product_id", "created_at", "total")
         undecided = tagged.filter(F.col("_v") == "U").select(
             "order_id", "product_id", "created_at", "total", "need", "stock", "acc_before")
-        if 0 < n_left and n_left + n_new <= finish_pairs:
-            # Decide the rest in order within one task; the pairs accepted in
-            # this round come along and consume their stock as they come up.
-            rest = undecided.select(
-                "order_id", "product_id", "created_at", "total", "need",
-                (F.col("stock") - F.col("acc_before")).alias("left"), F.lit(True).alias("_u")
-            ).unionByName(newly_accepted.select(
-                "order_id", "product_id", "created_at", "total",
-                F.lit(None).cast("long").alias("need"), F.lit(None).cast("long").alias("left"),
-                F.lit(False).alias("_u")))
-            decided = (rest.groupBy(F.lit(0).alias("_all"))
-                       .applyInPandas(_finish_sequential, "order_id long, _v string")
-                       .checkpoint(eager=True))
-            decisions.append(decided)
-            rounds += 1
-            break
 
     # One small table of order-level decisions (an order without lines
     # passes every check), checkpointed once.
@@ -261,38 +184,38 @@ def admit_orders(products: DataFrame, orders: DataFrame, items: DataFrame,
         .checkpoint(eager=True)
     accepted = decided_orders.filter(F.col("_v") == "A").select("order_id")
 
-    # Exact "available" for rejected orders: stock left by all earlier
-    # accepted orders, reported for the failing line with the smallest
-    # product id.
+    # Exact "available" for rejected orders: stock left by all earlier accepted
+    # orders, for every pair of a known user's order; then the first line that
+    # fails, an unknown product (nothing available) like one that lacks stock.
     cand_dec = cand.join(decided_orders, "order_id", "inner")
-    both = cand_dec.select(
-        "order_id", "product_id", "created_at", "need", "stock", "total",
+    known = ok_pairs.filter(F.col("stock").isNotNull()).join(decided_orders, "order_id", "left")
+    both = known.select(
+        "order_id", "product_id", "created_at", "need", "stock",
         F.when(F.col("_v") == "A", F.col("total")).otherwise(F.lit(0)).cast("long").alias("a_new"),
-        (F.col("_v") == "R").alias("_r"))
+        (F.coalesce(F.col("_v"), F.lit("R")) == "R").alias("_r"))
     run = running_sum(both, ["product_id"], ["created_at", "order_id"], ["a_new"], ["a_run"],
-                      inclusive=False, rows_hint=n_cand).filter(F.col("_r"))
-    failing = run.withColumn("available", F.col("stock") - F.col("a_run")) \
-        .filter(F.col("need") > F.col("available"))
+                      inclusive=False).filter(F.col("_r"))
+    failing = (run.select("order_id", "product_id", "need", (F.col("stock") - F.col("a_run")).alias("available"),
+                          F.lit("insufficient_stock").alias("reason"))
+               .filter(F.col("need") > F.col("available"))
+               .unionByName(ok_pairs.filter(F.col("stock").isNull()).select(
+                   "order_id", "product_id", "need", F.lit(0).cast("long").alias("available"),
+                   F.lit("unknown_product").alias("reason"))))
     if line_order is None:
-        first = failing.groupBy("order_id").agg(
-            F.min(F.struct("product_id", "available", F.col("need").alias("q"))).alias("_f"))
+        first = failing.groupBy("order_id").agg(F.min_by(
+            F.struct("product_id", "available", F.col("need").alias("q"), "reason"), "product_id").alias("_f"))
     else:
-        # The failing lines of rejected orders, checked one by one against the
-        # stock available to the order; the first in item order is reported.
+        # The lines of rejected orders, checked one by one against the stock
+        # available to the order; the first in item order is reported.
         lines = items.select("order_id", "product_id", F.col("quantity").cast("long").alias("q"),
                              F.col(line_order).alias("_pos"))
-        first = (lines.join(failing.select("order_id", "product_id", "available"),
-                            ["order_id", "product_id"], "inner")
-                 .filter(F.col("q") > F.col("available"))
+        first = (lines.join(failing.drop("need"), ["order_id", "product_id"], "inner")
+                 .filter((F.col("reason") == "unknown_product") | (F.col("q") > F.col("available")))
                  .groupBy("order_id")
-                 .agg(F.min_by(F.struct("product_id", "available", "q"), F.col("_pos")).alias("_f")))
-    stock_rejects = first.select(
-        "order_id", F.lit("insufficient_stock").alias("reason"),
-        F.col("_f.product_id").alias("product_id"), F.col("_f.available").alias("available"),
-        F.col("_f.q").alias("requested"))
-    rejected = stock_rejects
-    for part in rejected_parts:
-        rejected = rejected.unionByName(part)
+                 .agg(F.min_by(F.struct("product_id", "available", "q", "reason"), F.col("_pos")).alias("_f")))
+    rejected = first.select(
+        "order_id", F.col("_f.reason").alias("reason"), F.col("_f.product_id").alias("product_id"),
+        F.col("_f.available").alias("available"), F.col("_f.q").alias("requested")).unionByName(unknown_user)
 
     used = (cand_dec.filter(F.col("_v") == "A")
             .groupBy("product_id").agg(F.sum("total").alias("_used")))

@@ -35,10 +35,15 @@ def latest_changes(changes: DataFrame, key: str | list[str], ts: str = "ts",
 def apply_updates(target: DataFrame, changes: DataFrame, key: str, cols: list[str],
                   as_of=None, updated_at: str | None = "updated_at") -> DataFrame:
     """SNK-2: set ``cols`` on rows whose ``key`` has a change; other rows and
-    columns are untouched.  ``changes`` must hold one row per key (see
-    :func:`latest_changes`).  A match flag (not ``coalesce``) decides, so an
+    columns are untouched.  Of several changes to one key the last counts: by
+    ``ts`` when ``changes`` has that column, then by the new values (one change
+    per key is what :func:`latest_changes` gives).  A match flag (not ``coalesce``) decides, so an
     update *to* NULL is kept.  ``updated_at`` is refreshed on changed rows
     (``as_of``, or the change's own ``ts`` column when ``as_of='ts'``)."""
+    order = F.struct(*[F.col(c) for c in (["ts"] if "ts" in changes.columns else []) + list(cols)])
+    kept = list(dict.fromkeys([*cols, *(["ts"] if as_of == "ts" else [])]))
+    changes = (changes.groupBy(key).agg(F.max_by(F.struct(*kept), order).alias("_c"))
+               .select(key, *[F.col(f"_c.{c}").alias(c) for c in kept]))
     ch = changes.select(F.col(key).alias("_key"), F.lit(True).alias("_hit"),
                         *[F.col(c).alias(f"_new_{c}") for c in cols],
                         *([F.col("ts").alias("_new_ts")] if as_of == "ts" else []))
@@ -62,10 +67,9 @@ def assign_ids(target: DataFrame, rows: DataFrame, order_by: list[str],
     """WN-5: give new rows consecutive keys after the current largest key, in
     ``order_by`` order (AUTO_INCREMENT for a batch).
 
-    The position of each row is the global running count: range partitions
-    plus a per-partition offset table for large batches, a plain window only
-    for batches proven small.  The current maximum is a one-row aggregate
-    joined on a constant.
+    The position of each row is the global running count of
+    :func:`~shelfwise.operators.scan.running_sum`.  The current maximum is a
+    one-row aggregate joined on a constant.
     """
     one = "_one"
     numbered = running_sum(rows.withColumn(one, F.lit(1)), [], order_by, [one], ["_pos"])
@@ -78,19 +82,40 @@ def assign_ids(target: DataFrame, rows: DataFrame, order_by: list[str],
 
 
 def upsert(target: DataFrame, rows: DataFrame, key: str, update_cols: list[str],
-           id_col: str | None = "id", order_by: list[str] | None = None) -> DataFrame:
+           id_col: str | None = "id", order_by: list[str] | None = None, fold_case: bool = False,
+           defaults: str | None = None, as_of=None) -> DataFrame:
     """SNK-3: update ``update_cols`` where ``key`` exists, insert otherwise.
 
-    ``rows`` must hold one row per key.  Inserted rows get new ids after the
-    current largest (WN-5) when ``id_col`` is given.  Running it twice equals
-    running it once.
+    ``rows`` is first reduced to one row per key: the last by ``ts`` when it has
+    that column, then by its values.  With ``fold_case`` keys are compared in
+    lower case, as the database's collation does; a row that is updated keeps the
+    key as it stands.  ``defaults`` names the shop table whose declared defaults
+    inserted rows take where ``rows`` is silent, and ``as_of`` stamps
+    ``updated_at`` (and ``created_at`` of inserts) if the target has them.
+    Inserted rows get new ids after the current largest (WN-5) when ``id_col`` is
+    given.  Running it twice equals running it once.
     """
-    tgt_keys = target.select(F.col(key).alias(key))
-    matched = rows.join(tgt_keys, key, "left_semi")
-    inserts = rows.join(tgt_keys, key, "left_anti")
-    updated = apply_updates(target, matched, key, update_cols, updated_at=None)
+    from shelfwise.sources.tables import with_defaults
+
+    fold = (lambda c: F.lower(c)) if fold_case else (lambda c: c)
+    named = [c for c in rows.columns if c != "ts"]
+    order = F.struct(*[F.col(c) for c in (["ts"] if "ts" in rows.columns else []) + named])
+    one = (rows.filter(F.col(key).isNotNull()).groupBy(fold(F.col(key)).alias("_k"))
+           .agg(F.max_by(F.struct(*named), order).alias("_r")).select("_k", "_r.*"))
+    taken = target.select(fold(F.col(key)).alias("_k"), F.lit(True).alias("_hit")).distinct()
+    inserts = one.join(taken, "_k", "left_anti").drop("_k")
+    stamp = as_of is not None and "updated_at" in target.columns
+    updated = apply_updates(target.withColumn("_k", fold(F.col(key))), one.select("_k", *update_cols), "_k", update_cols,
+                            as_of=as_of, updated_at="updated_at" if stamp else None).drop("_k")
     if id_col is not None and id_col not in rows.columns:
         inserts = assign_ids(target, inserts, order_by or [key], id_col)
+    if stamp:
+        for c in ("created_at", "updated_at"):
+            if c in target.columns and c not in rows.columns:
+                inserts = inserts.withColumn(c, as_of_literal(as_of).cast(target.schema[c].dataType))
+    if defaults is not None:
+        inserts = with_defaults(inserts, defaults)
+        inserts = inserts.select(*[c for c in inserts.columns if c in target.columns])
     return updated.unionByName(inserts, allowMissingColumns=True).select(*target.columns)
 
 

@@ -2,10 +2,9 @@
 SR-1, SR-2, SC-15.
 
 The shop lists orders and then runs one query per order for its items; here
-that is one join and one grouping.  Items are nested per order in chunks of at
-most ``max_per_row`` lines: orders within that size are one chunk, and only the
-lines of larger orders are numbered (skew-safe scan), so even an order holding
-a large share of all lines never becomes one unbounded array.
+that is one join and one grouping.  Lines are rows ``(order_id, position, ...)``
+numbered for all orders alike; nesting them into one array per order is a
+separate step, the same at every size, and the order of the list is made last.
 """
 
 from __future__ import annotations
@@ -18,15 +17,14 @@ from shelfwise.operators.scan import row_number_within
 from shelfwise.fixed import DELIVERY_FEE, FREE_DELIVERY_FROM
 from shelfwise.schemas import LINE_MONEY_SUM, MONEY
 
-DEFAULT_MAX_PER_ROW = 1000
-
 
 # ---------------------------------------------------------------- filters
 def lookup(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
     """FLT-5: rows of ``df`` whose key is in ``keys`` (set form of a keyed
-    look-up).  A ``left_semi`` join: AQE broadcasts ``keys`` only when its
-    measured size is under the threshold, else sort-merge."""
-    return df.join(keys, on, "left_semi")
+    look-up).  The keys are made distinct first (combined in each task), so a key
+    that a fact table repeats millions of times arrives as a few rows."""
+    names = [on] if isinstance(on, str) else list(on)
+    return df.join(keys.select(*names).distinct(), on, "left_semi")
 
 
 def by_status(orders: DataFrame, status: str | None) -> DataFrame:
@@ -60,12 +58,16 @@ def recent_orders(orders: DataFrame, n: int = 5) -> DataFrame:
 # ---------------------------------------------------------------- joins
 def admin_orders(orders: DataFrame, users: DataFrame) -> DataFrame:
     """JN-1: orders with customer name and phone, newest first."""
+    return newest_first(_with_customer(orders, users))
+
+
+def _with_customer(orders: DataFrame, users: DataFrame) -> DataFrame:
     phone = F.col("phone") if "phone" in users.columns else F.lit(None).cast("string")
     u = users.select(F.col("id").alias("user_id"), F.col("name").alias("customer_name"),
                      phone.alias("customer_phone"))
-    return newest_first(orders.join(u, "user_id", "inner").select(
+    return orders.join(u, "user_id", "inner").select(
         "id", "user_id", "customer_name", "customer_phone", "total_amount", "status",
-        "delivery_address", "created_at"))
+        "delivery_address", "created_at")
 
 
 def order_lines(items: DataFrame, products: DataFrame, extra=(),
@@ -92,61 +94,55 @@ def existing(df: DataFrame, parent: DataFrame, fk: str, pk: str = "id") -> tuple
     """JN-5: split ``df`` into rows whose ``fk`` exists in ``parent`` and rows
     whose does not (a NULL key is neither accepted nor a missing reference:
     it goes with the rejected rows)."""
-    # semi / anti joins ignore repeated keys: no distinct (no extra shuffle)
-    keys = parent.select(F.col(pk).alias(fk))
+    # distinct combines in each task: a repeated key arrives as a few rows
+    keys = parent.select(F.col(pk).alias(fk)).distinct()
     return df.join(keys, fk, "left_semi"), df.join(keys, fk, "left_anti")
 
 
 # ---------------------------------------------------------------- nesting
+def numbered_lines(items: DataFrame, products: DataFrame) -> DataFrame:
+    """The lines of every order as rows ``(order_id, position, product_id,
+    product_name, quantity, price)``, positions from 0 by product and quantity."""
+    lines = order_lines(items.select("order_id", "product_id", "quantity"), products.select("id", "name", "price"))
+    return row_number_within(lines, ["order_id"], ["product_id", "quantity"], "_pos").select(
+        "order_id", (F.col("_pos") - 1).cast("int").alias("position"), "product_id", "product_name", "quantity", "price")
+
+
 def orders_with_items(orders: DataFrame, items: DataFrame, products: DataFrame,
-                      users: DataFrame | None = None,
-                      max_per_row: int = DEFAULT_MAX_PER_ROW) -> DataFrame:
+                      users: DataFrame | None = None) -> DataFrame:
     """AG-13: orders with their lines nested as ``items``
-    (``array<struct<product_id, product_name, quantity, price>>``).
+    (``array<struct<product_id, product_name, quantity, price>>``, by product and
+    quantity), one row per order, newest first (SR-1).
 
-    Orders without lines keep an empty array.  Lines of one order are split
-    over rows ``chunk = 0, 1, ...`` of at most ``max_per_row`` lines.
+    Orders without lines keep an empty array.  ``users`` (JN-1) adds the
+    customer's name and phone.  One exchange of the lines on the order id serves
+    the grouping and the join.
     """
-    # Only orders with more than ``max_per_row`` lines need positions: count
-    # lines per order (mergeable), number just the lines of those orders with
-    # the skew-safe scan, and nest all other orders as one chunk directly.
-    narrow = items.select("order_id", "product_id", "quantity")
-    counts = narrow.groupBy("order_id").agg(F.count(F.lit(1)).alias("_n"))
-    big_counts = counts.filter(F.col("_n") > max_per_row)
-    # one number read back: how many lines belong to orders above the chunk size
-    n_big = big_counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()["n"]
-    if n_big == 0:
-        chunked = narrow.withColumn("chunk", F.lit(0)).withColumn("_pos", F.lit(0).cast("long"))
-    else:
-        big = big_counts.select("order_id")
-        small_lines = (narrow.join(big, "order_id", "left_anti")
-                       .withColumn("chunk", F.lit(0)).withColumn("_pos", F.lit(0).cast("long")))
-        big_lines = row_number_within(narrow.join(big, "order_id", "left_semi"), ["order_id"],
-                                      ["product_id", "quantity"], "_pos", rows_hint=n_big)
-        big_lines = big_lines.withColumn(
-            "chunk", F.floor((F.col("_pos") - 1) / F.lit(max_per_row)).cast("int"))
-        chunked = small_lines.unionByName(big_lines.select(*small_lines.columns))
-    lines = order_lines(chunked, products.select("id", "name", "price"), extra=("_pos", "chunk"))
-    # within a chunk: by position (big orders), else by (product, quantity)
-    nested = (lines.groupBy("order_id", "chunk")
-              .agg(F.array_sort(F.collect_list(F.struct(
-                  "_pos", "product_id", "quantity", "product_name", "price"))).alias("_l"))
-              .select(F.col("order_id").alias("id"), "chunk",
+    lines = order_lines(items.select("order_id", "product_id", "quantity"), products.select("id", "name", "price"))
+    nested = (lines.groupBy("order_id")
+              .agg(F.array_sort(F.collect_list(F.struct("product_id", "quantity", "product_name", "price"))).alias("_l"))
+              .select(F.col("order_id").alias("id"),
                       F.transform("_l", lambda x: F.struct(
-                          x["product_id"].alias("product_id"),
-                          x["product_name"].alias("product_name"),
-                          x["quantity"].alias("quantity"),
-                          x["price"].alias("price"))).alias("items")))
-    base = admin_orders(orders, users) if users is not None else orders
+                          x["product_id"].alias("product_id"), x["product_name"].alias("product_name"),
+                          x["quantity"].alias("quantity"), x["price"].alias("price"))).alias("items")))
+    base = _with_customer(orders, users) if users is not None else orders
     empty = F.array().cast(nested.schema["items"].dataType)
-    return (base.join(nested, "id", "left")
-            .withColumn("chunk", F.coalesce(F.col("chunk"), F.lit(0)))
-            .withColumn("items", F.coalesce(F.col("items"), empty)))
+    return newest_first(base.join(nested, "id", "left").withColumn("items", F.coalesce(F.col("items"), empty)))
+
+
+def orders_with_items_of(orders: DataFrame, items: DataFrame, products: DataFrame, owners: DataFrame) -> DataFrame:
+    """FLT-9 + AG-13: the order history of the given users (``id``), newest first."""
+    own = orders.join(owners.select(F.col("id").alias("user_id")).distinct(), "user_id", "left_semi")
+    wanted = items.join(own.select(F.col("id").alias("order_id")), "order_id", "left_semi")
+    return orders_with_items(own, wanted, products)
 
 
-def line_counts(nested_orders: DataFrame) -> DataFrame:
-    """AG-14: number of lines per order, summed over its chunks."""
-    return nested_orders.groupBy("id").agg(F.sum(F.size("items")).cast("long").alias("line_count"))
+def line_counts(orders: DataFrame, items: DataFrame, products: DataFrame) -> DataFrame:
+    """AG-14: number of lines (of known products) per order, 0 when none."""
+    known = items.join(products.select(F.col("id").alias("product_id")), "product_id", "left_semi")
+    per = known.groupBy(F.col("order_id").alias("id")).agg(F.count(F.lit(1)).alias("_n"))
+    return orders.select("id").join(per, "id", "left").select(
+        "id", F.coalesce(F.col("_n"), F.lit(0)).cast("long").alias("line_count"))
 
 
 # ---------------------------------------------------------------- money
@@ -188,3 +184,13 @@ def cart_units(lines: DataFrame, key: str = "order_id") -> DataFrame:
 def order_line_text(lines_with_names: DataFrame) -> DataFrame:
     """SC-15: one text per line, ``<name> (Qty: <q>) - Rs. <amount>``."""
     return lines_with_names.withColumn("line_text", line_text("product_name", "quantity", "price"))
+
+
+def order_text(lines_with_names: DataFrame, key: str = "order_id", order=("product_id", "quantity"),
+               free_from=FREE_DELIVERY_FROM, fee=DELIVERY_FEE) -> DataFrame:
+    """SC-15 for a whole order: the texts of its lines joined by newline in line
+    order, with its money (AG-15): ``(order_id, order_text, subtotal, delivery, total)``."""
+    texts = (order_line_text(lines_with_names).groupBy(key)
+             .agg(F.array_sort(F.collect_list(F.struct(*order, "line_text"))).alias("_l"))
+             .select(key, F.array_join(F.transform("_l", lambda x: x["line_text"]), "\n").alias("order_text")))
+    return texts.join(order_totals(lines_with_names, key=key, free_from=free_from, fee=fee), key)

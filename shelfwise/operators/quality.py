@@ -46,11 +46,12 @@ def null_violations(df: DataFrame, cols, table: str, key="id") -> DataFrame:
     return _out(hits, table, "not_null", F.col("_k"), F.col("_c"))
 
 
-def duplicate_keys(df: DataFrame, cols, table: str) -> DataFrame:
+def duplicate_keys(df: DataFrame, cols, table: str, fold_case: bool = False) -> DataFrame:
     """DQ-2: UNIQUE / PRIMARY KEY: key values held by more than one row
-    (NULL keys are not duplicates, as in SQL)."""
+    (NULL keys are not duplicates, as in SQL).  ``fold_case`` compares text keys
+    in lower case, as e-mail addresses are."""
     cols = [cols] if isinstance(cols, str) else list(cols)
-    nn = df
+    nn = df.select(*[F.lower(c).alias(c) for c in cols]) if fold_case else df
     for c in cols:
         nn = nn.filter(F.col(c).isNotNull())
     dup = nn.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)

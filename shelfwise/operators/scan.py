@@ -1,65 +1,25 @@
-"""Skew-safe running sums within a key (the shared core of WN-1, WN-3, WN-4, WN-5, ST-2).
-
-``Window.partitionBy(key).orderBy(...)`` sends every row of a key to one task,
-so one hot key (a product in a third of all order lines, a user with a third
-of all events) becomes one task over a third of the data.  This module computes
-the same running sums with the key split across tasks:
-
-1. ``repartitionByRange(P, *keys, *order)`` + ``sortWithinPartitions``: Spark
-   samples the data and cuts it into P contiguous ranges of about equal size,
-   so a hot key spans many partitions, each a contiguous block of its rows.
-2. One Arrow-batched pass per partition computes the running sums inside the
-   block (vectorised ``cumsum`` per key, carrying the running value across
-   batches).  The result is checkpointed (reliable, into the cluster's
-   ``spark.checkpoint.dir``) so partition ids stay fixed under retries.
-3. Only a key that crosses a partition boundary needs an offset: the first
-   key of a partition may continue from earlier partitions.  One summary row
-   per partition (first key; last key and its local total) is enough to
-   compute every offset, so the offset table has fewer than ``P`` rows: a
-   proven bound, broadcast to the blocks.  No aggregate over all keys runs.
-
-Rows are never dropped or sampled; the only driver traffic is the range
-sample Spark takes itself.
+"""Running sums within a key, with a hot key's rows spread over tasks
+(the shared core of WN-1, WN-3, WN-4, WN-5, ST-2).
+
+``Window.partitionBy(key).orderBy(...)`` alone sends every row of a key to one
+task.  Here every row also gets a bucket, computed from its own first order
+column and ascending with it (the hour of a time, the day of a date, a range of
+ids, the first characters of a text).  A window over ``(key, bucket)`` sums
+inside a bucket; the totals of each ``(key, bucket)`` are summed over the
+buckets of a key, whose number is bounded by the span of the order column and
+not by its rows; a join adds the two.  All of it is native, lazy and the same at
+every size.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfwise.session import require_checkpoint_dir
-
-_PID = "_scan_pid"
-
-# Inputs at or under these sizes use a plain window (one task per key holds
-# at most this much); larger inputs take the skew-safe range scan.
-SMALL_ROWS = 1_000_000
-SMALL_BYTES = 8 * 1024 * 1024
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of ``df`` (no job runs), or None if unknown."""
-    try:
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    except Exception:  # Spark Connect or a plan without statistics
-        return None
-    try:
-        return int(size)
-    except TypeError:  # a JVM BigInt handle
-        return int(size.toString())
-
-
-def is_small(df: DataFrame, rows_hint: int | None = None, bytes_hint: int | None = None) -> bool:
-    """True when ``df`` is known to be small: an exact row count from the
-    caller, a size bound from the caller (e.g. the estimate of the fact table
-    behind many-to-one lookups), or Catalyst's size estimate of ``df``."""
-    if rows_hint is not None:
-        return rows_hint <= SMALL_ROWS
-    est = bytes_hint if bytes_hint is not None else estimated_bytes(df)
-    return est is not None and est <= SMALL_BYTES
+# Width of a bucket, by the type of the first order column.
+ID_RANGE = 4096
+TEXT_PREFIX = 3
 
 
 def _names(cols) -> list[str]:
@@ -70,128 +30,55 @@ def _names(cols) -> list[str]:
     return list(cols)
 
 
-def _local_scan_fn(keys: list[str], values: list[str], outs: list[str]):
-    """Per-partition running sums over rows sorted by (keys, order)."""
+def bucket_of(df: DataFrame, col: str) -> Column:
+    """A value that ascends with ``col``; NULL for NULL."""
+    kind, c = df.schema[col].dataType, F.col(col)
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.date_trunc("hour", c)
+    if isinstance(kind, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
+        return F.floor(c / F.lit(ID_RANGE).cast("decimal(10,0)")).cast("long")
+    if isinstance(kind, T.StringType):
+        return F.substring(c, 1, TEXT_PREFIX)
+    return c        # dates and everything else: one bucket per value
 
-    def scan(batches):
-        from pyspark import TaskContext
 
-        pid = TaskContext.get().partitionId()
-        carry_key = None
-        carry = None
-        for pdf in batches:
-            n = len(pdf)
-            if n == 0:
-                continue
-            vals = pdf[values].astype("float64" if any(
-                pdf[v].dtype.kind == "f" for v in values) else "int64")
-            if keys:
-                starts = np.zeros(n, dtype=bool)
-                starts[0] = True
-                for k in keys:
-                    cur = pdf[k]
-                    prev = cur.shift()
-                    both_null = cur.isna() & prev.isna()
-                    starts |= ((cur != prev) & ~both_null).to_numpy()
-                grp = np.cumsum(starts)
-                first_key = tuple(None if pd.isna(x) else x for x in pdf[keys].iloc[0])
-                last_key = tuple(None if pd.isna(x) else x for x in pdf[keys].iloc[-1])
-            else:
-                grp = np.ones(n, dtype=np.int64)
-                first_key = last_key = ()
-            cs = vals.groupby(grp).cumsum()
-            if carry_key is not None and first_key == carry_key:
-                first = grp == grp[0]
-                cs.loc[first] = cs.loc[first].to_numpy() + carry
-            carry_key = last_key
-            carry = cs.iloc[-1].to_numpy()
-            out = pdf.copy()
-            out[_PID] = np.int32(pid)
-            for v, o in zip(values, outs):
-                out[o] = cs[v].to_numpy()
-            yield out
-
-    return scan
-
-
-def running_sum(df: DataFrame, keys, order, values, outs=None, *,
-                inclusive: bool = True, partitions: int | None = None,
-                rows_hint: int | None = None, bytes_hint: int | None = None,
-                force_scan: bool = False) -> DataFrame:
+def running_sum(df: DataFrame, keys, order, values, outs=None, *, inclusive: bool = True,
+                bucket: Column | None = None) -> DataFrame:
     """Add running sums of ``values`` within ``keys`` in ``order``.
 
-    ``order`` must make the order within a key total (append a unique
-    tie-break column), otherwise results are not repeatable.  ``values`` must
-    be non-null integral or floating columns; a NULL key is one key.  ``outs`` names the new columns
-    (default ``<value>_run``).  ``inclusive=False`` gives the sum of the rows
-    strictly before each row.
-
-    Small inputs (``rows_hint`` rows, or a Catalyst size estimate, under the
-    ``SMALL_*`` limits) use a plain window: every key then holds a bounded
-    number of rows.  ``force_scan`` always takes the skew-safe scan.
+    ``order`` must make the order within a key total (append a unique tie-break
+    column), otherwise results are not repeatable.  ``values`` are integral or
+    floating columns; a NULL value adds nothing, a NULL key is one key, a NULL
+    order value comes first, and a sum beyond a long fails.  ``outs`` names the
+    new columns (default ``<value>_run``).  ``inclusive=False`` gives the sum of
+    the rows strictly before each row.  Without ``keys`` the whole table is one
+    key.  ``bucket`` replaces the rule for the first order column; it must ascend
+    with the order.
     """
     keys, order, values = _names(keys), _names(order), _names(values)
     outs = _names(outs) or [f"{v}_run" for v in values]
-    is_float = any(isinstance(df.schema[v].dataType, (T.DoubleType, T.FloatType))
-                   for v in values)
-    out_type = T.DoubleType() if is_float else T.LongType()
-    if not force_scan and is_small(df, rows_hint, bytes_hint):
-        w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(*order)
-        frame = w.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-        cols = [F.coalesce(F.sum(v).over(frame), F.lit(0)).cast(out_type).alias(o)
-                for v, o in zip(values, outs)]
-        return df.select(*df.columns, *cols)
-    spark = df.sparkSession
-    require_checkpoint_dir(spark)
-    n_part = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    schema = T.StructType(df.schema.fields
-                          + [T.StructField(_PID, T.IntegerType(), False)]
-                          + [T.StructField(o, out_type, False) for o in outs])
-    ranged = (df.repartitionByRange(n_part, *keys, *order)
-              .sortWithinPartitions(*keys, *order))
-    local = ranged.mapInPandas(_local_scan_fn(keys, values, outs), schema)
-    local = local.checkpoint(eager=True)
-
-    # Only the first key of a partition can continue from earlier partitions,
-    # and only the last key of a partition can continue into later ones.  One
-    # summary row per partition (its last key with that key's local total,
-    # and its first key) gives every offset: the offset table has < P rows.
-    order_struct = F.struct(*[F.col(c) for c in keys + order])
-    tail = local.groupBy(_PID).agg(
-        F.max_by(F.struct(*[F.col(c) for c in keys + outs]), order_struct).alias("_last"),
-        F.min_by(F.struct(*[F.col(c) for c in keys] or [F.lit(0)]), order_struct).alias("_first"))
-    contrib = tail.select(_PID, *[F.col(f"_last.{k}").alias(k) for k in keys],
-                          F.lit(1).alias("_is_c"),
-                          *[F.col(f"_last.{o}").alias(o) for o in outs])
-    query = tail.select(_PID, *[F.col(f"_first.{k}").alias(k) for k in keys],
-                        F.lit(0).alias("_is_c"), *[F.lit(0).cast(out_type).alias(o) for o in outs])
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(_PID, "_is_c")
-    prior = w.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (contrib.unionByName(query)
-               .select(_PID, *keys, "_is_c", *[F.sum(o).over(prior).alias(f"{o}_off") for o in outs])
-               .filter((F.col("_is_c") == 0) & F.col(f"{outs[0]}_off").isNotNull())
-               .drop("_is_c"))
-
-    # Null-safe on the keys, so a NULL key is one key as in the window path.
-    ren = offsets.select(F.col(_PID).alias("_o_pid"), *[F.col(k).alias(f"_o_{k}") for k in keys],
-                         *[F.col(f"{o}_off") for o in outs])
-    cond = [F.col(_PID) == F.col("_o_pid")] + [F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in keys]
-    joined = local.join(F.broadcast(ren), on=cond, how="left")
-    cols = [c for c in df.columns]
-    res = []
-    for v, o in zip(values, outs):
-        total = F.col(o) + F.coalesce(F.col(f"{o}_off"), F.lit(0))
-        if not inclusive:
-            total = total - F.col(v)
-        res.append(total.cast(out_type).alias(o))
-    return joined.select(*cols, *res)
-
-
-def row_number_within(df: DataFrame, keys, order, out: str = "rn", *,
-                      partitions: int | None = None, rows_hint: int | None = None,
-                      force_scan: bool = False) -> DataFrame:
-    """1-based position of each row within its key (skew-safe ``row_number``)."""
+    floating = {v for v in values if isinstance(df.schema[v].dataType, (T.DoubleType, T.FloatType))}
+    kind = {v: "double" if v in floating else "long" for v in values}
+    # A struct is never NULL itself and compares its NULL fields as equal, so one
+    # partitioning serves the window and the join.
+    place = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], (bucket_of(df, order[0]) if bucket is None else bucket).alias("bucket"))
+    placed = df.withColumn("_place", place)
+    totals = placed.groupBy("_place").agg(*[F.sum(F.col(v).cast(kind[v])).alias(f"_t{i}") for i, v in enumerate(values)])
+    # the buckets of a key in order; without keys, one row for each bucket
+    earlier = (Window.partitionBy(*[F.col(f"_place.k{i}") for i in range(len(keys))])
+               .orderBy("_place.bucket").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = totals.select("_place", *[F.coalesce(F.sum(f"_t{i}").over(earlier), F.lit(0)).alias(f"_o{i}")
+                                        for i in range(len(values))])
+    inside = (Window.partitionBy("_place").orderBy(*order)
+              .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
+    local = placed.select("_place", *df.columns, *[F.coalesce(F.sum(F.col(v).cast(kind[v])).over(inside), F.lit(0))
+                                                   .alias(f"_l{i}") for i, v in enumerate(values)])
+    return local.join(offsets, "_place").select(
+        *df.columns, *[(F.col(f"_l{i}") + F.col(f"_o{i}")).cast(kind[v]).alias(o)
+                       for i, (v, o) in enumerate(zip(values, outs))])
+
+
+def row_number_within(df: DataFrame, keys, order, out: str = "rn") -> DataFrame:
+    """1-based position of each row within its key."""
     one = "_scan_one"
-    res = running_sum(df.withColumn(one, F.lit(1)), keys, order, [one], [out],
-                      partitions=partitions, rows_hint=rows_hint, force_scan=force_scan)
-    return res.drop(one)
+    return running_sum(df.withColumn(one, F.lit(1)), keys, order, [one], [out]).drop(one)

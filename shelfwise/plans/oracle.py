@@ -77,6 +77,6 @@ def with_ctes(body: str) -> str:
         return body.strip()
     ctes = ",\n".join(f"{n} AS ({CTES[n]})" for n in needed)
     body = body.strip()
-    if re.match(r"(?i)^with\s", body):
-        return f"WITH {ctes},\n{body[5:].lstrip()}"
+    if m := re.match(r"(?i)^(with(\s+recursive)?)\s", body):
+        return f"{m[1].upper()} {ctes},\n{body[m.end():].lstrip()}"
     return f"WITH {ctes}\n{body}"

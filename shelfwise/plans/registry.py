@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfwise.fixed import DELIVERY_FEE, FREE_DELIVERY_FROM
 from shelfwise.plans.oracle import AS_OF, AS_OF_SQL, with_ctes
 from shelfwise.sources.adapters import shop_tables
 
@@ -83,14 +84,6 @@ def _sales_report_proc_daily(spark, d):
     return R.sales_report_proc(T(spark, d).orders, "daily", AS_OF)
 
 
-@register("sales_report_proc_unknown", """
-SELECT CAST(created_at AS DATE) AS date, COUNT(*) AS total_orders,
-       CAST(SUM(total_amount) AS DECIMAL(20,2)) AS revenue
-FROM s_orders WHERE false GROUP BY 1""")
-def _sales_report_proc_unknown(spark, d):
-    return R.sales_report_proc(T(spark, d).orders, "weekly", AS_OF)
-
-
 @register("sales_report_all_time_monthly", f"""
 SELECT CAST(date_trunc('month', created_at) AS DATE) AS date, COUNT(*) AS orders,
        CAST(COALESCE(SUM(total_amount), 0) AS DECIMAL(20,2)) AS revenue
@@ -120,22 +113,6 @@ def _report_totals_monthly(spark, d):
     return R.report_totals(R.sales_report(T(spark, d).orders, "monthly", AS_OF))
 
 
-@register("report_totals_empty", f"""
-WITH rep AS (
-  SELECT CAST(created_at AS DATE) AS date, COUNT(*) AS orders,
-         CAST(COALESCE(SUM(total_amount), 0) AS DECIMAL(20,2)) AS revenue
-  FROM s_orders
-  WHERE {SALE} AND created_at >= TIMESTAMP '2030-01-01 00:00:00' - INTERVAL 7 DAY
-  GROUP BY 1)
-SELECT CAST(COALESCE(SUM(orders), 0) AS BIGINT) AS total_orders,
-       CAST(COALESCE(SUM(revenue), 0) AS DECIMAL(20,2)) AS total_revenue,
-       CAST(0 AS DOUBLE) AS avg_order_value
-FROM rep""")
-def _report_totals_empty(spark, d):
-    # A report window after the newest order: zero totals, average 0.
-    return R.report_totals(R.sales_report(T(spark, d).orders, "daily", "2030-01-01 00:00:00"))
-
-
 @register("user_count", "SELECT COUNT(*) AS count FROM s_users")
 def _user_count(spark, d):
     return R.user_count(T(spark, d).users)
@@ -258,11 +235,11 @@ def _catalog(spark, d):
 
 
 @register("image_urls", """
-SELECT product_id, string_agg(image_url, ',' ORDER BY sort_order, id) AS image_list
-FROM s_images GROUP BY product_id""")
+SELECT product_id, image_url,
+       CAST(row_number() OVER (PARTITION BY product_id ORDER BY sort_order, id) - 1 AS INTEGER) AS position
+FROM s_images""")
 def _image_urls(spark, d):
-    u = K.image_urls(T(spark, d).product_images)
-    return u.select("product_id", F.array_join("images", ",").alias("image_list"))
+    return K.image_urls(T(spark, d).product_images)
 
 
 @register("image_counts", """
@@ -442,6 +419,46 @@ def _items_known(spark, d):
     return ok.select("order_id", "product_id", "quantity")
 
 
+@register("numbered_order_lines", """
+SELECT i.order_id, i.product_id, p.name AS product_name, i.quantity, p.price,
+       CAST(row_number() OVER (PARTITION BY i.order_id ORDER BY i.product_id, i.quantity) - 1 AS INTEGER) AS position
+FROM s_items i JOIN s_products p ON p.id = i.product_id""")
+def _numbered_order_lines(spark, d):
+    t = T(spark, d)
+    return O.numbered_lines(t.order_items, t.products)
+
+
+@register("orders_with_items_of_users", """
+SELECT o.id, o.user_id, o.status, COUNT(l.order_id) AS n_lines,
+       COALESCE(string_agg(l.name || ' x' || CAST(l.quantity AS VARCHAR), '; ' ORDER BY l.product_id, l.quantity), '') AS line_list
+FROM s_orders o JOIN s_users u ON u.id = o.user_id AND u.status = 'inactive'
+LEFT JOIN (SELECT i.*, p.name FROM s_items i JOIN s_products p ON p.id = i.product_id) l ON l.order_id = o.id
+GROUP BY ALL""")
+def _orders_with_items_of_users(spark, d):
+    # The order history, with items, of every inactive customer.
+    t = T(spark, d)
+    owners = t.users.filter(F.col("status") == "inactive").select("id")
+    nested = O.orders_with_items_of(t.orders, t.order_items, t.products, owners)
+    return nested.select("id", "user_id", "status", F.size("items").cast("long").alias("n_lines"), F.array_join(
+        F.transform("items", lambda x: F.concat(x["product_name"], F.lit(" x"), x["quantity"].cast("string"))), "; ")
+        .alias("line_list"))
+
+
+@register("order_text", """
+WITH l AS (SELECT i.order_id, i.product_id, i.quantity, p.name, p.price FROM s_items i JOIN s_products p ON p.id = i.product_id),
+t AS (SELECT order_id, CAST(SUM(quantity * price) AS DECIMAL(20,2)) AS subtotal,
+             string_agg(name || ' (Qty: ' || CAST(quantity AS VARCHAR) || ') - Rs. ' ||
+                        CAST(CAST(price * quantity AS DECIMAL(18,2)) AS VARCHAR), chr(10) ORDER BY product_id, quantity) AS order_text
+      FROM l GROUP BY 1)
+SELECT order_id, order_text, subtotal, CAST(CASE WHEN subtotal >= {free} THEN 0 ELSE {fee} END AS DECIMAL(10,2)) AS delivery,
+       CAST(subtotal + CASE WHEN subtotal >= {free} THEN 0 ELSE {fee} END AS DECIMAL(20,2)) AS total
+FROM t""".format(free=FREE_DELIVERY_FROM, fee=DELIVERY_FEE))
+def _order_text(spark, d):
+    # The text of every order: its lines in line order, and its money.
+    t = T(spark, d)
+    return O.order_text(O.order_lines(t.order_items, t.products))
+
+
 @register("orders_with_items", """
 SELECT o.id, o.customer_name, o.total_amount, o.status, l.product_id, l.product_name,
        l.quantity, l.price
@@ -465,7 +482,7 @@ LEFT JOIN (SELECT oi.order_id FROM s_items oi JOIN s_products p ON oi.product_id
   ON l.order_id = o.id GROUP BY o.id""")
 def _line_counts(spark, d):
     t = T(spark, d)
-    return O.line_counts(O.orders_with_items(t.orders, t.order_items, t.products))
+    return O.line_counts(t.orders, t.order_items, t.products)
 
 
 @register("order_totals", """
@@ -547,23 +564,93 @@ def _admission_frame(res: "V.Admission") -> DataFrame:
     return acc.unionByName(rej)
 
 
-@register("admit_orders")
+_ADMIT = """
+WITH RECURSIVE prods AS (
+  SELECT id, stock, row_number() OVER (ORDER BY id) AS i FROM ({products}) p),
+pl AS (
+  SELECT l.order_id, l.product_id, p.i, SUM(l.quantity)::BIGINT AS total, MAX(l.quantity)::BIGINT AS need
+  FROM s_items l LEFT JOIN prods p ON p.id = l.product_id GROUP BY 1, 2, 3),
+known AS (SELECT o.id AS order_id, o.created_at FROM s_orders o WHERE o.user_id IN (SELECT id FROM s_users)),
+ordered AS (
+  SELECT row_number() OVER (ORDER BY created_at, order_id) AS k, * FROM (
+    SELECT o.created_at, o.order_id, list(product_id ORDER BY product_id) AS p, list(i ORDER BY product_id) AS i,
+           list(total ORDER BY product_id) AS total, list(need ORDER BY product_id) AS need
+    FROM known o JOIN pl USING (order_id) GROUP BY 1, 2)),
+-- one order a step, with the stock of every product
+fold(k, stock, bad, available) AS (
+  SELECT 0::BIGINT, (SELECT list(stock::BIGINT ORDER BY i) FROM prods), 0::BIGINT, 0::BIGINT
+  UNION ALL
+  SELECT k, CASE WHEN bad IS NULL THEN list_transform(stock, lambda s, n: s - coalesce(total[list_position(i, n)], 0))
+                 ELSE stock END,
+         bad, coalesce(stock[i[bad]], 0)
+  FROM (SELECT l.*, f.stock, list_filter(range(1, len(l.i) + 1), lambda j:
+               l.i[j] IS NULL OR l.need[j] > f.stock[l.i[j]])[1] AS bad
+        FROM fold f JOIN ordered l ON l.k = f.k + 1))
+SELECT o.order_id, CASE WHEN f.bad IS NULL THEN 'accepted' ELSE 'rejected' END AS decision,
+       CASE WHEN f.bad IS NULL THEN NULL WHEN o.i[f.bad] IS NULL THEN 'unknown_product' ELSE 'insufficient_stock' END AS reason,
+       o.p[f.bad] AS product_id, CASE WHEN f.bad IS NOT NULL THEN f.available END AS available, o.need[f.bad] AS requested
+FROM fold f JOIN ordered o USING (k)
+UNION ALL
+SELECT order_id, 'accepted', NULL, NULL, NULL, NULL FROM known WHERE order_id NOT IN (SELECT order_id FROM pl)
+UNION ALL
+SELECT id, 'rejected', 'unknown_user', NULL, NULL, NULL FROM s_orders WHERE user_id NOT IN (SELECT id FROM s_users)"""
+
+_HALF = """SELECT p.id, CAST(COALESCE(trunc(q.n / 2), 0) AS INTEGER) AS stock FROM s_products p
+  LEFT JOIN (SELECT product_id, SUM(quantity) AS n FROM s_items GROUP BY 1) q ON q.product_id = p.id"""
+
+
+def _half_stocked(t) -> DataFrame:
+    demand = t.order_items.groupBy(F.col("product_id").alias("id")).agg(
+        (F.sum("quantity") / 2).cast("int").alias("stock"))
+    return (t.products.drop("stock").join(demand, "id", "left")
+            .withColumn("stock", F.coalesce(F.col("stock"), F.lit(0))).select(*t.products.columns))
+
+
+@register("admit_orders", _ADMIT.format(products="SELECT id, stock FROM s_products"))
 def _admit_orders(spark, d):
     # Every order, in placement order, against the catalogue's stock.
     t = T(spark, d)
     return _admission_frame(V.admit_orders(t.products, t.orders, t.order_items, t.users))
 
 
-@register("admit_orders_half_demand")
+@register("admit_orders_half_demand", _ADMIT.format(products=_HALF))
 def _admit_orders_half(spark, d):
     # Opening stock = half of each product's total ordered units, so about
     # half the demand can be met and decisions depend on earlier orders.
     t = T(spark, d)
-    demand = t.order_items.groupBy(F.col("product_id").alias("id")).agg(
-        (F.sum("quantity") / 2).cast("int").alias("stock"))
-    products = t.products.drop("stock").join(demand, "id", "left") \
-        .withColumn("stock", F.coalesce(F.col("stock"), F.lit(0)))
-    return _admission_frame(V.admit_orders(products, t.orders, t.order_items, t.users))
+    return _admission_frame(V.admit_orders(_half_stocked(t), t.orders, t.order_items, t.users))
+
+
+@register("place_orders", f"""
+WITH adm AS ({_ADMIT.format(products=_HALF)}),
+opening AS ({_HALF}),
+ok AS (SELECT l.l_orderkey AS order_id, l.l_partkey AS product_id, CAST(l.l_quantity AS INTEGER) AS quantity, l.l_linenumber AS n,
+              o.created_at
+       FROM lineitem l JOIN s_orders o ON o.id = l.l_orderkey JOIN adm a ON a.order_id = o.id AND a.decision = 'accepted'),
+run AS (SELECT ok.*, p.stock - SUM(quantity) OVER (PARTITION BY product_id ORDER BY ok.created_at, order_id, n, quantity
+                                                  ROWS UNBOUNDED PRECEDING) AS left_over
+        FROM ok JOIN opening p ON p.id = ok.product_id)
+SELECT 'ledger' AS kind, order_id, product_id, quantity, CAST(left_over + quantity AS INTEGER) AS old_stock,
+       CAST(left_over AS INTEGER) AS new_stock, CAST(NULL AS DECIMAL(10,2)) AS price FROM run
+UNION ALL
+SELECT 'item', order_id, product_id, quantity, NULL, NULL, p.price FROM ok JOIN s_products p ON p.id = product_id""")
+def _place_orders(spark, d):
+    # Every order of the tables sent again as a request, lines in line order,
+    # against half of each product's demand: the lines and ledger rows written.
+    t = T(spark, d)
+    li = t.source("lineitem").select(F.col("l_orderkey").alias("id"), F.struct(
+        F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("product_id"),
+        F.col("l_quantity").cast("int").alias("quantity")).alias("line"))
+    lines = li.groupBy("id").agg(F.array_sort(F.collect_list("line")).alias("_l")).select("id", F.transform(
+        "_l", lambda x: F.struct(x["product_id"].alias("product_id"), x["quantity"].alias("quantity"))).alias("items"))
+    requests = t.orders.join(lines, "id").select(F.col("id").alias("order_ref"), "user_id", "items", "total_amount",
+                                                 F.lit("pending").alias("status"), "created_at")
+    done = V.place_orders(_half_stocked(t), t.users, requests)
+    none = lambda kind: F.lit(None).cast(kind)
+    return done.ledger.select(F.lit("ledger").alias("kind"), "order_id", "product_id", "quantity", "old_stock", "new_stock",
+                              none("decimal(10,2)").alias("price")).unionByName(
+        done.items.select(F.lit("item").alias("kind"), "order_id", "product_id", "quantity", none("int").alias("old_stock"),
+                          none("int").alias("new_stock"), "price"))
 
 
 # ======================================================================= quality
@@ -572,12 +659,19 @@ from shelfwise.operators import quality as Q  # noqa: E402
 _V = 'SELECT {t} AS "table", {r} AS rule, CAST({k} AS VARCHAR) AS key, CAST({d} AS VARCHAR) AS detail'
 
 
+_SHIPPED = """(SELECT o.*, f.first_shipped FROM s_orders o LEFT JOIN (
+  SELECT order_id, MIN(created_at) AS first_shipped FROM s_items GROUP BY 1) f ON f.order_id = o.id) x"""
+
+
 @register("dq_not_null_orders", " UNION ALL ".join(
-    _V.format(t="'orders'", r="'not_null'", k="id", d=f"'{c}'") + f" FROM s_orders WHERE {c} IS NULL"
-    for c in ("id", "user_id", "total_amount", "delivery_address")))
+    _V.format(t="'orders'", r="'not_null'", k="id", d=f"'{c}'") + f" FROM {_SHIPPED} WHERE {c} IS NULL"
+    for c in ("id", "user_id", "total_amount", "delivery_address", "first_shipped")))
 def _dq_not_null(spark, d):
-    return Q.null_violations(T(spark, d).orders, ["id", "user_id", "total_amount", "delivery_address"],
-                             "orders")
+    # Orders with the time of their first line, which orders without lines lack.
+    t = T(spark, d)
+    first = t.order_items.groupBy(F.col("order_id").alias("id")).agg(F.min("created_at").alias("first_shipped"))
+    return Q.null_violations(t.orders.join(first, "id", "left"),
+                             ["id", "user_id", "total_amount", "delivery_address", "first_shipped"], "orders")
 
 
 @register("dq_duplicate_order_product", """
@@ -590,11 +684,15 @@ def _dq_duplicates(spark, d):
 
 
 @register("dq_duplicate_emails", """
-SELECT 'users' AS "table", 'unique:email' AS rule, email AS key,
+SELECT 'users' AS "table", 'unique:email' AS rule, lower(email) AS key,
        'rows=' || CAST(COUNT(*) AS VARCHAR) AS detail
-FROM s_users GROUP BY email HAVING COUNT(*) > 1""")
+FROM (SELECT email FROM s_users UNION ALL SELECT upper(email) FROM s_users WHERE status = 'inactive')
+GROUP BY lower(email) HAVING COUNT(*) > 1""")
 def _dq_dup_emails(spark, d):
-    return Q.duplicate_keys(T(spark, d).users, ["email"], "users")
+    # Every user, and the inactive ones once more as they registered in capitals.
+    u = T(spark, d).users
+    again = u.filter(F.col("status") == "inactive").withColumn("email", F.upper("email"))
+    return Q.duplicate_keys(u.unionByName(again), ["email"], "users", fold_case=True)
 
 
 @register("dq_orphan_orders_of_active_users", """
@@ -613,18 +711,22 @@ def _dq_orphans(spark, d):
 SELECT 'order_items' AS "table", 'fk:order_id->orders.id' AS rule,
        CAST(order_id AS VARCHAR) || '|' || CAST(product_id AS VARCHAR) AS key,
        CAST(order_id AS VARCHAR) AS detail
-FROM s_items WHERE order_id NOT IN (SELECT id FROM s_orders)""")
+FROM s_items WHERE order_id NOT IN (SELECT id FROM s_orders WHERE status <> 'cancelled')""")
 def _dq_orphan_items(spark, d):
     t = T(spark, d)
-    return Q.orphans(t.order_items, "order_id", t.orders, "id", "order_items", "orders",
+    # cancelled orders are archived: their lines refer to nothing
+    return Q.orphans(t.order_items, "order_id", t.orders.filter(F.col("status") != "cancelled"), "id", "order_items", "orders",
                      key=["order_id", "product_id"])
 
 
 @register("dq_order_status_domain", """
 SELECT 'orders' AS "table", 'domain:status' AS rule, CAST(id AS VARCHAR) AS key, status AS detail
-FROM s_orders WHERE status NOT IN ('pending', 'confirmed', 'shipped', 'delivered', 'cancelled')""")
+FROM (SELECT id, CASE WHEN status = 'confirmed' THEN 'Accepted' ELSE status END AS status FROM s_orders)
+WHERE status NOT IN ('pending', 'confirmed', 'shipped', 'delivered', 'cancelled')""")
 def _dq_domain(spark, d):
-    return Q.out_of_domain(T(spark, d).orders, "status", "orders")
+    # Another system's word for one of the states.
+    o = T(spark, d).orders.withColumn("status", F.when(F.col("status") == "confirmed", "Accepted").otherwise(F.col("status")))
+    return Q.out_of_domain(o, "status", "orders")
 
 
 @register("dq_category_domain_strict", """
@@ -638,22 +740,35 @@ def _dq_category_domain(spark, d):
 
 
 @register("dq_product_rules", """
+WITH broken AS (
+  SELECT id, CASE WHEN id % 7 = 0 THEN '  ' ELSE name END AS name,
+         CASE WHEN id % 5 = 0 THEN NULL ELSE description END AS description,
+         CASE WHEN id % 11 = 0 THEN '' ELSE category END AS category,
+         CASE WHEN id % 13 = 0 THEN 0 ELSE price END AS price, stock - 3 AS stock FROM s_products)
 SELECT 'products' AS "table", rule, CAST(id AS VARCHAR) AS key, CAST(NULL AS VARCHAR) AS detail
 FROM (
-  SELECT id, 'name_missing' AS rule FROM s_products WHERE name IS NULL OR trim(name) = ''
-  UNION ALL SELECT id, 'description_missing' FROM s_products
+  SELECT id, 'name_missing' AS rule FROM broken WHERE name IS NULL OR trim(name) = ''
+  UNION ALL SELECT id, 'description_missing' FROM broken
     WHERE description IS NULL OR trim(description) = ''
-  UNION ALL SELECT id, 'category_missing' FROM s_products WHERE category IS NULL OR trim(category) = ''
-  UNION ALL SELECT id, 'price_missing_or_zero' FROM s_products WHERE price IS NULL OR price = 0
-  UNION ALL SELECT id, 'stock_negative' FROM s_products WHERE stock < 0)""")
+  UNION ALL SELECT id, 'category_missing' FROM broken WHERE category IS NULL OR trim(category) = ''
+  UNION ALL SELECT id, 'price_missing_or_zero' FROM broken WHERE price IS NULL OR price = 0
+  UNION ALL SELECT id, 'stock_negative' FROM broken WHERE stock < 0)""")
 def _dq_product_rules(spark, d):
-    return Q.product_violations(T(spark, d).products)
+    # The catalogue after a bad import: rows that break each rule, and rows that keep it.
+    p = T(spark, d).products
+    every = lambda n: F.col("id") % n == 0
+    return Q.product_violations(
+        p.withColumn("name", F.when(every(7), "  ").otherwise(F.col("name")))
+        .withColumn("description", F.when(~every(5), F.col("description")))
+        .withColumn("category", F.when(every(11), "").otherwise(F.col("category")))
+        .withColumn("price", F.when(every(13), F.lit(0)).otherwise(F.col("price")).cast(p.schema["price"].dataType))
+        .withColumn("stock", F.col("stock") - 3))
 
 
 @register("dq_zero_stock_as_negative", """
 SELECT 'products' AS "table", 'stock_negative' AS rule, CAST(id AS VARCHAR) AS key,
        CAST(NULL AS VARCHAR) AS detail
-FROM s_products WHERE stock - 1 < 0""")
+FROM broken WHERE stock - 1 < 0""")
 def _dq_zero_stock(spark, d):
     # The product rules after selling one unit of everything: the products
     # that had stock 0 go negative and are flagged.
@@ -665,9 +780,10 @@ def _dq_zero_stock(spark, d):
 SELECT 'order_items' AS "table", 'quantity_not_positive' AS rule,
        CAST(order_id AS VARCHAR) || '|' || CAST(product_id AS VARCHAR) AS key,
        CAST(quantity AS VARCHAR) AS detail
-FROM s_items WHERE quantity <= 0""")
+FROM (SELECT order_id, product_id, quantity - 5 AS quantity FROM s_items) WHERE quantity <= 0""")
 def _dq_lines(spark, d):
-    return Q.line_violations(T(spark, d).order_items)
+    # Lines after five units of each were returned.
+    return Q.line_violations(T(spark, d).order_items.withColumn("quantity", F.col("quantity") - 5))
 
 
 @register("dq_bad_emails_in_urls", r"""
@@ -681,9 +797,12 @@ def _dq_emails(spark, d):
 
 @register("dq_bad_user_emails", r"""
 SELECT 'users' AS "table", 'email_shape' AS rule, CAST(id AS VARCHAR) AS key, email AS detail
-FROM s_users WHERE email IS NULL OR NOT regexp_matches(email, '^[^\s@]+@[^\s@]+\.[^\s@]+$')""")
+FROM (SELECT id, CASE WHEN id % 3 = 0 THEN replace(email, '@', ' at ') ELSE email END AS email FROM s_users)
+WHERE email IS NULL OR NOT regexp_matches(email, '^[^\s@]+@[^\s@]+\.[^\s@]+$')""")
 def _dq_user_emails(spark, d):
-    return Q.bad_emails(T(spark, d).users, "users")
+    u = T(spark, d).users
+    return Q.bad_emails(u.withColumn("email", F.when(F.col("id") % 3 == 0, F.replace("email", F.lit("@"), F.lit(" at ")))
+                                     .otherwise(F.col("email"))), "users")
 
 
 @register("dq_image_url_width", """
@@ -740,19 +859,58 @@ def _apply_status_log(spark, d):
 
 @register("upsert_users_by_email", """
 WITH active AS (SELECT * FROM s_users WHERE status = 'active'),
-     feed AS (SELECT email, upper(name) AS name FROM s_users)
-SELECT a.id, f.name, a.email FROM active a JOIN feed f ON f.email = a.email
+     feed AS (SELECT lower(email) AS k, upper(name) AS name, email, 1 AS ts FROM s_users
+              UNION ALL SELECT lower(email), name || ' II', upper(email), 2 FROM s_users WHERE id % 2 = 0),
+     last AS (SELECT k, arg_max(name, ts) AS name, arg_max(email, ts) AS email FROM feed GROUP BY k)
+SELECT a.id, COALESCE(l.name, a.name) AS name, a.email, 'active' AS status, TIMESTAMP '2001-08-01 12:00:00' AS updated_at
+FROM active a LEFT JOIN last l ON l.k = lower(a.email)
 UNION ALL
-SELECT (SELECT MAX(id) FROM active) + row_number() OVER (ORDER BY f.email) AS id, f.name, f.email
-FROM feed f WHERE f.email NOT IN (SELECT email FROM active)""")
+SELECT (SELECT MAX(id) FROM active) + row_number() OVER (ORDER BY l.email) AS id, l.name, l.email, 'active',
+       TIMESTAMP '2001-08-01 12:00:00'
+FROM last l WHERE l.k NOT IN (SELECT lower(email) FROM active)""")
 def _upsert_users(spark, d):
-    # The active-user table receives the full customer feed (names upper
-    # case): known e-mails are updated, the rest inserted with new ids.
+    # The active users receive the full customer feed, in which every second
+    # customer comes a second time, later and in capitals: the later row counts,
+    # known e-mails are updated, the rest inserted with new ids and defaults.
     t = T(spark, d)
     active = t.users.filter(F.col("status") == "active")
-    feed = t.users.select("email", F.upper("name").alias("name"))
-    out = M.upsert(active, feed, "email", ["name"], order_by=["email"])
-    return out.select("id", "name", "email")
+    feed = t.users.select("email", F.upper("name").alias("name"), F.lit(1).alias("ts")).unionByName(
+        t.users.filter(F.col("id") % 2 == 0).select(F.upper("email").alias("email"),
+                                                    F.concat("name", F.lit(" II")).alias("name"), F.lit(2).alias("ts")))
+    out = M.upsert(active, feed, "email", ["name"], order_by=["email"], fold_case=True, defaults="users", as_of=AS_OF)
+    return out.select("id", "name", "email", "status", "updated_at")
+
+
+@register("delete_cascade_keys", """
+WITH gone AS (SELECT id FROM s_users WHERE status = 'inactive')
+SELECT 'users' AS "table", id AS key FROM s_users WHERE id NOT IN (SELECT id FROM gone)
+UNION ALL
+SELECT 'orders', id FROM s_orders WHERE user_id NOT IN (SELECT id FROM gone)""")
+def _delete_cascade_keys(spark, d):
+    # The rows that a delete of the inactive users leaves, by key.
+    t = T(spark, d)
+    out = M.delete_cascade({"users": t.users, "orders": t.orders}, "users",
+                           t.users.filter(F.col("status") == "inactive"))
+    return out["users"].select(F.lit("users").alias("table"), F.col("id").alias("key")).unionByName(
+        out["orders"].select(F.lit("orders").alias("table"), F.col("id").alias("key")))
+
+
+@register("delete_admins_set_null", """
+SELECT l_orderkey AS order_id, l_partkey AS product_id, l_linenumber AS line_no,
+       CASE WHEN s_acctbal >= 0 THEN l_suppkey END AS admin_id
+FROM lineitem JOIN supplier ON s_suppkey = l_suppkey""")
+def _delete_admins(spark, d):
+    # Ledger rows name the admin (supplier) who made them; admins in debt are
+    # deleted, and the ledger keeps its rows without the name.
+    t = T(spark, d)
+    admins = t.source("supplier").select(F.col("s_suppkey").alias("id"), "s_acctbal")
+    ledger = t.source("lineitem").join(admins.select(F.col("id").alias("l_suppkey")), "l_suppkey", "left_semi").select(
+        F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"),
+        F.col("l_linenumber").cast("long").alias("line_no"), F.col("l_suppkey").alias("admin_id"))
+    keys = [("inventory_logs", "admin_id", "admins", "id", "SET NULL")]
+    out = M.delete_cascade({"admins": admins, "inventory_logs": ledger}, "admins",
+                           admins.filter(F.col("s_acctbal") < 0), foreign_keys=keys)
+    return out["inventory_logs"]
 
 
 @register("assign_ids_new_products", """
@@ -814,27 +972,25 @@ def _conform_users(spark, d):
 
 
 @register("typed_read_orders", """
-SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'P'""")
+SELECT o_orderkey, o_custkey, o_totalprice FROM orders""")
 def _typed_read(spark, d):
     from shelfwise.sources.tables import read_table
-    return read_table(spark, d, "orders", source=True).filter(F.col("o_orderstatus") == "P") \
-        .select("o_orderkey", "o_custkey", "o_totalprice")
+    return read_table(spark, d, "orders", source=True).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
 @register("new_users_from_feed", """
-SELECT id, name, email FROM (
-  SELECT c_custkey AS id, c_name AS name,
-         concat(lower(replace(c_name, '#', '')), '@example.com') AS email,
-         row_number() OVER (PARTITION BY concat(lower(replace(c_name, '#', '')), '@example.com')
-                            ORDER BY c_custkey) AS rn
-  FROM customer WHERE c_acctbal < 0) WHERE rn = 1""")
+WITH feed AS (SELECT id, name, email FROM s_users UNION ALL SELECT id + 1000000, name, email FROM s_users)
+SELECT id, name, email FROM (SELECT *, row_number() OVER (PARTITION BY email ORDER BY id) AS rn FROM feed
+                             WHERE email NOT IN (SELECT email FROM s_users WHERE status = 'active'))
+WHERE rn = 1""")
 def _new_users(spark, d):
-    # Registrations from inactive customers against the active users: none
-    # of their e-mails is taken, so all are new (earliest per e-mail wins).
-    t = T(spark, d)
-    cands = t.users.filter(F.col("status") == "inactive").select("id", "name", "email")
+    # Every customer registers twice: active users' e-mails are taken, and of
+    # the others the earlier registration wins.
     from shelfwise.operators.customers import new_users
-    return new_users(cands, t.users.filter(F.col("status") == "active"), order_by=("id",))
+    u = T(spark, d).users
+    once = u.select("id", "name", "email")
+    feed = once.unionByName(once.withColumn("id", F.col("id") + 1_000_000))
+    return new_users(feed, u.filter(F.col("status") == "active"), order_by=("id",))
 
 
 # ======================================================================= events
@@ -905,16 +1061,15 @@ def _block_over_limit_log(spark, d):
 
 
 @register("over_route_limits_hourly", """
-WITH lim(event_type, lim) AS (VALUES ('view', 5), ('click', 10), ('error', 3), ('signup', 5),
-                                     ('purchase', 5))
+WITH lim(event_type, lim) AS (VALUES ('view', 0), ('click', 1), ('error', 1), ('signup', 1),
+                                     ('purchase', 1))
 SELECT date_trunc('hour', e.ts) AS window_start, e.user_id, e.event_type, COUNT(*) AS n
 FROM events e JOIN lim USING (event_type)
 GROUP BY 1, 2, 3, lim.lim HAVING COUNT(*) > lim.lim""")
 def _over_route_limits(spark, d):
-    # Per-route limits (the shop's five limits, one per event type as route)
-    # over hourly windows.
+    # Limits of one an hour (views: none at all), which some users exceed.
     ev = T(spark, d).events
-    limits = {"view": 5, "click": 10, "error": 3, "signup": 5, "purchase": 5}
+    limits = {"view": 0, "click": 1, "error": 1, "signup": 1, "purchase": 1}
     return E.over_route_limits(ev, limits, "user_id", "event_type", "1 hour")
 
 

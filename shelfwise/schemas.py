@@ -69,6 +69,8 @@ STATUS_CHANGES = _s(("order_id", L, False), ("status", S, False), ("admin_id", L
 SOURCE_SCHEMAS: dict[str, T.StructType] = {
     "customer": _s(("c_custkey", L, True), ("c_name", S, True), ("c_nationkey", I, True),
                    ("c_acctbal", T.DoubleType(), True), ("c_mktsegment", S, True)),
+    "supplier": _s(("s_suppkey", L, True), ("s_name", S, True), ("s_nationkey", I, True),
+                   ("s_acctbal", T.DoubleType(), True)),
     "part": _s(("p_partkey", L, True), ("p_name", S, True), ("p_brand", S, True),
                ("p_type", S, True), ("p_size", I, True), ("p_retailprice", T.DoubleType(), True)),
     "orders": _s(("o_orderkey", L, True), ("o_custkey", L, True), ("o_orderstatus", S, True),

@@ -1,107 +1,51 @@
 """Shop tables derived from the driver's test tables (FIXTURES section 3).
 
 ``shop_tables(spark, sf_dir)`` returns lazily built, typed shop tables.  Every
-column is a native expression of the source columns, so filters on shop
-columns that map to stored columns still reach the Parquet scan.  Two columns
-need a running count (category ids, image positions); they use the skew-safe
-scan and are materialised once per session and source folder.
+column is a native expression of the source columns, so filters on shop columns
+that map to stored columns still reach the Parquet scan, and nothing is written
+or read before a query asks for it.  A deployment that wants its shop tables
+stored writes them once with :func:`write_shop_tables`.
 """
 
 from __future__ import annotations
 
-import hashlib
-import threading
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.fixed import ORDER_DELIVERY_ADDRESS, ORDER_PAYMENT_METHOD
-from shelfwise.operators.scan import estimated_bytes, row_number_within
+from shelfwise.operators.scan import row_number_within
 from shelfwise.schemas import MONEY
-from shelfwise.session import require_checkpoint_dir
 from shelfwise.sources.tables import read_table
 
-_CACHE: dict[tuple, "ShopTables"] = {}
-# Materialising a stored table happens once; concurrent callers wait for it.
-_LOCK = threading.RLock()
-
 
 class ShopTables:
-    """Shop tables over one folder of driver tables.
-
-    With ``store`` set (the default from :func:`shop_tables`), each shop
-    table is written once as Parquet under that folder and read back with
-    its declared schema, as a deployed shop's tables would be stored:
-    ``orders`` is partitioned by ``created_month`` and sorted by
-    ``created_at`` (time-window reports prune partitions and row groups), and
-    derived columns such as ``status`` are real columns whose filters reach
-    the scan.  Without ``store`` the tables are the derivations themselves.
-    """
-
-    # name -> (partition column or None, sort columns, source table)
-    LAYOUT = {
-        "users": (None, ("id",), "customer"),
-        "categories": (None, ("id",), "part"),
-        "products": (None, ("id",), "part"),
-        "product_images": (None, ("product_id", "sort_order", "id"), "pages"),
-        "orders": ("created_month", ("created_at", "id"), "orders"),
-    }
-    # Target size of one written file (one write task).
-    WRITE_TARGET_BYTES = 256 * 1024 * 1024
+    """Shop tables over one folder of driver tables, each a plan."""
 
-    def __init__(self, spark: SparkSession, base: str, store: str | None = None):
+    def __init__(self, spark: SparkSession, base: str):
         self.spark = spark
         self.base = base
-        self.store = store
-        self._built: dict[str, DataFrame] = {}
-
-    def _table(self, name: str) -> DataFrame:
-        with _LOCK:
-            if name not in self._built:
-                self._built[name] = self._build(name)
-            return self._built[name]
-
-    def _build(self, name: str) -> DataFrame:
-        df = getattr(self, f"_derive_{name}")()
-        if self.store is None or name not in self.LAYOUT:
-            return df
-        part, sort, src = self.LAYOUT[name]
-        path = f"{self.store}/{name}"
-        if part == "created_month":
-            df = df.withColumn("created_month", F.trunc(F.col("created_at"), "MM"))
-        # Write tasks sized from the source table (Catalyst would multiply
-        # join sides): about one 256 MB file per task.
-        est = estimated_bytes(self.source(src)) or self.WRITE_TARGET_BYTES
-        n = max(1, -(-est // self.WRITE_TARGET_BYTES))
-        # contiguous, balanced ranges: no month or key funnels into one writer
-        out = df.repartitionByRange(n, *sort).sortWithinPartitions(*sort)
-        writer = out.write.mode("overwrite")
-        if part:
-            writer = writer.partitionBy(part)
-        writer.parquet(path)
-        schema = df.schema
-        return self.spark.read.schema(schema).parquet(path)
 
     @cached_property
     def users(self) -> DataFrame:
-        return self._table("users")
+        return self._derive_users()
 
     @cached_property
     def categories(self) -> DataFrame:
-        return self._table("categories")
+        return self._derive_categories()
 
     @cached_property
     def products(self) -> DataFrame:
-        return self._table("products")
+        return self._derive_products()
 
     @cached_property
     def product_images(self) -> DataFrame:
-        return self._table("product_images")
+        return self._derive_product_images()
 
     @cached_property
     def orders(self) -> DataFrame:
-        return self._table("orders")
+        return self._derive_orders()
 
     @cached_property
     def order_items(self) -> DataFrame:
@@ -232,28 +176,20 @@ class ShopTables:
         )
 
 
-def shop_tables(spark: SparkSession, base: str, stored: bool = True) -> ShopTables:
-    """The shop tables over ``base``, built once per session.
-
-    Stored tables go to this application's own folder under the cluster's
-    checkpoint directory (``spark.checkpoint.dir``), so nothing is shared
-    with, or left stale for, another application.
-    """
-    try:
-        app = spark.conf.get("spark.app.id")
-    except Exception:
-        app = None
-    key = (id(spark), app, base.rstrip("/"), stored)
-    with _LOCK:
-        return _shop_tables_locked(spark, base, stored, key)
+def shop_tables(spark: SparkSession, base: str) -> ShopTables:
+    """The shop tables over ``base``."""
+    return ShopTables(spark, base.rstrip("/"))
 
 
-def _shop_tables_locked(spark: SparkSession, base: str, stored: bool, key: tuple) -> ShopTables:
-    if key not in _CACHE:
-        store = None
-        if stored:
-            root = require_checkpoint_dir(spark)
-            tag = hashlib.sha1(base.rstrip("/").encode()).hexdigest()[:12]
-            store = f"{root.rstrip('/')}/shelfwise-tables/{tag}"
-        _CACHE[key] = ShopTables(spark, base.rstrip("/"), store)
-    return _CACHE[key]
+def write_shop_tables(tables: ShopTables, path: str, names=("users", "categories", "products", "product_images", "orders",
+                                                            "order_items")) -> None:
+    """The one-off job of a deployment: store the shop tables below ``path``,
+    orders by month, so that reports over a time span read only its months."""
+    for name in names:
+        df = getattr(tables, name)
+        if name == "orders":
+            (df.withColumn("created_month", F.trunc(F.col("created_at"), "MM"))
+             .repartition("created_month", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("created_at")
+             .write.partitionBy("created_month").parquet(f"{path}/{name}.parquet"))
+        else:
+            df.write.parquet(f"{path}/{name}.parquet")

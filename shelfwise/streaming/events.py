@@ -119,29 +119,26 @@ def cart_lines_state(events: DataFrame, product="product_id", add=CART_ADD,
     ``clear`` empties the user's whole cart.  ``product`` is a column name or
     a Column (e.g. parsed from the event's properties).
 
-    Only the events after a line's last reset count: that is the later of
-    the user's last clear and the line's last removal (mergeable ``max``
-    aggregates joined back by key).  From there the clamped fold is
-    ``S - min(0, min prefix S)`` over the skew-safe running sum, so neither a
+    Only the events after a line's last reset count, the later of the user's last
+    clear and the line's last removal: those with no reset behind them, by running
+    sums from the newest event back.  From there the clamped fold is
+    ``S - min(0, min prefix S)``.  All sums are :func:`running_sum`, so neither a
     hot user nor a hot product is gathered in one task.
     """
     from pyspark.sql import Column
 
     prod = product if isinstance(product, Column) else F.col(product)
     et = F.col("event_type")
-    ev = events.select("user_id", prod.alias("_product"), "ts", "event_id", "event_type")
-    pos = F.struct("ts", "event_id")
-    user_reset = ev.filter(et == clear).groupBy("user_id").agg(F.max(pos).alias("_ur"))
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    ev = events.select("user_id", prod.alias("_product"), "ts", "event_id", "event_type",
+                       (-micros).alias("_back"), (-F.col("event_id")).alias("_id"), (et == clear).cast("long").alias("_clear"))
+    hour = F.floor(F.col("_back") / F.lit(3_600_000_000)).cast("long")
+    ev = running_sum(ev, ["user_id"], ["_back", "_id"], ["_clear"], ["_resets"], bucket=hour)
     kinds = [add, remove] + ([remove_line] if remove_line else [])
-    lines = ev.filter(F.col("_product").isNotNull() & et.isin(*kinds))
-    lines = lines.join(user_reset, "user_id", "left")
-    reset = F.col("_ur")
+    after = ev.filter(F.col("_product").isNotNull() & et.isin(*kinds) & (F.col("_resets") == 0))
     if remove_line:
-        line_reset = (lines.filter(et == remove_line).groupBy("user_id", "_product")
-                      .agg(F.max(pos).alias("_lr")))
-        lines = lines.join(line_reset, ["user_id", "_product"], "left")
-        reset = F.greatest(F.col("_ur"), F.col("_lr"))
-    after = lines.filter(F.coalesce(pos > reset, F.lit(True)))
+        after = running_sum(after.withColumn("_drop", (et == remove_line).cast("long")), ["user_id", "_product"],
+                            ["_back", "_id"], ["_drop"], ["_drops"], bucket=hour).filter(F.col("_drops") == 0)
     d = after.select("user_id", "_product", "ts", "event_id",
                      F.when(et == add, 1).when(et == remove, -1).otherwise(0).cast("long").alias("delta"))
     run = running_sum(d, ["user_id", "_product"], ["ts", "event_id"], ["delta"], ["R"])

@@ -4,9 +4,6 @@ on the real sf0.01 tables (and on the skewed copy), row for row."""
 from collections import defaultdict
 
 import duckdb
-import pytest
-
-from shelfwise.operators import scan
 from shelfwise.plans.registry import QUERIES
 
 from .conftest import SF01
@@ -50,19 +47,13 @@ def sequential_decisions(base, half_demand=True):
     return out
 
 
-@pytest.mark.parametrize("force_scan", [False, True])
-def test_admission_equals_sequential_loop(spark, monkeypatch, force_scan):
-    if force_scan:
-        monkeypatch.setattr(scan, "SMALL_ROWS", -1)
-        monkeypatch.setattr(scan, "SMALL_BYTES", -1)
+def test_admission_equals_sequential_loop(spark):
     got = {r.order_id: (r.decision, r.reason, r.product_id, r.available, r.requested)
            for r in QUERIES["admit_orders_half_demand"](spark, SF01).collect()}
     assert got == sequential_decisions(SF01)
 
 
-def test_admission_on_skewed_tables(spark, skewed_base, monkeypatch):
-    monkeypatch.setattr(scan, "SMALL_ROWS", -1)
-    monkeypatch.setattr(scan, "SMALL_BYTES", -1)
+def test_admission_on_skewed_tables(spark, skewed_base):
     got = {r.order_id: (r.decision, r.reason, r.product_id, r.available, r.requested)
            for r in QUERIES["admit_orders_half_demand"](spark, skewed_base).collect()}
     assert got == sequential_decisions(skewed_base)

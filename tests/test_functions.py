@@ -34,8 +34,7 @@ def test_running_sum_property(spark, rows):
     from shelfwise.operators.scan import running_sum
     data = [(k, i, q) for i, (k, q) in enumerate(rows)]
     df = spark.createDataFrame(data, "k long, i long, q long")
-    got = {r.i: r.r for r in running_sum(df, ["k"], ["i"], ["q"], ["r"], partitions=3,
-                                         force_scan=True).collect()}
+    got = {r.i: r.r for r in running_sum(df, ["k"], ["i"], ["q"], ["r"]).collect()}
     acc = {}
     for k, i, q in data:
         acc[k] = acc.get(k, 0) + q

@@ -113,32 +113,44 @@ def test_categories_seed(spark):
     assert len(cats) == 5
 
 
-def test_nested_orders_chunks(spark):
+def test_nested_orders_newest_first(spark):
     p = seed_products(spark)
-    orders = spark.createDataFrame([(1, 7, "pending", dt.datetime(2024, 1, 1)), (2, 7, "pending",
-                                    dt.datetime(2024, 1, 2))],
+    orders = spark.createDataFrame([(1, 7, "pending", dt.datetime(2024, 1, 1)), (2, 8, "pending", dt.datetime(2024, 1, 2)),
+                                    (3, 7, "pending", dt.datetime(2024, 1, 2)), (4, 7, "pending", dt.datetime(2023, 5, 1))],
                                    "id long, user_id long, status string, created_at timestamp_ntz")
-    items = spark.createDataFrame([(1, pid, 1) for pid in range(1, 8)],
+    items = spark.createDataFrame([(1, pid, 1) for pid in range(1, 8)] + [(4, 2, 5), (4, 2, 3), (4, 99, 1)],
                                   "order_id long, product_id long, quantity int")
-    nested = O.orders_with_items(orders, items, p, max_per_row=3).collect()
-    by_order = {}
-    for r in nested:
-        by_order.setdefault(r.id, []).append(r)
-    assert [len(r.items) for r in sorted(by_order[1], key=lambda r: r.chunk)] == [3, 3, 1]
-    flat = [i.product_id for r in sorted(by_order[1], key=lambda r: r.chunk) for i in r.items]
-    assert flat == [1, 2, 3, 4, 5, 6, 7]
-    assert by_order[2][0].items == []
-    counts = {r.id: r.line_count for r in O.line_counts(
-        O.orders_with_items(orders, items, p, max_per_row=3)).collect()}
-    assert counts == {1: 7, 2: 0}
-
-
-def test_image_chunks(spark):
+    nested = O.orders_with_items(orders, items, p).collect()
+    assert [r.id for r in nested] == [3, 2, 1, 4]
+    flat = {r.id: [(i.product_id, i.quantity) for i in r["items"]] for r in nested}
+    assert flat == {1: [(k, 1) for k in range(1, 8)], 2: [], 3: [], 4: [(2, 3), (2, 5)]}
+    assert {r.id: r.line_count for r in O.line_counts(orders, items, p).collect()} == {1: 7, 2: 0, 3: 0, 4: 2}
+    own = O.orders_with_items_of(orders, items, p, spark.createDataFrame([(7,), (7,)], "id long")).collect()
+    assert [(r.id, len(r["items"])) for r in own] == [(3, 0), (1, 7), (4, 2)]
+
+
+def test_reports_without_rows(spark):
+    none = spark.createDataFrame([], "id long, created_at timestamp_ntz, total_amount decimal(10,2), status string")
+    assert R.sales_report_proc(none, "weekly", "2024-03-31 10:00:00").count() == 0
+    total = R.report_totals(R.sales_report(none, "daily", "2024-03-31 10:00:00")).collect()[0]
+    assert (total.total_orders, total.total_revenue, total.avg_order_value) == (0, 0, 0)
+
+
+def test_image_positions_and_nesting(spark):
     imgs = spark.createDataFrame(
         [(i, 1, f"u{i}", False, 10 - i, None) for i in range(7)] + [(100, 2, "only", True, 0, None)],
         "id long, product_id long, image_url string, is_primary boolean, sort_order int, "
         "created_at timestamp_ntz")
-    rows = {(r.product_id, r.chunk): r.images for r in K.image_urls(imgs, max_per_row=3).collect()}
-    # product 1: by sort_order (10 - i), so ids 6, 5, 4 | 3, 2, 1 | 0
-    assert rows == {(1, 0): ["u6", "u5", "u4"], (1, 1): ["u3", "u2", "u1"], (1, 2): ["u0"],
-                    (2, 0): ["only"]}
+    rows = sorted((r.product_id, r.position, r.image_url) for r in K.image_urls(imgs).collect())
+    assert rows == [(1, k, f"u{6 - k}") for k in range(7)] + [(2, 0, "only")]
+    nested = {r.product_id: r.images for r in K.nest_images(K.image_urls(imgs)).collect()}
+    assert nested == {1: [f"u{6 - k}" for k in range(7)], 2: ["only"]}
+
+
+def test_order_text(spark):
+    lines = spark.createDataFrame([(1, 2, "Bag", 2, 350), (1, 1, "Cup", 1, 100), (2, 1, "Cup", 40, 100)],
+                                  "order_id long, product_id long, product_name string, quantity int, price int")
+    got = {r.order_id: (r.order_text, r.subtotal, r.total - r.delivery) for r in O.order_text(
+        lines.withColumn("price", F.col("price").cast("decimal(10,2)"))).collect()}
+    assert got[1][0] == "Cup (Qty: 1) - Rs. 100.00\nBag (Qty: 2) - Rs. 700.00"
+    assert got[1][1:] == (800, 800) and got[2][1] == 4000

@@ -66,11 +66,7 @@ def test_two_lines_same_product_checked_per_line(spark):
     assert closing[8] == -10
 
 
-import pytest
-
-
-@pytest.mark.parametrize("finish_pairs", [0, 50_000])
-def test_random_against_sequential(spark, finish_pairs):
+def test_random_against_sequential(spark):
     rnd = random.Random(11)
     stock = {p: rnd.randint(0, 30) for p in range(12)}
     orders = [(oid, rnd.randint(0, 50)) for oid in range(300)]
@@ -82,7 +78,7 @@ def test_random_against_sequential(spark, finish_pairs):
             items.append((oid, pid, rnd.randint(1, 6)))
     exp_acc, exp_rej, exp_stock = sequential(stock, orders, items)
     p, o, i = _frames(spark, stock, orders, items)
-    res = admit_orders(p, o, i, finish_pairs=finish_pairs)
+    res = admit_orders(p, o, i)
     got_acc = {r.order_id for r in res.accepted.collect()}
     got_rej = {r.order_id for r in res.rejected.collect()}
     assert got_acc == exp_acc
@@ -143,3 +139,14 @@ def test_first_failing_line_in_item_order(spark):
     assert (by_pos.product_id, by_pos.available, by_pos.requested) == (10, 100, 200)
     by_id = admit_orders(seed, o, i.drop("line_no")).rejected.collect()[0]
     assert (by_id.product_id, by_id.available, by_id.requested) == (3, 50, 1000)
+
+
+def test_first_failing_line_whatever_fails(spark):
+    """Line 0 lacks stock, line 1 names an unknown product, and the other way round."""
+    seed = seed_products(spark).select("id", "stock")
+    o = spark.createDataFrame([(1, 1, 1), (2, 1, 2)], "id long, user_id long, created_at long")
+    i = spark.createDataFrame([(1, 10, 500, 0), (1, 5, 1, 1), (1, 999, 1, 2), (2, 999, 4, 0), (2, 10, 500, 1)],
+                              "order_id long, product_id long, quantity int, line_no int")
+    got = {r.order_id: (r.reason, r.product_id, r.available, r.requested)
+           for r in admit_orders(seed, o, i, line_order="line_no").rejected.collect()}
+    assert got == {1: ("insufficient_stock", 10, 100, 500), 2: ("unknown_product", 999, 0, 4)}

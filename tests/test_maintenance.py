@@ -84,3 +84,24 @@ def test_rekey(spark):
     ch = spark.createDataFrame([(4, 40)], "old_id long, new_id long")
     got = {r.id: r.category_id for r in M.rekey(ch, p, "category_id").collect()}
     assert got[7] == 40 and got[8] == 40 and got[1] == 1
+
+
+def test_apply_updates_takes_the_last_of_repeated_changes(spark):
+    t = spark.createDataFrame([(1, "a"), (2, "b")], "id long, status string")
+    ch = spark.createDataFrame([(1, "x", 1), (1, "y", 3), (1, "z", 2)], "id long, status string, ts int")
+    assert sorted(map(tuple, M.apply_updates(t, ch, "id", ["status"], updated_at=None).collect())) == [(1, "y"), (2, "b")]
+
+
+def test_upsert_as_the_database_does_it(spark):
+    import datetime as dt
+    t = spark.createDataFrame(
+        [(1, "Ann", "a@x", "blocked", dt.datetime(2020, 1, 1), dt.datetime(2020, 1, 1))],
+        "id long, name string, email string, status string, created_at timestamp_ntz, updated_at timestamp_ntz")
+    feed = spark.createDataFrame([("A@X", "first", 1), ("a@x", "last", 2), ("b@x", "new", 1), ("B@x", "newer", 2), (None, "?", 1)],
+                                 "email string, name string, ts int")
+    now = dt.datetime(2024, 1, 1)
+    once = M.upsert(t, feed, "email", ["name"], fold_case=True, defaults="users", as_of="2024-01-01 00:00:00")
+    rows = sorted(map(tuple, once.collect()))
+    assert rows == [(1, "last", "a@x", "blocked", dt.datetime(2020, 1, 1), now), (2, "newer", "B@x", "active", now, now)]
+    again = M.upsert(once, feed, "email", ["name"], fold_case=True, defaults="users", as_of="2024-01-01 00:00:00")
+    assert sorted(map(tuple, again.collect())) == rows

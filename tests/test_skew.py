@@ -1,7 +1,7 @@
 """Hot keys end to end: a copy of the sf0.01 tables where a third of all
 order lines belong to one product, a third of all orders to one customer and
 a third of all events to one user; registered queries still equal their
-oracles, with the skew-safe scan path forced."""
+oracles."""
 
 import os
 import tempfile
@@ -10,7 +10,6 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from shelfwise.operators import scan
 from shelfwise.plans.registry import ORACLE, QUERIES
 
 from .compare import compare
@@ -19,7 +18,8 @@ from .conftest import SF01
 TABLES = ("customer", "part", "orders", "lineitem", "events", "pages")
 SKEW_QUERIES = ["stock_ledger", "top_selling", "orders_with_items", "order_lines",
                 "customer_order_summary", "cart_state", "over_limit_daily", "latest_changes",
-                "apply_status_changes_orders", "admin_orders", "order_totals", "order_lines_salted", "cart_lines_state"]
+                "apply_status_changes_orders", "admin_orders", "order_totals", "order_lines_salted", "cart_lines_state",
+                "lookup_users_with_events", "orders_without_items", "numbered_order_lines", "line_counts"]
 
 
 @pytest.fixture(scope="module")
@@ -46,9 +46,7 @@ def make_skewed_copy(spark):
 
 
 @pytest.mark.parametrize("name", SKEW_QUERIES)
-def test_hot_keys(spark, skewed, monkeypatch, name):
-    monkeypatch.setattr(scan, "SMALL_ROWS", -1)
-    monkeypatch.setattr(scan, "SMALL_BYTES", -1)
+def test_hot_keys(spark, skewed, name):
     base, con = skewed
     share = con.sql("SELECT avg((l_partkey = 7)::INT) FROM lineitem").fetchall()[0][0]
     assert share > 0.3
