@@ -178,9 +178,10 @@ def components_of(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_c
     base = texts(docs, id_col, text_col)
     sets = stored(base.mapInArrow(_sets(size), "d long, n long, s1 long, s2 long"), "sets")
 
-    classes = sets.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("d").alias("rep"))
+    # written, so that the join reads both sides from shuffles and a large class can be split
+    classes = stored(sets.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("d").alias("rep")), "classes")
     copies = (sets.filter("n > 0").join(classes, ["s1", "s2", "n"]).filter("d <> rep")
-              .select(F.col("d").alias("a"), F.col("rep").alias("b")).distinct())
+              .select(F.col("d").alias("a"), F.col("rep").alias("b")))
     reps = classes.select(F.col("rep").alias("d")).distinct()
 
     counted = base.mapInArrow(_frequent(size), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
@@ -212,6 +213,8 @@ def components_of(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_c
     first = stored(_verified(stars.select("x", F.col("d").alias("y")), base, size), "links")
     group = stored(components(copies.unionByName(first)), "groups")
 
+    # rank: how many shingles before this one could be shared with anyone
+    lists = lists.withColumn("rank", F.row_number().over(Window.partitionBy("d").orderBy("pos")) - 1)
     placed = lists.join(group.withColumnRenamed("node", "d"), "d", "left") \
         .withColumn("g", F.coalesce("component", "d")).drop("component", "central", "df")
     placed = stored(placed, "placed")
@@ -220,8 +223,9 @@ def components_of(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_c
         .filter("groups > 1").drop("groups")
     mixed = placed.join(mode, "h")
     strangers = mixed.filter("g <> mode").select("h", F.col("d").alias("x"), F.col("n").alias("m"), F.col("l").alias("k"),
-                                                 F.col("g").alias("f"), F.col("pos").alias("at"))
-    pairs = (strangers.join(mixed, "h").filter(f"g <> f AND (g = mode OR x < d) AND {alike}")
+                                                 F.col("g").alias("f"), F.col("pos").alias("at"), F.col("rank").alias("r"))
+    reach = "7 * (least(rank, r) + least(n - pos, m - at)) >= 3 * (n + m)"      # what this and other places leave
+    pairs = (strangers.join(mixed, "h").filter(f"g <> f AND (g = mode OR x < d) AND {alike} AND {reach}")
              .withColumn("swap", F.col("x") > F.col("d"))
              .select(F.least("x", "d").alias("x"), F.greatest("x", "d").alias("y"), F.least("k", "l").alias("l"),
                      *[F.when(F.col("swap"), F.col(p)).otherwise(F.col(q)).alias(o)
