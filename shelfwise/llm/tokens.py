@@ -18,7 +18,7 @@ import pyarrow as pa
 
 from shelfwise.llm.words import LOWER, Block, blocks, hash_ranges
 
-MEMORY = 300_000        # units, some 20 MB
+MEMORY = 600_000        # units, some 40 MB
 AT_ONCE = 4_000         # units in one call of the tokenizer
 JOINED = 16             # units in one text of that call
 
@@ -97,19 +97,20 @@ class Encoder:
         return np.concatenate(flat) if flat else np.empty(0, np.uint32), sizes
 
     def _remember(self, keys, checks, texts, pieces) -> None:
-        order = np.argsort(pieces == 0, kind="stable")          # those that are not cut come last, by themselves
-        split = int((pieces > 0).sum())
-        for part in (order[:split], order[split:]):
-            if not len(part):
-                continue
-            flat, size = self._learn([texts[i] for i in part], pieces[part])
-            at = np.cumsum(size) - size + len(self.flat)
-            self.keys = np.concatenate([self.keys, keys[part]])
-            self.checks = np.concatenate([self.checks, checks[part]])
-            self.at, self.size = np.concatenate([self.at, at]), np.concatenate([self.size, size])
+        """Add units (none of them known) in order of key."""
+        at, size = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+        for part in (np.flatnonzero(pieces > 0), np.flatnonzero(pieces == 0)):
+            flat, n = self._learn([texts[i] for i in part], pieces[part])
+            at[part], size[part] = np.cumsum(n) - n + len(self.flat), n
             self.flat = np.concatenate([self.flat, flat])
-        order = np.argsort(self.keys)
-        self.keys, self.checks, self.at, self.size = (x[order] for x in (self.keys, self.checks, self.at, self.size))
+        new = np.zeros(len(self.keys) + len(keys), dtype=bool)
+        new[np.searchsorted(self.keys, keys) + np.arange(len(keys))] = True
+        merged = []
+        for old, own in ((self.keys, keys), (self.checks, checks), (self.at, at), (self.size, size)):
+            both = np.empty(len(new), dtype=old.dtype)
+            both[new], both[~new] = own, old
+            merged.append(both)
+        self.keys, self.checks, self.at, self.size = merged
 
     def _find(self, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.keys):
