@@ -130,7 +130,9 @@ def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = ROUNDS, id_
     rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"),
                               (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
                               F.unhex(F.md5(text)).alias("key")), "rows")
-    groups = rows.groupBy("key", "size").agg(F.min("row").alias("b"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    # written, so that the join reads both sides from shuffles and a large group can be split
+    groups = stored(rows.groupBy("key", "size").agg(F.min("row").alias("b"), F.count(F.lit(1)).alias("c")).filter("c > 1"),
+                    "groups")
     edges = rows.join(groups, ["key", "size"]).select(F.col("row").alias("a"), "b")
     placed = even_out(propagate(rows, edges, shards, rounds), shards)
     return rows.drop("key").join(placed, "row").drop("row")
