@@ -56,10 +56,10 @@ ORDER_PAYMENT_METHOD = "cash_on_delivery"
 LEDGER_ACTION = "order_placed"
 # Text formats: an order line, and the activity-log rows of status changes.
 LINE_TEXT_FORMAT = "%s (Qty: %d) - Rs. %s"
-ORDER_STATUS_ACTION = ("Order ", " status updated")
-ORDER_STATUS_DETAILS = "New status: "
-CUSTOMER_STATUS_ACTION = ("Customer ", " deactivated")
-CUSTOMER_STATUS_DETAILS = "Status: "
+ORDER_STATUS_ACTION = "Order %s status updated"
+ORDER_STATUS_DETAILS = "New status: %s"
+CUSTOMER_STATUS_ACTION = "Customer %s deactivated"
+CUSTOMER_STATUS_DETAILS = "Status: %s"
 # Upload rules: e-mail shape, image types, size and count limits, URL prefix.
 EMAIL_PATTERN = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
 ALLOWED_EXTENSIONS = ("jpg", "jpeg", "png", "webp")

@@ -137,14 +137,16 @@ def image_violations(images: DataFrame) -> DataFrame:
     extension and leading bytes both an allowed type, at most 5 MiB each, at
     most 5 files per upload folder (every file of a larger upload is flagged).
     """
-    per_upload = images.groupBy("upload").agg(F.count(F.lit(1)).alias("_files"))
-    j = images.join(per_upload, "upload", "left")
+    # the file's type is told before the rows move; its bytes stay where they are
+    narrow = images.select("path", "upload", "file_name", "length", image_type(F.col("content")).alias("_type"))
+    per_upload = narrow.groupBy("upload").agg(F.count(F.lit(1)).alias("_files"))
+    large = per_upload.filter(F.col("_files") > MAX_IMAGES_PER_UPLOAD)
+    j = narrow.join(large, "upload", "left")
     checks = [
         ("extension", ~F.coalesce(file_extension("file_name").isin(*ALLOWED_EXTENSIONS), F.lit(False))),
-        ("content_type", ~F.coalesce(image_type(F.col("content")).isin(*ALLOWED_EXTENSIONS),
-                                     F.lit(False))),
+        ("content_type", ~F.coalesce(F.col("_type").isin(*ALLOWED_EXTENSIONS), F.lit(False))),
         ("too_large", F.col("length") > MAX_IMAGE_BYTES),
-        ("too_many_in_upload", F.col("_files") > MAX_IMAGES_PER_UPLOAD),
+        ("too_many_in_upload", F.col("_files").isNotNull()),
     ]
     flagged = F.filter(F.array(*[F.when(cond, F.lit(name)) for name, cond in checks]),
                        lambda x: x.isNotNull())

@@ -32,7 +32,9 @@ def intake_uploads(manifest: DataFrame, products: DataFrame, images: DataFrame,
                    url_prefix: str = UPLOAD_URL_PREFIX) -> Intake:
     """``manifest`` is :func:`shelfwise.sources.read_images` output whose
     ``upload`` folder name is the product id."""
-    m = manifest.withColumn("product_id", F.col("upload").cast("long"))
+    # the digest of each file stands for its bytes from here on
+    m = manifest.select("path", "upload", "file_name", F.col("upload").cast("long").alias("product_id"),
+                        F.sha2("content", 256).alias("digest"))
     bad_rules = image_violations(manifest).select(
         F.col("key").alias("path"), F.col("rule").alias("reason"))
     by_rule = (m.join(bad_rules, "path", "inner")
@@ -43,12 +45,12 @@ def intake_uploads(manifest: DataFrame, products: DataFrame, images: DataFrame,
     rejected = no_product.unionByName(by_rule.join(no_product.select("upload"), "upload", "left_anti"))
 
     ok = m.join(rejected.select("upload"), "upload", "left_anti")
-    numbered = number_images(ok.select("upload", "product_id", "file_name", "content", "path"),
+    numbered = number_images(ok.select("upload", "product_id", "file_name", "digest", "path"),
                              key="upload", order=("file_name", "path"), out="sort_order")
     rows = numbered.select(
         "product_id",
         F.concat(F.lit(url_prefix),
-                 name_token(F.col("product_id"), F.col("file_name"), F.sha2(F.col("content"), 256)),
+                 name_token(F.col("product_id"), F.col("file_name"), F.col("digest")),
                  F.lit("."), file_extension("file_name")).alias("image_url"),
         "is_primary", "sort_order",
         F.lit(None).cast("timestamp_ntz").alias("created_at"))

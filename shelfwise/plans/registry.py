@@ -768,7 +768,7 @@ def _dq_product_rules(spark, d):
 @register("dq_zero_stock_as_negative", """
 SELECT 'products' AS "table", 'stock_negative' AS rule, CAST(id AS VARCHAR) AS key,
        CAST(NULL AS VARCHAR) AS detail
-FROM broken WHERE stock - 1 < 0""")
+FROM s_products WHERE stock - 1 < 0""")
 def _dq_zero_stock(spark, d):
     # The product rules after selling one unit of everything: the products
     # that had stock 0 go negative and are flagged.
@@ -993,6 +993,38 @@ def _new_users(spark, d):
     return new_users(feed, u.filter(F.col("status") == "active"), order_by=("id",))
 
 
+@register("page_file_names", """
+SELECT page_id, lower(list_extract(string_split(url, '.'), -1)) AS extension,
+       sha256(CAST(page_id AS VARCHAR) || '/' || url || '/' || sha256(html)) AS token,
+       CASE WHEN html IS NULL OR html = '' THEN 0 ELSE len(string_split(html, ' ')) END AS n_parts
+FROM pages""")
+def _page_file_names(spark, d):
+    # Stored names of the pages (SC-13, SC-20) and their parts (SC-12).
+    from shelfwise.functions.expressions import file_extension, name_token, split_list
+    pages = T(spark, d).source("pages")
+    return pages.select("page_id", file_extension("url").alias("extension"),
+                        name_token(F.col("page_id"), F.col("url"), F.sha2("html", 256)).alias("token"),
+                        F.size(split_list("html", " ")).cast("long").alias("n_parts"))
+
+
+@register("dq_page_images", """
+WITH p AS (SELECT page_id, split_part(url, '/', 3) AS upload, url, strlen(html) AS length FROM pages),
+n AS (SELECT upload FROM p GROUP BY 1 HAVING COUNT(*) > 5)
+SELECT 'product_images' AS "table", rule, key, CAST(NULL AS VARCHAR) AS detail FROM (
+  SELECT 'extension' AS rule, CAST(page_id AS VARCHAR) AS key FROM p
+    WHERE lower(list_extract(string_split(url, '.'), -1)) NOT IN ('jpg', 'jpeg', 'png', 'webp')
+  UNION ALL SELECT 'content_type', CAST(page_id AS VARCHAR) FROM p
+  UNION ALL SELECT 'too_large', CAST(page_id AS VARCHAR) FROM p WHERE length > 5242880
+  UNION ALL SELECT 'too_many_in_upload', CAST(page_id AS VARCHAR) FROM p WHERE upload IN (SELECT upload FROM n))""")
+def _dq_page_images(spark, d):
+    # DQ-8 over the pages as if they had been uploaded as images, one upload a host.
+    pages = T(spark, d).source("pages")
+    return Q.image_violations(pages.select(
+        F.col("page_id").cast("string").alias("path"), F.split_part("url", F.lit("/"), F.lit(3)).alias("upload"),
+        F.col("url").alias("file_name"), F.octet_length("html").cast("long").alias("length"),
+        F.col("html").cast("binary").alias("content")))
+
+
 # ======================================================================= events
 from shelfwise.streaming import events as E  # noqa: E402
 

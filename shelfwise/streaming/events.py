@@ -226,9 +226,8 @@ def activity_log(changes: DataFrame) -> DataFrame:
     """One activity row per status change, worded as the shop words it."""
     return changes.select(
         F.col("admin_id"),
-        F.concat(F.lit(ORDER_STATUS_ACTION[0]), F.col("order_id").cast("string"),
-                 F.lit(ORDER_STATUS_ACTION[1])).alias("action"),
-        F.concat(F.lit(ORDER_STATUS_DETAILS), F.col("status")).alias("details"),
+        F.format_string(ORDER_STATUS_ACTION, F.col("order_id").cast("string")).alias("action"),
+        F.format_string(ORDER_STATUS_DETAILS, F.col("status")).alias("details"),
         F.lit(None).cast("string").alias("ip_address"),
         F.col("ts").alias("created_at"))
 
@@ -253,9 +252,8 @@ def apply_user_status_changes(users: DataFrame, changes: DataFrame) -> tuple[Dat
                             ["status"], as_of="ts")
     log = changes.select(
         F.col("admin_id"),
-        F.concat(F.lit(CUSTOMER_STATUS_ACTION[0]), F.col("user_id").cast("string"),
-                 F.lit(CUSTOMER_STATUS_ACTION[1])).alias("action"),
-        F.concat(F.lit(CUSTOMER_STATUS_DETAILS), F.col("status")).alias("details"),
+        F.format_string(CUSTOMER_STATUS_ACTION, F.col("user_id").cast("string")).alias("action"),
+        F.format_string(CUSTOMER_STATUS_DETAILS, F.col("status")).alias("details"),
         F.lit(None).cast("string").alias("ip_address"),
         F.col("ts").alias("created_at"))
     return updated, log
@@ -272,12 +270,30 @@ def block_over_limit(users: DataFrame, events: DataFrame, limit: int = 5,
     return apply_user_status_changes(users, changes)
 
 
-def status_change_batch_writer(log_path: str):
+def status_change_batch_writer(log_path: str, state_path: str | None = None):
     """ST-4 as a stream: a ``foreachBatch`` function that writes each
     micro-batch's activity rows to ``log_path/batch=<id>`` with overwrite, so a
-    replayed batch (after a failure) replaces its own output."""
+    replayed batch (after a failure) replaces its own output.
+
+    With ``state_path`` each batch also writes a new version of the last change
+    per order, ``state_path/v=<id>``: that of the version before with the batch
+    folded in.  :func:`orders_now` applies the newest version to the orders."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         activity_log(batch).write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
+        if state_path is not None:
+            changes = batch.select("order_id", "ts", "status", "admin_id")
+            if batch_id > 0:
+                earlier = batch.sparkSession.read.schema(changes.schema).parquet(f"{state_path}/v={batch_id - 1}")
+                changes = changes.unionByName(earlier)
+            last = latest_changes(changes, "order_id", "ts", tiebreak=("status", "admin_id"))
+            last.write.mode("overwrite").parquet(f"{state_path}/v={batch_id}")
 
     return write
+
+
+def orders_now(orders: DataFrame, state_path: str) -> DataFrame:
+    """ST-4: ``orders`` with the newest version of the last changes applied."""
+    versions = orders.sparkSession.read.parquet(state_path)
+    newest = versions.agg(F.max("v")).first()[0]
+    return apply_status_changes(orders, versions.filter(F.col("v") == newest))[0]

@@ -102,12 +102,13 @@ def start_stream_sales(spark: SparkSession, source: str, sink: str, checkpoint:
 
 
 def start_status_changes(spark: SparkSession, source: str, log_sink: str, checkpoint: str, *,
-                         schema: T.StructType | None = None,
+                         state: str | None = None, schema: T.StructType | None = None,
                          max_files_per_trigger: int | None = None,
                          trigger: dict | None = None) -> StreamingQuery:
     """ST-4: one activity row per status change, written per micro-batch by
-    batch id (replay-safe)."""
+    batch id (replay-safe); with ``state`` also the last change per order, by
+    version (read with ``events.orders_now``)."""
     stream = _source(spark, source, schema or STATUS_CHANGES, max_files_per_trigger)
-    w = (stream.writeStream.foreachBatch(E.status_change_batch_writer(log_sink))
+    w = (stream.writeStream.foreachBatch(E.status_change_batch_writer(log_sink, state))
          .option("checkpointLocation", checkpoint).queryName("status_changes"))
     return w.trigger(**(trigger or {"processingTime": "1 minute"})).start()
