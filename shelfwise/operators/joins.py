@@ -41,7 +41,8 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner",
     hot = F.broadcast(hot_keys(big, key, max_hot).withColumn("_hot", F.lit(True)))
     row_hash = F.xxhash64(*[F.col(c) for c in big.columns])
     b = (big.join(hot, key, "left")
-         .withColumn(_SALT, F.when(F.col("_hot"), F.pmod(row_hash, F.lit(salts))).otherwise(F.lit(0)))
+         # a NULL key meets nothing, so its rows may go anywhere
+         .withColumn(_SALT, F.when(F.col("_hot") | F.col(key).isNull(), F.pmod(row_hash, F.lit(salts))).otherwise(F.lit(0)))
          .drop("_hot"))
     s = (small.join(hot, key, "left")
          .withColumn(_SALT, F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))

@@ -26,6 +26,9 @@ from shelfwise.schemas import MONEY_SUM
 CART_ADD, CART_REMOVE, CART_CLEAR = "click", "error", "purchase"
 
 
+MAX_ROUTES = 10_000
+
+
 # ---------------------------------------------------------------- ST-1
 def over_limit(events: DataFrame, key: str = "user_id", limit: int = 5,
                window: str = "1 minute", ts: str = "ts", route: str | None = None) -> DataFrame:
@@ -44,8 +47,10 @@ def over_route_limits(events: DataFrame, limits: dict[str, int], key: str = "use
                       route: str = "route", window: str = "1 minute", ts: str = "ts") -> DataFrame:
     """ST-1 with a limit per route (the shop allows 5 registrations, 10
     log-ins, 3 password requests, ... per minute).  The limits table has one
-    row per route, a fixed, small input, so it is broadcast; routes without
+    row per route, at most ``MAX_ROUTES``, so it is broadcast; routes without
     a limit are not checked."""
+    if len(limits) > MAX_ROUTES:
+        raise ValueError(f"at most {MAX_ROUTES} routes")
     spark = events.sparkSession
     lim = spark.createDataFrame([(r, int(n)) for r, n in limits.items()],
                                 f"{route} string, _limit int")

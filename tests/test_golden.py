@@ -154,3 +154,11 @@ def test_order_text(spark):
         lines.withColumn("price", F.col("price").cast("decimal(10,2)"))).collect()}
     assert got[1][0] == "Cup (Qty: 1) - Rs. 100.00\nBag (Qty: 2) - Rs. 700.00"
     assert got[1][1:] == (800, 800) and got[2][1] == 4000
+
+
+def test_public_views_hide_credentials(spark):
+    from shelfwise.operators.customers import public_admins, public_users
+    rows = spark.createDataFrame([(1, "A", "a@x", "secret", "root", "active")],
+                                 "id long, name string, email string, password string, role string, status string")
+    assert public_admins(rows).collect() == [(1, "A", "a@x", "root")]
+    assert public_users(rows).collect() == [(1, "A", "a@x")]

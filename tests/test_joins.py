@@ -10,7 +10,7 @@ from .conftest import SF001
 def test_salted_join_equals_plain_join(spark):
     rnd = random.Random(3)
     big = spark.createDataFrame(
-        [(0 if rnd.random() < 0.4 else rnd.randint(1, 50), i) for i in range(4000)], "k long, v long")
+        [(0 if rnd.random() < 0.4 else rnd.choice([None, *range(1, 51)]), i) for i in range(4000)], "k long, v long")
     small = spark.createDataFrame([(k, f"n{k}") for k in range(0, 40)], "k long, name string")
     assert [r.k for r in hot_keys(big, "k", max_hot=10).collect()] == [0]
     for how in ("inner", "left"):
