@@ -10,7 +10,9 @@ their prefixes of ``n - ceil(3n/4) + l`` shingles share at least l, for every l.
    it met at least twice.  The order takes the ``HOT`` most frequent ones (2 MB);
    any others only come earlier than they might, which costs time, not results.
 3. Prefixes of the longest kind (l = DEPTH) go to their shingles' partitions;
-   a shingle with one document there is of no use and goes.
+   a shingle with one document there is of no use and goes.  Of two sets the
+   smaller must share 6/7 of itself, so its prefix need only be
+   ``n - ceil(6n/7) + l`` long in a pair.
 4. Each document's candidate cost at l = 1..DEPTH is estimated from the lengths
    of its prefix shingles' lists, and the cheapest l is its own.  A pair becomes
    a candidate when it shares min(l, l') prefix shingles or more.
@@ -213,8 +215,11 @@ def components_of(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_c
     first = stored(_verified(stars.select("x", F.col("d").alias("y")), base, size), "links")
     group = stored(components(copies.unionByName(first)), "groups")
 
-    # rank: how many shingles before this one could be shared with anyone
-    lists = lists.withColumn("rank", F.row_number().over(Window.partitionBy("d").orderBy("pos")) - 1)
+    # rank: how many shingles before this one could be shared with anyone; mask: which, in 64 bits
+    before = Window.partitionBy("d").orderBy("pos", "h").rowsBetween(Window.unboundedPreceding, -1)
+    bit = F.expr("shiftleft(1L, cast(pmod(h, 64) AS int))")
+    lists = lists.withColumn("rank", F.count(F.lit(1)).over(before)).withColumn(
+        "mask", F.coalesce(F.bit_or(bit).over(before), F.lit(0)))
     placed = lists.join(group.withColumnRenamed("node", "d"), "d", "left") \
         .withColumn("g", F.coalesce("component", "d")).drop("component", "central", "df")
     placed = stored(placed, "placed")
@@ -223,9 +228,14 @@ def components_of(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_c
         .filter("groups > 1").drop("groups")
     mixed = placed.join(mode, "h")
     strangers = mixed.filter("g <> mode").select("h", F.col("d").alias("x"), F.col("n").alias("m"), F.col("l").alias("k"),
-                                                 F.col("g").alias("f"), F.col("pos").alias("at"), F.col("rank").alias("r"))
-    reach = "7 * (least(rank, r) + least(n - pos, m - at)) >= 3 * (n + m)"      # what this and other places leave
-    pairs = (strangers.join(mixed, "h").filter(f"g <> f AND (g = mode OR x < d) AND {alike} AND {reach}")
+                                                 F.col("g").alias("f"), F.col("pos").alias("at"), F.col("rank").alias("r"), F.col("mask").alias("s"))
+    # what the places before this one and after it leave; shingles under one bit count as often as either has them
+    reach = """7 * (bit_count(mask & s) + least(rank - bit_count(mask), r - bit_count(s)) + least(n - pos, m - at))
+               >= 3 * (n + m)"""
+    # the smaller set of a pair must share 6/7 of itself, so a shorter prefix of it will do
+    early = """CASE WHEN struct(n, d) < struct(m, x) THEN pos < n - (6 * n + 6) div 7 + l
+                    ELSE at < m - (6 * m + 6) div 7 + k END"""
+    pairs = (strangers.join(mixed, "h").filter(f"g <> f AND (g = mode OR x < d) AND {alike} AND {reach} AND {early}")
              .withColumn("swap", F.col("x") > F.col("d"))
              .select(F.least("x", "d").alias("x"), F.greatest("x", "d").alias("y"), F.least("k", "l").alias("l"),
                      *[F.when(F.col("swap"), F.col(p)).otherwise(F.col(q)).alias(o)
