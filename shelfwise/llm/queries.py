@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 from shelfwise.llm import (
     bitpack, decontam, language, ngram_join, packing, perplexity, quality, secret_scan, sharding, substring,
 )
+from shelfwise.llm import oracle
 from shelfwise.llm.common import read
 
 QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_substring_dedup": oracle.SUBSTRING,
+    "op3_benchmark_decontamination": oracle.DECONTAMINATION,
+    "op7_ngram_jaccard_join": oracle.JACCARD,
+}
 
 
 def _register(fn):
@@ -33,7 +38,7 @@ VOCABULARY = 49_408
 @_register
 def op1_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
     found = substring.deduplicate(read(spark, d, "documents"), window=20)
-    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "factors")
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 @_register
