@@ -1,44 +1,66 @@
-"""Quality rules: n-gram perplexity under a modified Kneser-Ney model.
-
-The n-grams are of ``ORDER`` symbols; a symbol is a byte's class (26 folded
-lower-case letters, upper-case letter, digit, white space, punctuation, other
-ASCII, beyond ASCII: 32 classes, 5 bits).  Word n-grams of the whole corpus
-would have to be shuffled (some 70 % of word pairs are distinct), which does not
-fit the disk that this operator may use; symbol n-grams are combined in each
-task, and a model has at most 2^20 of them however large the corpus is, so it
-may be broadcast.
-
-Spark counts the n-grams of every text by language.  Per language the counts
-give a modified Kneser-Ney model (three discounts an order, continuation counts
-below the highest order, uniform at the bottom), stored as arrays sorted by
-n-gram key for each order; look-up is by binary search, with back-off.  A
-text's log-perplexity is compared with its language's band: ``WIDTH`` times the
-distance between median and quartile, below and above the median, over texts
-that pass the base rules.
-
-Languages: the ``LANGUAGES`` with most text have models of their own, all others
-(and null) share one.  Defined cases: a null or empty text, or one of fewer than
-``ORDER`` bytes, has no perplexity and fails the base rules.  Rows that repeat a
-doc_id are judged one by one; a null doc_id stays null.
+"""Quality rules: word n-gram perplexity under a modified Kneser-Ney model.
+
+The model is over pairs of words, per language: a word is a run without white
+space, ASCII letters folded to lower case, and in scripts written without blanks
+(Han, Kana, Thai, Lao, Khmer, Burmese) one character.  Words and pairs are 64-bit
+hashes that the language is mixed into, so a language is never capped or merged
+with another, and the model grows with the corpus.
+
+A pair counts as often as different words stand before it (its continuation count
+in a model of three words), so that copies of a passage count once.
+
+1. Texts are written once; a block is some megabytes of them, named by the task
+   that reads it and its number there.
+2. Each block sends its distinct pairs with the words before them (32 bits of
+   their hash), in arrays sorted by hash, to the buckets of a hash partitioning.
+   A bucket counts and answers every block with the counts over all texts; one
+   block owns each pair.
+   This is done for one of ``PASSES`` parts of the hash space after another,
+   which bounds the disk that is used at a time.
+3. From the pairs that it owns a block adds to what its words need: sum as
+   context, distinct followers of count 1, 2 and 3 or more, distinct words to
+   the left.  Buckets of words add those up and answer in the same way.
+4. Each block puts the answers together: three discounts an order, continuation
+   counts below, uniform at the bottom.  Every pair is one that the corpus has.
+
+No block sends an entry twice, so a passage or word that is everywhere costs a
+bucket one entry a block.  The answers are written tables, sorted by block, of which a
+task reads its own.
+
+A text's log-perplexity (a word pair) is compared with its language's band:
+``BELOW`` and ``ABOVE`` times the distance between median and quartile, over
+texts that pass the base rules.
+
+``KneserNey`` is the same smoothing over small keys in memory.
+
+Defined cases: a null language is a language of its own.  A null or empty text,
+or one of fewer than two words, has no perplexity and fails the base rules.
+Rows that repeat a doc_id are judged one by one; a null doc_id stays null.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as pads
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import stored
+from shelfwise.llm.common import filesystem, free_shuffles, scratch_path, shuffle_partitions, stored
 from shelfwise.llm.measures import measure
-from shelfwise.llm.words import Block, blocks
+from shelfwise.llm.words import LOWER, NOT_SPACE, Block, blocks, hash_ranges, mix, split_words
 
 ORDER = 4
 BITS = 5
-LANGUAGES = 63
-OTHER = "other languages"
+NO_LANGUAGE = "no language"
 FLOOR = 0.1              # least discount, so that unseen n-grams keep a probability
-WIDTH = 8.0
+BELOW, ABOVE = 8.0, 8.0  # widths of the band
+PASSES = 6
+BLOCK = 8 << 20          # bytes of text in a block
+BUCKET = 16 << 20        # bytes of text for each bucket of hashes
 STEP = 1000              # bins of log-perplexity per unit, for medians and quartiles
 
 
@@ -75,17 +97,11 @@ def keys_of(b: Block) -> tuple[np.ndarray, np.ndarray]:
     return key[inside], np.append(0, np.cumsum(size))
 
 
-def _count(batches):
-    schema = pa.schema([("lang", pa.string()), ("key", pa.int32()), ("c", pa.int64())])
-    for batch in batches:
-        langs = np.array(batch.column(1).to_pylist(), dtype=object)
-        for lang in sorted(set(langs)):
-            total = np.zeros(1 << (BITS * ORDER), dtype=np.int64)
-            for b in blocks(batch.column(0).filter(pa.array(langs == lang))):
-                total += np.bincount(keys_of(b)[0], minlength=len(total))
-            key = np.flatnonzero(total)
-            yield pa.record_batch([pa.array([lang] * len(key), pa.string()), pa.array(key.astype(np.int32)),
-                                   pa.array(total[key])], schema=schema)
+def discounts(by_count: list[float]) -> np.ndarray:
+    """Discounts of counts 0, 1, 2 and 3 or more, from the numbers of n-grams of count 1 to 4."""
+    y = by_count[0] / (by_count[0] + 2 * by_count[1]) if by_count[0] else 0.0
+    return np.array([0.0] + [min(max(k - (k + 1) * y * by_count[k] / by_count[k - 1], FLOOR), float(k))
+                             if by_count[k - 1] else 0.5 for k in (1, 2, 3)])
 
 
 class KneserNey:
@@ -100,10 +116,7 @@ class KneserNey:
         lower = lambda gram, n: np.full(len(gram), 1.0 / (1 << BITS))
         for n, (gram, c) in enumerate(levels, 1):
             by_count = [float((c == k).sum()) for k in (1, 2, 3, 4)]
-            y = by_count[0] / (by_count[0] + 2 * by_count[1]) if by_count[0] else 0.0
-            discount = [0.0] + [min(max(k - (k + 1) * y * by_count[k] / by_count[k - 1], FLOOR), float(k))
-                                if by_count[k - 1] else 0.5 for k in (1, 2, 3)]
-            d = np.array(discount)[np.minimum(c, 3).astype(int)]
+            d = discounts(by_count)[np.minimum(c, 3).astype(int)]
             context, first = np.unique(gram >> BITS, return_index=True)
             total, saved = np.add.reduceat(c, first), np.add.reduceat(d, first)
             weight = saved / total
@@ -127,20 +140,235 @@ class KneserNey:
         return out
 
 
-def fit(docs: DataFrame, lang: str = "lang") -> dict[str, KneserNey]:
-    """Models by language, from the text column of all of ``docs``."""
-    counts = stored(docs.select("text", F.coalesce(F.col(lang), F.lit(OTHER)).alias("lang"))
-                    .mapInArrow(_count, "lang string, key int, c long")
-                    .groupBy("lang", "key").agg(F.sum("c").alias("c")), "ngrams")
-    largest = counts.groupBy("lang").agg(F.sum("c").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    own = [r.lang for r in largest if r.lang != OTHER]
-    models = {}
-    for name in [*own, OTHER]:
-        rows = counts.filter(F.col("lang") == name) if name != OTHER else counts.filter(~F.col("lang").isin(own))
-        table = rows.groupBy("key").agg(F.sum("c").alias("c")).toPandas().sort_values("key")   # at most 2^20 rows
-        if len(table):
-            models[name] = KneserNey(table["key"].to_numpy(), table["c"].to_numpy())
-    return models
+def _single(buf: np.ndarray) -> np.ndarray:
+    """Starts of the characters (3 bytes each) of scripts written without blanks."""
+    at = np.flatnonzero(buf[:-2] >= 0xE0) if len(buf) > 2 else np.empty(0, np.int64)
+    one, two = buf[at], buf[at + 1]
+    return at[((one >= 0xE3) & (one <= 0xE9)) | ((one == 0xE0) & (two >= 0xB8) & (two <= 0xBB))
+              | ((one == 0xE1) & (((two >= 0x80) & (two <= 0x82)) | (two == 0x9E) | (two == 0x9F)))]
+
+
+def _language(name: str) -> int:
+    return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little")
+
+
+class Pairs:
+    """A block's words (distinct: ``words``) and pairs (distinct: ``grams``)."""
+
+    def __init__(self, b: Block, langs: list[str]):
+        single = _single(b.buf)
+        start, end, _ = split_words(b.buf, np.unique(np.concatenate([b.offsets, single, single + 3])), NOT_SPACE)
+        first = np.searchsorted(start, b.offsets)
+        doc = np.repeat(np.arange(b.n_docs), np.diff(first))
+        salt = {x: _language(x) for x in set(langs)}
+        lang = np.array([salt[x] for x in langs], dtype=np.uint64)
+        h = mix(hash_ranges(LOWER[b.buf], start, end) + mix(lang)[doc])
+        self.words, place = np.unique(h, return_inverse=True)
+        self.lang = np.zeros(len(self.words), dtype=np.uint64)
+        self.lang[place] = lang[doc]
+        at = np.flatnonzero(doc[:-1] == doc[1:])
+        self.doc, self.left, self.right = doc[at], place[at], place[at + 1]
+        self.hash = mix(h[at] * np.uint64(0xC2B2AE3D27D4EB4F) + h[at + 1])
+        self.before = np.where((at > 0) & (doc[at - 1] == doc[at]), h[at - 1] >> np.uint64(32), 0).astype(np.uint32)
+
+    def distinct(self) -> None:
+        """``grams``, and the words of each."""
+        self.grams, at, self.inverse = np.unique(self.hash, return_index=True, return_inverse=True)
+        self.g_left, self.g_right = self.left[at], self.right[at]
+
+
+def _parts(keys: np.ndarray, buckets: int):
+    """(bucket, from, to) of sorted keys."""
+    own = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    cut = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.empty(0, np.int64)
+    return zip(own[cut].astype(int).tolist(), cut.tolist(), [*cut[1:].tolist(), len(own)])
+
+
+def _read_blocks(batches, text: int, lang: int):
+    """(batch, block, number of the block, its pairs) of the task's texts."""
+    n = 0
+    for batch in batches:
+        langs = batch.column(lang).to_pylist()
+        for b in blocks(batch.column(text), limit=BLOCK):
+            yield batch, b, n, Pairs(b, langs[b.row:b.row + b.n_docs])
+            n += 1
+
+
+_ASKED = "bucket int, task int, block int, keys binary, a binary"
+_ANSWER = "bucket int, task int, block int, part int, a binary"
+
+
+def _ask_pairs(part: int, passes: int, buckets: int):
+    schema = pa.schema([("bucket", pa.int32()), ("task", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("a", pa.binary())])
+
+    def run(batches):
+        task = TaskContext.get().partitionId()
+        for _, _, n, p in _read_blocks(batches, 0, 1):
+            mine = np.flatnonzero(p.hash % np.uint64(passes) == part)
+            _, at = np.unique(mix(p.hash[mine] + p.before[mine]), return_index=True)
+            at = mine[at]
+            at = at[np.argsort(p.hash[at])]
+            keys, before = p.hash[at], p.before[at]
+            rows = [(k, task, n, keys[i:j].tobytes(), before[i:j].tobytes()) for k, i, j in _parts(keys, buckets)]
+            if rows:
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), schema.types)], schema=schema)
+    return run
+
+
+def _gathered(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Keys of all rows, each one's place among the distinct ones, and where rows end."""
+    keys = [np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()]
+    _, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    return first, place, np.append(0, np.cumsum([len(x) for x in keys]))
+
+
+def _answers(table: pa.Table, part: int, values: np.ndarray, cut: np.ndarray) -> pa.Table:
+    out = [values[i:j].tobytes() for i, j in zip(cut, cut[1:])]
+    return pa.table([table["bucket"], table["task"], table["block"], pa.array([part] * len(out), pa.int32()), pa.array(out, pa.binary())],
+                    names=["bucket", "task", "block", "part", "a"])
+
+
+def _answer_pairs(part: int):
+    def run(table: pa.Table) -> pa.Table:
+        first, place, cut = _gathered(table)
+        before = np.concatenate([np.frombuffer(x, np.uint32) for x in table["a"].to_pylist()])
+        entries = np.unique((place.astype(np.uint64) << np.uint64(32)) | before)
+        count = np.bincount((entries >> np.uint64(32)).astype(np.int64)).astype(np.uint64)
+        once = np.append(True, place[1:] != place[:-1])     # a row is sorted: each of its pairs is answered once
+        once[cut[:-1]] = True
+        total = count[place] << np.uint64(1)
+        total[first] |= np.uint64(1)                        # the block that owns the pair
+        return _answers(table, part, total[once], np.append(0, np.cumsum(once))[cut])
+    return run
+
+
+def _written(answers: DataFrame, name: str) -> str:
+    """Write the answers by task, blocks in order, in small row groups; the path."""
+    path = scratch_path(answers.sparkSession, name)
+    (answers.repartition("task").sortWithinPartitions("task", "block", "part", "bucket").write.option("compression", "zstd")
+     .option("parquet.block.size", 4 << 20).partitionBy("task").parquet(path))
+    free_shuffles(answers.sparkSession)
+    return path
+
+
+def _read_answers(path: str, task: int, block: int, kind) -> dict[int, np.ndarray]:
+    """By part: the values for one block, in order of its keys."""
+    fs, at = filesystem(f"{path}/task={task}")
+    rows = pads.dataset(at, filesystem=fs, format="parquet").to_table(
+        columns=["part", "bucket", "a"], filter=pads.field("block") == block).sort_by([("part", "ascending"), ("bucket", "ascending")])
+    out: dict[int, list] = {}
+    for part, a in zip(rows["part"].to_pylist(), rows["a"].to_pylist()):
+        out.setdefault(part, []).append(np.frombuffer(a, kind))
+    return {k: np.concatenate(v) for k, v in out.items()}
+
+
+def _pair_counts(paths: list[str], task: int, block: int, p: Pairs) -> tuple[np.ndarray, np.ndarray]:
+    """Counts over all texts of a block's distinct pairs, and which it owns."""
+    p.distinct()
+    got = np.zeros(len(p.grams), dtype=np.uint64)
+    part = p.grams % np.uint64(len(paths))
+    for k, path in enumerate(paths):
+        if (part == k).any():
+            got[part == k] = _read_answers(path, task, block, np.uint64)[k]
+    return (got >> np.uint64(1)).astype(np.int64), (got & np.uint64(1)).astype(bool)
+
+
+_WORD = 5       # numbers a word: sum as context, followers of count 1, 2, 3 or more, words to the left
+_STATS = "bucket int, task int, block int, keys binary, a binary, langs binary, lang decimal(20,0), n array<long>"
+
+
+def _ask_words(paths: list[str], buckets: int):
+    types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.decimal128(20, 0), pa.list_(pa.int64())]
+    schema = pa.schema(list(zip(("bucket", "task", "block", "keys", "a", "langs", "lang", "n"), types)))
+
+    def run(batches):
+        from decimal import Decimal
+
+        task = TaskContext.get().partitionId()
+        for _, _, n, p in _read_blocks(batches, 0, 1):
+            if not len(p.hash):
+                continue
+            c, own = _pair_counts(paths, task, n, p)
+            size, kind = len(p.words), np.minimum(c, 3)
+            value = np.stack([np.bincount(p.g_left[own], c[own], minlength=size),
+                              *[np.bincount(p.g_left[own & (kind == k)], minlength=size) for k in (1, 2, 3)],
+                              np.bincount(p.g_right[own], minlength=size)], axis=1).astype(np.uint64)
+            rows = [(k, task, n, p.words[i:j].tobytes(), value[i:j].tobytes(), p.lang[i:j].tobytes(), None, None)
+                    for k, i, j in _parts(p.words, buckets)]
+            lang = p.lang[p.g_left]
+            for x in np.unique(lang):
+                mine = c[own & (lang == x)]
+                rows.append((None, task, n, None, None, None, Decimal(int(x)), [int((mine == k).sum()) for k in (1, 2, 3, 4)]))
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), types)], schema=schema)
+    return run
+
+
+def _answer_words(table: pa.Table) -> pa.Table:
+    first, place, cut = _gathered(table)
+    value = np.concatenate([np.frombuffer(x, np.uint64) for x in table["a"].to_pylist()]).reshape(-1, _WORD)
+    total = np.stack([np.bincount(place, value[:, k]) for k in range(_WORD)], axis=1).astype(np.uint64)
+    return _answers(table, 0, total[place], cut)
+
+
+def _lower_stats(table: pa.Table) -> pa.Table:
+    """By language: words of 1, 2, 3, 4 and 3 or more words to the left, all of them, and the sum."""
+    from decimal import Decimal
+
+    first, place, _ = _gathered(table)
+    value = np.concatenate([np.frombuffer(x, np.uint64) for x in table["a"].to_pylist()]).reshape(-1, _WORD)
+    lang = np.concatenate([np.frombuffer(x, np.uint64) for x in table["langs"].to_pylist()])[first]
+    left = np.bincount(place, value[:, 4]).astype(np.int64)
+    rows = []
+    for x in np.unique(lang):
+        mine = left[lang == x]
+        rows.append((Decimal(int(x)), [*[int((mine == k).sum()) for k in (1, 2, 3, 4)], int((mine >= 3).sum()),
+                                       int((mine > 0).sum()), int(mine.sum())]))
+    return pa.table([pa.array([r[0] for r in rows], pa.decimal128(20, 0)), pa.array([r[1] for r in rows], pa.list_(pa.int64()))],
+                    names=["lang", "n"])
+
+
+def _added(df: DataFrame, size: int) -> dict[int, list[int]]:
+    """Sums by language of the lists ``n``: some numbers for each language."""
+    sums = [F.sum(F.col("n")[k]).alias(f"n{k}") for k in range(size)]
+    return {int(r.lang): [int(r[f"n{k}"]) for k in range(size)] for r in df.groupBy("lang").agg(*sums).collect()}
+
+
+class Model:
+    """Written answers to the blocks of ``rows`` (doc_id, text, lang), and the discounts."""
+
+    def __init__(self, rows: DataFrame, passes: int = PASSES):
+        spark = rows.sparkSession
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = max(shuffle_partitions(spark), size // BUCKET)
+        texts = rows.select("text", "lang")
+        self.pairs = [_written(texts.mapInArrow(_ask_pairs(k, passes, buckets), _ASKED).groupBy("bucket").applyInArrow(
+            _answer_pairs(k), _ANSWER), "pairs") for k in range(passes)]
+        asked = stored(texts.mapInArrow(_ask_words(self.pairs, buckets), _STATS), "words")
+        words = asked.filter("bucket IS NOT NULL")
+        self.words = _written(words.select("bucket", "task", "block", "keys", "a").groupBy("bucket").applyInArrow(
+            _answer_words, _ANSWER), "word-counts")
+        upper = _added(asked.filter("lang IS NOT NULL").select("lang", "n"), 4)
+        lower = _added(words.select("bucket", "keys", "a", "langs").groupBy("bucket").applyInArrow(
+            _lower_stats, "lang decimal(20,0), n array<long>"), 7)
+        self.languages = {x: (discounts(upper[x]), discounts(lower[x][:4]), lower[x]) for x in upper}
+
+    def loss(self, task: int, block: int, p: Pairs) -> np.ndarray:
+        """-log P(right word | left word) of each pair of a block, in order of the text."""
+        if not len(p.hash):
+            return np.zeros(0)
+        c, _ = _pair_counts(self.pairs, task, block, p)
+        w = _read_answers(self.words, task, block, np.uint64)[0].reshape(-1, _WORD).astype(np.float64)
+        names, own = np.unique(p.lang, return_inverse=True)
+        known = [self.languages.get(int(x), (np.zeros(4), np.zeros(4), [0] * 7)) for x in names]   # none: single words only
+        d2, d1 = np.array([k[0] for k in known])[own], np.array([k[1] for k in known])[own]
+        n1, n2, _, _, n3, size, total = np.array([k[2] for k in known], dtype=np.float64)[own].T
+        total = np.maximum(total, 1)
+        at = np.arange(len(w))
+        rest = (d1[:, 1] * n1 + d1[:, 2] * n2 + d1[:, 3] * n3) / total
+        single = (w[:, 4] - d1[at, np.minimum(w[:, 4], 3).astype(int)]) / total + rest / np.maximum(size, 1)
+        free = (w[:, 1:4] * d2[:, 1:]).sum(axis=1)
+        a, z = p.g_left, p.g_right
+        return -np.log((c - d2[a, np.minimum(c, 3)] + free[a] * single[z]) / w[a, 0])[p.inverse]
 
 
 _SCORED = ("doc_id long, model string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
@@ -152,50 +380,35 @@ def _score(shared):
                        ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], ("log_perplexity", pa.float64())])
 
     def run(batches):
-        models, tables = shared.value, {}
-        for batch in batches:
-            names = [x if x in models else OTHER for x in batch.column(2).to_pylist()]
-            for b in blocks(batch.column(1)):
-                own = names[b.row:b.row + b.n_docs]
-                key, cut = keys_of(b)
-                loss = np.zeros(len(key))
-                for name in set(own):
-                    if name not in models:
-                        continue
-                    if name not in tables:
-                        grams = np.arange(1 << (BITS * ORDER))
-                        tables[name] = -np.log(models[name].probability(grams)).astype(np.float32)
-                    mine = np.repeat(np.array([x == name for x in own]), np.diff(cut))
-                    loss[mine] = tables[name][key[mine]]
-                total = np.append(0, np.cumsum(loss))
-                n = np.diff(cut)
-                mean = (total[cut[1:]] - total[cut[:-1]]) / np.maximum(n, 1)
-                m = measure(b)
-                yield pa.record_batch([
-                    batch.column(0).slice(b.row, b.n_docs), pa.array(own, pa.string()),
-                    *[pa.array(m[c].astype(np.int64)) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
-                    pa.array(mean, mask=n == 0)], schema=schema)
+        task = TaskContext.get().partitionId()
+        for batch, block, k, p in _read_blocks(batches, 0, 1):
+            total = np.bincount(p.doc, shared.value.loss(task, k, p), minlength=block.n_docs)
+            n = np.bincount(p.doc, minlength=block.n_docs)
+            m = measure(block)
+            yield pa.record_batch([
+                batch.column(2).slice(block.row, block.n_docs), batch.column(1).slice(block.row, block.n_docs),
+                *[pa.array(m[c].astype(np.int64)) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+                pa.array(total / np.maximum(n, 1), mask=n == 0)], schema=schema)
     return run
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          width: float = WIDTH) -> DataFrame:
+          below: float = BELOW, above: float = ABOVE, passes: int = PASSES) -> DataFrame:
     """One row per input row: doc_id, the base counts, base_failed, kept,
     log_perplexity, lower, upper."""
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"),
-                       F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(OTHER)).alias("lang"))
-    models = fit(rows)
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-    scored = stored(rows.select("doc_id", "text", "lang").mapInArrow(_score(shared), _SCORED), "perplexity").withColumn(
+    # written, so that every pass reads the same rows in the same tasks
+    rows = stored(docs.select(F.col(f"`{text_col}`").cast("string").alias("text"),
+                              F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(NO_LANGUAGE)).alias("lang"),
+                              F.col(f"`{id_col}`").cast("long").alias("doc_id")), "texts")
+    model = Model(rows, passes)
+    shared = docs.sparkSession.sparkContext.broadcast(model)        # paths, and some numbers a language
+    scored = stored(rows.mapInArrow(_score(shared), _SCORED), "perplexity").withColumn(
         "base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
     bins = (scored.filter("NOT base_failed AND log_perplexity IS NOT NULL")
-            .groupBy("model", F.floor(F.col("log_perplexity") * STEP).alias("bin")).agg(F.count(F.lit(1)).alias("c")).collect())
-    bands = []
-    for name in sorted({r.model for r in bins}):
-        own = sorted((r.bin, r.c) for r in bins if r.model == name)
-        value, weight = np.array([b for b, _ in own]), np.cumsum([c for _, c in own])
-        q25, q50, q75 = ((value[np.searchsorted(weight, q * weight[-1])] + 0.5) / STEP for q in (0.25, 0.5, 0.75))
-        bands.append((name, float(q50 - width * max(q50 - q25, 1 / STEP)), float(q50 + width * max(q75 - q50, 1 / STEP))))
-    table = docs.sparkSession.createDataFrame(bands, "model string, lower double, upper double")
+            .groupBy("model", F.floor(F.col("log_perplexity") * STEP).alias("bin")).agg(F.count(F.lit(1)).alias("c")))
+    q = bins.groupBy("model").agg(F.expr("percentile(bin + 0.5, array(0.25, 0.5, 0.75), c)").alias("q"))
+    q25, q50, q75 = (F.col("q")[k] / STEP for k in range(3))
+    table = stored(q.select("model", (q50 - below * F.greatest(q50 - q25, F.lit(1 / STEP))).alias("lower"),
+                            (q50 + above * F.greatest(q75 - q50, F.lit(1 / STEP))).alias("upper")), "bands")
     inside = F.coalesce(F.col("log_perplexity").between(F.col("lower"), F.col("upper")), F.lit(True))
-    return scored.join(F.broadcast(table), "model", "left").withColumn("kept", ~F.col("base_failed") & inside)
+    return scored.join(table, "model", "left").withColumn("kept", ~F.col("base_failed") & inside)

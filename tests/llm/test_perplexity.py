@@ -94,3 +94,42 @@ def test_model_is_normalised_and_equals_the_definition():
         assert math.isclose(model.probability(np.array([key]))[0], prob(g), rel_tol=1e-9)
     context = uniq[:1] >> 5
     assert math.isclose(model.probability((context << 5) + np.arange(32)).sum(), 1, rel_tol=1e-9)
+
+
+def _word_model(texts):
+    """log-perplexity of each text: pairs counted by the distinct words before them."""
+    tokens = [t.lower().split() for t in texts]
+    before, left = collections.defaultdict(set), collections.defaultdict(set)
+    for t in tokens:
+        for i in range(len(t) - 1):
+            before[t[i], t[i + 1]].add(t[i - 1] if i else None)
+            left[t[i + 1]].add(t[i])
+    pair = {k: len(v) for k, v in before.items()}
+    single = {k: len(v) for k, v in left.items()}
+    of = lambda c: P.discounts([sum(x == k for x in c.values()) for k in (1, 2, 3, 4)])
+    d2, d1, total = of(pair), of(single), sum(single.values())
+    rest = sum(d1[min(x, 3)] for x in single.values()) / total / len(single)
+
+    def prob(a, b):
+        own = {k: x for k, x in pair.items() if k[0] == a}
+        free = sum(d2[min(x, 3)] for x in own.values())
+        lower = (single[b] - d1[min(single[b], 3)]) / total + rest
+        return (pair[a, b] - d2[min(pair[a, b], 3)] + free * lower) / sum(own.values())
+
+    return [-sum(math.log(prob(a, b)) for a, b in zip(t, t[1:])) / (len(t) - 1) for t in tokens]
+
+
+def test_word_model_equals_the_definition(spark):
+    rng = np.random.default_rng(3)
+    words = ["der", "Der", "the", "кот", "Δύο", "x&&&", *(f"w{i}" for i in range(20))]
+    texts = [" ".join(rng.choice(words, rng.integers(2, 40))) for _ in range(40)]
+    want = {**dict(enumerate(_word_model(texts[:25]))), **dict(enumerate(_word_model(texts[25:]), 25))}
+    df = spark.createDataFrame([(i, t, "en" if i < 25 else None) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.log_perplexity for r in P.judge(df.repartition(5)).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
+
+
+def test_characters_are_words_where_there_are_no_blanks():
+    b = next(blocks(pa.array(["我们 are 猫。", "กา ñ"])))
+    p = P.Pairs(b, ["zh", "th"])
+    assert np.bincount(p.doc).tolist() == [5 - 1, 3 - 1]
