@@ -133,3 +133,10 @@ def test_characters_are_words_where_there_are_no_blanks():
     b = next(blocks(pa.array(["我们 are 猫。", "กา ñ"])))
     p = P.Pairs(b, ["zh", "th"])
     assert np.bincount(p.doc).tolist() == [5 - 1, 3 - 1]
+
+
+def test_labelled_junk_that_passes_the_base_rules_goes(spark, duck):
+    got = {r.doc_id: r for r in QUERIES["op2_quality_rules"](spark, SF01).collect()}
+    labels = dict(duck.sql("select doc_id, quality from labels").fetchall())
+    junk = [r for i, r in got.items() if labels.get(i) == 0 and not r.base_failed]
+    assert len(junk) > 20 and np.mean([r.kept for r in junk]) < 0.1
