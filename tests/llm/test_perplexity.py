@@ -140,3 +140,14 @@ def test_labelled_junk_that_passes_the_base_rules_goes(spark, duck):
     labels = dict(duck.sql("select doc_id, quality from labels").fetchall())
     junk = [r for i, r in got.items() if labels.get(i) == 0 and not r.base_failed]
     assert len(junk) > 20 and np.mean([r.kept for r in junk]) < 0.1
+
+
+def test_every_language_has_its_own_model(spark):
+    """More languages than 63: the same words get no counts from another language."""
+    rows = [(100 * k + i, f"{'a b c d' if i else 'b a d c'} x{i % 3} " * 3, f"l{k}") for k in range(70) for i in range(2 + k % 3)]
+    got = P.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert {r.model for r in got} == {x for _, _, x in rows}
+    for k in (0, 1, 2, 69):
+        mine = sorted((r.doc_id, r.log_perplexity) for r in got if r.model == f"l{k}")
+        want = _word_model([t for _, t, x in rows if x == f"l{k}"])
+        assert np.allclose([x for _, x in mine], want)
