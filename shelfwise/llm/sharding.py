@@ -1,9 +1,10 @@
 """Sharding by balanced label propagation.
 
-Every document starts on a shard by its hash.  Then, for some rounds, Spark
-joins bring each linked document the shards of its neighbours; half of the
-documents, by hash and round, ask for the shard on which most of their
-neighbours are.  Between two shards as many go as come; beyond that, as many are
+Every document starts on a shard by its hash.  Then Spark joins bring each linked
+document the shards of its neighbours; half of the documents, by hash, ask for
+the shard on which most of their neighbours are, and in the next round the other
+half.  It ends when both halves moved no document, or when ``PATIENCE`` such
+pairs of rounds gained no link; ``MOST`` rounds without that are an error.  Between two shards as many go as come; beyond that, as many are
 let in (by hash) as the shard's quota leaves room for.  Linked documents may fill
 a shard up to its even share, since the others can stand anywhere.
 
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 
 from shelfwise.llm.common import stored
 
-ROUNDS = 5
+PATIENCE = 2
+MOST = 1000             # only a safety stop
 FINE = 1 << 20          # steps of the share of documents that are let in
 BUCKET_ROWS = 4096
 
@@ -51,8 +53,8 @@ def admitted(flow: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[in
     return out
 
 
-def propagate(nodes: DataFrame, edges: DataFrame, shards: int, rounds: int = ROUNDS) -> DataFrame:
-    """Labels (row, shard, linked) of ``nodes`` (row) for ``edges`` (a, b)."""
+def propagate(nodes: DataFrame, edges: DataFrame, shards: int, rounds: int | None = None) -> DataFrame:
+    """Labels (row, shard, linked) of ``nodes`` (row) for ``edges`` (a, b), settled or after ``rounds``."""
     links = stored(edges.filter("a <> b").select("a", "b").unionByName(edges.filter("a <> b").select(F.col("b").alias("a"),
                    F.col("a").alias("b"))).distinct(), "links")
     linked = links.select(F.col("a").alias("row")).distinct().withColumn("linked", F.lit(1))
@@ -61,27 +63,39 @@ def propagate(nodes: DataFrame, edges: DataFrame, shards: int, rounds: int = ROU
                             F.pmod(_hash(F.col("row"), "start"), F.lit(shards)).cast("int").alias("shard")), "labels")
     total = labels.count()
     quota = total // shards
-    for k in range(rounds):
+    moves, best, since = 1, -1, 0
+    for k in range(MOST if rounds is None else rounds):
         counts = {r.shard: r.c for r in labels.filter("linked = 1").groupBy("shard").agg(F.count(F.lit(1)).alias("c")).collect()}
         seen = links.join(labels.select(F.col("row").alias("b"), "shard"), "b").groupBy("a", "shard").agg(
             F.count(F.lit(1)).alias("c"))
         wish = seen.groupBy("a").agg(F.max_by("shard", F.struct("c", -F.col("shard"))).alias("wish"), F.max("c").alias("gain"))
         here = seen.select("a", F.col("shard").alias("own"), F.col("c").alias("stay"))
+        if k % 2 == 0:          # both halves have been asked
+            if not moves:
+                break
+            kept = labels.select(F.col("row").alias("a"), "shard").join(seen, ["a", "shard"]).agg(F.sum("c")).first()[0] or 0
+            best, since = (kept, 0) if kept > best else (best, since + 1)
+            if since >= PATIENCE and rounds is None:
+                break
+            moves = 0
         asks = (labels.filter("linked = 1").select(F.col("row").alias("a"), F.col("shard").alias("own")).join(wish, "a")
                 .filter("wish <> own").join(here, ["a", "own"], "left").filter("gain > coalesce(stay, 0)")
-                .filter(F.pmod(_hash(F.col("a"), k, "turn"), F.lit(2)) == k % 2).select("a", "own", "wish"))
+                .filter(F.pmod(_hash(F.col("a"), k // 2, "turn"), F.lit(2)) == k % 2).select("a", "own", "wish"))
         asks = stored(asks, "asks")
         flow = {(r.own, r.wish): r.c for r in asks.groupBy("own", "wish").agg(F.count(F.lit(1)).alias("c")).collect()}
         if not flow:
-            if k % 2 == 0:      # the other half has not been asked
-                continue
-            break
+            continue
         shares = [(s, t, int(FINE * x)) for (s, t), x in admitted(flow, [quota - counts.get(s, 0) for s in range(shards)]).items()]
         table = labels.sparkSession.createDataFrame(shares, "own int, wish int, share int")      # shards squared at most
         moved = (asks.join(F.broadcast(table), ["own", "wish"])
                  .filter(F.pmod(_hash(F.col("a"), k, "let in"), F.lit(FINE)) < F.col("share")).select(F.col("a").alias("row"), "wish"))
+        moved = stored(moved, "moved")
+        moves += moved.count()
         labels = stored(labels.join(moved, "row", "left").select("row", "linked", F.coalesce("wish", "shard").alias("shard")),
                         "labels")
+    else:
+        if rounds is None:
+            raise RuntimeError(f"labels have not settled in {MOST} rounds")
     return labels
 
 
@@ -123,7 +137,7 @@ def even_out(labels: DataFrame, shards: int) -> DataFrame:
     return _numbered(placed, by_hash, "slot")
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = ROUNDS, id_col: str = "doc_id",
+def shard_documents(docs: DataFrame, shards: int = 16, rounds: int | None = None, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, shard, slot, linked."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))

@@ -57,3 +57,13 @@ def test_links_pull_documents_together_within_quota(spark):
 
 def test_empty_table(spark):
     assert S.shard_documents(spark.createDataFrame([], "doc_id long, text string"), 4).count() == 0
+
+
+def test_propagation_runs_until_groups_are_whole(spark):
+    """With free room and the production setting no row is left away from its group."""
+    nodes = spark.range(1200).withColumnRenamed("id", "row")
+    edges = nodes.filter("row < 300 AND row % 5 <> 0").select(F.col("row").alias("a"), (F.col("row") - F.col("row") % 5).alias("b"))
+    at = collections.defaultdict(set)
+    for r in S.propagate(nodes, edges, 4).filter("linked = 1").collect():
+        at[r.row // 5].add(r.shard)
+    assert len(at) == 60 and all(len(x) == 1 for x in at.values())
