@@ -8,14 +8,14 @@
 4. ``secrets``: each secret becomes a mask in the text; n_chars follows.
 5. ``packing``: the rest is encoded and packed into windows of 2048 tokens.
 
-All but the last return the columns of their input.  A decision is by doc_id, so
-rows that repeat one share it, and stage 2 leaves one row of each doc_id (that
-with the smallest text).  A null doc_id is an id like any other.
+All but the last return the columns of their input.  A decision is by row: a stage
+numbers the rows that it reads (written once), gives the operators the numbers as
+ids, and drops them.  Rows that share a doc_id, or have none, are rows like any.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.llm import decontam, language, ngram_join, packing, secret_scan
@@ -26,32 +26,42 @@ from shelfwise.session import ship_package
 LEAST_SCORE = 0.15
 
 
-def _with_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is (``left_semi``) or is not (``left_anti``)
-    among ``ids``."""
-    ids = ids.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), how)
+ROW = "_row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def _with_rows(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """Rows of numbered ``docs`` whose number is (``left_semi``) or is not
+    (``left_anti``) among ``rows`` (doc_id: numbers), without the number."""
+    return docs.join(rows.select(F.col("doc_id").alias(ROW)), ROW, how).drop(ROW)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    found = language.identify(docs, F.lit(False))
+    docs = _numbered(docs)
+    found = language.identify(docs, F.lit(False), id_col=ROW)
     likely: Column = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
-    return _with_ids(docs, found.filter(likely), "left_semi")
+    return _with_rows(docs, found.filter(likely), "left_semi")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    groups = ngram_join.components_of(docs, size=5)
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    one = Window.partitionBy("doc_id").orderBy("text")
-    return _with_ids(docs, first, "left_semi").withColumn("_n", F.row_number().over(one)).filter("_n = 1").drop("_n")
+    docs = _numbered(docs)
+    groups = ngram_join.components_of(docs, size=5, id_col=ROW).select(F.col("doc_id").alias(ROW), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", ROW)
+    first = groups.join(docs.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(F.min_by(ROW, order).alias("doc_id"))
+    return _with_rows(docs, first, "left_semi")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    report = decontam.Decontaminator(docs, read(spark, sf_dir, "benchmark"), window=10).report()
-    return _with_ids(docs, report.filter("contaminated"), "left_anti")
+    docs = _numbered(docs)
+    by_row = docs.select(F.col(ROW).alias("doc_id"), "text")
+    report = decontam.Decontaminator(by_row, read(spark, sf_dir, "benchmark"), window=10).report()
+    return _with_rows(docs, report.filter("contaminated"), "left_anti")
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

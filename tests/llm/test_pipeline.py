@@ -76,3 +76,15 @@ def test_odd_rows(spark):
     for name, stage in C.STAGES:
         empty = stored(stage(spark, empty, SF01), name)
     assert empty.count() == 0
+
+
+def test_rows_that_share_an_id_or_have_none_are_decided_one_by_one(spark):
+    item = read(spark, SF01, "benchmark").orderBy("item_id").first().text
+    words = ["alpha beta gamma delta epsilon zeta eta theta", "red orange yellow green blue indigo violet black",
+             "one two three four five six seven eight nine", "north south east west up down left right"]
+    made = [(None, words[0]), (None, words[1]), (7, words[2]), (7, words[3]), (7, item), (None, item)]
+    docs = spark.createDataFrame(made, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "0L AS n_chars")
+    unique = stored(C.near_duplicate_stage(spark, docs, SF01), "t")
+    assert rows(unique, "text") == sorted((t,) for t in {*words, item})
+    clean = C.decontamination_stage(spark, docs, SF01)
+    assert rows(clean, "text") == sorted((t,) for t in words)
