@@ -1,7 +1,8 @@
 """The corpus pipeline: stages over ``documents``, each one of the operators.
 
 1. ``language``: string-kernel language ID; documents without a letter, or with
-   no likely language (score under ``LEAST_SCORE``), go.
+   no likely language, go: a score under the ``LEAST_SHARE`` quantile of the
+   labelled rows that are found to be of their own language.
 2. ``near_duplicates``: n-gram Jaccard join; of each group of documents linked
    by near copies the one with the smallest doc_id stays.
 3. ``decontamination``: documents that hold a benchmark passage go.
@@ -23,7 +24,7 @@ from shelfwise.llm.common import read, stored
 from shelfwise.llm.queries import VOCABULARY, tokenizer_path
 from shelfwise.session import ship_package
 
-LEAST_SCORE = 0.15
+LEAST_SHARE = 0.005
 
 
 ROW = "_row"
@@ -42,9 +43,13 @@ def _with_rows(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
     docs = _numbered(docs)
-    found = language.identify(docs, F.lit(False), id_col=ROW)
-    likely: Column = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
-    return _with_rows(docs, found.filter(likely), "left_semi")
+    found = stored(language.identify(docs, F.lit(False), id_col=ROW), "languages")
+    right = found.join(docs.select(F.col(ROW).alias("doc_id"), "lang"), "doc_id").filter("lang_pred = lang")
+    least = {r.lang_pred: r.least for r in right.groupBy("lang_pred").agg(
+        F.percentile_approx("score", LEAST_SHARE, 100_000).alias("least")).collect()}
+    table = spark.createDataFrame(list(least.items()), "lang_pred string, least double")
+    likely: Column = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= F.coalesce("least", F.lit(0.0)))
+    return _with_rows(docs, found.join(F.broadcast(table), "lang_pred", "left").filter(likely), "left_semi")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -88,3 +88,15 @@ def test_rows_that_share_an_id_or_have_none_are_decided_one_by_one(spark):
     assert rows(unique, "text") == sorted((t,) for t in {*words, item})
     clean = C.decontamination_stage(spark, docs, SF01)
     assert rows(clean, "text") == sorted((t,) for t in words)
+
+
+def test_gibberish_goes(spark):
+    import random
+
+    rng = random.Random(4)
+    letters = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(150)) for _ in range(20)]
+    docs = read(spark, SF01, "documents")
+    more = spark.createDataFrame([(-i - 1, t, None, "s", len(t)) for i, t in enumerate(letters)], docs.schema)
+    kept = C.language_stage(spark, docs.unionByName(more), SF01)
+    assert kept.filter("doc_id < 0").count() == 0
+    assert kept.filter("doc_id >= 0").count() >= 0.99 * docs.count()
