@@ -18,6 +18,9 @@ first.  Then every run of 20 or more letters, digits, ``+ / _ -`` is a candidate
    (powers of two): Benjamini and Hochberg's rule at ``RATE`` on the counts of
    p-values in bins of 1/20 decade, whose number is bounded.
 
+Runs of decimal digits have no alternative to be held against (evidence 0): they
+are never reported, and are left out of the totals of their class of length.
+
 Positions come from ``split``: the pieces between matches and the matches, laid
 end to end, are the text.  All positions are in code points, end exclusive.
 
@@ -137,7 +140,7 @@ def battery(runs: DataFrame) -> DataFrame:
 def discoveries(tested: DataFrame, rate: float = RATE, alpha: float = ALPHA) -> DataFrame:
     """Rows of ``tested`` that are random secrets at a false-discovery rate of
     ``rate``, for each class of length."""
-    df = tested.withColumn("_class", F.floor(F.log2("length"))).withColumn("_bin", F.floor(F.col("evidence") * BINS))
+    df = tested.filter("encoding <> 'decimal'").withColumn("_class", F.floor(F.log2("length"))).withColumn("_bin", F.floor(F.col("evidence") * BINS))
     counts = df.groupBy("_class", "_bin").agg(F.count(F.lit(1)).alias("_c"))    # some thousand rows at most
     down = Window.partitionBy("_class").orderBy(F.desc("_bin"))
     whole = Window.partitionBy("_class")

@@ -80,3 +80,12 @@ def test_battery_tells_random_from_text(spark):
 def test_the_main_path_has_no_python(spark):
     plan = QUERIES["op4_secret_scan"](spark, SF01)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_decimal_runs_leave_the_threshold_of_keys_alone(spark):
+    from shelfwise.llm import secret_scan
+
+    keys = [("base62", 40.0, 3.0, 0.5)] + [("base62", 40.0, 0.0, 0.5)] * 4
+    numbers = [("decimal", 40.0, 0.0, 0.5)] * 1000
+    df = spark.createDataFrame(keys + numbers, "encoding string, length double, evidence double, randomness double")
+    assert [(r.encoding, r.evidence) for r in secret_scan.discoveries(df).collect()] == [("base62", 3.0)]
