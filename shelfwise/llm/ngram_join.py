@@ -174,6 +174,13 @@ def _verified(pairs: DataFrame, base: DataFrame, size: int) -> DataFrame:
     return pairs.join(one, "x").join(two, "y").select("x", "y", "text", "other").mapInArrow(_linked(size), "a long, b long")
 
 
+def _shared(prefixes: DataFrame) -> DataFrame:
+    """Rows whose shingle others have too, with ``df``, their number.  Counted in each
+    task first and written, so that the join can split the rows of a hot shingle."""
+    counts = stored(prefixes.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "shared")
+    return prefixes.join(counts, "h")
+
+
 def components_of(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
@@ -193,9 +200,7 @@ def components_of(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_c
     hot = spark.sparkContext.broadcast((h[order], (len(h) - np.arange(len(h)))[order]))
 
     prefixes = base.mapInArrow(_prefixes(size, hot), "h long, d long, n long, pos long")
-    live = (prefixes.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("h"))).filter("df > 1")
-            .join(reps, "d", "left_semi"))
-    live = stored(live, "prefixes")
+    live = stored(_shared(stored(prefixes, "all-prefixes")).join(reps, "d", "left_semi"), "prefixes")
 
     at = lambda k: F.col("n") - F.expr("(3 * n + 3) div 4") + k  # noqa: E731   length of the l-prefix
     costs = live.groupBy("d", "n").agg(

@@ -97,3 +97,12 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 150)] + [(7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 150)}}
+
+
+def test_shared_shingles_are_counted_without_a_window(spark):
+    from shelfwise.llm import ngram_join
+
+    rows = [(1, i) for i in range(300)] + [(2, 7), (3, 8), (3, 9)]
+    got = ngram_join._shared(spark.createDataFrame(rows, "h long, d long"))
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.h, r.d, r.df) for r in got.collect()) == [(h, d, 300 if h == 1 else 2) for h, d in rows if h != 2]
