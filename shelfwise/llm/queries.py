@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.llm import (
-    bitpack, decontam, language, ngram_join, packing, perplexity, quality, secret_scan, sharding, substring,
+    bitpack, decontam, language, ngram_join, packing, perplexity, pieces, quality, repair, secret_scan, sharding, substring,
+    whitening,
 )
 from shelfwise.llm import oracle
 from shelfwise.llm.common import read
@@ -99,3 +100,19 @@ def op6_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
 @_register
 def op8_language_id(spark: SparkSession, d: str) -> DataFrame:
     return language.identify(read(spark, d, "documents"), held_out())
+
+
+@_register
+def op11_conversation_repair(spark: SparkSession, d: str) -> DataFrame:
+    return repair.repair(repair.damaged(read(spark, d, "conversations")), copies="copies")
+
+
+@_register
+def op12_embedding_whitening(spark: SparkSession, d: str) -> DataFrame:
+    return whitening.whiten(read(spark, d, "embeddings"), components=8)
+
+
+@_register
+def op13_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
+    found = pieces.encode(read(spark, d, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return found.mapInArrow(pieces.digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, agrees boolean")
