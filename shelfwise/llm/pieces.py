@@ -7,16 +7,18 @@ A symbol that is no piece becomes the pieces of its bytes.
 
 No piece goes on after a blank that follows another character, so the units of a
 text are its runs of blanks with the word behind them, and each distinct unit is
-solved once in a block and remembered (``tokens.MEMORY`` units in a Python worker).
+solved once in a block and remembered (``MEMORY`` units in a Python worker).
 A vocabulary that has such a piece makes every text one unit.
 
-The ids of every text are checked against the sentencepiece library, an Arrow
-batch at a time (column ``agrees``); the library also normalizes and decodes.
+The units of each Arrow batch are checked against the sentencepiece library as they
+are learned: ``agrees`` is false for a text with a unit that the library encodes
+otherwise.  (That units join to what the library makes of whole texts is tested.)
+The library also normalizes and decodes.
 
 Defined cases: a null text is empty; an empty text has the begin and end ids alone;
 repeated rows and null ids are rows like any; extra columns are ignored; an empty
 table gives an empty result.  A model that is not of the merge type, lacks byte
-pieces, or holds user-defined or unused pieces raises ``ValueError``.
+pieces, or holds user-defined or unused pieces raises ``ValueError``, and so does one that puts no blank before a text.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.common import list_array, list_parts
-from shelfwise.llm.tokens import MEMORY, Encoder
+from shelfwise.llm.tokens import Encoder
 from shelfwise.llm.words import hash_ranges, text_buffer
 
 BLANK = "▁"                # how pieces write a blank
+MEMORY = 1_000_000              # units that a Python worker remembers, some 60 MB
+SHORT = 48                      # characters of a unit whose agenda is a list
 BLOCK_BYTES = 1 << 20           # texts handled at once; a longer text is its own block
 _BPE = 2                        # model type of merge vocabularies
 
@@ -52,6 +57,8 @@ class PieceEncoder(Encoder):
         kinds = model.SentencePiece
         if model.trainer_spec.model_type != _BPE:
             raise ValueError(f"{path}: not a merge-type (BPE) vocabulary")
+        if not model.normalizer_spec.add_dummy_prefix or model.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError(f"{path}: a vocabulary whose texts do not begin with a blank is not handled")
         pieces = list(enumerate(model.pieces))
         if any(p.type in (kinds.USER_DEFINED, kinds.UNUSED) for _, p in pieces):
             raise ValueError(f"{path}: user-defined and unused pieces are not handled")
@@ -60,6 +67,7 @@ class PieceEncoder(Encoder):
         rank = {s: r for r, s in enumerate(scores)}
         self.rank = {p.piece.replace(BLANK, " "): rank[p.score] for _, p in normal}
         self.id_of = {p.piece.replace(BLANK, " "): i for i, p in normal}
+        self.none = len(scores)
         self.byte = {int(p.piece[3:5], 16): i for i, p in pieces if p.type == kinds.BYTE}
         if len(self.byte) != 256:
             raise ValueError(f"{path}: a vocabulary without byte pieces is not handled")
@@ -67,10 +75,30 @@ class PieceEncoder(Encoder):
         self.begin, self.end = self.library.bos_id(), self.library.eos_id()
         if min(self.begin, self.end) < 0:
             raise ValueError(f"{path}: no begin or end id")
+        self.wrong: set[int] = set()        # hashes of units for which the library has other ids
         self._forget()
 
     def merged(self, unit: str) -> list[str]:
-        """The symbols that the agenda leaves of a unit."""
+        """The symbols that the agenda leaves of a unit.  A short unit's agenda is a
+        list in order of place, whose least rank is looked up; a long one's a heap."""
+        if len(unit) > SHORT:
+            return self._merged_by_heap(unit)
+        rank, symbols, none = self.rank.get, list(unit), self.none
+        agenda = [rank(a + b, none) for a, b in zip(symbols, unit[1:])]
+        while agenda:
+            best = min(agenda)
+            if best == none:
+                break
+            i = agenda.index(best)
+            both = symbols[i] = symbols[i] + symbols.pop(i + 1)
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = rank(both + symbols[i + 1], none)
+            if i:
+                agenda[i - 1] = rank(symbols[i - 1] + both, none)
+        return symbols
+
+    def _merged_by_heap(self, unit: str) -> list[str]:
         rank, symbols, n = self.rank.get, list(unit), len(unit)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = []
@@ -100,19 +128,21 @@ class PieceEncoder(Encoder):
         return [s for s in symbols if s is not None]
 
     def unit_ids(self, unit: str) -> list[int]:
-        ids, id_of = [], self.id_of.get
-        for symbol in self.merged(unit):
-            i = id_of(symbol)
-            if i is None:
-                ids.extend(self.byte[b] for b in symbol.encode())
-            else:
-                ids.append(i)
+        symbols = self.merged(unit)
+        ids = list(map(self.id_of.get, symbols))
+        if None in ids:
+            ids = [k for s, i in zip(symbols, ids) for k in ([i] if i is not None else [self.byte[b] for b in s.encode()])]
         return ids
 
     def _learn(self, texts: list[str], pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found = [self.unit_ids(t) for t in texts]
-        sizes = np.array([len(x) for x in found], dtype=np.int64)
-        return np.array([i for x in found for i in x], dtype=np.uint32), sizes
+        expected = self.library.encode([t[1:] for t in texts], num_threads=1)      # which puts the blank back,
+        expected = [x or [self.library.piece_to_id(BLANK)] for x in expected]      # but before no empty text
+        if found != expected:
+            wrong = [t.encode() for t, a, b in zip(texts, found, expected) if a != b]
+            self.wrong.update(int(hash_ranges(np.frombuffer(t, np.uint8), np.array([0]), np.array([len(t)]))[0]) for t in wrong)
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        return np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(sizes.sum())), sizes
 
     def _cuts(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Starts of the units of a block of normalized texts."""
@@ -123,18 +153,20 @@ class PieceEncoder(Encoder):
         cut[offsets] = True
         return np.flatnonzero(cut[:-1])
 
-    def texts(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of normalized texts (blanks for ``BLANK``) and each text's offsets."""
-        start = self._cuts(buf, offsets)
+    def texts(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of normalized texts (blanks for ``BLANK``), each text's offsets, and
+        whether the library has the same ids for all its units."""
+        start, agrees = self._cuts(buf, offsets), np.ones(len(offsets) - 1, dtype=bool)
         if not len(start):
-            return np.empty(0, np.uint32), np.zeros(len(offsets), np.int64)
+            return np.empty(0, np.uint32), np.zeros(len(offsets), np.int64), agrees
         end = np.append(start[1:], len(buf))
         one, two = hash_ranges(buf, start, end, 0), hash_ranges(buf, start, end, 1)
         keys, rep, unit = np.unique(one, return_index=True, return_inverse=True)
         checks, raw = two[rep], buf.tobytes()
         if (checks[unit] != two).any():         # two units with one hash: solve each by itself
-            ids, size = self._learn([raw[i:j].decode() for i, j in zip(start.tolist(), end.tolist())], None)
-            return ids, np.append(0, np.cumsum(size))[np.searchsorted(start, offsets)]
+            ids, size = self._learn([raw[i:j].decode() for i, j in zip(start.tolist(), end.tolist())], unit)
+            agrees[:] = not self.wrong
+            return ids, np.append(0, np.cumsum(size))[np.searchsorted(start, offsets)], agrees
         spot, found = self._find(keys, checks)
         if not found.all():
             new = np.flatnonzero(~found)
@@ -147,7 +179,10 @@ class PieceEncoder(Encoder):
         at, n = self.at[spot][unit], self.size[spot][unit]
         stop = np.cumsum(n)
         ids = self.flat[np.arange(int(stop[-1])) + np.repeat(at - (stop - n), n)]
-        return ids, np.append(0, stop)[np.searchsorted(start, offsets)]
+        if self.wrong:
+            places = start[np.isin(one, np.array(sorted(self.wrong), dtype=np.uint64))]
+            agrees[np.searchsorted(offsets, places, side="right") - 1] = False
+        return ids, np.append(0, stop)[np.searchsorted(start, offsets)], agrees
 
 
 _encoders: dict[str, PieceEncoder] = {}
@@ -171,8 +206,8 @@ def _between(ids: np.ndarray, offsets: np.ndarray, begin: int, end: int) -> tupl
     return out, own
 
 
-def encoded_blocks(texts: pa.Array, path: str) -> Iterator[tuple[int, list[str], np.ndarray, np.ndarray]]:
-    """(row, texts, ids, offsets) of consecutive blocks of a text column, with begin and end ids."""
+def encoded_blocks(texts: pa.Array, path: str) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, ids, offsets, agrees) of consecutive blocks of a text column, with begin and end ids."""
     own = encoder(path)
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -184,26 +219,25 @@ def encoded_blocks(texts: pa.Array, path: str) -> Iterator[tuple[int, list[str],
         last = max(row + 1, int(np.searchsorted(sizes, done + BLOCK_BYTES, side="right")))
         part = texts.slice(row, last - row).to_pylist()
         plain = pc.replace_substring(pa.array(own.library.normalize(part), pa.large_string()), BLANK, " ")
-        yield row, part, *_between(*own.texts(*text_buffer(plain)), own.begin, own.end)
+        ids, offsets, agrees = own.texts(*text_buffer(plain))
+        yield row, *_between(ids, offsets, own.begin, own.end), agrees
         row = last
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: ``doc_id``, ``ids`` (with the begin and end ids), ``decoded`` (what
-    they decode to) and ``agrees`` (whether the library gives the same ids)."""
+    they decode to) and ``agrees`` (whether the library gives the same ids for all its units)."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string()),
                         ("agrees", pa.bool_())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = encoder(path).library
         for batch in batches:
-            for row, part, ids, offsets in encoded_blocks(batch.column(1), path):
+            for row, ids, offsets, agrees in encoded_blocks(batch.column(1), path):
                 lists = [ids[i:j].tolist() for i, j in zip(offsets, offsets[1:])]
-                expected = library.encode(part, add_bos=True, add_eos=True, num_threads=1)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(row, len(part)), list_array(ids.astype(np.int32), offsets, pa.int32()),
-                    pa.array(library.decode(lists, num_threads=1), pa.string()),
-                    pa.array([a == b for a, b in zip(lists, expected)], pa.bool_())], schema=schema)
+                    batch.column(0).slice(row, len(agrees)), list_array(ids.astype(np.int32), offsets, pa.int32()),
+                    pa.array(library.decode(lists, num_threads=1), pa.string()), pa.array(agrees)], schema=schema)
 
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")) \
         .mapInArrow(run, "doc_id long, ids array<int>, decoded string, agrees boolean")

@@ -43,7 +43,7 @@ def test_agenda_against_plain_merging():
                 break
             _, i = min(pairs)
             symbols[i:i + 2] = [symbols[i] + symbols[i + 1]]
-        assert own.merged(unit) == symbols
+        assert own.merged(unit) == own._merged_by_heap(unit) == symbols
 
 
 def test_odd_texts_and_decoding(spark):
@@ -64,11 +64,20 @@ def test_forgetting_and_empty_table(spark, monkeypatch):
     for part in range(20):
         words = [" ".join(f"w{part}x{i}" for i in range(30)), "the same words"]
         buf = np.frombuffer("".join(" " + w for w in words).encode(), dtype=np.uint8)
-        ids, at = own.texts(buf, np.append(0, np.cumsum([len(w) + 1 for w in words])))
+        ids, at, _ = own.texts(buf, np.append(0, np.cumsum([len(w) + 1 for w in words])))
         assert [ids[i:j].tolist() for i, j in zip(at, at[1:])] == LIBRARY.encode(words)
     assert P.encode(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
 
 
+def test_a_unit_that_the_library_encodes_otherwise(spark):
+    own = P.PieceEncoder(PATH)
+    own.rank["q" * 3], own.id_of["q" * 3] = 0, 500          # a vocabulary unlike the library's
+    own.rank["qq"], own.id_of["qq"] = 0, 501
+    texts = [" a plain text", " some qqq here", " the end"]
+    ids, at, agrees = own.texts(np.frombuffer("".join(texts).encode(), np.uint8), np.append(0, np.cumsum([len(t) for t in texts])))
+    assert agrees.tolist() == [True, False, True] and 500 in ids[at[1]:at[2]]
+
+
 def test_ids_outside_the_vocabulary_and_other_models(spark, tmp_path):
     bad = spark.createDataFrame([(1, [1, 99_999])], "doc_id long, ids array<int>")
     with pytest.raises(Exception, match="outside the vocabulary"):
