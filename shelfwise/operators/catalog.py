@@ -19,20 +19,20 @@ CATALOG_COLUMNS = ("id", "name", "description", "price", "stock", "category", "c
 
 
 def number_images(images: DataFrame, key: str = "product_id",
-                  order=("sort_order", "id"), out: str = "position") -> DataFrame:
+                  order=("sort_order", "id"), out: str = "position", counted: DataFrame | None = None) -> DataFrame:
     """WN-3: number images 0, 1, ... within ``key`` in ``order``; position 0
     is primary.  Skew-safe (a key may hold any share of the rows)."""
-    numbered = row_number_within(images, [key], list(order), "_pos")
+    numbered = row_number_within(images, [key], list(order), "_pos", counted)
     return (numbered.withColumn(out, (F.col("_pos") - 1).cast("int"))
             .withColumn("is_primary", F.col(out) == 0)
             .drop("_pos"))
 
 
-def image_urls(images: DataFrame) -> DataFrame:
+def image_urls(images: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     """AG-11: image URLs per product in ``(sort_order, id)`` order, as rows
     ``(product_id, position, image_url)`` with positions from 0."""
     narrow = images.select("product_id", "sort_order", "id", "image_url")
-    return number_images(narrow).select("product_id", "position", "image_url")
+    return number_images(narrow, counted=counted).select("product_id", "position", "image_url")
 
 
 def nest_images(urls: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def catalog(products: DataFrame, images: DataFrame) -> DataFrame:
     # only the images of shown products are numbered and nested (positions
     # are per product, so this changes no result)
     shown = images.join(in_stock.select(F.col("id").alias("product_id")), "product_id", "left_semi")
-    nested = nest_images(image_urls(shown)).withColumnRenamed("product_id", "id")
+    nested = nest_images(image_urls(shown, counted=images)).withColumnRenamed("product_id", "id")
     return in_stock.join(nested, "id", "left").select(
         *CATALOG_COLUMNS, F.coalesce(F.col("images"), F.array().cast("array<string>")).alias("images"))
 

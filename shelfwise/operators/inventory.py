@@ -12,12 +12,12 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from shelfwise.fixed import LEDGER_ACTION
-from shelfwise.operators.scan import running_sum
-from shelfwise.session import require_checkpoint_dir
+from shelfwise.operators.scan import Splitters, running_sum, splitters
+from shelfwise.session import drop_written, require_checkpoint_dir, written
 
 
 def price_lines(items: DataFrame, products: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def stock_ledger(products: DataFrame, lines: DataFrame, orders: DataFrame,
     l = (lines.select(*keep)
          .join(o, "order_id", "inner").join(p, "product_id", "inner"))
     l = l.withColumn("_q", F.col("quantity").cast("long"))
-    run = running_sum(l, ["product_id"], ["_placed", "order_id", *line_order], ["_q"], ["_used"])
+    run = running_sum(l, ["product_id"], ["_placed", "order_id", *line_order], ["_q"], ["_used"], counted=lines)
     new_stock = (F.col("_open") - F.col("_used")).cast("int")
     return run.select(
         "product_id", "order_id", "quantity",
@@ -68,6 +68,28 @@ def _order_product(items: DataFrame) -> DataFrame:
         F.max("quantity").cast("long").alias("need"))
 
 
+PLACE = ["created_at", "order_id"]
+ROUNDS_AT_ONCE = 3          # rounds of admission between two written tables
+
+
+def _round(pairs: DataFrame, cut: Splitters | None) -> DataFrame:
+    """One round over pairs with a verdict ``_v``: U undecided, A accepted in the round
+    before, a accepted earlier, R rejected."""
+    undecided, fresh, zero = F.col("_v") == "U", F.col("_v") == "A", F.lit(0).cast("long")
+    run = running_sum(
+        pairs.select("*", F.when(fresh, F.col("total")).otherwise(zero).alias("a_new"),
+                     F.when(undecided, F.greatest(F.col("total"), zero)).otherwise(zero).alias("u_pos"),
+                     F.when(undecided, F.least(F.col("total"), zero)).otherwise(zero).alias("u_neg")),
+        ["product_id"], PLACE, ["a_new", "u_pos", "u_neg"], ["a_run", "pos_run", "neg_run"], inclusive=False, cut=cut)
+    left = F.col("stock") - F.col("acc_before") - F.col("a_run")
+    order = Window.partitionBy("order_id")          # the lines of one request
+    fits = F.bool_and(F.col("need") <= left - F.col("pos_run")).over(order)
+    fails = F.bool_or(F.col("need") > left - F.col("neg_run")).over(order)
+    verdict = F.when(undecided, F.when(fits, "A").when(fails, "R").otherwise("U")).when(fresh, "a").otherwise(F.col("_v"))
+    return run.select("order_id", "product_id", "created_at", "total", "need", "stock",
+                      (F.col("acc_before") + F.col("a_run")).alias("acc_before"), verdict.alias("_v"))
+
+
 def admit_orders(products: DataFrame, orders: DataFrame, items: DataFrame,
                  users: DataFrame | None = None, max_rounds: int | None = None,
                  line_order: str | None = None) -> Admission:
@@ -85,10 +107,12 @@ def admit_orders(products: DataFrame, orders: DataFrame, items: DataFrame,
       reject; otherwise the order stays undecided.
 
     The earliest undecided order has ``sure_left == best_left``, so each round
-    decides at least one order.  A round only carries the undecided pairs and
-    the pairs accepted in the round before (their totals are folded into a
-    stored ``accepted`` sum), so rounds shrink.  Each round is one checkpoint
-    of its pairs with their verdict; the loop reads three counts from it.
+    decides at least one order.  What is decided leaves the pairs (the totals of
+    accepted ones are folded into ``acc_before``), so rounds shrink.  A few rounds
+    (``ROUNDS_AT_ONCE``) make one plan without a self-join, whose result is one
+    written table; the job that writes it counts what is left.  The products with
+    many pairs are cut into blocks once, before the first round; a round adds the
+    sums of the blocks before.
 
     Orders of unknown users and orders with a line for an unknown product are
     rejected up front (``unknown_user`` / ``unknown_product``), as the shop
@@ -108,11 +132,11 @@ def admit_orders(products: DataFrame, orders: DataFrame, items: DataFrame,
 
     # Every (order, product) pair of a known order, with the order's position,
     # whether its user exists and the product's stock (NULL: unknown product).
-    # One checkpoint; everything below reads it.
+    # One written table; everything below reads it.
     pairs = _order_product(items.select("order_id", "product_id", "quantity"))
-    pe = (pairs.join(o.select("order_id", "created_at", "_user_ok"), "order_id", "inner")
-          .join(stock, "product_id", "left")
-          .checkpoint(eager=True))
+    pe = written(pairs.join(o.select("order_id", "created_at", "_user_ok"), "order_id", "inner")
+                 .join(stock, "product_id", "left"), "admission-pairs")
+    cut = splitters(pe, ["product_id"], PLACE)
 
     unknown_user = o.filter(~F.col("_user_ok")).select(
         "order_id", F.lit("unknown_user").alias("reason"),
@@ -127,61 +151,30 @@ def admit_orders(products: DataFrame, orders: DataFrame, items: DataFrame,
                     F.lit(0).cast("long").alias("acc_before")))
 
     spark = products.sparkSession
-    undecided = cand
-    newly_accepted = cand.limit(0).select("order_id", "product_id", "created_at", "total")
-    n_left = cand.count()
-    decisions: list[DataFrame] = []
+    carried = cand.withColumn("_v", F.lit("U"))
+    n_left = 1
+    steps: list[DataFrame] = []
     rounds = 0
     while n_left > 0:
-        rounds += 1
-        if max_rounds is not None and rounds > max_rounds:
+        for _ in range(ROUNDS_AT_ONCE if max_rounds is None else min(ROUNDS_AT_ONCE, max_rounds - rounds)):
+            carried = _round(carried, cut)
+            rounds += 1
+        left = Observation()
+        steps.append(written(carried.observe(left, F.count_if(F.col("_v") == "U").alias("n")), "admission-round"))
+        n_left = left.get["n"]
+        if n_left and rounds == max_rounds:
             raise RuntimeError(f"order admission did not finish in {max_rounds} rounds")
-        u = undecided.select(
-            "order_id", "product_id", "created_at", "total", "need", "stock", "acc_before",
-            F.lit(0).cast("long").alias("a_new"),
-            F.greatest(F.col("total"), F.lit(0)).cast("long").alias("u_pos"),
-            F.least(F.col("total"), F.lit(0)).cast("long").alias("u_neg"),
-            F.lit(True).alias("_u"))
-        a = newly_accepted.select(
-            "order_id", "product_id", "created_at",
-            F.lit(None).cast("long").alias("total"), F.lit(None).cast("long").alias("need"),
-            F.lit(None).cast("long").alias("stock"), F.lit(None).cast("long").alias("acc_before"),
-            F.col("total").cast("long").alias("a_new"),
-            F.lit(0).cast("long").alias("u_pos"), F.lit(0).cast("long").alias("u_neg"),
-            F.lit(False).alias("_u"))
-        both = u.unionByName(a)
-        run = running_sum(both, ["product_id"], ["created_at", "order_id"],
-                          ["a_new", "u_pos", "u_neg"], ["a_run", "pos_run", "neg_run"],
-                          inclusive=False).filter(F.col("_u"))
-        acc = F.col("acc_before") + F.col("a_run")
-        scored = run.select(
-            "order_id", "product_id", "created_at", "total", "need", "stock",
-            acc.alias("acc_before"),
-            (F.col("need") <= F.col("stock") - acc - F.col("pos_run")).alias("_sure"),
-            (F.col("need") > F.col("stock") - acc - F.col("neg_run")).alias("_bad"))
-        verdict = scored.groupBy("order_id").agg(
-            F.bool_and("_sure").alias("_all_sure"), F.bool_or("_bad").alias("_any_bad"))
-        verdict = verdict.select(
-            "order_id",
-            F.when(F.col("_all_sure"), "A").when(F.col("_any_bad"), "R").otherwise("U").alias("_v"))
-        tagged = scored.join(verdict, "order_id", "inner").checkpoint(eager=True)
-        # one small read per round: pair counts by verdict (at most 3 rows)
-        counts = {r["_v"]: r["n"] for r in
-                  tagged.groupBy("_v").agg(F.count(F.lit(1)).alias("n")).collect()}
-        n_left = counts.get("U", 0)
-        decisions.append(tagged.filter(F.col("_v") != "U").select("order_id", "_v"))
-        newly_accepted = tagged.filter(F.col("_v") == "A").select(
-            "order_id", "product_id", "created_at", "total")
-        undecided = tagged.filter(F.col("_v") == "U").select(
-            "order_id", "product_id", "created_at", "total", "need", "stock", "acc_before")
+        carried = steps[-1].filter(F.col("_v").isin("U", "A"))
 
+    decisions = [t.filter(F.col("_v") != "U").select("order_id", F.upper("_v").alias("_v")) for t in steps]
     # One small table of order-level decisions (an order without lines
     # passes every check), checkpointed once.
     decisions.append(o.filter(F.col("_user_ok")).select("order_id")
                      .join(pe.select("order_id"), "order_id", "left_anti")
                      .withColumn("_v", F.lit("A")))
-    decided_orders = _union_all(decisions, spark, "order_id long, _v string").distinct() \
-        .checkpoint(eager=True)
+    decided_orders = written(_union_all(decisions, spark, "order_id long, _v string").distinct(), "admission-orders")
+    for t in steps:
+        drop_written(t)
     accepted = decided_orders.filter(F.col("_v") == "A").select("order_id")
 
     # Exact "available" for rejected orders: stock left by all earlier accepted
@@ -193,8 +186,7 @@ def admit_orders(products: DataFrame, orders: DataFrame, items: DataFrame,
         "order_id", "product_id", "created_at", "need", "stock",
         F.when(F.col("_v") == "A", F.col("total")).otherwise(F.lit(0)).cast("long").alias("a_new"),
         (F.coalesce(F.col("_v"), F.lit("R")) == "R").alias("_r"))
-    run = running_sum(both, ["product_id"], ["created_at", "order_id"], ["a_new"], ["a_run"],
-                      inclusive=False).filter(F.col("_r"))
+    run = running_sum(both, ["product_id"], PLACE, ["a_new"], ["a_run"], inclusive=False, cut=cut).filter(F.col("_r"))
     failing = (run.select("order_id", "product_id", "need", (F.col("stock") - F.col("a_run")).alias("available"),
                           F.lit("insufficient_stock").alias("reason"))
                .filter(F.col("need") > F.col("available"))

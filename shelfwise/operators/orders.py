@@ -104,7 +104,7 @@ def numbered_lines(items: DataFrame, products: DataFrame) -> DataFrame:
     """The lines of every order as rows ``(order_id, position, product_id,
     product_name, quantity, price)``, positions from 0 by product and quantity."""
     lines = order_lines(items.select("order_id", "product_id", "quantity"), products.select("id", "name", "price"))
-    return row_number_within(lines, ["order_id"], ["product_id", "quantity"], "_pos").select(
+    return row_number_within(lines, ["order_id"], ["product_id", "quantity"], "_pos", counted=items).select(
         "order_id", (F.col("_pos") - 1).cast("int").alias("position"), "product_id", "product_name", "quantity", "price")
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job in the package relies on.  Shuffle partition counts are
 # left to the cluster (AQE coalesces small ones); local runs pass their own.
@@ -83,6 +84,25 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
         return spark.sparkContext.getCheckpointDir()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table below the shared checkpoint folder: lineage ends
+    here, each row is computed once, and a lost executor costs the tasks it ran.
+    ``written_path`` of the result names the folder for :func:`drop_written`."""
+    spark = df.sparkSession
+    path = f"{require_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def drop_written(df: DataFrame) -> None:
+    """Delete a table that :func:`written` made and that nothing reads any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(df.written_path)
+    folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give this package to the Python workers, which need not have it on their
     path.  Once per application; Spark hands the file to every executor."""

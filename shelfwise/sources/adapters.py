@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfwise.fixed import ORDER_DELIVERY_ADDRESS, ORDER_PAYMENT_METHOD
@@ -78,9 +78,9 @@ class ShopTables:
         )
 
     def _derive_categories(self) -> DataFrame:
-        # dense_rank over p_type == position of the type among the distinct types.
+        # dense_rank over p_type == position of the type among the distinct types, a small domain.
         types = self.source("part").select(F.col("p_type").alias("name")).distinct()
-        ranked = row_number_within(types, [], ["name"], "id")
+        ranked = types.withColumn("id", F.row_number().over(Window.orderBy("name")))
         return ranked.select(
             F.col("id").cast("long").alias("id"),
             "name",

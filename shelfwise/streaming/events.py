@@ -103,7 +103,7 @@ def cart_state(events: DataFrame, **types) -> DataFrame:
     user's events are ever gathered in one place.
     """
     d = cart_deltas(events, **types)
-    run = running_sum(d, ["user_id"], ["ts", "event_id"], ["delta", "clear"], ["R", "C"])
+    run = running_sum(d, ["user_id"], ["ts", "event_id"], ["delta", "clear"], ["R", "C"], counted=events)
     order = F.struct("ts", "event_id")
     seg = run.groupBy("user_id", "C").agg(
         F.sum("delta").alias("D"),
@@ -137,16 +137,16 @@ def cart_lines_state(events: DataFrame, product="product_id", add=CART_ADD,
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     ev = events.select("user_id", prod.alias("_product"), "ts", "event_id", "event_type",
                        (-micros).alias("_back"), (-F.col("event_id")).alias("_id"), (et == clear).cast("long").alias("_clear"))
-    hour = F.floor(F.col("_back") / F.lit(3_600_000_000)).cast("long")
-    ev = running_sum(ev, ["user_id"], ["_back", "_id"], ["_clear"], ["_resets"], bucket=hour)
+    ev = running_sum(ev, ["user_id"], ["_back", "_id"], ["_clear"], ["_resets"], counted=events)
     kinds = [add, remove] + ([remove_line] if remove_line else [])
     after = ev.filter(F.col("_product").isNotNull() & et.isin(*kinds) & (F.col("_resets") == 0))
+    pairs = events.select("user_id", prod.alias("_product"))
     if remove_line:
         after = running_sum(after.withColumn("_drop", (et == remove_line).cast("long")), ["user_id", "_product"],
-                            ["_back", "_id"], ["_drop"], ["_drops"], bucket=hour).filter(F.col("_drops") == 0)
+                            ["_back", "_id"], ["_drop"], ["_drops"], counted=pairs).filter(F.col("_drops") == 0)
     d = after.select("user_id", "_product", "ts", "event_id",
                      F.when(et == add, 1).when(et == remove, -1).otherwise(0).cast("long").alias("delta"))
-    run = running_sum(d, ["user_id", "_product"], ["ts", "event_id"], ["delta"], ["R"])
+    run = running_sum(d, ["user_id", "_product"], ["ts", "event_id"], ["delta"], ["R"], counted=pairs)
     seg = run.groupBy("user_id", "_product").agg(F.sum("delta").alias("D"), F.min("R").alias("minR"))
     qty = (F.col("D") - F.least(F.col("minR"), F.lit(0))).cast("long")
     name = product if isinstance(product, str) else "product_id"

@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from shelfwise.operators.inventory import admit_orders, stock_ledger
@@ -150,3 +151,35 @@ def test_first_failing_line_whatever_fails(spark):
     got = {r.order_id: (r.reason, r.product_id, r.available, r.requested)
            for r in admit_orders(seed, o, i, line_order="line_no").rejected.collect()}
     assert got == {1: ("insufficient_stock", 10, 100, 500), 2: ("unknown_product", 999, 0, 4)}
+
+
+def test_a_hot_product_in_many_blocks(spark, monkeypatch):
+    """The product on a third of all lines is cut into blocks; the verdicts stay."""
+    from shelfwise.operators import inventory, scan
+    cuts = []
+
+    def small(df, keys, order, counted=None, rows=None):
+        cuts.append(scan.splitters(df, keys, order, counted, rows=40))
+        return cuts[-1]
+
+    monkeypatch.setattr(inventory, "splitters", small)
+    rnd = random.Random(12)
+    stock = {p: rnd.randint(5, 200) for p in range(12)}
+    orders = [(oid, rnd.randint(0, 40)) for oid in range(1500)]
+    items = [(oid, 0 if rnd.random() < 0.33 else rnd.randint(1, 11), rnd.randint(1, 6)) for oid, _ in orders for _ in range(rnd.randint(1, 4))]
+    exp_acc, exp_rej, exp_stock = sequential(stock, orders, items)
+    res = admit_orders(*_frames(spark, stock, orders, items))
+    assert {r.order_id for r in res.accepted.collect()} == exp_acc
+    assert {r.order_id for r in res.rejected.collect()} == exp_rej
+    assert {r.product_id: r.stock for r in res.closing_stock.collect()} == exp_stock
+    assert cuts[0].table.selectExpr("max(size(_splits))").first()[0] >= 10
+
+
+def test_rounds_may_be_limited(spark):
+    stock = {0: 10, 1: 10}
+    orders = [(i, i) for i in range(40)]
+    items = [(i, i % 2, 3) for i in range(40)] + [(i, (i + 1) % 2, 2) for i in range(40)]
+    res = admit_orders(*_frames(spark, stock, orders, items))
+    assert {r.order_id for r in res.accepted.collect()} == sequential(stock, orders, items)[0]
+    with pytest.raises(RuntimeError, match="did not finish in 1 rounds"):
+        admit_orders(*_frames(spark, stock, orders, items), max_rounds=1)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from shelfwise.operators.scan import row_number_within, running_sum
+from shelfwise.operators.scan import row_number_within, running_sum, splitters
 
 
 def _rows(n=5000, seed=7):
@@ -77,12 +77,39 @@ def test_nulls_large_keys_and_overflow(spark):
 
 
 def test_a_hot_key_is_spread_over_its_buckets(spark):
-    """The rows of the largest group that a task sorts, for one key with all rows."""
-    df = spark.range(200_000).select(F.lit(1).alias("k"), F.col("id").alias("i"), F.lit(1).alias("q"))
-    got = running_sum(df, ["k"], ["i"], ["q"], ["r"])
+    """The rows of the largest group that a task sorts, for one key with all rows and
+    one value in the first order column."""
+    df = spark.range(200_000).select(F.lit(1).alias("k"), F.lit("same").alias("t"), F.col("id").alias("i"), F.lit(1).alias("q"))
+    cut = splitters(df, ["k"], ["t", "i"], rows=10_000)
+    sizes = [r["count"] for r in cut.placed(df).groupBy("_bucket").count().collect()]
+    assert len(sizes) >= 14 and max(sizes) <= 20_000
+    got = running_sum(df, ["k"], ["t", "i"], ["q"], ["r"], cut=cut)
     assert got.filter("r != i + 1").count() == 0
-    from shelfwise.operators.scan import ID_RANGE, bucket_of
-    sizes = df.groupBy("k", bucket_of(df, "i").alias("b")).count().agg(F.max("count")).first()[0]
-    assert sizes <= ID_RANGE
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "ExistingRDD" not in plan
+    # the rows are exchanged once; the rest are totals of buckets
+    assert plan.count("hashpartitioning(_key") + plan.count("hashpartitioning(k#") <= 3
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_buckets_change_no_sum(spark, keys):
+    """Hot and small keys, NULL keys and places, at many bucket sizes."""
+    rows = [(None if i % 9 == 0 else 0 if i % 3 else i % 11, None if i % 7 == 0 else i % 40, i, i % 5 - 2, i / 8) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k long, t long, i long, q long, x double")
+    w = Window.partitionBy(*keys).orderBy("t", "i")
+    want = sorted(map(tuple, df.select("i", F.sum("q").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("a"),
+                                       F.coalesce(F.sum("x").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b")).collect()))
+    for size in (7, 100, 2999, 3000):
+        one = running_sum(df, keys, ["t", "i"], ["q"], ["a"], rows=size)
+        both = running_sum(one, keys, ["t", "i"], ["x"], ["b"], inclusive=False, rows=size, counted=df)
+        assert sorted(map(tuple, both.select("i", "a", "b").collect())) == want
+    assert splitters(df, keys, ["t", "i"], rows=3000) is None
+
+
+def test_the_number_of_splitters_is_bounded(spark, monkeypatch):
+    from shelfwise.operators import scan
+    monkeypatch.setattr(scan, "MOST_BUCKETS", 8)
+    df = spark.range(50_000).select((F.col("id") % 3).alias("k"), F.col("id").alias("i"), F.lit(1).alias("q"))
+    cut = splitters(df, ["k"], ["i"], rows=10)
+    assert cut.table.selectExpr("sum(size(_splits))").first()[0] <= 16
+    assert running_sum(df, ["k"], ["i"], ["q"], ["r"], rows=10).filter("r != floor(i / 3) + 1").count() == 0
