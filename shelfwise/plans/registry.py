@@ -9,6 +9,7 @@ counts as bigint).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.fixed import DELIVERY_FEE, FREE_DELIVERY_FROM
 from shelfwise.plans.oracle import AS_OF, AS_OF_SQL, with_ctes
+from shelfwise.session import require_checkpoint_dir
 from shelfwise.sources.adapters import shop_tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -1026,7 +1028,9 @@ def _dq_page_images(spark, d):
 
 
 # ======================================================================= events
+from shelfwise.sources.committed import CommittedTable, ConstraintViolation  # noqa: E402
 from shelfwise.streaming import events as E  # noqa: E402
+from shelfwise.streaming import sales as S  # noqa: E402
 
 
 @register("over_limit_daily", """
@@ -1067,6 +1071,62 @@ def _daily_sales(spark, d):
     return E.daily_sales(T(spark, d).orders)
 
 
+_STEPS = """WITH steps AS (
+  SELECT id AS order_id, created_at, total_amount, status, 0 AS step, created_at AS ts, CAST(NULL AS BIGINT) AS admin_id FROM s_orders
+  UNION ALL
+  SELECT c.order_id, o.created_at, o.total_amount, c.status, 1, c.ts, c.admin_id FROM s_changes c JOIN s_orders o ON o.id = c.order_id),
+turns AS (
+  SELECT *, CAST({sale} AS INTEGER) - COALESCE(LAG(CAST({sale} AS INTEGER)) OVER (
+    PARTITION BY order_id ORDER BY step, ts, status, admin_id NULLS FIRST), 0) AS turn FROM steps)""".format(sale=f"({SALE})")
+
+
+@register("sales_changelog", f"""{_STEPS}
+SELECT CAST(ts AS DATE) AS effective, CAST(created_at AS DATE) AS date, CAST(SUM(turn) AS BIGINT) AS orders,
+       CAST(SUM(turn * total_amount) AS DECIMAL(20,2)) AS revenue, COUNT(*) AS turns
+FROM turns WHERE turn <> 0 GROUP BY 1, 2""")
+def _sales_changelog(spark, d):
+    # What each day's status changes add to and take from the sales of each day.
+    t = T(spark, d)
+    return S.sales_changes(t.orders, t.status_changes).groupBy("effective", "date").agg(
+        F.sum("orders").cast("long").alias("orders"), F.sum("revenue").cast("decimal(20,2)").alias("revenue"),
+        F.count(F.lit(1)).alias("turns"))
+
+
+@register("sales_after_changes", f"""
+WITH last AS (SELECT * FROM s_changes QUALIFY row_number() OVER (
+  PARTITION BY order_id ORDER BY ts DESC, status DESC, admin_id DESC) = 1),
+now AS (SELECT o.created_at, o.total_amount, COALESCE(l.status, o.status) AS status FROM s_orders o LEFT JOIN last l ON l.order_id = o.id)
+SELECT CAST(created_at AS DATE) AS date, COUNT(*) AS orders, CAST(SUM(total_amount) AS DECIMAL(20,2)) AS revenue
+FROM now WHERE {SALE} GROUP BY 1""")
+def _sales_after_changes(spark, d):
+    # The report after all changes, as the sum of what started and stopped to count.
+    t = T(spark, d)
+    return S.sales_now(S.sales_changes(t.orders, t.status_changes))
+
+
+@register("commit_orders_by_year", """
+WITH years AS (SELECT year(created_at) AS year, COUNT(*) AS orders, CAST(SUM(total_amount) AS DECIMAL(20,2)) AS revenue,
+                      CAST(MAX(total_amount) AS DOUBLE) AS dearest FROM s_orders GROUP BY 1)
+SELECT year, orders, revenue FROM years WHERE dearest <= (SELECT AVG(dearest) FROM years)""")
+def _commit_orders_by_year(spark, d):
+    # Each year's orders as a batch of a table that takes none dearer than a limit, the
+    # average of the years' dearest: a batch with one is refused as a whole, and every
+    # batch is sent twice.
+    t = T(spark, d)
+    dearest = {r.year: r.m for r in t.orders.groupBy(F.year("created_at").alias("year")).agg(
+        F.max("total_amount").cast("double").alias("m")).collect()}
+    limit = sum(dearest.values()) / max(1, len(dearest))
+    table = CommittedTable(spark, f"{require_checkpoint_dir(spark)}/orders-{uuid.uuid4().hex}", "orders",
+                           rules={"dear": F.col("total_amount") > limit}, references={"user_id": t.users.select("id")})
+    for year in sorted(dearest) * 2:
+        try:
+            table.append(t.orders.filter(F.year("created_at") == year), f"year-{year}")
+        except ConstraintViolation as e:
+            assert set(e.counts) == {"dear"}
+    return table.read().groupBy(F.year("created_at").alias("year")).agg(
+        F.count(F.lit(1)).alias("orders"), F.sum("total_amount").cast("decimal(20,2)").alias("revenue"))
+
+
 @register("block_over_limit_users", """
 SELECT u.id, CASE WHEN b.user_id IS NULL THEN u.status ELSE 'blocked' END AS status,
        b.ts AS updated_at

@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from shelfwise.schemas import SOURCE_SCHEMAS, STATUS_CHANGES
 from shelfwise.streaming import events as E
+from shelfwise.streaming import sales as S
 
 
 def _source(spark: SparkSession, path: str, schema: T.StructType,
@@ -101,6 +102,18 @@ def start_stream_sales(spark: SparkSession, source: str, sink: str, checkpoint:
                          trigger)
 
 
+def start_running_sales(spark: SparkSession, orders: str, changes: str, sink: str, checkpoint: str, *,
+                        schema: T.StructType, changes_schema: T.StructType | None = None,
+                        max_files_per_trigger: int | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """ST-3 with ST-4: daily sales that follow status changes, as a change log
+    committed once per micro-batch (read with ``sales_now(sales_log(spark, sink).read())``)."""
+    deltas = S.stream_sales_changes(_source(spark, orders, schema, max_files_per_trigger),
+                                    _source(spark, changes, changes_schema or STATUS_CHANGES, max_files_per_trigger))
+    w = (deltas.writeStream.outputMode("update").foreachBatch(S.sales_log_writer(S.sales_log(spark, sink)))
+         .option("checkpointLocation", checkpoint).queryName("running_sales"))
+    return w.trigger(**(trigger or {"processingTime": "1 minute"})).start()
+
+
 def start_status_changes(spark: SparkSession, source: str, log_sink: str, checkpoint: str, *,
                          state: str | None = None, schema: T.StructType | None = None,
                          max_files_per_trigger: int | None = None,
