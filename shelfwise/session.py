@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -74,11 +75,14 @@ def require_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
-    """Use the configured checkpoint directory; set ``fallback`` only if unset
-    (for local tests)."""
+    """Use the configured checkpoint directory; set ``fallback`` only if unset and
+    only where the master is local: on a cluster a folder of the driver's machine
+    is seen by no executor, so that raises."""
     try:
         return require_checkpoint_dir(spark)
     except RuntimeError:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise
         os.makedirs(fallback, exist_ok=True)
         spark.sparkContext.setCheckpointDir(fallback)
         return spark.sparkContext.getCheckpointDir()
@@ -96,11 +100,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    sc = spark.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete a table that :func:`written` made and that nothing reads any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(df.written_path)
-    folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    drop_path(df.sparkSession, df.written_path)
 
 
 def ship_package(spark: SparkSession) -> None:
