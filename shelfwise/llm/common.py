@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.session import require_checkpoint_dir
+from shelfwise.session import drop_path, require_checkpoint_dir
 
 #: Stands for a null id inside an operator (its negative is a long, too), so that joins and ties have one rule.
 NULL_ID = -(1 << 63) + 1
@@ -26,6 +27,14 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                        F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, or with as many underscores before it as make it no column of ``docs``."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def id_out(col: str = "d") -> Column:
     return F.when(F.col(col) != NULL_ID, F.col(col))
 
@@ -35,13 +44,47 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{require_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
 
 
+_open_steps: list[list[str]] = []
+
+
+@contextmanager
+def steps():
+    """Collects the folders of the tables that :func:`stored` writes meanwhile."""
+    made: list[str] = []
+    _open_steps.append(made)
+    try:
+        yield made
+    finally:
+        _open_steps.remove(made)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here,
     and a lost executor costs no more than the tasks it ran."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    for made in _open_steps:
+        made.append(path)
     free_shuffles(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that :func:`stored` made and that no later step reads."""
+    for t in tables:
+        drop_path(t.sparkSession, t.written_path)
+
+
+def drop_unread(docs: DataFrame, made: list[str]) -> None:
+    """Delete the folders ``made`` but for those that ``docs`` reads."""
+    if made:
+        read_by = docs.inputFiles()
+        for path in list(made):
+            if not any(f"/{path.rstrip('/').rsplit('/', 1)[-1]}/" in f for f in read_by):
+                drop_path(docs.sparkSession, path)
+                made.remove(path)
 
 
 def free_shuffles(spark: SparkSession) -> None:

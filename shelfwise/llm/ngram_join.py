@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import id_out, stored, texts
+from shelfwise.llm.common import drop, id_out, stored, texts
 from shelfwise.llm.graph import components
 from shelfwise.llm.words import Block, blocks, mix, ngram_hashes
 
@@ -175,10 +175,9 @@ def _verified(pairs: DataFrame, base: DataFrame, size: int) -> DataFrame:
 
 
 def _shared(prefixes: DataFrame) -> DataFrame:
-    """Rows whose shingle others have too, with ``df``, their number.  Counted in each
-    task first and written, so that the join can split the rows of a hot shingle."""
-    counts = stored(prefixes.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "shared")
-    return prefixes.join(counts, "h")
+    """The shingles that several documents have, with ``df``, their number.  Counted in
+    each task first and written, so that a join can split the rows of a hot shingle."""
+    return stored(prefixes.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "shared")
 
 
 def components_of(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,7 +199,10 @@ def components_of(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_c
     hot = spark.sparkContext.broadcast((h[order], (len(h) - np.arange(len(h)))[order]))
 
     prefixes = base.mapInArrow(_prefixes(size, hot), "h long, d long, n long, pos long")
-    live = stored(_shared(stored(prefixes, "all-prefixes")).join(reps, "d", "left_semi"), "prefixes")
+    every = stored(prefixes, "all-prefixes")
+    shared = _shared(every)
+    live = stored(every.join(shared, "h").join(reps, "d", "left_semi"), "prefixes")
+    drop(every, shared)
 
     at = lambda k: F.col("n") - F.expr("(3 * n + 3) div 4") + k  # noqa: E731   length of the l-prefix
     costs = live.groupBy("d", "n").agg(
@@ -212,6 +214,7 @@ def components_of(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_c
         live.join(costs.select("d", "n", F.least(cheapest, F.expr("(3 * n + 3) div 4")).alias("l"),
                                F.round(F.col("shared") / at(DEPTH), 3).alias("central")), ["d", "n"])
         .filter(F.col("pos") < at(F.col("l"))).select("h", "d", "n", "l", "central", "pos"), "lists")
+    drop(live)
     alike = "4 * least(n, m) >= 3 * greatest(n, m)"
     centre = lists.groupBy("h").agg(F.max_by(F.struct("d", "n"), F.struct("central", -F.col("d"))).alias("p"))
     stars = (lists.join(centre.select("h", F.col("p.d").alias("x"), F.col("p.n").alias("m")), "h")

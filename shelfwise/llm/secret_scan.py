@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import stored
+from shelfwise.llm.common import free_name, stored
 
 # Fixed patterns of the base.
 ASSIGN = (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -188,17 +188,17 @@ def written(spans: str) -> Column:
 
 def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with each span (or spans that overlap) replaced by ``mask``."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    rows = stored(numbered, "masked")
-    spans = _scan(rows.select(F.col("_row").alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"),
-                                 F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")))
-    found = spans.filter(F.size("spans") > 0).select(F.col("row").alias("_row"), F.col("spans").alias("_spans"))
+    row, own = free_name(docs, "_row"), free_name(docs, "_spans")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "masked")
+    spans = _scan(rows.select(F.col(row).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"),
+                              F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")))
+    found = spans.filter(F.size("spans") > 0).select(F.col("row").alias(row), F.col("spans").alias(own))
     text = F.expr(f"""
-        aggregate(_spans, named_struct('at', 0L, 'out', ''),
+        aggregate({own}, named_struct('at', 0L, 'out', ''),
                   (acc, s) -> CASE WHEN s.start < acc.at THEN named_struct('at', greatest(acc.at, s.end), 'out', acc.out)
                       ELSE named_struct('at', s.end, 'out', concat(acc.out,
                           substring(`{text_col}`, cast(acc.at + 1 AS int), cast(s.start - acc.at AS int)), '{mask}')) END,
                   acc -> concat(acc.out, substring(`{text_col}`, cast(acc.at + 1 AS int))))""")
-    return (rows.join(found, "_row", "left")
-            .withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(f"`{text_col}`")).otherwise(text))
-            .select(*docs.columns))
+    return (rows.join(found, row, "left")
+            .withColumn(text_col, F.when(F.col(own).isNull(), F.col(f"`{text_col}`")).otherwise(text))
+            .select(*[F.col(f"`{c}`") for c in docs.columns]))

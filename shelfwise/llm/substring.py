@@ -42,7 +42,7 @@ from shelfwise.llm.words import BLOCK_BYTES, blocks, mix, ngram_hashes, sliding_
 
 GRAM = 6            # words of an anchor gram
 
-_ANCHOR = pa.schema([("pk", pa.int64()), ("v", pa.int64()), ("v2", pa.int64()), ("d", pa.int64()),
+_ANCHOR = pa.schema([("pk", pa.int64()), ("v", pa.int64()), ("v2", pa.int64()), ("d", pa.int64()), ("t", pa.int64()),
                      ("known", pa.int64()), ("src", pa.int64())])
 _NONE = np.int64(np.iinfo(np.int64).max)
 
@@ -66,7 +66,7 @@ def _first_rows(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _anchors(window: int):
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, of_text = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2))
             found, places, owners, whole = [], [], [], []
             for b in blocks(batch.column(1)):
                 at = b.window_starts(window)
@@ -89,7 +89,7 @@ def _anchors(window: int):
                 times = np.diff(np.append(first, len(g)))
                 found.append(g[first])
                 places.append(times)
-                owners.append(ids[b.row + o[first]])
+                owners.append(b.row + o[first])
                 # the whole sequence of each text that has a phrase
                 long = np.flatnonzero(np.diff(b.first) >= window)
                 place = (np.arange(len(h)) - np.repeat(b.first[:-1], np.diff(b.first))).astype(np.uint64)
@@ -98,53 +98,54 @@ def _anchors(window: int):
                     total = np.zeros(len(x) + 1, dtype=np.uint64)
                     np.cumsum(mix(x + mix(place)), out=total[1:])
                     sums.append(total[b.first[long + 1]] - total[b.first[long]])
-                whole.append((sums[0], sums[1], ids[b.row + long], b.first[long + 1] - b.first[long]))
+                whole.append((sums[0], sums[1], b.row + long, b.first[long + 1] - b.first[long]))
             if not found:
                 continue
-            yield from _anchor_rows(np.concatenate(found), np.concatenate(places), np.concatenate(owners))
-            v, v2, d = (np.concatenate([w[i] for w in whole]) for i in range(3))
+            owner = np.concatenate(owners)
+            yield from _anchor_rows(np.concatenate(found), np.concatenate(places), ids[owner], of_text[owner])
+            v, v2, owner = (np.concatenate([w[i] for w in whole]) for i in range(3))
             n = np.concatenate([w[3] for w in whole]).astype(np.uint64)
-            yield from _whole_rows(mix(v ^ n) | np.uint64(1), v2 | np.uint64(1), d)
+            yield from _whole_rows(mix(v ^ n) | np.uint64(1), v2 | np.uint64(1), ids[owner], of_text[owner])
     return run
 
 
-def _anchor_rows(v, times, d):
+def _anchor_rows(v, times, d, t):
     """One row per (anchor, text).  Of an anchor's rows in this batch the first
     is counted in the corpus (pk by anchor); with two places here all are known
     to repeat, and the others stay with their text (pk by text)."""
     order, new = _first_rows(v, d)
-    v, times, d = v[order], times[order], d[order]
+    v, times, d, t = v[order], times[order], d[order], t[order]
     group = np.cumsum(new) - 1
     here = np.bincount(group, weights=times)[group]
     pk = np.where(new, _signed(v), d)
     yield pa.record_batch([pa.array(pk), pa.array(_signed(v)), pa.array(np.zeros(len(v), np.int64)),
-                           pa.array(d.astype(np.int64)), pa.array((here > 1).astype(np.int64)),
+                           pa.array(d.astype(np.int64)), pa.array(t), pa.array((here > 1).astype(np.int64)),
                            pa.array(np.full(len(v), _NONE))], schema=_ANCHOR)
 
 
-def _whole_rows(v, v2, d):
+def _whole_rows(v, v2, d, t):
     """One row per text; ``known`` is 2 for the counted row and 3 for a copy of a
     text of this batch with a smaller id."""
     order, new = _first_rows(v, v2, d)
-    v, v2, d = v[order], v2[order], d[order]
+    v, v2, d, t = v[order], v2[order], d[order], t[order]
     lead = d[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(d) else d
     copy = d > lead
     pk = np.where(copy, d, _signed(v))
-    yield pa.record_batch([pa.array(pk), pa.array(_signed(v)), pa.array(_signed(v2)), pa.array(d.astype(np.int64)),
+    yield pa.record_batch([pa.array(pk), pa.array(_signed(v)), pa.array(_signed(v2)), pa.array(d.astype(np.int64)), pa.array(t),
                            pa.array(np.where(copy, 3, 2).astype(np.int64)),
                            pa.array(np.where(copy, lead, _NONE))], schema=_ANCHOR)
 
 
 _PHRASE = pa.schema([("pk", pa.int64()), ("h", pa.int64()), ("h2", pa.int64()), ("d", pa.int64()),
-                     ("src", pa.int64())])
+                     ("t", pa.int64()), ("src", pa.int64())])
 
 
 def _phrases(window: int):
-    """Distinct phrases with a repeated anchor, of texts (d, text, anchors)."""
+    """Distinct phrases with a repeated anchor, of texts (d, text, t, anchors)."""
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            flat, cut = list_parts(batch.column(2))
+            ids, of_text = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2))
+            flat, cut = list_parts(batch.column(3))
             flat = flat.astype(np.int64)
             out = []
             for b in blocks(batch.column(1)):
@@ -165,20 +166,20 @@ def _phrases(window: int):
                     continue
                 one = ngram_hashes(h, window)[at]
                 two = ngram_hashes(b.hashes(1), window, 1)[at]
-                out.append((_signed(one), _signed(two), ids[b.row + doc]))
+                out.append((_signed(one), _signed(two), ids[b.row + doc], of_text[b.row + doc]))
             if not out:
                 continue
-            h, h2, d = (np.concatenate([x[i] for x in out]) for i in range(3))
-            order = np.lexsort((d, h2, h))
-            h, h2, d = h[order], h2[order], d[order].astype(np.int64)
+            h, h2, d, t = (np.concatenate([x[i] for x in out]) for i in range(4))
+            order = np.lexsort((t, d, h2, h))
+            h, h2, d, t = h[order], h2[order], d[order].astype(np.int64), t[order]
             new = np.ones(len(h), dtype=bool)
             new[1:] = (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])
             lead = d[np.flatnonzero(new)[np.cumsum(new) - 1]]
             once = new.copy()
-            once[1:] |= d[1:] != d[:-1]
-            h, h2, d, lead = h[once], h2[once], d[once], lead[once]
+            once[1:] |= (d[1:] != d[:-1]) | (t[1:] != t[:-1])
+            h, h2, d, t, lead = h[once], h2[once], d[once], t[once], lead[once]
             later = d > lead
-            yield pa.record_batch([pa.array(np.where(later, d, h)), pa.array(h), pa.array(h2), pa.array(d),
+            yield pa.record_batch([pa.array(np.where(later, d, h)), pa.array(h), pa.array(h2), pa.array(d), pa.array(t),
                                    pa.array(np.where(later, lead, _NONE))], schema=_PHRASE)
     return run
 
@@ -257,24 +258,25 @@ def deduplicate(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_
     n_words, n_removed, factors (start, length, source doc_id)."""
     if window <= GRAM:
         raise ValueError(f"window must be over {GRAM} words")
-    base = texts(docs, id_col, text_col)
-    anchors = base.mapInArrow(_anchors(window), "pk long, v long, v2 long, d long, known long, src long")
+    # ``t`` tells the texts of one id apart; rows of one id and text are alike in everything
+    base = texts(docs, id_col, text_col).withColumn("t", F.xxhash64("text"))
+    anchors = base.mapInArrow(_anchors(window), "pk long, v long, v2 long, d long, t long, known long, src long")
     same = Window.partitionBy("pk", "v", "v2")
-    counted = anchors.select("v", "d", "known", F.count(F.lit(1)).over(same).alias("places"),
+    counted = anchors.select("v", "d", "t", "known", F.count(F.lit(1)).over(same).alias("places"),
                              F.least("src", F.min("d").over(same)).alias("src"))
     whole = F.col("known") >= 2
     repeated = stored(
         counted.filter(F.when(whole, F.col("src") < F.col("d")).otherwise((F.col("known") == 1) | (F.col("places") > 1)))
-        .groupBy("d").agg(F.collect_list(F.when(~whole, F.col("v"))).alias("anchors"),
-                          F.min(F.when(whole, F.col("src"))).alias("copy_of")), "anchors")
-    known = base.join(repeated, "d", "left")
-    phrases = (known.filter("copy_of IS NULL AND anchors IS NOT NULL").select("d", "text", "anchors")
-               .mapInArrow(_phrases(window), "pk long, h long, h2 long, d long, src long"))
+        .groupBy("d", "t").agg(F.collect_set(F.when(~whole, F.col("v"))).alias("anchors"),
+                               F.min(F.when(whole, F.col("src"))).alias("copy_of")), "anchors")
+    known = base.join(repeated, ["d", "t"], "left")
+    phrases = (known.filter("copy_of IS NULL AND anchors IS NOT NULL").select("d", "text", "t", "anchors")
+               .mapInArrow(_phrases(window), "pk long, h long, h2 long, d long, t long, src long"))
     same = Window.partitionBy("pk", "h", "h2")
-    hits = (phrases.select("h", "d", F.least("src", F.min("d").over(same)).alias("src"))
+    hits = (phrases.select("h", "d", "t", F.least("src", F.min("d").over(same)).alias("src"))
             .filter("src < d")
-            .groupBy("d").agg(F.collect_list(F.struct("h", "src")).alias("hit")))
-    parsed = (known.join(hits, "d", "left")
+            .groupBy("d", "t").agg(F.collect_set(F.struct("h", "src")).alias("hit")))
+    parsed = (known.join(hits, ["d", "t"], "left")
               .select("d", "text", "copy_of", F.col("hit.h").alias("hits"), F.col("hit.src").alias("sources"))
               .mapInArrow(_parse(window), _PARSED))
     return parsed.select(id_out().alias("doc_id"), "kept", "n_words", "n_removed", "factors")

@@ -89,3 +89,10 @@ def test_decimal_runs_leave_the_threshold_of_keys_alone(spark):
     numbers = [("decimal", 40.0, 0.0, 0.5)] * 1000
     df = spark.createDataFrame(keys + numbers, "encoding string, length double, evidence double, randomness double")
     assert [(r.encoding, r.evidence) for r in secret_scan.discoveries(df).collect()] == [("base62", 3.0)]
+
+
+def test_masked_keeps_columns_of_any_name(spark):
+    rows = [(1, "password=hunter2hunter2 end", "keep", 7), (2, "nothing here", None, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row string, _spans int")
+    got = sorted(map(tuple, S.masked(df).collect()))
+    assert got == [(1, "[SECRET] end", "keep", 7), (2, "nothing here", None, 8)]

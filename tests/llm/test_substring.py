@@ -63,6 +63,16 @@ def test_edges(spark):
     assert run(spark, rows, 20) == want
 
 
+def test_texts_of_one_id_and_many_null_ids(spark):
+    """Two texts under one id, one of them a copy; a third of the ids null."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a, "x", 1), (2, a, "x", 1), (2, b, "x", 1), (3, c + " " + b[:60], "x", 1), (3, "tail " + a, "x", 1)]
+    assert {k for i, _, _, k in run(spark, rows, 20) if i == 2} == {"", b}
+    rows += [(None, " ".join(f"n{k}x{i}" for i in range(40)), "x", 1) for k in range(20)]
+    rows += [(50 + k, f"own{k} " + " ".join(f"n{k}x{i}" for i in range(5, 35)) + f" end{k}", "x", 1) for k in range(20)]
+    assert run(spark, rows, 20) == sorted(((i, n, r, k) for i, n, r, k in brute([r[:2] for r in rows], 20)), key=str)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert substring.deduplicate(df).count() == 0
