@@ -1028,7 +1028,9 @@ def _dq_page_images(spark, d):
 
 
 # ======================================================================= events
+from shelfwise.sources.bucketed import join_bucketed, lookup_table, write_bucketed  # noqa: E402
 from shelfwise.sources.committed import CommittedTable, ConstraintViolation  # noqa: E402
+from shelfwise.sources.keyed import KeyedTable  # noqa: E402
 from shelfwise.streaming import events as E  # noqa: E402
 from shelfwise.streaming import sales as S  # noqa: E402
 
@@ -1127,6 +1129,52 @@ def _commit_orders_by_year(spark, d):
         F.count(F.lit(1)).alias("orders"), F.sum("total_amount").cast("decimal(20,2)").alias("revenue"))
 
 
+@register("keyed_users_after_changes", """
+WITH blocked AS (SELECT user_id FROM events GROUP BY user_id, date_trunc('day', ts) HAVING COUNT(*) > 5),
+changed AS (SELECT id, name, CASE WHEN id IN (SELECT user_id FROM blocked) THEN 'blocked' ELSE status END AS status FROM s_users),
+kept AS (SELECT * FROM changed WHERE status <> 'inactive' OR id IN (SELECT user_id FROM s_orders))
+SELECT * FROM kept WHERE id NOT IN (SELECT s_suppkey FROM supplier)
+UNION ALL SELECT s_suppkey, s_name, 'active' FROM supplier""")
+def _keyed_users(spark, d):
+    # A keyed table of users: those over the limit are blocked, inactive ones without an
+    # order deleted, and the suppliers written over the users of their numbers.
+    t = T(spark, d)
+    table = KeyedTable(spark, f"{require_checkpoint_dir(spark)}/users-{uuid.uuid4().hex}", "id", partitions=16)
+    table.create(t.users.select("id", "name", "status"))
+    table.update(E.over_limit(t.events, "user_id", 5, "1 day").select(F.col("user_id").alias("id"), F.lit("blocked").alias("status")),
+                 ["status"], updated_at=None)
+    idle = table.read().filter("status = 'inactive'").join(t.orders.select(F.col("user_id").alias("id")), "id", "left_anti")
+    table.delete(idle.select("id"))
+    table.upsert(t.source("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("active").alias("status")))
+    return table.read()
+
+
+def _bucketed(spark, df, key) -> str:
+    name = f"shelf_{uuid.uuid4().hex}"
+    write_bucketed(df, name, key, 16, f"{require_checkpoint_dir(spark)}/{name}")
+    return name
+
+
+@register("bucketed_admin_orders", """
+SELECT o.id, o.user_id, u.name AS customer_name, o.total_amount, o.status, o.created_at FROM s_orders o JOIN s_users u ON o.user_id = u.id""")
+def _bucketed_admin_orders(spark, d):
+    # JN-1 over orders and users in equally many buckets of the user.
+    t = T(spark, d)
+    orders = _bucketed(spark, t.orders.select("id", "user_id", "total_amount", "status", "created_at"), "user_id")
+    users = _bucketed(spark, t.users.select(F.col("id").alias("user_id"), F.col("name").alias("customer_name")), "user_id")
+    return join_bucketed(spark, orders, users, "user_id")
+
+
+@register("bucketed_orders_of_users", """
+SELECT id, user_id, total_amount, status FROM s_orders WHERE user_id IN (
+  SELECT user_id FROM events GROUP BY user_id, date_trunc('day', ts) HAVING COUNT(*) > 5)""")
+def _bucketed_orders_of(spark, d):
+    # FLT-9 over orders in buckets of the user: those of the users over the limit.
+    t = T(spark, d)
+    orders = _bucketed(spark, t.orders.select("id", "user_id", "total_amount", "status"), "user_id")
+    return lookup_table(spark, orders, "user_id", E.over_limit(t.events, "user_id", 5, "1 day"))
+
+
 @register("block_over_limit_users", """
 SELECT u.id, CASE WHEN b.user_id IS NULL THEN u.status ELSE 'blocked' END AS status,
        b.ts AS updated_at
