@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -218,6 +219,7 @@ def _public_users(spark, d):
 
 # ======================================================================= catalogue
 from shelfwise.operators import catalog as K  # noqa: E402
+from shelfwise.operators.search_index import TextIndex  # noqa: E402
 
 _CAT_COLS = "id, name, description, price, stock, category, category_id, color, material"
 
@@ -281,6 +283,21 @@ def _search_red(spark, d):
     return K.search(T(spark, d).products, "RED").select("id", "name", "price")
 
 
+_TERMS = ("red", "E", "ST", "economy", "d widge")
+
+
+@register("search_by_index", "\nUNION ALL\n".join(
+    f"""SELECT '{t}' AS term, id, name FROM s_products
+WHERE contains(lower(name), '{t.lower()}') OR COALESCE(contains(lower(description), '{t.lower()}'), false)""" for t in _TERMS))
+def _search_by_index(spark, d):
+    # An index of the whole catalogue, and terms of one character and more looked up in it.
+    products = T(spark, d).products
+    index = TextIndex(spark, f"{require_checkpoint_dir(spark)}/grams-{uuid.uuid4().hex}", parts=16)
+    index.build(products)
+    found = [index.search(products, t).select(F.lit(t).alias("term"), "id", "name") for t in _TERMS]
+    return reduce(DataFrame.unionByName, found)
+
+
 @register("search_economy_in_description", """
 SELECT id, name, price FROM s_products
 WHERE contains(lower(name), 'economy') OR COALESCE(contains(lower(description), 'economy'), false)""")
