@@ -199,10 +199,11 @@ def components_of(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_c
     hot = spark.sparkContext.broadcast((h[order], (len(h) - np.arange(len(h)))[order]))
 
     prefixes = base.mapInArrow(_prefixes(size, hot), "h long, d long, n long, pos long")
-    every = stored(prefixes, "all-prefixes")
-    shared = _shared(every)
-    live = stored(every.join(shared, "h").join(reps, "d", "left_semi"), "prefixes")
-    drop(every, shared)
+    # Made twice rather than written: most of their shingles are found once and go.  The smallest
+    # member of a class is in both whatever its batch, so a shingle of two classes is counted.
+    shared = _shared(prefixes)
+    live = stored(prefixes.join(shared, "h").join(reps, "d", "left_semi"), "prefixes")
+    drop(shared)
 
     at = lambda k: F.col("n") - F.expr("(3 * n + 3) div 4") + k  # noqa: E731   length of the l-prefix
     costs = live.groupBy("d", "n").agg(
