@@ -44,6 +44,7 @@ GRAM = 6            # words of an anchor gram
 
 _ANCHOR = pa.schema([("pk", pa.int64()), ("v", pa.int64()), ("v2", pa.int64()), ("d", pa.int64()), ("t", pa.int64()),
                      ("known", pa.int64()), ("src", pa.int64())])
+_LOW = np.int64(0xFFFFFFFF)
 _NONE = np.int64(np.iinfo(np.int64).max)
 
 
@@ -119,7 +120,7 @@ def _anchor_rows(v, times, d, t):
     here = np.bincount(group, weights=times)[group]
     pk = np.where(new, _signed(v), d)
     yield pa.record_batch([pa.array(pk), pa.array(_signed(v)), pa.array(np.zeros(len(v), np.int64)),
-                           pa.array(d.astype(np.int64)), pa.array(t), pa.array((here > 1).astype(np.int64)),
+                           pa.array(d.astype(np.int64)), pa.array(t & _LOW), pa.array((here > 1).astype(np.int64)),
                            pa.array(np.full(len(v), _NONE))], schema=_ANCHOR)
 
 
@@ -166,7 +167,7 @@ def _phrases(window: int):
                     continue
                 one = ngram_hashes(h, window)[at]
                 two = ngram_hashes(b.hashes(1), window, 1)[at]
-                out.append((_signed(one), _signed(two), ids[b.row + doc], of_text[b.row + doc]))
+                out.append((_signed(one), _signed(two), ids[b.row + doc], of_text[b.row + doc] & _LOW))
             if not out:
                 continue
             h, h2, d, t = (np.concatenate([x[i] for x in out]) for i in range(4))
@@ -258,7 +259,9 @@ def deduplicate(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_
     n_words, n_removed, factors (start, length, source doc_id)."""
     if window <= GRAM:
         raise ValueError(f"window must be over {GRAM} words")
-    # ``t`` tells the texts of one id apart; rows of one id and text are alike in everything
+    # ``t`` tells the texts of one id apart.  Lists go by its low half, to save space: two texts of
+    # an id that share it share their lists, which name phrases by hash; a copy is told by all of it.
+    low = F.col("t").bitwiseAND(F.lit(int(_LOW)))
     base = texts(docs, id_col, text_col).withColumn("t", F.xxhash64("text"))
     anchors = base.mapInArrow(_anchors(window), "pk long, v long, v2 long, d long, t long, known long, src long")
     same = Window.partitionBy("pk", "v", "v2")
@@ -267,16 +270,17 @@ def deduplicate(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_
     whole = F.col("known") >= 2
     repeated = stored(
         counted.filter(F.when(whole, F.col("src") < F.col("d")).otherwise((F.col("known") == 1) | (F.col("places") > 1)))
-        .groupBy("d", "t").agg(F.collect_set(F.when(~whole, F.col("v"))).alias("anchors"),
-                               F.min(F.when(whole, F.col("src"))).alias("copy_of")), "anchors")
-    known = base.join(repeated, ["d", "t"], "left")
-    phrases = (known.filter("copy_of IS NULL AND anchors IS NOT NULL").select("d", "text", "t", "anchors")
-               .mapInArrow(_phrases(window), "pk long, h long, h2 long, d long, t long, src long"))
+        .groupBy("d", low.alias("low")).agg(F.collect_set(F.when(~whole, F.col("v"))).alias("anchors"),
+                                            F.collect_set(F.when(whole, F.struct("t", "src"))).alias("copies")), "anchors")
+    sources = F.transform(F.filter("copies", lambda c: c["t"] == F.col("t")), lambda c: c["src"])
+    known = base.withColumn("low", low).join(repeated, ["d", "low"], "left").withColumn("copy_of", F.array_min(sources)).drop("copies")
+    phrases = (known.filter("copy_of IS NULL AND size(anchors) > 0").select("d", "text", "t", "anchors")
+               .mapInArrow(_phrases(window), "pk long, h long, h2 long, d long, low long, src long"))
     same = Window.partitionBy("pk", "h", "h2")
-    hits = (phrases.select("h", "d", "t", F.least("src", F.min("d").over(same)).alias("src"))
+    hits = (phrases.select("h", "d", "low", F.least("src", F.min("d").over(same)).alias("src"))
             .filter("src < d")
-            .groupBy("d", "t").agg(F.collect_set(F.struct("h", "src")).alias("hit")))
-    parsed = (known.join(hits, ["d", "t"], "left")
+            .groupBy("d", "low").agg(F.collect_set(F.struct("h", "src")).alias("hit")))
+    parsed = (known.join(hits, ["d", "low"], "left")
               .select("d", "text", "copy_of", F.col("hit.h").alias("hits"), F.col("hit.src").alias("sources"))
               .mapInArrow(_parse(window), _PARSED))
     return parsed.select(id_out().alias("doc_id"), "kept", "n_words", "n_removed", "factors")
