@@ -175,9 +175,12 @@ def _verified(pairs: DataFrame, base: DataFrame, size: int) -> DataFrame:
 
 
 def _shared(prefixes: DataFrame) -> DataFrame:
-    """The shingles that several documents have, with ``df``, their number.  Counted in
-    each task first and written, so that a join can split the rows of a hot shingle."""
-    return stored(prefixes.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "shared")
+    """Rows whose shingle others have too, with ``df``, their number.  Counted in each
+    task first and written (``counts``), so that the join can split the rows of a hot shingle."""
+    counts = stored(prefixes.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "shared")
+    out = prefixes.join(counts, "h")
+    out.counts = counts
+    return out
 
 
 def components_of(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,8 +205,8 @@ def components_of(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_c
     # Made twice rather than written: most of their shingles are found once and go.  The smallest
     # member of a class is in both whatever its batch, so a shingle of two classes is counted.
     shared = _shared(prefixes)
-    live = stored(prefixes.join(shared, "h").join(reps, "d", "left_semi"), "prefixes")
-    drop(shared)
+    live = stored(shared.join(reps, "d", "left_semi"), "prefixes")
+    drop(shared.counts)
 
     at = lambda k: F.col("n") - F.expr("(3 * n + 3) div 4") + k  # noqa: E731   length of the l-prefix
     costs = live.groupBy("d", "n").agg(
