@@ -1049,6 +1049,7 @@ from shelfwise.sources.bucketed import join_bucketed, lookup_table, write_bucket
 from shelfwise.sources.committed import CommittedTable, ConstraintViolation  # noqa: E402
 from shelfwise.sources.keyed import KeyedTable  # noqa: E402
 from shelfwise.streaming import events as E  # noqa: E402
+from shelfwise.streaming import limits as L  # noqa: E402
 from shelfwise.streaming import sales as S  # noqa: E402
 
 
@@ -1066,6 +1067,27 @@ def _over_limit_minute(spark, d):
     return E.over_limit(T(spark, d).events, "user_id", 1, "1 minute")
 
 
+_MOVING = """
+SELECT ts, {keys}, calls, n FROM (
+  SELECT ts, {keys}, calls, CAST(SUM(calls) OVER (PARTITION BY {keys} ORDER BY ts
+    RANGE BETWEEN INTERVAL {before} PRECEDING AND CURRENT ROW) AS BIGINT) AS n
+  FROM (SELECT {keys}, ts, COUNT(*) AS calls FROM events WHERE ts IS NOT NULL GROUP BY ALL))
+WHERE {over}"""
+
+
+@register("over_moving_limit_daily", _MOVING.format(keys="user_id", before="86399999999 MICROSECONDS", over="n > 5"))
+def _over_moving_limit(spark, d):
+    return L.over_moving_limit(T(spark, d).events, "user_id", 5, "1 day")
+
+
+@register("over_moving_route_limits", _MOVING.format(
+    keys="user_id, event_type", before="43199999999 MICROSECONDS",
+    over="n > CASE event_type WHEN 'click' THEN 2 WHEN 'view' THEN 3 WHEN 'purchase' THEN 1 END"))
+def _over_moving_route_limits(spark, d):
+    # The event type is the route: a limit for each of three routes, the others unlimited.
+    return L.over_moving_limit(T(spark, d).events, "user_id", {"click": 2, "view": 3, "purchase": 1}, "12 hours", route="event_type")
+
+
 @register("cart_state", """
 WITH ev AS (
   SELECT user_id, ts, event_id,

@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from shelfwise.schemas import SOURCE_SCHEMAS, STATUS_CHANGES
 from shelfwise.streaming import events as E
+from shelfwise.streaming import limits as L
 from shelfwise.streaming import sales as S
 
 
@@ -67,6 +68,19 @@ def start_over_limit(spark: SparkSession, source: str, sink: str, checkpoint: st
     return w.trigger(**(trigger or {"processingTime": "1 minute"})).start()
 
 
+def start_over_moving_limit(spark: SparkSession, source: str, sink: str, checkpoint: str, *,
+                            key: str = "user_id", limit: int | dict[str, int] = 5, window: str = "1 minute",
+                            route: str | None = None, watermark: str = "10 minutes", schema: T.StructType | None = None,
+                            max_files_per_trigger: int | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """ST-1 with moving windows: moments over the limit that the watermark has
+    passed, appended to a Parquet table, each once."""
+    stream = _source(spark, source, schema or SOURCE_SCHEMAS["events"], max_files_per_trigger)
+    out = L.over_moving_limit_stream(stream, key, limit, window, route=route, watermark=watermark)
+    w = (out.writeStream.outputMode("append").format("parquet").option("path", sink)
+         .option("checkpointLocation", checkpoint).queryName("over_moving_limit"))
+    return w.trigger(**(trigger or {"processingTime": "1 minute"})).start()
+
+
 def start_cart_state(spark: SparkSession, source: str, sink: str, checkpoint: str, *,
                      watermark: str = "10 minutes", schema: T.StructType | None = None,
                      max_files_per_trigger: int | None = None,
