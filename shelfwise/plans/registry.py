@@ -990,6 +990,30 @@ def _conform_users(spark, d):
     return conform(out, add={"login_count": ("int", 5)}, drop=["phone"])
 
 
+@register("versioned_users", """
+SELECT id, name, email, CASE id % 3 WHEN 0 THEN false ELSE status = 'active' END AS is_verified,
+       CASE id % 3 WHEN 2 THEN CAST(length(name) AS INTEGER) ELSE 0 END AS login_count, status
+FROM s_users""")
+def _versioned_users(spark, d):
+    # Users whose files were written in three versions of the table, a third in each; the
+    # last version drops a column and adds another, and both migrations are applied twice.
+    from shelfwise.sources.migrations import Migration, VersionedTable
+    u = T(spark, d).users
+    part = lambda k: u.filter(F.pmod("id", F.lit(3)) == k)     # noqa: E731
+    verified, phone = (F.col("status") == "active").alias("is_verified"), F.col("name").alias("phone")
+    old = u.select("id", "name", "email", "status", phone)
+    table = VersionedTable(spark, f"{require_checkpoint_dir(spark)}/versioned-{uuid.uuid4().hex}")
+    table.create(old.schema)
+    table.append(part(0).select("id", "name", "email", "status", phone))
+    second = Migration(2, add={"is_verified": ("boolean", False)})
+    third = Migration(3, add={"login_count": ("int", 0)}, drop=("phone",))
+    table.migrate([second])
+    table.append(part(1).select("id", "name", "email", "status", phone, verified))
+    table.migrate([second, third])
+    table.append(part(2).select("id", "name", "email", "status", verified, F.length("name").alias("login_count")))
+    return table.read()
+
+
 @register("typed_read_orders", """
 SELECT o_orderkey, o_custkey, o_totalprice FROM orders""")
 def _typed_read(spark, d):
