@@ -9,8 +9,8 @@ with another, and the model grows with the corpus.
 A pair counts as often as different words stand before it (its continuation count
 in a model of three words), so that copies of a passage count once.
 
-1. Texts are written once; a block is some megabytes of them, named by the task
-   that reads it and its number there.
+1. Texts are written once, in blocks of some megabytes.  A block is one row and carries
+   its name, so that any later split of the table, on any number of cores, finds it.
 2. Each block sends its distinct pairs with the words before them (32 bits of
    their hash), in arrays sorted by hash, to the buckets of a hash partitioning.
    A bucket counts and answers every block with the counts over all texts; one
@@ -19,7 +19,8 @@ in a model of three words), so that copies of a passage count once.
    which bounds the disk that is used at a time.
 3. From the pairs that it owns a block adds to what its words need: sum as
    context, distinct followers of count 1, 2 and 3 or more, distinct words to
-   the left.  Buckets of words add those up and answer in the same way.
+   the left.  Buckets of words add those up and answer in the same way, and give
+   the counts of counts of each language.
 4. Each block puts the answers together: three discounts an order, continuation
    counts below, uniform at the bottom.  Every pair is one that the corpus has.
 
@@ -32,8 +33,6 @@ A text's log-perplexity (a word pair) is compared with its language's band:
 texts that pass the base rules.  Both widths are chosen from the labelled rows of
 10,000 documents: the README has what each width rejects.
 
-``KneserNey`` is the same smoothing over small keys in memory.
-
 Defined cases: a null language is a language of its own.  A null or empty text,
 or one of fewer than two words, has no perplexity and fails the base rules.
 Rows that repeat a doc_id are judged one by one; a null doc_id stays null.
@@ -42,62 +41,30 @@ Rows that repeat a doc_id are judged one by one; a null doc_id stays null.
 from __future__ import annotations
 
 import hashlib
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.dataset as pads
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import filesystem, free_shuffles, scratch_path, shuffle_partitions, stored
+from shelfwise.llm.common import drop, filesystem, free_shuffles, scratch_path, shuffle_partitions, stored
 from shelfwise.llm.measures import measure
 from shelfwise.llm.words import LOWER, NOT_SPACE, Block, blocks, hash_ranges, mix, split_words
+from shelfwise.session import drop_path
 
-ORDER = 4
-BITS = 5
 NO_LANGUAGE = "no language"
 FLOOR = 0.1              # least discount, so that unseen n-grams keep a probability
 BELOW, ABOVE = 6.0, 6.0  # widths of the band
 PASSES = 6
-BLOCK = 8 << 20          # bytes of text in a block
+BLOCK = 16 << 20         # bytes of text in a block
 BUCKET = 16 << 20        # bytes of text for each bucket of hashes
 STEP = 1000              # bins of log-perplexity per unit, for medians and quartiles
 
 
-def _classes() -> np.ndarray:
-    b = np.arange(256)
-    table = np.full(256, 30, dtype=np.int32)                        # other ASCII
-    table[(b >= 0x61) & (b <= 0x7A)] = np.arange(1, 27)
-    table[(b >= 0x41) & (b <= 0x5A)] = 27
-    table[(b >= 0x30) & (b <= 0x39)] = 28
-    table[np.isin(b, np.frombuffer(b".,;:!?'\"()-", np.uint8))] = 29
-    table[np.isin(b, np.frombuffer(b" \t\n\v\f\r", np.uint8))] = 0
-    table[b >= 0x80] = 31
-    return table
-
-
-CLASSES = _classes()
-
-
-def keys_of(b: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all n-grams that lie inside one text, and their offsets by text."""
-    symbol = CLASSES[b.buf]
-    size = np.maximum(np.diff(b.offsets) - ORDER + 1, 0)
-    if len(symbol) < ORDER:
-        return np.empty(0, np.int32), np.zeros(b.n_docs + 1, np.int64)
-    m = len(symbol) - ORDER + 1
-    key = symbol[:m].copy()
-    for k in range(1, ORDER):
-        key <<= BITS
-        key |= symbol[k:m + k]
-    inside = np.ones(m, dtype=bool)
-    for k in range(1, ORDER):
-        cross = b.offsets[1:-1] - k
-        inside[cross[(cross >= 0) & (cross < m)]] = False
-    return key[inside], np.append(0, np.cumsum(size))
-
-
 def discounts(by_count: list[float]) -> np.ndarray:
     """Discounts of counts 0, 1, 2 and 3 or more, from the numbers of n-grams of count 1 to 4."""
     y = by_count[0] / (by_count[0] + 2 * by_count[1]) if by_count[0] else 0.0
@@ -105,42 +72,6 @@ def discounts(by_count: list[float]) -> np.ndarray:
                              if by_count[k - 1] else 0.5 for k in (1, 2, 3)])
 
 
-class KneserNey:
-    """Sorted keys, log-probabilities and back-off weights for each order."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        self.orders = []
-        levels = [(np.asarray(keys, np.int64), np.asarray(counts, np.float64))]
-        for n in range(ORDER - 1, 0, -1):       # continuation counts: distinct symbols to the left
-            low, times = np.unique(levels[0][0] & ((1 << (BITS * n)) - 1), return_counts=True)
-            levels.insert(0, (low, times.astype(np.float64)))
-        lower = lambda gram, n: np.full(len(gram), 1.0 / (1 << BITS))
-        for n, (gram, c) in enumerate(levels, 1):
-            by_count = [float((c == k).sum()) for k in (1, 2, 3, 4)]
-            d = discounts(by_count)[np.minimum(c, 3).astype(int)]
-            context, first = np.unique(gram >> BITS, return_index=True)
-            total, saved = np.add.reduceat(c, first), np.add.reduceat(d, first)
-            weight = saved / total
-            own = np.searchsorted(context, gram >> BITS)
-            prob = (c - d) / total[own] + weight[own] * lower(gram & ((1 << (BITS * (n - 1))) - 1) if n > 1 else gram, n - 1)
-            self.orders.append((gram, prob, context, weight))
-            lower = lambda g, m: self.probability(g, m)
-
-    def probability(self, gram: np.ndarray, n: int = ORDER) -> np.ndarray:
-        if n == 0:
-            return np.full(len(gram), 1.0 / (1 << BITS))
-        keys, prob, context, weight = self.orders[n - 1]
-        at = np.minimum(np.searchsorted(keys, gram), len(keys) - 1)
-        out = prob[at].copy()
-        miss = np.flatnonzero(keys[at] != gram)
-        if len(miss):
-            rest = gram[miss]
-            ctx = np.minimum(np.searchsorted(context, rest >> BITS), len(context) - 1)
-            off = np.where(context[ctx] == rest >> BITS, weight[ctx], 1.0)
-            out[miss] = off * self.probability(rest & ((1 << (BITS * (n - 1))) - 1), n - 1)
-        return out
-
-
 def _single(buf: np.ndarray) -> np.ndarray:
     """Starts of the characters (3 bytes each) of scripts written without blanks."""
     at = np.flatnonzero(buf[:-2] >= 0xE0) if len(buf) > 2 else np.empty(0, np.int64)
@@ -185,26 +116,56 @@ def _parts(keys: np.ndarray, buckets: int):
     return zip(own[cut].astype(int).tolist(), cut.tolist(), [*cut[1:].tolist(), len(own)])
 
 
-def _read_blocks(batches, text: int, lang: int):
-    """(batch, block, number of the block, its pairs) of the task's texts."""
-    n = 0
+_TEXTS = "task int, block int, text array<string>, lang array<string>, doc_id array<long>"
+
+
+def _to_blocks(batches):
+    """A row for each block of (text, lang, doc_id): its name and its texts."""
+    task, n = TaskContext.get().partitionId(), 0
     for batch in batches:
-        langs = batch.column(lang).to_pylist()
-        for b in blocks(batch.column(text), limit=BLOCK):
-            yield batch, b, n, Pairs(b, langs[b.row:b.row + b.n_docs])
-            n += 1
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        own = ends // BLOCK
+        cut = np.flatnonzero(np.append(True, own[1:] != own[:-1])).tolist() if len(own) else []
+        if cut:
+            offsets = pa.array([*cut, batch.num_rows], pa.int32())
+            yield pa.record_batch([
+                pa.array([task] * len(cut), pa.int32()), pa.array(range(n, n + len(cut)), pa.int32()),
+                *[pa.ListArray.from_arrays(offsets, c) for c in batch.columns]], names=["task", "block", "text", "lang", "doc_id"])
+            n += len(cut)
+
+
+def _read_blocks(batches):
+    """(task, block, ids where they were read, languages, texts, pairs) of each block."""
+    for batch in batches:
+        for k, (task, block) in enumerate(zip(batch["task"].to_pylist(), batch["block"].to_pylist())):
+            ids = batch["doc_id"][k].values if "doc_id" in batch.schema.names else None
+            langs = batch["lang"][k].values
+            b = next(blocks(batch["text"][k].values, limit=1 << 62))
+            yield task, block, ids, langs, b, Pairs(b, langs.to_pylist())
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers by column, and the bytes of a column by place: most are zero, in a row."""
+    flat = np.ascontiguousarray(values.T).astype(np.uint64).reshape(-1)
+    return flat.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _numbers(data: bytes, columns: int = 1) -> np.ndarray:
+    """What :func:`_planes` wrote, a row for each entry."""
+    flat = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).reshape(columns, -1)
+    return flat.T if columns > 1 else flat[0]
 
 
 _ASKED = "bucket int, task int, block int, keys binary, a binary"
-_ANSWER = "bucket int, task int, block int, part int, a binary"
+_ANSWER = "bucket int, task int, block int, part int, a binary, lang decimal(20,0), n array<long>"
+_ANSWER_TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.decimal128(20, 0), pa.list_(pa.int64())]
 
 
 def _ask_pairs(part: int, passes: int, buckets: int):
     schema = pa.schema([("bucket", pa.int32()), ("task", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("a", pa.binary())])
 
     def run(batches):
-        task = TaskContext.get().partitionId()
-        for _, _, n, p in _read_blocks(batches, 0, 1):
+        for task, n, _, _, _, p in _read_blocks(batches):
             mine = np.flatnonzero(p.hash % np.uint64(passes) == part)
             _, at = np.unique(mix(p.hash[mine] + p.before[mine]), return_index=True)
             at = mine[at]
@@ -223,10 +184,13 @@ def _gathered(table: pa.Table) -> tuple[np.ndarray, ...]:
     return first, place, np.append(0, np.cumsum([len(x) for x in keys]))
 
 
-def _answers(table: pa.Table, part: int, values: np.ndarray, cut: np.ndarray) -> pa.Table:
-    out = [values[i:j].tobytes() for i, j in zip(cut, cut[1:])]
-    return pa.table([table["bucket"], table["task"], table["block"], pa.array([part] * len(out), pa.int32()), pa.array(out, pa.binary())],
-                    names=["bucket", "task", "block", "part", "a"])
+def _answers(table: pa.Table, part: int, values: np.ndarray, cut: np.ndarray, counts=()) -> pa.Table:
+    """Answers to the table's rows, and ``counts``: (language, 0 or 1 for words or pairs, numbers)."""
+    rows = [(bucket, task, block, part, _planes(values[i:j]), None, None) for bucket, task, block, i, j in zip(
+        table["bucket"].to_pylist(), table["task"].to_pylist(), table["block"].to_pylist(), cut, cut[1:])]
+    rows += [(None, _COUNTS - k % 64, 0, kind, None, Decimal(int(lang)), n) for k, (lang, kind, n) in enumerate(counts)]
+    columns = list(zip(*rows)) or [()] * len(_ANSWER_TYPES)
+    return pa.table([pa.array(c, t) for c, t in zip(columns, _ANSWER_TYPES)], names=["bucket", "task", "block", "part", "a", "lang", "n"])
 
 
 def _answer_pairs(part: int):
@@ -252,15 +216,12 @@ def _written(answers: DataFrame, name: str) -> str:
     return path
 
 
-def _read_answers(path: str, task: int, block: int, kind) -> dict[int, np.ndarray]:
-    """By part: the values for one block, in order of its keys."""
+def _read_answers(path: str, task: int, block: int, columns: int = 1) -> np.ndarray:
+    """The values for one block, in order of its keys."""
     fs, at = filesystem(f"{path}/task={task}")
     rows = pads.dataset(at, filesystem=fs, format="parquet").to_table(
-        columns=["part", "bucket", "a"], filter=pads.field("block") == block).sort_by([("part", "ascending"), ("bucket", "ascending")])
-    out: dict[int, list] = {}
-    for part, a in zip(rows["part"].to_pylist(), rows["a"].to_pylist()):
-        out.setdefault(part, []).append(np.frombuffer(a, kind))
-    return {k: np.concatenate(v) for k, v in out.items()}
+        columns=["bucket", "a"], filter=pads.field("block") == block).sort_by("bucket")
+    return np.concatenate([_numbers(a, columns) for a in rows["a"].to_pylist()])
 
 
 def _pair_counts(paths: list[str], task: int, block: int, p: Pairs) -> tuple[np.ndarray, np.ndarray]:
@@ -270,23 +231,21 @@ def _pair_counts(paths: list[str], task: int, block: int, p: Pairs) -> tuple[np.
     part = p.grams % np.uint64(len(paths))
     for k, path in enumerate(paths):
         if (part == k).any():
-            got[part == k] = _read_answers(path, task, block, np.uint64)[k]
+            got[part == k] = _read_answers(path, task, block)
     return (got >> np.uint64(1)).astype(np.int64), (got & np.uint64(1)).astype(bool)
 
 
+_COUNTS = -1     # and 63 below: the tasks under which counts of counts are written
 _WORD = 5       # numbers a word: sum as context, followers of count 1, 2, 3 or more, words to the left
-_STATS = "bucket int, task int, block int, keys binary, a binary, langs binary, lang decimal(20,0), n array<long>"
+_STATS = "bucket int, task int, block int, keys binary, a binary, langs binary, names binary, n array<long>"
 
 
 def _ask_words(paths: list[str], buckets: int):
-    types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.decimal128(20, 0), pa.list_(pa.int64())]
-    schema = pa.schema(list(zip(("bucket", "task", "block", "keys", "a", "langs", "lang", "n"), types)))
+    types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+    schema = pa.schema(list(zip(("bucket", "task", "block", "keys", "a", "langs", "names", "n"), types)))
 
     def run(batches):
-        from decimal import Decimal
-
-        task = TaskContext.get().partitionId()
-        for _, _, n, p in _read_blocks(batches, 0, 1):
+        for task, n, _, _, _, p in _read_blocks(batches):
             if not len(p.hash):
                 continue
             c, own = _pair_counts(paths, task, n, p)
@@ -294,38 +253,36 @@ def _ask_words(paths: list[str], buckets: int):
             value = np.stack([np.bincount(p.g_left[own], c[own], minlength=size),
                               *[np.bincount(p.g_left[own & (kind == k)], minlength=size) for k in (1, 2, 3)],
                               np.bincount(p.g_right[own], minlength=size)], axis=1).astype(np.uint64)
-            rows = [(k, task, n, p.words[i:j].tobytes(), value[i:j].tobytes(), p.lang[i:j].tobytes(), None, None)
+            names, lang = np.unique(p.lang, return_inverse=True)
+            rows = [(k, task, n, p.words[i:j].tobytes(), _planes(value[i:j]), _planes(lang[i:j]), names.tobytes(), None)
                     for k, i, j in _parts(p.words, buckets)]
-            lang = p.lang[p.g_left]
-            for x in np.unique(lang):
-                mine = c[own & (lang == x)]
-                rows.append((None, task, n, None, None, None, Decimal(int(x)), [int((mine == k).sum()) for k in (1, 2, 3, 4)]))
+            where = lang[p.g_left]
+            for x, name in enumerate(names):            # the pairs' counts of counts go with the first words
+                mine = c[own & (where == x)]
+                rows.append((rows[0][0], task, n, None, None, None, name.tobytes(), [int((mine == k).sum()) for k in (1, 2, 3, 4)]))
             yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), types)], schema=schema)
     return run
 
 
 def _answer_words(table: pa.Table) -> pa.Table:
-    first, place, cut = _gathered(table)
-    value = np.concatenate([np.frombuffer(x, np.uint64) for x in table["a"].to_pylist()]).reshape(-1, _WORD)
+    """Answers, and by language the counts of counts of the bucket: of pairs, and of words of
+    1, 2, 3, 4 and 3 or more words to the left, all of them, and the sum."""
+    pairs: dict[int, np.ndarray] = {}
+    rest = table.filter(pc.is_valid(table["n"]))
+    for name, n in zip(rest["names"].to_pylist(), rest["n"].to_pylist()):
+        x = int(np.frombuffer(name, np.uint64)[0])
+        pairs[x] = pairs.get(x, 0) + np.array(n)
+    words = table.filter(pc.is_null(table["n"]))
+    first, place, cut = _gathered(words)
+    value = np.concatenate([_numbers(x, _WORD) for x in words["a"].to_pylist()])
     total = np.stack([np.bincount(place, value[:, k]) for k in range(_WORD)], axis=1).astype(np.uint64)
-    return _answers(table, 0, total[place], cut)
-
-
-def _lower_stats(table: pa.Table) -> pa.Table:
-    """By language: words of 1, 2, 3, 4 and 3 or more words to the left, all of them, and the sum."""
-    from decimal import Decimal
-
-    first, place, _ = _gathered(table)
-    value = np.concatenate([np.frombuffer(x, np.uint64) for x in table["a"].to_pylist()]).reshape(-1, _WORD)
-    lang = np.concatenate([np.frombuffer(x, np.uint64) for x in table["langs"].to_pylist()])[first]
-    left = np.bincount(place, value[:, 4]).astype(np.int64)
-    rows = []
+    lang = np.concatenate([np.frombuffer(n, np.uint64)[_numbers(x).astype(np.int64)]
+                           for n, x in zip(words["names"].to_pylist(), words["langs"].to_pylist())])[first]
+    counts = [(x, 1, n.tolist()) for x, n in pairs.items()]
     for x in np.unique(lang):
-        mine = left[lang == x]
-        rows.append((Decimal(int(x)), [*[int((mine == k).sum()) for k in (1, 2, 3, 4)], int((mine >= 3).sum()),
-                                       int((mine > 0).sum()), int(mine.sum())]))
-    return pa.table([pa.array([r[0] for r in rows], pa.decimal128(20, 0)), pa.array([r[1] for r in rows], pa.list_(pa.int64()))],
-                    names=["lang", "n"])
+        left = total[lang == x, 4].astype(np.int64)
+        counts.append((x, 0, [*[int((left == k).sum()) for k in (1, 2, 3, 4)], int((left >= 3).sum()), int((left > 0).sum()), int(left.sum())]))
+    return _answers(words, 0, total[place], cut, counts)
 
 
 def _added(df: DataFrame, size: int) -> dict[int, list[int]]:
@@ -335,22 +292,18 @@ def _added(df: DataFrame, size: int) -> dict[int, list[int]]:
 
 
 class Model:
-    """Written answers to the blocks of ``rows`` (doc_id, text, lang), and the discounts."""
+    """Written answers to the blocks of ``texts`` (see :func:`_to_blocks`), and the discounts."""
 
-    def __init__(self, rows: DataFrame, passes: int = PASSES):
-        spark = rows.sparkSession
-        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    def __init__(self, texts: DataFrame, size: int, passes: int = PASSES):
+        spark = texts.sparkSession
         buckets = max(shuffle_partitions(spark), size // BUCKET)
-        texts = rows.select("text", "lang")
+        texts = texts.select("task", "block", "text", "lang")
         self.pairs = [_written(texts.mapInArrow(_ask_pairs(k, passes, buckets), _ASKED).groupBy("bucket").applyInArrow(
             _answer_pairs(k), _ANSWER), "pairs") for k in range(passes)]
-        asked = stored(texts.mapInArrow(_ask_words(self.pairs, buckets), _STATS), "words")
-        words = asked.filter("bucket IS NOT NULL")
-        self.words = _written(words.select("bucket", "task", "block", "keys", "a").groupBy("bucket").applyInArrow(
+        self.words = _written(texts.mapInArrow(_ask_words(self.pairs, buckets), _STATS).groupBy("bucket").applyInArrow(
             _answer_words, _ANSWER), "word-counts")
-        upper = _added(asked.filter("lang IS NOT NULL").select("lang", "n"), 4)
-        lower = _added(words.select("bucket", "keys", "a", "langs").groupBy("bucket").applyInArrow(
-            _lower_stats, "lang decimal(20,0), n array<long>"), 7)
+        counts = spark.read.schema(_ANSWER).parquet(self.words).filter(F.col("task") <= _COUNTS)
+        upper, lower = _added(counts.filter("part = 1"), 4), _added(counts.filter("part = 0"), 7)
         self.languages = {x: (discounts(upper[x]), discounts(lower[x][:4]), lower[x]) for x in upper}
 
     def loss(self, task: int, block: int, p: Pairs) -> np.ndarray:
@@ -358,7 +311,7 @@ class Model:
         if not len(p.hash):
             return np.zeros(0)
         c, _ = _pair_counts(self.pairs, task, block, p)
-        w = _read_answers(self.words, task, block, np.uint64)[0].reshape(-1, _WORD).astype(np.float64)
+        w = _read_answers(self.words, task, block, _WORD).astype(np.float64)
         names, own = np.unique(p.lang, return_inverse=True)
         known = [self.languages.get(int(x), (np.zeros(4), np.zeros(4), [0] * 7)) for x in names]   # none: single words only
         d2, d1 = np.array([k[0] for k in known])[own], np.array([k[1] for k in known])[own]
@@ -381,13 +334,12 @@ def _score(shared):
                        ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], ("log_perplexity", pa.float64())])
 
     def run(batches):
-        task = TaskContext.get().partitionId()
-        for batch, block, k, p in _read_blocks(batches, 0, 1):
+        for task, k, ids, langs, block, p in _read_blocks(batches):
             total = np.bincount(p.doc, shared.value.loss(task, k, p), minlength=block.n_docs)
             n = np.bincount(p.doc, minlength=block.n_docs)
             m = measure(block)
             yield pa.record_batch([
-                batch.column(2).slice(block.row, block.n_docs), batch.column(1).slice(block.row, block.n_docs),
+                ids, langs,
                 *[pa.array(m[c].astype(np.int64)) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
                 pa.array(total / np.maximum(n, 1), mask=n == 0)], schema=schema)
     return run
@@ -397,13 +349,18 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
           below: float = BELOW, above: float = ABOVE, passes: int = PASSES) -> DataFrame:
     """One row per input row: doc_id, the base counts, base_failed, kept,
     log_perplexity, lower, upper."""
-    # written, so that every pass reads the same rows in the same tasks
-    rows = stored(docs.select(F.col(f"`{text_col}`").cast("string").alias("text"),
-                              F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(NO_LANGUAGE)).alias("lang"),
-                              F.col(f"`{id_col}`").cast("long").alias("doc_id")), "texts")
-    model = Model(rows, passes)
+    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"),
+                       F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(NO_LANGUAGE)).alias("lang"),
+                       F.col(f"`{id_col}`").cast("long").alias("doc_id"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    texts = stored(rows.mapInArrow(_to_blocks, _TEXTS), "texts")
+    model = Model(texts, size, passes)
     shared = docs.sparkSession.sparkContext.broadcast(model)        # paths, and some numbers a language
-    scored = stored(rows.mapInArrow(_score(shared), _SCORED), "perplexity").withColumn(
+    scored = stored(texts.mapInArrow(_score(shared), _SCORED), "perplexity")
+    drop(texts)
+    for path in (*model.pairs, model.words):
+        drop_path(docs.sparkSession, path)
+    scored = scored.withColumn(
         "base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
     bins = (scored.filter("NOT base_failed AND log_perplexity IS NOT NULL")
             .groupBy("model", F.floor(F.col("log_perplexity") * STEP).alias("bin")).agg(F.count(F.lit(1)).alias("c")))

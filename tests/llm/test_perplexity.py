@@ -1,6 +1,7 @@
 """op2: base rules against brute force, the model against its definition."""
 
 import collections
+import itertools
 import math
 import re
 
@@ -57,45 +58,6 @@ def test_edges(spark):
     assert P.judge(df.limit(0)).count() == 0
 
 
-def test_model_is_normalised_and_equals_the_definition():
-    text = "the cat sat on the mat, the cat ran. The dog SAT on 12 mats! " * 3 + "something else; quite different"
-    b = next(blocks(pa.array([text, "the other text"])))
-    keys, cut = P.keys_of(b)
-    own = lambda s: [int(P.CLASSES[x]) for x in s.encode()]
-    grams = collections.Counter()
-    for t in (text, "the other text"):
-        c = own(t)
-        grams.update(tuple(c[i:i + 4]) for i in range(len(c) - 3))
-    assert len(keys) == sum(grams.values()) == cut[-1]
-    uniq, count = np.unique(keys, return_counts=True)
-    model = P.KneserNey(uniq, count)
-    levels = {4: grams}
-    for n in (3, 2, 1):
-        levels[n] = collections.Counter(g[1:] for g in levels[n + 1])
-
-    def prob(g):
-        n = len(g)
-        if n == 0:
-            return 1 / 32
-        c = levels[n]
-        by = collections.Counter(c.values())
-        y = by[1] / (by[1] + 2 * by[2]) if by[1] else 0
-        d = {0: 0.0, **{k: min(max(k - (k + 1) * y * by[k + 1] / by[k], P.FLOOR), k) if by[k] else 0.5 for k in (1, 2, 3)}}
-        mine = {h: x for h, x in c.items() if h[:-1] == g[:-1]}
-        if not mine:
-            return prob(g[1:])
-        total = sum(mine.values())
-        gamma = sum(d[min(x, 3)] for x in mine.values()) / total
-        x = mine.get(g, 0)
-        return (x - d[min(x, 3)]) / total + gamma * prob(g[1:])
-
-    for g in [*grams, (31, 31, 31, 31), (20, 8, 5, 9), (0, 20, 8, 6)]:
-        key = ((g[0] * 32 + g[1]) * 32 + g[2]) * 32 + g[3]
-        assert math.isclose(model.probability(np.array([key]))[0], prob(g), rel_tol=1e-9)
-    context = uniq[:1] >> 5
-    assert math.isclose(model.probability((context << 5) + np.arange(32)).sum(), 1, rel_tol=1e-9)
-
-
 def _word_model(texts):
     """log-perplexity of each text: pairs counted by the distinct words before them."""
     tokens = [t.lower().split() for t in texts]
@@ -129,6 +91,36 @@ def test_word_model_equals_the_definition(spark):
     assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
 
 
+def test_any_split_of_the_blocks_gives_the_same(spark, monkeypatch):
+    """The table of blocks is read in few or many parts, and in other parts by every job."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(30)]
+    texts = [" ".join(rng.choice(words, rng.integers(2, 40))) for _ in range(60)]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(6)
+    want = dict(enumerate(_word_model(texts)))
+    sizes = itertools.cycle([3000, 128 << 20, 9000])
+    real = P._written
+    key = "spark.sql.files.maxPartitionBytes"
+
+    def written(answers, name):
+        path = real(answers, name)
+        spark.conf.set(key, str(next(sizes)))       # the next job reads other splits
+        return path
+
+    monkeypatch.setattr(P, "_written", written)
+    try:
+        got = {r.doc_id: r.log_perplexity for r in P.judge(df, passes=2).collect()}
+    finally:
+        spark.conf.unset(key)
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
+
+
+def test_numbers_come_back():
+    x = np.arange(15, dtype=np.uint64).reshape(3, 5) << np.uint64(40)
+    assert (P._numbers(P._planes(x), 5) == x).all()
+    assert (P._numbers(P._planes(x[:, 1])) == x[:, 1]).all() and len(P._numbers(P._planes(x[:0, 0]))) == 0
+
+
 def test_characters_are_words_where_there_are_no_blanks():
     b = next(blocks(pa.array(["我们 are 猫。", "กา ñ"])))
     p = P.Pairs(b, ["zh", "th"])
