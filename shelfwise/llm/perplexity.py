@@ -42,6 +42,7 @@ from __future__ import annotations
 
 import hashlib
 from decimal import Decimal
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +61,7 @@ NO_LANGUAGE = "no language"
 FLOOR = 0.1              # least discount, so that unseen n-grams keep a probability
 BELOW, ABOVE = 6.0, 6.0  # widths of the band
 PASSES = 6
-BLOCK = 16 << 20         # bytes of text in a block
+BLOCK = 8 << 20          # bytes of text in a block
 BUCKET = 16 << 20        # bytes of text for each bucket of hashes
 STEP = 1000              # bins of log-perplexity per unit, for medians and quartiles
 
@@ -84,8 +85,19 @@ def _language(name: str) -> int:
     return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little")
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values, ascending, a place of each, and each entry's number among them
+    (``np.unique`` sorts more slowly, to give the first place)."""
+    order = np.argsort(x)
+    new = np.append(True, x[order][1:] != x[order][:-1])[:len(x)]
+    number = np.empty(len(x), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    return x[order[new]], order[new], number
+
+
 class Pairs:
-    """A block's words (distinct: ``words``) and pairs (distinct: ``grams``)."""
+    """A block's words and pairs in order; after :meth:`distinct` also its different words
+    (``words``) and pairs (``grams``)."""
 
     def __init__(self, b: Block, langs: list[str]):
         single = _single(b.buf)
@@ -95,18 +107,17 @@ class Pairs:
         salt = {x: _language(x) for x in set(langs)}
         lang = np.array([salt[x] for x in langs], dtype=np.uint64)
         h = mix(hash_ranges(LOWER[b.buf], start, end) + mix(lang)[doc])
-        self.words, place = np.unique(h, return_inverse=True)
-        self.lang = np.zeros(len(self.words), dtype=np.uint64)
-        self.lang[place] = lang[doc]
         at = np.flatnonzero(doc[:-1] == doc[1:])
-        self.doc, self.left, self.right = doc[at], place[at], place[at + 1]
+        self.doc, self._at, self._h, self._lang = doc[at], at, h, lang[doc]
         self.hash = mix(h[at] * np.uint64(0xC2B2AE3D27D4EB4F) + h[at + 1])
         self.before = np.where((at > 0) & (doc[at - 1] == doc[at]), h[at - 1] >> np.uint64(32), 0).astype(np.uint32)
 
     def distinct(self) -> None:
-        """``grams``, and the words of each."""
-        self.grams, at, self.inverse = np.unique(self.hash, return_index=True, return_inverse=True)
-        self.g_left, self.g_right = self.left[at], self.right[at]
+        """``words`` and their languages, ``grams`` and the words of each."""
+        self.words, first, place = _distinct(self._h)
+        self.lang = self._lang[first]
+        self.grams, first, self.inverse = _distinct(self.hash)
+        self.g_left, self.g_right = place[self._at[first]], place[self._at[first] + 1]
 
 
 def _parts(keys: np.ndarray, buckets: int):
@@ -150,6 +161,11 @@ def _planes(values: np.ndarray) -> bytes:
     return flat.view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
+def _rising(keys: np.ndarray) -> bytes:
+    """Ascending keys as their differences, whose highest bytes are zero."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
+
+
 def _numbers(data: bytes, columns: int = 1) -> np.ndarray:
     """What :func:`_planes` wrote, a row for each entry."""
     flat = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).reshape(columns, -1)
@@ -167,20 +183,19 @@ def _ask_pairs(part: int, passes: int, buckets: int):
     def run(batches):
         for task, n, _, _, _, p in _read_blocks(batches):
             mine = np.flatnonzero(p.hash % np.uint64(passes) == part)
-            _, at = np.unique(mix(p.hash[mine] + p.before[mine]), return_index=True)
-            at = mine[at]
+            at = mine[_distinct(mix(p.hash[mine] + p.before[mine]))[1]]
             at = at[np.argsort(p.hash[at])]
             keys, before = p.hash[at], p.before[at]
-            rows = [(k, task, n, keys[i:j].tobytes(), before[i:j].tobytes()) for k, i, j in _parts(keys, buckets)]
+            rows = [(k, task, n, _rising(keys[i:j]), before[i:j].tobytes()) for k, i, j in _parts(keys, buckets)]
             if rows:
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), schema.types)], schema=schema)
     return run
 
 
 def _gathered(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """Keys of all rows, each one's place among the distinct ones, and where rows end."""
-    keys = [np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()]
-    _, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    """A place of each distinct key of all rows, each one's place among the distinct ones, and where rows end."""
+    keys = [np.cumsum(_numbers(x), dtype=np.uint64) for x in table["keys"].to_pylist()]
+    _, first, place = _distinct(np.concatenate(keys))
     return first, place, np.append(0, np.cumsum([len(x) for x in keys]))
 
 
@@ -195,14 +210,18 @@ def _answers(table: pa.Table, part: int, values: np.ndarray, cut: np.ndarray, co
 
 def _answer_pairs(part: int):
     def run(table: pa.Table) -> pa.Table:
-        first, place, cut = _gathered(table)
+        _, place, cut = _gathered(table)
         before = np.concatenate([np.frombuffer(x, np.uint32) for x in table["a"].to_pylist()])
         entries = np.unique((place.astype(np.uint64) << np.uint64(32)) | before)
         count = np.bincount((entries >> np.uint64(32)).astype(np.int64)).astype(np.uint64)
         once = np.append(True, place[1:] != place[:-1])     # a row is sorted: each of its pairs is answered once
         once[cut[:-1]] = True
+        once = np.append(True, place[1:] != place[:-1])     # a row is sorted: each of its pairs is answered once
+        once[cut[:-1]] = True
         total = count[place] << np.uint64(1)
-        total[first] |= np.uint64(1)                        # the block that owns the pair
+        owner = np.empty(len(count), dtype=np.int64)
+        owner[place[once]] = np.flatnonzero(once)
+        total[owner] |= np.uint64(1)                        # of the answers one goes to the block that owns the pair
         return _answers(table, part, total[once], np.append(0, np.cumsum(once))[cut])
     return run
 
@@ -240,7 +259,7 @@ _WORD = 5       # numbers a word: sum as context, followers of count 1, 2, 3 or
 _STATS = "bucket int, task int, block int, keys binary, a binary, langs binary, names binary, n array<long>"
 
 
-def _ask_words(paths: list[str], buckets: int):
+def _ask_words(part: int, parts: int, paths: list[str], buckets: int):
     types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
     schema = pa.schema(list(zip(("bucket", "task", "block", "keys", "a", "langs", "names", "n"), types)))
 
@@ -250,16 +269,21 @@ def _ask_words(paths: list[str], buckets: int):
                 continue
             c, own = _pair_counts(paths, task, n, p)
             size, kind = len(p.words), np.minimum(c, 3)
+            mine = p.words % np.uint64(parts) == part
             value = np.stack([np.bincount(p.g_left[own], c[own], minlength=size),
                               *[np.bincount(p.g_left[own & (kind == k)], minlength=size) for k in (1, 2, 3)],
-                              np.bincount(p.g_right[own], minlength=size)], axis=1).astype(np.uint64)
+                              np.bincount(p.g_right[own], minlength=size)], axis=1).astype(np.uint64)[mine]
             names, lang = np.unique(p.lang, return_inverse=True)
-            rows = [(k, task, n, p.words[i:j].tobytes(), _planes(value[i:j]), _planes(lang[i:j]), names.tobytes(), None)
-                    for k, i, j in _parts(p.words, buckets)]
+            words, own_lang = p.words[mine], lang[mine]
+            rows = [(k, task, n, _rising(words[i:j]), _planes(value[i:j]), _planes(own_lang[i:j]), names.tobytes(), None)
+                    for k, i, j in _parts(words, buckets)]
             where = lang[p.g_left]
-            for x, name in enumerate(names):            # the pairs' counts of counts go with the first words
-                mine = c[own & (where == x)]
-                rows.append((rows[0][0], task, n, None, None, None, name.tobytes(), [int((mine == k).sum()) for k in (1, 2, 3, 4)]))
+            for x, name in enumerate(names):            # the pairs' counts of counts go with the first part
+                if part == 0:
+                    times = c[own & (where == x)]
+                    rows.append((task % buckets, task, n, None, None, None, name.tobytes(), [int((times == k).sum()) for k in (1, 2, 3, 4)]))
+            if not rows:
+                continue
             yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), types)], schema=schema)
     return run
 
@@ -273,12 +297,14 @@ def _answer_words(table: pa.Table) -> pa.Table:
         x = int(np.frombuffer(name, np.uint64)[0])
         pairs[x] = pairs.get(x, 0) + np.array(n)
     words = table.filter(pc.is_null(table["n"]))
+    counts = [(x, 1, n.tolist()) for x, n in pairs.items()]
+    if not words.num_rows:
+        return _answers(words, 0, np.empty(0, np.uint64), np.zeros(1, np.int64), counts)
     first, place, cut = _gathered(words)
     value = np.concatenate([_numbers(x, _WORD) for x in words["a"].to_pylist()])
     total = np.stack([np.bincount(place, value[:, k]) for k in range(_WORD)], axis=1).astype(np.uint64)
     lang = np.concatenate([np.frombuffer(n, np.uint64)[_numbers(x).astype(np.int64)]
                            for n, x in zip(words["names"].to_pylist(), words["langs"].to_pylist())])[first]
-    counts = [(x, 1, n.tolist()) for x, n in pairs.items()]
     for x in np.unique(lang):
         left = total[lang == x, 4].astype(np.int64)
         counts.append((x, 0, [*[int((left == k).sum()) for k in (1, 2, 3, 4)], int((left >= 3).sum()), int((left > 0).sum()), int(left.sum())]))
@@ -300,9 +326,12 @@ class Model:
         texts = texts.select("task", "block", "text", "lang")
         self.pairs = [_written(texts.mapInArrow(_ask_pairs(k, passes, buckets), _ASKED).groupBy("bucket").applyInArrow(
             _answer_pairs(k), _ANSWER), "pairs") for k in range(passes)]
-        self.words = _written(texts.mapInArrow(_ask_words(self.pairs, buckets), _STATS).groupBy("bucket").applyInArrow(
-            _answer_words, _ANSWER), "word-counts")
-        counts = spark.read.schema(_ANSWER).parquet(self.words).filter(F.col("task") <= _COUNTS)
+        parts = max(1, passes // 2)
+        self.words = [_written(texts.mapInArrow(_ask_words(k, parts, self.pairs, buckets), _STATS).groupBy("bucket").applyInArrow(
+            _answer_words, _ANSWER), "word-counts") for k in range(parts)]
+        # ``task`` is the folders' column, so this reads the few folders below zero
+        counts = reduce(DataFrame.unionByName, [spark.read.schema(_ANSWER).parquet(path) for path in self.words]).filter(
+            F.col("task") <= _COUNTS)
         upper, lower = _added(counts.filter("part = 1"), 4), _added(counts.filter("part = 0"), 7)
         self.languages = {x: (discounts(upper[x]), discounts(lower[x][:4]), lower[x]) for x in upper}
 
@@ -311,7 +340,10 @@ class Model:
         if not len(p.hash):
             return np.zeros(0)
         c, _ = _pair_counts(self.pairs, task, block, p)
-        w = _read_answers(self.words, task, block, _WORD).astype(np.float64)
+        w, part = np.zeros((len(p.words), _WORD)), p.words % np.uint64(len(self.words))
+        for k, path in enumerate(self.words):
+            if (part == k).any():
+                w[part == k] = _read_answers(path, task, block, _WORD)
         names, own = np.unique(p.lang, return_inverse=True)
         known = [self.languages.get(int(x), (np.zeros(4), np.zeros(4), [0] * 7)) for x in names]   # none: single words only
         d2, d1 = np.array([k[0] for k in known])[own], np.array([k[1] for k in known])[own]
@@ -358,7 +390,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     shared = docs.sparkSession.sparkContext.broadcast(model)        # paths, and some numbers a language
     scored = stored(texts.mapInArrow(_score(shared), _SCORED), "perplexity")
     drop(texts)
-    for path in (*model.pairs, model.words):
+    for path in (*model.pairs, *model.words):
         drop_path(docs.sparkSession, path)
     scored = scored.withColumn(
         "base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
