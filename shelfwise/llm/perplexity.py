@@ -60,7 +60,8 @@ from shelfwise.session import drop_path
 NO_LANGUAGE = "no language"
 FLOOR = 0.1              # least discount, so that unseen n-grams keep a probability
 BELOW, ABOVE = 6.0, 6.0  # widths of the band
-PASSES = 6
+PASSES = 6               # over the pairs, a part of their hashes each
+WORD_PASSES = 3          # over the words: one took over 2 x the input of disk
 BLOCK = 8 << 20          # bytes of text in a block
 BUCKET = 16 << 20        # bytes of text for each bucket of hashes
 STEP = 1000              # bins of log-perplexity per unit, for medians and quartiles
@@ -326,9 +327,8 @@ class Model:
         texts = texts.select("task", "block", "text", "lang")
         self.pairs = [_written(texts.mapInArrow(_ask_pairs(k, passes, buckets), _ASKED).groupBy("bucket").applyInArrow(
             _answer_pairs(k), _ANSWER), "pairs") for k in range(passes)]
-        parts = max(1, passes // 2)
-        self.words = [_written(texts.mapInArrow(_ask_words(k, parts, self.pairs, buckets), _STATS).groupBy("bucket").applyInArrow(
-            _answer_words, _ANSWER), "word-counts") for k in range(parts)]
+        self.words = [_written(texts.mapInArrow(_ask_words(k, WORD_PASSES, self.pairs, buckets), _STATS).groupBy("bucket").applyInArrow(
+            _answer_words, _ANSWER), "word-counts") for k in range(WORD_PASSES)]
         # ``task`` is the folders' column, so this reads the few folders below zero
         counts = reduce(DataFrame.unionByName, [spark.read.schema(_ANSWER).parquet(path) for path in self.words]).filter(
             F.col("task") <= _COUNTS)
