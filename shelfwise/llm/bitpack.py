@@ -33,6 +33,7 @@ from shelfwise.llm.common import filesystem, id_out, scratch_path, shuffle_parti
 from shelfwise.llm.tokens import encoded
 
 MAGIC = b"FWBP0001"
+FILE = 128 << 20         # bytes of text in a file, about
 BLOCK = 1 << 14          # ids; a multiple of 64, so that blocks begin at whole words
 
 
@@ -41,6 +42,8 @@ def bits_for(vocabulary: int) -> int:
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
+    if len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"id {int(ids.max())} does not fit in {bits} bits: the vocabulary is larger than was said")
     groups = -(-len(ids) // 64)
     padded = np.zeros(groups * 64, dtype=np.uint64)
     padded[:len(ids)] = ids
@@ -176,8 +179,11 @@ def write(docs: DataFrame, tokenizer: str, vocabulary: int, end: int, path: str
     part, file, n_docs, n_ids, base (ids in the files before)."""
     spark = docs.sparkSession
     path = path or scratch_path(spark, "ids")
-    ordered = (texts(docs, id_col, text_col).repartitionByRange(shuffle_partitions(spark), "d")
-               .sortWithinPartitions("d", "text"))
+    rows = texts(docs, id_col, text_col)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # rows of one id, null ids among them, are spread by a hash of their texts
+    ordered = (rows.withColumn("h", F.xxhash64("text")).repartitionByRange(max(shuffle_partitions(spark), size // FILE), "d", "h")
+               .sortWithinPartitions("d", "h", "text").drop("h"))
     files = stored(ordered.mapInArrow(_write(path, tokenizer, end, bits_for(vocabulary)),
                                       "part long, file string, n_docs long, n_ids long"), "manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)   # one row per file

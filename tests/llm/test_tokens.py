@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -135,3 +136,19 @@ def test_least_squares_fills_the_window():
     assert (combos.sum(axis=1) == 16).all()
     used = np.bincount(combos.reshape(-1), weights=np.repeat(counts, 3), minlength=16)
     assert (used[1:] <= h[1:]).all() and counts.sum() >= 0.9 * (100 + 20 + 15)
+
+
+def test_an_id_beyond_the_vocabulary_is_refused():
+    with pytest.raises(ValueError):
+        bitpack.pack(np.array([1, 16], dtype=np.uint32), 4)
+    assert (bitpack.unpack(bitpack.pack(np.array([1, 15], dtype=np.uint32), 4), 4, 2) == [1, 15]).all()
+
+
+def test_rows_of_one_id_are_in_several_files(spark):
+    df = spark.createDataFrame([(None if i % 3 else 7, f"word {i}") for i in range(300)], "doc_id long, text string")
+    path, files = bitpack.write(df, tokenizer_path(), VOCABULARY, end=2)
+    rows = files.orderBy("part").collect()
+    assert sum(r.n_docs > 0 for r in rows) > 4 and sum(r.n_docs for r in rows) == 300
+    got = bitpack.read_back(path, files).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] * 200 + [7] * 100
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
