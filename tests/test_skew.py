@@ -17,7 +17,7 @@ from .conftest import SF01
 
 TABLES = ("customer", "part", "orders", "lineitem", "events", "pages")
 SKEW_QUERIES = ["stock_ledger", "top_selling", "orders_with_items", "order_lines",
-                "customer_order_summary", "cart_state", "over_limit_daily", "latest_changes",
+                "customer_order_summary", "cart_state", "over_limit_daily", "over_moving_limit_daily", "latest_changes",
                 "apply_status_changes_orders", "admin_orders", "order_totals", "order_lines_salted", "cart_lines_state",
                 "lookup_users_with_events", "orders_without_items", "numbered_order_lines", "line_counts"]
 
