@@ -1,6 +1,6 @@
 """Quality classifier by Bradley-Terry ranking.
 
-Pairs of a good and a bad labelled document are preferences.  A document's
+Every pair of a good and a bad labelled document is a preference.  A document's
 strength is linear in features of its whole text, and the Bradley-Terry model
 makes the chance that one is preferred the logistic function of the difference
 of strengths: logistic regression on feature differences, without intercept,
@@ -8,9 +8,11 @@ solved by Newton's method with a small ridge.  The threshold is the quantile of
 the labelled documents' strengths at the share of bad labels, and the score is
 the logistic function of the strength above the threshold.
 
-Training takes at most ``TRAIN`` labelled documents, half of each label, chosen
-by a hash of the id, and ``PAIRS`` pairs; both bounds are parameters.  Every
-document is scored.
+All labelled documents and all their pairs count.  A pair's share in a Newton step
+depends on its two strengths alone, so each document is spread over the two nearest
+of ``GRID`` strengths, and the pairs are summed over the grid: a pass sums the
+features of each label by grid strength, a second one the products of features, and
+neither sends more than a row for each grid strength to the driver.
 
 Defined cases: a null or empty text has all counts 0 and a score like any other;
 with labels of one kind only, all scores are 0.5.  Labels that are null count
@@ -28,10 +30,12 @@ from pyspark.sql import functions as F
 from shelfwise.llm.common import stored
 from shelfwise.llm.measures import measure
 from shelfwise.llm.words import blocks
+from shelfwise.operators.scan import running_sum
 
-TRAIN = 20_000
-PAIRS = 100_000
 RIDGE = 1e-2
+EDGE = 16               # strengths beyond it are as certain as it
+CELLS = 32              # of the grid for each unit: a pair's chance is right to 2e-5
+GRID = np.arange(-EDGE * CELLS, EDGE * CELLS + 1) / CELLS
 
 FEATURES = ("log_words", "word_length", "symbols", "dup_lines", "repeats", "distinct", "echoes", "upper", "digits",
             "letters", "stops", "line_words", "repeats_high", "symbols_high", "short")
@@ -58,24 +62,109 @@ def _features(batches):
                                    pa.ListArray.from_arrays(pa.array(cut), pa.array(x.reshape(-1)))], schema=schema)
 
 
-def bradley_terry(good: np.ndarray, bad: np.ndarray, pairs: int = PAIRS, ridge: float = RIDGE) -> np.ndarray:
-    """Weights that make the rows of ``good`` preferred to those of ``bad``."""
-    rng = np.random.default_rng(7)
-    n = min(pairs, 20 * max(len(good), len(bad)))
-    d = good[rng.integers(len(good), size=n)] - bad[rng.integers(len(bad), size=n)]
-    w = np.zeros(d.shape[1])
+def _spread(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The grid strength below each strength, and how far it is to the next."""
+    at = (np.clip(s, -EDGE, EDGE) + EDGE) * CELLS
+    low = np.minimum(at.astype(np.int64), len(GRID) - 2)
+    return low, at - low
+
+
+def _first_sums(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Number of documents and sums of their features, by grid strength."""
+    low, share = _spread(x @ w)
+    return np.stack([np.bincount(low, v * (1 - share), len(GRID)) + np.bincount(low + 1, v * share, len(GRID))
+                     for v in (np.ones(len(x)), *x.T)], axis=1)
+
+
+def _second_sums(x: np.ndarray, w: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Sums of products of features, by the ``weight`` of the documents' grid strengths."""
+    low, share = _spread(x @ w)
+    return x.T @ (x * (weight[low] * (1 - share) + weight[low + 1] * share)[:, None])
+
+
+def _newton(size: int, ridge: float, first, second) -> np.ndarray:
+    """Weights by the sums over the documents: ``first(w)`` gives those of the bad and the
+    good, ``second(w, weights)`` the sum of both."""
+    w = np.zeros(size)
+    chance = 1 / (1 + np.exp(GRID[None, :] - GRID[:, None]))      # of the row's strength over the column's
+    slope = chance * (1 - chance)
     for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
-        grad = d.T @ (1 - p) / n - ridge * w
-        step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / n + ridge * np.eye(len(w)), grad)
-        w += step
+        bad, good = (found / found[:, 0].sum() for found in first(w))
+        lost = 1 - chance
+        grad = (lost @ bad[:, 0]) @ good[:, 1:] - (good[:, 0] @ lost) @ bad[:, 1:] - ridge * w
+        cross = good[:, 1:].T @ slope @ bad[:, 1:]
+        products = second(w, (good[:, 0] @ slope, slope @ bad[:, 0]))
+        step = np.linalg.solve(products - cross - cross.T + ridge * np.eye(size), grad)
+        w = w + step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
+def bradley_terry(good: np.ndarray, bad: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
+    """Weights that make the rows of ``good`` preferred to those of ``bad``."""
+    return _newton(good.shape[1], ridge, lambda w: (_first_sums(bad, w), _first_sums(good, w)),
+                   lambda w, weight: _second_sums(bad, w, weight[0]) / len(bad) + _second_sums(good, w, weight[1]) / len(good))
+
+
+def fit(learn: DataFrame, count: dict[int, int], mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """:func:`bradley_terry` over the rows (``x``, ``y``) of a table, features in units of ``scale`` from ``mean``."""
+    size = len(mean)
+
+    def columns(names: list[str]) -> str:
+        return ", ".join(f"{c} double" for c in names)
+
+    def of_label(batch: pa.RecordBatch):
+        y, x = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(-1, size)
+        for label in (0, 1):
+            if (y == label).any():
+                yield label, (x[y == label] - mean) / scale
+
+    def first(w: np.ndarray) -> list[np.ndarray]:
+        names = [f"s{i}" for i in range(size + 1)]
+
+        def sums(batches):
+            total = np.zeros((2, len(GRID), size + 1))
+            for batch in batches:
+                for label, x in of_label(batch):
+                    total[label] += _first_sums(x, w)
+            label, cell = np.nonzero(total[:, :, 0])
+            yield pa.RecordBatch.from_arrays([pa.array(label.astype(np.int32)), pa.array(cell.astype(np.int32)),
+                                              *[pa.array(v) for v in total[label, cell].T]], ["y", "cell", *names])
+
+        found = learn.select("y", "x").mapInArrow(sums, f"y int, cell int, {columns(names)}")
+        out = np.zeros((2, len(GRID), size + 1))
+        for r in found.groupBy("y", "cell").agg(*[F.sum(c).alias(c) for c in names]).collect():
+            out[r.y, r.cell] = r[2:]
+        return list(out)
+
+    def second(w: np.ndarray, weight: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        names = [f"p{i}" for i in range(size * size)]
+
+        def sums(batches):
+            total = np.zeros((size, size))
+            for batch in batches:
+                for label, x in of_label(batch):
+                    total += _second_sums(x, w, weight[label]) / count[label]
+            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in total.reshape(-1)], names)
+
+        found = learn.select("y", "x").mapInArrow(sums, columns(names))
+        return np.array(found.agg(*[F.sum(c) for c in names]).first(), dtype=np.float64).reshape(size, size)
+
+    return _newton(size, RIDGE, first, second)
+
+
+def quantile(values: DataFrame, column: Column, rank: int) -> float:
+    """Middle between the values of this and the next rank (from 1), or the last."""
+    counts = values.groupBy(column.alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    ranked = running_sum(counts, [], ["s"], ["n"], ["upto"], rows=20_000)
+    low, high = ranked.agg(F.min(F.when(F.col("upto") >= rank, F.col("s"))),
+                           F.min(F.when(F.col("upto") > rank, F.col("s")))).first()
+    return low if high is None else (low + high) / 2
+
+
 def classify(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "quality", id_col: str = "doc_id",
-             text_col: str = "text", limit: int = TRAIN) -> DataFrame:
+             text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted.  Rows for
     which ``held_out`` is true are not trained on."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"),
@@ -84,29 +173,17 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: Column, label: str =
     known = (labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label}`").cast("int").alias("y"))
              .filter("y IN (0, 1)").groupBy("doc_id").agg(F.min("y").alias("y")))
     learn = stored(found.filter("NOT held_out").join(known, "doc_id").select("doc_id", "x", "y"), "labelled")
+    each = range(len(FEATURES))
     count = {r.y: r.c for r in learn.groupBy("y").agg(F.count(F.lit(1)).alias("c")).collect()}
-    x = {}
-    for y in (0, 1):
-        picked = (learn.filter(F.col("y") == y).withColumn("o", F.xxhash64("doc_id", F.lit("train"))).orderBy("o", "doc_id")
-                  .limit(limit // 2).select("x").collect())
-        x[y] = np.array([r.x for r in picked], dtype=np.float64).reshape(-1, len(FEATURES))
-    weights, bias = np.zeros(len(FEATURES)), 0.0
-    if len(x[0]) and len(x[1]):
-        both = np.concatenate([x[0], x[1]])
-        mean, scale = both.mean(axis=0), both.std(axis=0)
-        scale[scale == 0] = 1
-        w = bradley_terry((x[1] - mean) / scale, (x[0] - mean) / scale)
-        weights = w / scale
-        # the quantile at the share of bad labels, each label weighted to its full count
-        s = both @ weights
-        share = np.repeat([count[0] / len(x[0]), count[1] / len(x[1])], [len(x[0]), len(x[1])])
-        order = np.argsort(s)
-        below = np.cumsum(share[order])
-        k = int(np.searchsorted(below, count[0]))
-        bias = float((s[order[min(k, len(s) - 1)]] + s[order[min(k + 1, len(s) - 1)]]) / 2)
-    strength = F.lit(-bias)
-    for i, v in enumerate(weights):
-        strength = strength + F.lit(float(v)) * F.col("x")[i]
+    strength, bias = F.lit(0.0), 0.0
+    if len(count) == 2:
+        spread = learn.agg(*[F.avg(F.col("x")[i]) for i in each], *[F.stddev_pop(F.col("x")[i]) for i in each]).first()
+        mean, scale = np.array(spread, dtype=np.float64).reshape(2, -1)
+        scale = np.where(scale == 0, 1, scale)
+        for i, v in enumerate(fit(learn, count, mean, scale) / scale):
+            strength = strength + F.lit(float(v)) * F.col("x")[i]
+        bias = quantile(learn, strength, count[0])      # at the share of bad labels
+    strength = strength - F.lit(bias)
     score = 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), strength))))
     return found.select("doc_id", "held_out", score.alias("score")).withColumn(
         "predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))

@@ -43,6 +43,31 @@ def test_bradley_terry_recovers_an_order():
     assert w[0] > 1.5 and w[1] < -0.7 and abs(w[2]) < 0.15
 
 
+def _all_pairs(good, bad, ridge):
+    d = (good[:, None, :] - bad[None, :, :]).reshape(-1, good.shape[1])
+    w = np.zeros(d.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-d @ w))
+        w = w + np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + ridge * np.eye(len(w)), d.T @ (1 - p) / len(d) - ridge * w)
+    return w
+
+
+def test_bradley_terry_counts_every_pair(spark):
+    rng = np.random.default_rng(1)
+    good, bad = rng.normal(size=(70, 3)) + [0.8, 0, 0.2], rng.normal(size=(90, 3)) * [1, 2, 1]
+    exact = _all_pairs(good, bad, quality.RIDGE)
+    assert np.abs(quality.bradley_terry(good, bad) - exact).max() < 1e-4
+    rows = [(x.tolist(), y) for y, part in ((0, bad), (1, good)) for x in part]
+    learn = spark.createDataFrame(rows, "x array<double>, y int").repartition(5)
+    assert np.abs(quality.fit(learn, {0: 90, 1: 70}, np.zeros(3), np.ones(3)) - exact).max() < 1e-4
+
+
+def test_threshold_counts_every_label(spark):
+    rows = spark.range(30_001).select(F.expr("CAST(id * id AS DOUBLE)").alias("s"))
+    assert quality.quantile(rows, F.col("s"), 12_345) == (12_344.0 ** 2 + 12_345.0 ** 2) / 2
+    assert quality.quantile(rows, F.col("s"), 30_001) == 30_000.0 ** 2
+
+
 def test_language_on_held_out_rows(spark, duck):
     got = {r.doc_id: r for r in QUERIES["op8_language_id"](spark, SF01).collect()}
     rows = duck.sql("select doc_id, lang from documents").fetchall()
