@@ -1,12 +1,14 @@
 """FLT-6 by index: substring search that does not read the whole catalogue.
 
-The index holds a posting ``(gram, field, key)`` for every run of one, two or three
-characters of a product's name and description, in lower case, in folders by hash of
-the gram and sorted by gram, and the number of postings of each gram.  A term of up
-to three characters is a gram.  A longer one is looked up by its three-character
-grams, from the rarest on: the products that have all of the ``MOST_GRAMS`` rarest
-in one field are candidates, and only those are read and checked with the plain
-search.  Only the folders of the term's grams are read.
+The index holds a posting ``(gram, key, fields)`` for every run of three characters
+of a product's name and description, in lower case, and for the one or two characters
+that a text ends with; ``fields`` has the bit of the field that holds the gram.  The
+postings lie in folders by hash of the gram, sorted by gram, with the number of postings
+of each gram.  A term of up to three characters is the start of grams.  A longer one is
+looked up by its three-character grams, of which the ``MOST_GRAMS`` rarest are read: the
+products that have all of them in one field are candidates, and only those are read and
+checked with the plain search.  Only the folders of a longer term's grams are read; a
+shorter term skips the row groups whose grams begin otherwise.
 """
 
 from __future__ import annotations
@@ -21,15 +23,15 @@ MOST_GRAMS = 4          # that are intersected; more make the candidates few few
 SPREAD = 8              # files of a folder, by hash of the key
 
 
-def _grams(text: Column, least: int) -> Column:
-    """Distinct runs of ``least`` to ``LONGEST`` characters."""
-    chars = F.regexp_extract_all(F.lower(text), F.lit("(?s)."), F.lit(0))
+def _grams(text: Column, ends: bool) -> Column:
+    """Distinct runs of ``LONGEST`` characters; with ``ends``, the shorter runs at the end, too."""
+    chars = F.split(F.lower(text), "")
 
-    def runs(n: int) -> Column:
-        found = F.transform(F.sequence(F.lit(1), F.size(chars) - (n - 1)), lambda i: F.array_join(F.slice(chars, i, n), ""))
-        return F.when(F.size(chars) >= n, found).otherwise(F.array().cast("array<string>"))
+    def run(_: Column, i: Column) -> Column:
+        return F.concat(*[F.coalesce(F.get(chars, i + k), F.lit("")) for k in range(LONGEST)])
 
-    return F.array_distinct(F.concat(*[runs(n) for n in range(least, LONGEST + 1)]))
+    found = F.array_distinct(F.transform(chars, run))
+    return found if ends else F.filter(found, lambda g: F.char_length(g) == LONGEST)
 
 
 class TextIndex:
@@ -41,10 +43,13 @@ class TextIndex:
 
     def build(self, products: DataFrame, fields: tuple[str, ...] = ("name", "description")) -> None:
         """Write the index of ``products``, whose ``key`` tells them apart."""
-        cells = F.explode(F.array(*[F.struct(F.lit(i).alias("field"), F.coalesce(f, F.lit("")).alias("text")) for i, f in enumerate(fields)]))
-        rows = products.select(F.col(self.key).alias("key"), cells.alias("c")).select(
-            "key", F.col("c.field").alias("field"), F.explode(_grams(F.col("c.text"), 1)).alias("gram")).withColumn("part", self._part(F.col("gram")))
-        rows.repartition("part", F.pmod(F.xxhash64("key"), F.lit(SPREAD))).sortWithinPartitions("part", "gram", "field", "key") \
+        def postings(field: str, bit: int) -> Column:
+            return F.transform(_grams(F.coalesce(field, F.lit("")), ends=True), lambda g: F.struct(g.alias("gram"), F.lit(bit).alias("fields")))
+
+        cells = F.explode(F.concat(*[postings(f, 1 << i) for i, f in enumerate(fields)]))
+        rows = products.select(F.col(self.key).alias("key"), cells.alias("c")).filter("c.gram <> ''").select(
+            "key", F.col("c.gram").alias("gram"), F.col("c.fields").alias("fields")).withColumn("part", self._part(F.col("gram")))
+        rows.repartition("part", F.pmod(F.xxhash64("key"), F.lit(SPREAD))).sortWithinPartitions("part", "gram") \
             .write.partitionBy("part").parquet(f"{self.path}/postings")
         self.spark.read.parquet(f"{self.path}/postings").groupBy("part", "gram").agg(F.count(F.lit(1)).alias("n")) \
             .repartition("part").sortWithinPartitions("part", "gram").write.partitionBy("part").parquet(f"{self.path}/counts")
@@ -54,21 +59,28 @@ class TextIndex:
         return table.filter(F.col("part").isin(sorted(set(grams.values()))) & F.col("gram").isin(sorted(grams)))
 
     def _grams_of(self, term: str) -> dict[str, int]:
-        """Grams of a term, as the index lower-cases and cuts, and their folders."""
-        length = self.spark.range(1).select(F.char_length(F.lower(F.lit(term)))).first()[0]
-        found = self.spark.range(1).select(F.explode(_grams(F.lit(term), min(LONGEST, max(1, length)))).alias("gram"))
+        """Three-character grams of a term, as the index lower-cases and cuts, and their folders."""
+        found = self.spark.range(1).select(F.explode(_grams(F.lit(term), ends=False)).alias("gram"))
         return {r.gram: r.part for r in found.select("gram", self._part(F.col("gram")).alias("part")).collect()}
 
     def candidates(self, term: str) -> DataFrame:
         """Keys (``key``) of the products that can hold ``term``, once each."""
         grams = self._grams_of(term)
+        postings = "key long, gram string, fields int"
+        if not grams:       # a short term
+            table = self.spark.read.schema(f"{postings}, part int").parquet(f"{self.path}/postings")
+            start = self.spark.range(1).select(F.lower(F.lit(term))).first()[0]
+            return table.filter(F.col("gram").startswith(start)).select("key").distinct()
         counts = {r.gram: r.n for r in self._of("counts", "gram string, n long", grams).select("gram", "n").collect()}
         rarest = sorted(grams, key=lambda g: (counts.get(g, 0), g))[:MOST_GRAMS]
-        postings = [self._of("postings", "key long, field int, gram string", {g: grams[g]}).select("key", "field") for g in rarest]
-        found = postings[0]
-        for p in postings[1:]:
-            found = found.join(p, ["key", "field"], "left_semi")
-        return found.select("key").distinct()
+        read = self._of("postings", postings, {g: grams[g] for g in rarest})
+        if len(rarest) == 1:
+            return read.select("key").distinct()
+        having = [F.coalesce(F.bit_or(F.when(F.col("gram") == g, F.col("fields"))), F.lit(0)) for g in rarest]
+        everywhere = having[0]
+        for h in having[1:]:
+            everywhere = everywhere.bitwiseAND(h)
+        return read.groupBy("key").agg(everywhere.alias("_in")).filter("_in <> 0").select("key")
 
     def search(self, products: DataFrame, term: str | None) -> DataFrame:
         """:func:`~shelfwise.operators.catalog.search` over the indexed products."""

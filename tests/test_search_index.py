@@ -53,3 +53,12 @@ def test_only_the_folders_of_the_grams_are_read(spark, indexed):
     parts = set(index._grams_of("chair").values())
     assert re.search(r"PartitionFilters: \[part#\d+ IN \(|PartitionFilters: \[isnotnull\(part", plan)
     assert 0 < len(parts) < 8 and sorted(r.key for r in found.collect()) == [1, 8]
+
+
+def test_a_posting_for_each_place(spark, indexed):
+    index, products = indexed
+    postings = spark.read.parquet(f"{index.path}/postings")
+    # no more than characters: short terms are the starts of grams, not grams of their own
+    most = products.selectExpr("sum(coalesce(length(name), 0) + coalesce(length(description), 0))").first()[0]
+    assert 0 < postings.count() <= most
+    assert sorted(r.key for r in index.candidates("c").collect()) == ids(search(products, "c"))
