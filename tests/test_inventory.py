@@ -183,3 +183,49 @@ def test_rounds_may_be_limited(spark):
     assert {r.order_id for r in res.accepted.collect()} == sequential(stock, orders, items)[0]
     with pytest.raises(RuntimeError, match="did not finish in 1 rounds"):
         admit_orders(*_frames(spark, stock, orders, items), max_rounds=1)
+
+
+def test_rounds_one_by_one(spark, monkeypatch):
+    """Many undecided pairs: a table for each round, each pair decided in one; results stay."""
+    from shelfwise.operators import inventory
+    made = []
+
+    def keep(df, name):
+        made.append((name, written(df, name)))
+        return made[-1][1]
+
+    written = inventory.written
+    monkeypatch.setattr(inventory, "written", keep)
+    monkeypatch.setattr(inventory, "FEW", 60)
+    rnd = random.Random(5)
+    stock = {p: rnd.randint(0, 60) for p in range(10)}
+    orders = [(oid, rnd.randint(0, 40)) for oid in range(400)]
+    items = [(oid, rnd.randint(0, 10), rnd.randint(1, 5)) for oid, _ in orders[:390] for _ in range(rnd.randint(1, 3))]
+    exp_acc, exp_rej, exp_stock = sequential(stock, orders, items)
+    res = admit_orders(*_frames(spark, stock, orders, items))
+    assert sorted(r.order_id for r in res.accepted.collect()) == sorted(exp_acc)
+    assert sorted(r.order_id for r in res.rejected.collect()) == sorted(exp_rej)
+    assert {r.product_id: r.stock for r in res.closing_stock.collect()} == exp_stock
+    tables = [t for name, t in made if name == "admission-round"]
+    assert sum(t.filter("_v <> 'U'").count() for t in tables) == len({(o, p) for o, p, _ in items})
+    # what a round decided is not in the next round's table
+    assert tables[0].filter("_v = 'R'").join(tables[1], "order_id", "left_semi").count() == 0
+
+
+def test_placement_reads_the_requests_once(spark):
+    from shelfwise.operators.inventory import place_orders
+
+    seen = spark.sparkContext.accumulator(0)
+    rows = spark.range(60).selectExpr(
+        "id AS order_ref", "1L AS user_id", "array(struct(8L + id % 2 AS product_id, 2 AS quantity)) AS items",
+        "CAST(1 AS DECIMAL(10,2)) AS total_amount", "'pending' AS status", "timestamp_ntz'2024-01-01 00:00:00' AS created_at")
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    done = place_orders(seed_products(spark), spark.createDataFrame([(1,)], "id long"),
+                        rows.mapInArrow(count, rows.schema))
+    placed = done.orders.count()
+    assert placed + done.rejected.count() == 60 and done.items.count() == done.ledger.count() == placed > 0
+    assert seen.value == 60
