@@ -89,7 +89,10 @@ def drop_unread(docs: DataFrame, made: list[str]) -> None:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Spark deletes the shuffle files of finished steps when the driver's garbage
-    is collected, which may be hours away: have it collected now."""
+    is collected, which may be hours away: have it collected now.  The listener bus
+    keeps its last event, with the plan that has just ended, until another comes: a
+    query of one row sends some."""
+    spark.range(0, 1, 1, 1).collect()
     spark.sparkContext._jvm.System.gc()
 
 
