@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from shelfwise.llm.words import Block, hash_ranges, ngram_hashes
+from shelfwise.llm.words import NOT_SPACE, Block, hash_ranges, mix, ngram_hashes
 
 _byte = np.arange(256)
 #: ``[#*$%&|<>]``
@@ -15,6 +15,8 @@ LETTER = UPPER | ((_byte >= 0x61) & (_byte <= 0x7A)) | (_byte >= 0x80)
 STOP = np.isin(_byte, np.frombuffer(b".,;:!?", np.uint8))
 #: first bytes of characters (all but UTF-8 continuation bytes)
 FIRST = (_byte & 0xC0) != 0x80
+#: first bytes of characters of words (runs without white space)
+IN_WORD = FIRST & NOT_SPACE
 
 
 def per_text(mark: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -25,16 +27,18 @@ def per_text(mark: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _earlier(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which entries equal an earlier one of their text, and which any other."""
-    order = np.lexsort((np.arange(len(key)), key, doc))
-    same = np.zeros(len(key), dtype=bool)
-    same[1:] = (key[order][1:] == key[order][:-1]) & (doc[order][1:] == doc[order][:-1])
-    earlier = np.zeros(len(key), dtype=bool)
-    earlier[order] = same
-    either = same.copy()
-    either[:-1] |= same[1:]
-    other = np.zeros(len(key), dtype=bool)
-    other[order] = either
+    """Which entries equal an earlier one of their text, and which any other.
+    Keys are 64-bit hashes; the text's number is mixed into them."""
+    own = mix(key + mix(doc.astype(np.uint64)))
+    order = np.argsort(own)
+    own = own[order]
+    at = np.flatnonzero(np.append(True, own[1:] != own[:-1])[:len(own)])
+    earlier = np.ones(len(own), dtype=bool)
+    if len(at):
+        earlier[np.minimum.reduceat(order, at)] = False
+    size = np.diff(np.append(at, len(own)))
+    other = np.zeros(len(own), dtype=bool)
+    other[order] = np.repeat(size > 1, size)
     return earlier, other
 
 
@@ -52,18 +56,13 @@ def lines(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start[has], end[has], doc[has]
 
 
-def measure(b: Block) -> dict[str, np.ndarray]:
-    """Counts of each text: the base of the quality rules and some more."""
+def base(b: Block) -> dict[str, np.ndarray]:
+    """Counts of each text: the base of the quality rules."""
     n = np.diff(b.first)
     doc = b.doc_of_word()
-    inside = np.zeros(len(b.buf) + 1, dtype=np.int8)
-    inside[b.start] += 1
-    inside[b.end] -= 1
-    inside = np.cumsum(inside[:-1]).astype(bool)
-    out = {"n_words": n, "word_chars": per_text(FIRST[b.buf] & inside, b.offsets),
+    out = {"n_words": n, "word_chars": per_text(IN_WORD[b.buf], b.offsets),
            "n_symbols": per_text(SYMBOL[b.buf], b.offsets)}
     s, e, owner = lines(b)
-    out["n_lines"] = np.bincount(owner, minlength=b.n_docs)
     out["n_dup_lines"] = np.bincount(owner[_earlier(hash_ranges(b.buf, s, e), owner)[0]], minlength=b.n_docs)
     h, at = b.hashes(), b.window_starts(3)
     again = np.zeros(len(h) + 2, dtype=bool)
@@ -72,6 +71,14 @@ def measure(b: Block) -> dict[str, np.ndarray]:
         for k in range(3):
             again[found + k] = True
     out["n_repeat_words"] = per_text(again[:len(h)], b.first)
+    return out
+
+
+def measure(b: Block) -> dict[str, np.ndarray]:
+    """Counts of each text: the base of the quality rules and some more."""
+    out = base(b)
+    n, doc, h = out["n_words"], b.doc_of_word(), b.hashes()
+    out["n_lines"] = np.bincount(lines(b)[2], minlength=b.n_docs)
     out["n_distinct"] = n - per_text(_earlier(h, doc)[0], b.first)
     echo = np.zeros(len(h), dtype=bool)
     echo[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])

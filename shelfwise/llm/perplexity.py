@@ -9,7 +9,8 @@ with another, and the model grows with the corpus.
 A pair counts as often as different words stand before it (its continuation count
 in a model of three words), so that copies of a passage count once.
 
-1. Texts are written once, in blocks of some megabytes.  A block is one row and carries
+1. Texts are read once, in blocks of some megabytes.  A block is written as one row: its
+   distinct words by hash, the texts as numbers of these, and the base counts.  It carries
    its name, so that any later split of the table, on any number of cores, finds it.
 2. Each block sends its distinct pairs with the words before them (32 bits of
    their hash), in arrays sorted by hash, to the buckets of a hash partitioning.
@@ -53,7 +54,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.common import drop, filesystem, free_shuffles, scratch_path, shuffle_partitions, stored
-from shelfwise.llm.measures import measure
+from shelfwise.llm.measures import base
 from shelfwise.llm.words import LOWER, NOT_SPACE, Block, blocks, hash_ranges, mix, split_words
 from shelfwise.session import drop_path
 
@@ -61,7 +62,7 @@ NO_LANGUAGE = "no language"
 FLOOR = 0.1              # least discount, so that unseen n-grams keep a probability
 BELOW, ABOVE = 6.0, 6.0  # widths of the band
 PASSES = 6               # over the pairs, a part of their hashes each
-WORD_PASSES = 3          # over the words: one took over 2 x the input of disk
+WORD_PASSES = 2          # over the words: with two their steps take as much disk as those of the pairs
 BLOCK = 8 << 20          # bytes of text in a block
 BUCKET = 16 << 20        # bytes of text for each bucket of hashes
 STEP = 1000              # bins of log-perplexity per unit, for medians and quartiles
@@ -90,35 +91,59 @@ def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct values, ascending, a place of each, and each entry's number among them
     (``np.unique`` sorts more slowly, to give the first place)."""
     order = np.argsort(x)
-    new = np.append(True, x[order][1:] != x[order][:-1])[:len(x)]
-    number = np.empty(len(x), dtype=np.int64)
-    number[order] = np.cumsum(new) - 1
-    return x[order[new]], order[new], number
+    x = x[order]
+    new = np.append(True, x[1:] != x[:-1])[:len(x)]
+    number = np.empty(len(x), dtype=np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - 1
+    return x[new], order[new], number
 
 
 class Pairs:
-    """A block's words and pairs in order; after :meth:`distinct` also its different words
-    (``words``) and pairs (``grams``)."""
+    """A block's different words (``words``, by hash), its texts as numbers of these (``code``),
+    and its pairs in order; after :meth:`distinct` also its different pairs (``grams``)."""
 
     def __init__(self, b: Block, langs: list[str]):
         single = _single(b.buf)
-        start, end, _ = split_words(b.buf, np.unique(np.concatenate([b.offsets, single, single + 3])), NOT_SPACE)
-        first = np.searchsorted(start, b.offsets)
-        doc = np.repeat(np.arange(b.n_docs), np.diff(first))
+        start, end, first = b.start, b.end, b.first
+        if len(single):
+            start, end, _ = split_words(b.buf, np.unique(np.concatenate([b.offsets, single, single + 3])), NOT_SPACE)
+            first = np.searchsorted(start, b.offsets)
+        self.sizes = np.diff(first)
         salt = {x: _language(x) for x in set(langs)}
-        lang = np.array([salt[x] for x in langs], dtype=np.uint64)
-        h = mix(hash_ranges(LOWER[b.buf], start, end) + mix(lang)[doc])
-        at = np.flatnonzero(doc[:-1] == doc[1:])
-        self.doc, self._at, self._h, self._lang = doc[at], at, h, lang[doc]
-        self.hash = mix(h[at] * np.uint64(0xC2B2AE3D27D4EB4F) + h[at + 1])
-        self.before = np.where((at > 0) & (doc[at - 1] == doc[at]), h[at - 1] >> np.uint64(32), 0).astype(np.uint32)
-
-    def distinct(self) -> None:
-        """``words`` and their languages, ``grams`` and the words of each."""
-        self.words, first, place = _distinct(self._h)
-        self.lang = self._lang[first]
-        self.grams, first, self.inverse = _distinct(self.hash)
-        self.g_left, self.g_right = place[self._at[first]], place[self._at[first] + 1]
+        lang = np.repeat(np.array([salt[x] for x in langs], dtype=np.uint64), self.sizes)
+        self.words, first, self.code = _distinct(mix(hash_ranges(LOWER[b.buf], start, end) + mix(lang)))
+        self.lang = lang[first]
+        self._link()
+
+    @classmethod
+    def of(cls, words: np.ndarray, lang: np.ndarray, code: np.ndarray, sizes: np.ndarray) -> Pairs:
+        """The same from what was written."""
+        p = cls.__new__(cls)
+        p.words, p.lang, p.code, p.sizes = words, lang, code, sizes
+        p._link()
+        return p
+
+    def _link(self) -> None:
+        self._doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        self._at = np.flatnonzero(self._doc[:-1] == self._doc[1:])
+        h = self.words[self.code]
+        self.hash = mix(h[self._at] * np.uint64(0xC2B2AE3D27D4EB4F) + h[self._at + 1])
+
+    @property
+    def doc(self) -> np.ndarray:
+        return self._doc[self._at]
+
+    def before(self, pairs: np.ndarray) -> np.ndarray:
+        """32 bits of the word before each of these pairs, 0 at the start of a text."""
+        at = self._at[pairs]
+        h = self.words[self.code[at - 1]]
+        return np.where((at > 0) & (self._doc[at - 1] == self._doc[at]), h >> np.uint64(32), 0).astype(np.uint32)
+
+    def distinct(self) -> np.ndarray:
+        """``grams`` and the words of each; returns each pair's number among them."""
+        self.grams, first, number = _distinct(self.hash)
+        self.g_left, self.g_right = self.code[self._at[first]], self.code[self._at[first] + 1]
+        return number
 
 
 def _parts(keys: np.ndarray, buckets: int):
@@ -128,49 +153,57 @@ def _parts(keys: np.ndarray, buckets: int):
     return zip(own[cut].astype(int).tolist(), cut.tolist(), [*cut[1:].tolist(), len(own)])
 
 
-_TEXTS = "task int, block int, text array<string>, lang array<string>, doc_id array<long>"
+def _planes(values: np.ndarray, kind: type = np.uint64) -> bytes:
+    """Numbers by column, and the bytes of a column by place: most are zero, in a row."""
+    flat = np.ascontiguousarray(values.T).astype(kind).reshape(-1)
+    return flat.view(np.uint8).reshape(-1, flat.itemsize).T.tobytes()
+
+
+def _rising(keys: np.ndarray) -> bytes:
+    """Ascending keys as their differences, whose highest bytes are zero."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _numbers(data: bytes, columns: int = 1, kind: type = np.uint64) -> np.ndarray:
+    """What :func:`_planes` wrote, a row for each entry."""
+    flat = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(columns, -1)
+    return flat.T if columns > 1 else flat[0]
+
+
+_BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+_CODED = ("words", "langs", "names", "codes", "sizes")       # what the model reads of a block
+_BLOCKS = "task int, block int, doc_id array<long>, lang array<string>, base binary, " + ", ".join(f"{c} binary" for c in _CODED)
 
 
 def _to_blocks(batches):
-    """A row for each block of (text, lang, doc_id): its name and its texts."""
+    """A row for each block of (text, lang, doc_id): its name, its texts in numbers, their base counts."""
     task, n = TaskContext.get().partitionId(), 0
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         own = ends // BLOCK
         cut = np.flatnonzero(np.append(True, own[1:] != own[:-1])).tolist() if len(own) else []
-        if cut:
-            offsets = pa.array([*cut, batch.num_rows], pa.int32())
+        for i, j in zip(cut, [*cut[1:], batch.num_rows]):
+            text, lang, ids = (c.slice(i, j - i) for c in batch.columns)
+            b = next(blocks(text, limit=1 << 62))
+            counts, p = base(b), Pairs(b, lang.to_pylist())
+            names, number = np.unique(p.lang, return_inverse=True)
+            data = [_planes(np.stack([counts[c] for c in _BASE], axis=1)), _rising(p.words), _planes(number, np.uint32), names.tobytes(),
+                    _planes(p.code, np.uint32), _planes(p.sizes)]
+            all_rows = pa.array([0, j - i], pa.int32())
             yield pa.record_batch([
-                pa.array([task] * len(cut), pa.int32()), pa.array(range(n, n + len(cut)), pa.int32()),
-                *[pa.ListArray.from_arrays(offsets, c) for c in batch.columns]], names=["task", "block", "text", "lang", "doc_id"])
-            n += len(cut)
+                pa.array([task], pa.int32()), pa.array([n], pa.int32()), *[pa.ListArray.from_arrays(all_rows, c) for c in (ids, lang)],
+                *[pa.array([x], pa.binary()) for x in data]], names=["task", "block", "doc_id", "lang", "base", *_CODED])
+            n += 1
 
 
 def _read_blocks(batches):
-    """(task, block, ids where they were read, languages, texts, pairs) of each block."""
+    """(task, block, pairs, the batch and the row in it) of each block."""
     for batch in batches:
         for k, (task, block) in enumerate(zip(batch["task"].to_pylist(), batch["block"].to_pylist())):
-            ids = batch["doc_id"][k].values if "doc_id" in batch.schema.names else None
-            langs = batch["lang"][k].values
-            b = next(blocks(batch["text"][k].values, limit=1 << 62))
-            yield task, block, ids, langs, b, Pairs(b, langs.to_pylist())
-
-
-def _planes(values: np.ndarray) -> bytes:
-    """Numbers by column, and the bytes of a column by place: most are zero, in a row."""
-    flat = np.ascontiguousarray(values.T).astype(np.uint64).reshape(-1)
-    return flat.view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def _rising(keys: np.ndarray) -> bytes:
-    """Ascending keys as their differences, whose highest bytes are zero."""
-    return _planes(np.diff(keys, prepend=np.uint64(0)))
-
-
-def _numbers(data: bytes, columns: int = 1) -> np.ndarray:
-    """What :func:`_planes` wrote, a row for each entry."""
-    flat = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).reshape(columns, -1)
-    return flat.T if columns > 1 else flat[0]
+            words, langs, names, codes, sizes = (batch[c][k].as_buffer() for c in _CODED)
+            yield task, block, Pairs.of(
+                np.cumsum(_numbers(words), dtype=np.uint64), np.frombuffer(names, np.uint64)[_numbers(langs, 1, np.uint32)],
+                _numbers(codes, 1, np.uint32), _numbers(sizes).astype(np.int64)), batch, k
 
 
 _ASKED = "bucket int, task int, block int, keys binary, a binary"
@@ -182,11 +215,12 @@ def _ask_pairs(part: int, passes: int, buckets: int):
     schema = pa.schema([("bucket", pa.int32()), ("task", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("a", pa.binary())])
 
     def run(batches):
-        for task, n, _, _, _, p in _read_blocks(batches):
+        for task, n, p, _, _ in _read_blocks(batches):
             mine = np.flatnonzero(p.hash % np.uint64(passes) == part)
-            at = mine[_distinct(mix(p.hash[mine] + p.before[mine]))[1]]
-            at = at[np.argsort(p.hash[at])]
-            keys, before = p.hash[at], p.before[at]
+            keys, before = p.hash[mine], p.before(mine)
+            at = _distinct(mix(keys + before))[1]
+            at = at[np.argsort(keys[at])]
+            keys, before = keys[at], before[at]
             rows = [(k, task, n, _rising(keys[i:j]), before[i:j].tobytes()) for k, i, j in _parts(keys, buckets)]
             if rows:
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), schema.types)], schema=schema)
@@ -217,8 +251,6 @@ def _answer_pairs(part: int):
         count = np.bincount((entries >> np.uint64(32)).astype(np.int64)).astype(np.uint64)
         once = np.append(True, place[1:] != place[:-1])     # a row is sorted: each of its pairs is answered once
         once[cut[:-1]] = True
-        once = np.append(True, place[1:] != place[:-1])     # a row is sorted: each of its pairs is answered once
-        once[cut[:-1]] = True
         total = count[place] << np.uint64(1)
         owner = np.empty(len(count), dtype=np.int64)
         owner[place[once]] = np.flatnonzero(once)
@@ -246,7 +278,6 @@ def _read_answers(path: str, task: int, block: int, columns: int = 1) -> np.ndar
 
 def _pair_counts(paths: list[str], task: int, block: int, p: Pairs) -> tuple[np.ndarray, np.ndarray]:
     """Counts over all texts of a block's distinct pairs, and which it owns."""
-    p.distinct()
     got = np.zeros(len(p.grams), dtype=np.uint64)
     part = p.grams % np.uint64(len(paths))
     for k, path in enumerate(paths):
@@ -265,9 +296,10 @@ def _ask_words(part: int, parts: int, paths: list[str], buckets: int):
     schema = pa.schema(list(zip(("bucket", "task", "block", "keys", "a", "langs", "names", "n"), types)))
 
     def run(batches):
-        for task, n, _, _, _, p in _read_blocks(batches):
+        for task, n, p, _, _ in _read_blocks(batches):
             if not len(p.hash):
                 continue
+            p.distinct()
             c, own = _pair_counts(paths, task, n, p)
             size, kind = len(p.words), np.minimum(c, 3)
             mine = p.words % np.uint64(parts) == part
@@ -324,7 +356,7 @@ class Model:
     def __init__(self, texts: DataFrame, size: int, passes: int = PASSES):
         spark = texts.sparkSession
         buckets = max(shuffle_partitions(spark), size // BUCKET)
-        texts = texts.select("task", "block", "text", "lang")
+        texts = texts.select("task", "block", *_CODED)
         self.pairs = [_written(texts.mapInArrow(_ask_pairs(k, passes, buckets), _ASKED).groupBy("bucket").applyInArrow(
             _answer_pairs(k), _ANSWER), "pairs") for k in range(passes)]
         self.words = [_written(texts.mapInArrow(_ask_words(k, WORD_PASSES, self.pairs, buckets), _STATS).groupBy("bucket").applyInArrow(
@@ -339,6 +371,7 @@ class Model:
         """-log P(right word | left word) of each pair of a block, in order of the text."""
         if not len(p.hash):
             return np.zeros(0)
+        inverse = p.distinct()
         c, _ = _pair_counts(self.pairs, task, block, p)
         w, part = np.zeros((len(p.words), _WORD)), p.words % np.uint64(len(self.words))
         for k, path in enumerate(self.words):
@@ -354,7 +387,7 @@ class Model:
         single = (w[:, 4] - d1[at, np.minimum(w[:, 4], 3).astype(int)]) / total + rest / np.maximum(size, 1)
         free = (w[:, 1:4] * d2[:, 1:]).sum(axis=1)
         a, z = p.g_left, p.g_right
-        return -np.log((c - d2[a, np.minimum(c, 3)] + free[a] * single[z]) / w[a, 0])[p.inverse]
+        return -np.log((c - d2[a, np.minimum(c, 3)] + free[a] * single[z]) / w[a, 0])[inverse]
 
 
 _SCORED = ("doc_id long, model string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
@@ -363,16 +396,15 @@ _SCORED = ("doc_id long, model string, n_words long, word_chars long, n_symbols
 
 def _score(shared):
     schema = pa.schema([("doc_id", pa.int64()), ("model", pa.string()), *[(c, pa.int64()) for c in
-                       ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], ("log_perplexity", pa.float64())])
+                       _BASE], ("log_perplexity", pa.float64())])
 
     def run(batches):
-        for task, k, ids, langs, block, p in _read_blocks(batches):
-            total = np.bincount(p.doc, shared.value.loss(task, k, p), minlength=block.n_docs)
-            n = np.bincount(p.doc, minlength=block.n_docs)
-            m = measure(block)
+        for task, block, p, batch, k in _read_blocks(batches):
+            total = np.bincount(p.doc, shared.value.loss(task, block, p), minlength=len(p.sizes))
+            n = np.bincount(p.doc, minlength=len(p.sizes))
             yield pa.record_batch([
-                ids, langs,
-                *[pa.array(m[c].astype(np.int64)) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+                batch["doc_id"][k].values, batch["lang"][k].values,
+                *[pa.array(x) for x in _numbers(batch["base"][k].as_py(), len(_BASE)).T.astype(np.int64)],
                 pa.array(total / np.maximum(n, 1), mask=n == 0)], schema=schema)
     return run
 
@@ -385,7 +417,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                        F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(NO_LANGUAGE)).alias("lang"),
                        F.col(f"`{id_col}`").cast("long").alias("doc_id"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    texts = stored(rows.mapInArrow(_to_blocks, _TEXTS), "texts")
+    texts = stored(rows.mapInArrow(_to_blocks, _BLOCKS), "texts")
     model = Model(texts, size, passes)
     shared = docs.sparkSession.sparkContext.broadcast(model)        # paths, and some numbers a language
     scored = stored(texts.mapInArrow(_score(shared), _SCORED), "perplexity")

@@ -143,3 +143,22 @@ def test_every_language_has_its_own_model(spark):
         mine = sorted((r.doc_id, r.log_perplexity) for r in got if r.model == f"l{k}")
         want = _word_model([t for _, t, x in rows if x == f"l{k}"])
         assert np.allclose([x for _, x in mine], want)
+
+
+def test_pairs_come_back_from_written_blocks(spark, monkeypatch):
+    """Texts are split and hashed once: what is written of a block gives the pairs of its texts."""
+    texts = ["Der the кот x&&& the кот", None, "", "我们 are 猫 cats", "one", "the кот the кот the"] * 3
+    langs = ["en", "fr", "en", "zh", "fr", "fr"] * 3
+    df = spark.createDataFrame([(t, x, i) for i, (t, x) in enumerate(zip(texts, langs))], "text string, lang string, doc_id long")
+    monkeypatch.setattr(P, "BLOCK", 64)
+    rows = df.coalesce(1).mapInArrow(P._to_blocks, P._BLOCKS).toArrow()
+    assert "text" not in rows.column_names
+    for _, _, p, batch, k in P._read_blocks(rows.to_batches()):
+        ids = batch["doc_id"][k].as_py()
+        want = P.Pairs(next(blocks(pa.array([texts[i] for i in ids], pa.string()), limit=1 << 62)), [langs[i] for i in ids])
+        for name in ("words", "lang", "code", "sizes", "doc", "hash"):
+            assert getattr(p, name).tolist() == getattr(want, name).tolist()
+        every = np.arange(len(p.hash))
+        assert p.before(every).tolist() == want.before(every).tolist()
+        counts = P._numbers(batch["base"][k].as_py(), len(P._BASE)).tolist()
+        assert [tuple(c) for c in np.array(counts).reshape(-1, len(P._BASE)).tolist()] == [base(texts[i]) for i in ids]
