@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from shelfwise.llm.words import NOT_SPACE, Block, hash_ranges, mix, ngram_hashes
+from shelfwise.llm.words import NOT_SPACE, Block, hash_ranges, mix, ngram_hashes, sorting
 
 _byte = np.arange(256)
 #: ``[#*$%&|<>]``
@@ -30,12 +30,11 @@ def _earlier(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which entries equal an earlier one of their text, and which any other.
     Keys are 64-bit hashes; the text's number is mixed into them."""
     own = mix(key + mix(doc.astype(np.uint64)))
-    order = np.argsort(own)
+    order = sorting(own)
     own = own[order]
     at = np.flatnonzero(np.append(True, own[1:] != own[:-1])[:len(own)])
     earlier = np.ones(len(own), dtype=bool)
-    if len(at):
-        earlier[np.minimum.reduceat(order, at)] = False
+    earlier[order[at]] = False
     size = np.diff(np.append(at, len(own)))
     other = np.zeros(len(own), dtype=bool)
     other[order] = np.repeat(size > 1, size)

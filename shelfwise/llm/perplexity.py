@@ -10,8 +10,8 @@ A pair counts as often as different words stand before it (its continuation coun
 in a model of three words), so that copies of a passage count once.
 
 1. Texts are read once, in blocks of some megabytes.  A block is written as one row: its
-   distinct words by hash, the texts as numbers of these, and the base counts.  It carries
-   its name, so that any later split of the table, on any number of cores, finds it.
+   distinct words, frequent ones first, the texts as numbers of these, and the base counts.  It
+   carries its name, so that any later split of the table, on any number of cores, finds it.
 2. Each block sends its distinct pairs with the words before them (32 bits of
    their hash), in arrays sorted by hash, to the buckets of a hash partitioning.
    A bucket counts and answers every block with the counts over all texts; one
@@ -55,7 +55,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.llm.common import drop, filesystem, free_shuffles, scratch_path, shuffle_partitions, stored
 from shelfwise.llm.measures import base
-from shelfwise.llm.words import LOWER, NOT_SPACE, Block, blocks, hash_ranges, mix, split_words
+from shelfwise.llm.words import LOWER, NOT_SPACE, Block, blocks, hash_ranges, mix, sorting, split_words
 from shelfwise.session import drop_path
 
 NO_LANGUAGE = "no language"
@@ -64,6 +64,8 @@ BELOW, ABOVE = 6.0, 6.0  # widths of the band
 PASSES = 6               # over the pairs, a part of their hashes each
 WORD_PASSES = 2          # over the words: with two their steps take as much disk as those of the pairs
 BLOCK = 8 << 20          # bytes of text in a block
+CHUNK = 256 << 10        # bytes of text split and hashed at once, so that a core's cache holds them
+LINK = 1 << 15           # words whose pairs are hashed at once, likewise
 BUCKET = 16 << 20        # bytes of text for each bucket of hashes
 STEP = 1000              # bins of log-perplexity per unit, for medians and quartiles
 
@@ -87,34 +89,68 @@ def _language(name: str) -> int:
     return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little")
 
 
+def _new(x: np.ndarray) -> np.ndarray:
+    """Which of sorted values differ from the one before."""
+    new = np.ones(len(x), dtype=bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return new
+
+
 def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct values, ascending, a place of each, and each entry's number among them
-    (``np.unique`` sorts more slowly, to give the first place)."""
-    order = np.argsort(x)
+    """Distinct values, ascending, the first place of each, and each entry's number among them."""
+    order = sorting(x)
     x = x[order]
-    new = np.append(True, x[1:] != x[:-1])[:len(x)]
+    new = _new(x)
     number = np.empty(len(x), dtype=np.int32)
     number[order] = np.cumsum(new, dtype=np.int32) - 1
     return x[new], order[new], number
 
 
+def _hashes(b: Block, langs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each word, with its language mixed in, and words and language of each text."""
+    single = _single(b.buf)
+    start, end, first = b.start, b.end, b.first
+    if len(single):
+        start, end, _ = split_words(b.buf, np.unique(np.concatenate([b.offsets, single, single + 3])), NOT_SPACE)
+        first = np.searchsorted(start, b.offsets)
+    sizes = np.diff(first)
+    salt = {x: _language(x) for x in set(langs)}
+    lang = np.array([salt[x] for x in langs], dtype=np.uint64)
+    return mix(hash_ranges(LOWER[b.buf], start, end) + np.repeat(mix(lang), sizes)), sizes, lang
+
+
 class Pairs:
-    """A block's different words (``words``, by hash), its texts as numbers of these (``code``),
-    and its pairs in order; after :meth:`distinct` also its different pairs (``grams``)."""
+    """A block's different words (``words``), its texts as numbers of these (``code``), and its
+    pairs in order; after :meth:`distinct` also its different pairs (``grams``).  Frequent words
+    come first, by the powers of two of their number, so that most numbers are small; then by hash."""
 
     def __init__(self, b: Block, langs: list[str]):
-        single = _single(b.buf)
-        start, end, first = b.start, b.end, b.first
-        if len(single):
-            start, end, _ = split_words(b.buf, np.unique(np.concatenate([b.offsets, single, single + 3])), NOT_SPACE)
-            first = np.searchsorted(start, b.offsets)
-        self.sizes = np.diff(first)
-        salt = {x: _language(x) for x in set(langs)}
-        lang = np.repeat(np.array([salt[x] for x in langs], dtype=np.uint64), self.sizes)
-        self.words, first, self.code = _distinct(mix(hash_ranges(LOWER[b.buf], start, end) + mix(lang)))
-        self.lang = lang[first]
+        self._number([_hashes(b, langs)])
         self._link()
 
+    def _number(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        """Number the words of the texts of which :func:`_hashes` gave the parts."""
+        h, self.sizes, langs = (np.concatenate(x) for x in zip(*parts))
+        order = sorting(h)
+        h = h[order]
+        new = _new(h)
+        at = np.flatnonzero(new)
+        often = np.frexp(np.diff(at, append=len(h)))[1].astype(np.int8)
+        rank = np.argsort(-often, kind="stable")
+        place = np.empty(len(at), dtype=np.uint32)
+        place[rank] = np.arange(len(at), dtype=np.uint32)
+        self.words = h[at[rank]]
+        self.lang = langs[np.searchsorted(np.cumsum(self.sizes), order[at[rank]], side="right")]
+        self.code = np.empty(len(h), dtype=np.uint32)
+        self.code[order] = np.repeat(place, np.diff(at, append=len(h)))
+
+    @classmethod
+    def joined(cls, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Pairs:
+        """The words of consecutive texts, without their pairs."""
+        p = cls.__new__(cls)
+        p._number(parts)
+        return p
+
     @classmethod
     def of(cls, words: np.ndarray, lang: np.ndarray, code: np.ndarray, sizes: np.ndarray) -> Pairs:
         """The same from what was written."""
@@ -124,25 +160,35 @@ class Pairs:
         return p
 
     def _link(self) -> None:
-        self._doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
-        self._at = np.flatnonzero(self._doc[:-1] == self._doc[1:])
-        h = self.words[self.code]
-        self.hash = mix(h[self._at] * np.uint64(0xC2B2AE3D27D4EB4F) + h[self._at + 1])
+        self._follows = np.ones(len(self.code), dtype=bool)        # another word of its text
+        first = np.cumsum(self.sizes) - self.sizes
+        self._follows[first[self.sizes > 0]] = False
+        self._at = np.flatnonzero(self._follows[1:])
+        self.hash = np.empty(len(self._at), dtype=np.uint64)
+        done = 0
+        for i in range(0, len(self.code) - 1, LINK):
+            h = self.words[self.code[i:i + LINK + 1]]
+            x = h[:-1] * np.uint64(0xC2B2AE3D27D4EB4F)
+            x += h[1:]
+            x = mix(x[self._follows[i + 1:i + LINK + 1]])
+            self.hash[done:done + len(x)] = x
+            done += len(x)
 
     @property
     def doc(self) -> np.ndarray:
-        return self._doc[self._at]
+        return np.repeat(np.arange(len(self.sizes)), np.maximum(self.sizes - 1, 0))
 
     def before(self, pairs: np.ndarray) -> np.ndarray:
         """32 bits of the word before each of these pairs, 0 at the start of a text."""
         at = self._at[pairs]
         h = self.words[self.code[at - 1]]
-        return np.where((at > 0) & (self._doc[at - 1] == self._doc[at]), h >> np.uint64(32), 0).astype(np.uint32)
+        return np.where(self._follows[at], h >> np.uint64(32), 0).astype(np.uint32)
 
     def distinct(self) -> np.ndarray:
         """``grams`` and the words of each; returns each pair's number among them."""
         self.grams, first, number = _distinct(self.hash)
-        self.g_left, self.g_right = self.code[self._at[first]], self.code[self._at[first] + 1]
+        first = self._at[first]
+        self.g_left, self.g_right = self.code[first], self.code[first + 1]
         return number
 
 
@@ -153,10 +199,14 @@ def _parts(keys: np.ndarray, buckets: int):
     return zip(own[cut].astype(int).tolist(), cut.tolist(), [*cut[1:].tolist(), len(own)])
 
 
-def _planes(values: np.ndarray, kind: type = np.uint64) -> bytes:
-    """Numbers by column, and the bytes of a column by place: most are zero, in a row."""
-    flat = np.ascontiguousarray(values.T).astype(kind).reshape(-1)
-    return flat.view(np.uint8).reshape(-1, flat.itemsize).T.tobytes()
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers by column, and the bytes of a column by place, as many as the largest has, compressed."""
+    flat = np.ascontiguousarray(values.T).reshape(-1)
+    width = (int(flat.max()).bit_length() + 7) // 8 if len(flat) else 0
+    data = np.empty((width, len(flat)), dtype=np.uint8)
+    for k in range(width):
+        data[k] = flat >> flat.dtype.type(8 * k)        # the lowest byte of what is left
+    return width.to_bytes(1, "little") + len(flat).to_bytes(8, "little") + _ZSTD.compress(data, asbytes=True)
 
 
 def _rising(keys: np.ndarray) -> bytes:
@@ -164,12 +214,19 @@ def _rising(keys: np.ndarray) -> bytes:
     return _planes(np.diff(keys, prepend=np.uint64(0)))
 
 
-def _numbers(data: bytes, columns: int = 1, kind: type = np.uint64) -> np.ndarray:
+def _numbers(data: bytes | pa.Buffer, columns: int = 1, kind: type = np.uint64) -> np.ndarray:
     """What :func:`_planes` wrote, a row for each entry."""
-    flat = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(columns, -1)
+    data = memoryview(data)
+    width, n = data[0], int.from_bytes(data[1:9], "little")
+    planes = np.frombuffer(_ZSTD.decompress(data[9:], width * n), np.uint8).reshape(width, n)
+    flat = np.zeros(n, dtype=kind)
+    for k in range(width):
+        flat |= planes[k].astype(kind) << kind(8 * k)
+    flat = flat.reshape(columns, -1)
     return flat.T if columns > 1 else flat[0]
 
 
+_ZSTD = pa.Codec("zstd", compression_level=1)
 _BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _CODED = ("words", "langs", "names", "codes", "sizes")       # what the model reads of a block
 _BLOCKS = "task int, block int, doc_id array<long>, lang array<string>, base binary, " + ", ".join(f"{c} binary" for c in _CODED)
@@ -184,11 +241,14 @@ def _to_blocks(batches):
         cut = np.flatnonzero(np.append(True, own[1:] != own[:-1])).tolist() if len(own) else []
         for i, j in zip(cut, [*cut[1:], batch.num_rows]):
             text, lang, ids = (c.slice(i, j - i) for c in batch.columns)
-            b = next(blocks(text, limit=1 << 62))
-            counts, p = base(b), Pairs(b, lang.to_pylist())
+            names, counts, parts = lang.to_pylist(), [], []
+            for b in blocks(text, limit=CHUNK):
+                found = base(b)
+                counts.append(np.stack([found[c] for c in _BASE], axis=1))
+                parts.append(_hashes(b, names[b.row:b.row + b.n_docs]))
+            p = Pairs.joined(parts)
             names, number = np.unique(p.lang, return_inverse=True)
-            data = [_planes(np.stack([counts[c] for c in _BASE], axis=1)), _rising(p.words), _planes(number, np.uint32), names.tobytes(),
-                    _planes(p.code, np.uint32), _planes(p.sizes)]
+            data = [_planes(np.concatenate(counts)), _rising(p.words), _planes(number), names.tobytes(), _planes(p.code), _planes(p.sizes)]
             all_rows = pa.array([0, j - i], pa.int32())
             yield pa.record_batch([
                 pa.array([task], pa.int32()), pa.array([n], pa.int32()), *[pa.ListArray.from_arrays(all_rows, c) for c in (ids, lang)],
@@ -202,7 +262,7 @@ def _read_blocks(batches):
         for k, (task, block) in enumerate(zip(batch["task"].to_pylist(), batch["block"].to_pylist())):
             words, langs, names, codes, sizes = (batch[c][k].as_buffer() for c in _CODED)
             yield task, block, Pairs.of(
-                np.cumsum(_numbers(words), dtype=np.uint64), np.frombuffer(names, np.uint64)[_numbers(langs, 1, np.uint32)],
+                np.cumsum(_numbers(words), dtype=np.uint64), np.frombuffer(names, np.uint64)[_numbers(langs)],
                 _numbers(codes, 1, np.uint32), _numbers(sizes).astype(np.int64)), batch, k
 
 
@@ -218,8 +278,10 @@ def _ask_pairs(part: int, passes: int, buckets: int):
         for task, n, p, _, _ in _read_blocks(batches):
             mine = np.flatnonzero(p.hash % np.uint64(passes) == part)
             keys, before = p.hash[mine], p.before(mine)
-            at = _distinct(mix(keys + before))[1]
-            at = at[np.argsort(keys[at])]
+            own = mix(keys + before)
+            at = sorting(own)
+            at = at[_new(own[at])]
+            at = at[sorting(keys[at])]
             keys, before = keys[at], before[at]
             rows = [(k, task, n, _rising(keys[i:j]), before[i:j].tobytes()) for k, i, j in _parts(keys, buckets)]
             if rows:
@@ -247,8 +309,8 @@ def _answer_pairs(part: int):
     def run(table: pa.Table) -> pa.Table:
         _, place, cut = _gathered(table)
         before = np.concatenate([np.frombuffer(x, np.uint32) for x in table["a"].to_pylist()])
-        entries = np.unique((place.astype(np.uint64) << np.uint64(32)) | before)
-        count = np.bincount((entries >> np.uint64(32)).astype(np.int64)).astype(np.uint64)
+        entries = np.sort((place.astype(np.uint64) << np.uint64(32)) | before)
+        count = np.bincount((entries[_new(entries)] >> np.uint64(32)).astype(np.int64)).astype(np.uint64)
         once = np.append(True, place[1:] != place[:-1])     # a row is sorted: each of its pairs is answered once
         once[cut[:-1]] = True
         total = count[place] << np.uint64(1)
@@ -302,7 +364,8 @@ def _ask_words(part: int, parts: int, paths: list[str], buckets: int):
             p.distinct()
             c, own = _pair_counts(paths, task, n, p)
             size, kind = len(p.words), np.minimum(c, 3)
-            mine = p.words % np.uint64(parts) == part
+            mine = sorting(p.words)
+            mine = mine[p.words[mine] % np.uint64(parts) == part]
             value = np.stack([np.bincount(p.g_left[own], c[own], minlength=size),
                               *[np.bincount(p.g_left[own & (kind == k)], minlength=size) for k in (1, 2, 3)],
                               np.bincount(p.g_right[own], minlength=size)], axis=1).astype(np.uint64)[mine]
@@ -373,10 +436,11 @@ class Model:
             return np.zeros(0)
         inverse = p.distinct()
         c, _ = _pair_counts(self.pairs, task, block, p)
-        w, part = np.zeros((len(p.words), _WORD)), p.words % np.uint64(len(self.words))
+        w, order = np.zeros((len(p.words), _WORD)), sorting(p.words)
+        part = p.words[order] % np.uint64(len(self.words))
         for k, path in enumerate(self.words):
             if (part == k).any():
-                w[part == k] = _read_answers(path, task, block, _WORD)
+                w[order[part == k]] = _read_answers(path, task, block, _WORD)
         names, own = np.unique(p.lang, return_inverse=True)
         known = [self.languages.get(int(x), (np.zeros(4), np.zeros(4), [0] * 7)) for x in names]   # none: single words only
         d2, d1 = np.array([k[0] for k in known])[own], np.array([k[1] for k in known])[own]

@@ -10,7 +10,7 @@ import pyarrow as pa
 
 from shelfwise.llm import perplexity as P
 from shelfwise.llm.queries import QUERIES
-from shelfwise.llm.words import blocks
+from shelfwise.llm.words import blocks, sorting
 from tests.conftest import SF01
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -162,3 +162,45 @@ def test_pairs_come_back_from_written_blocks(spark, monkeypatch):
         assert p.before(every).tolist() == want.before(every).tolist()
         counts = P._numbers(batch["base"][k].as_py(), len(P._BASE)).tolist()
         assert [tuple(c) for c in np.array(counts).reshape(-1, len(P._BASE)).tolist()] == [base(texts[i]) for i in ids]
+
+
+def test_sorting_is_stable_whatever_the_lowest_bits():
+    rng = np.random.default_rng(7)
+    near = rng.integers(0, 1 << 63, 300, dtype=np.uint64)[rng.integers(0, 300, 5000)] ^ rng.integers(0, 4, 5000, dtype=np.uint64)
+    for x in (near, rng.integers(0, 50, 5000).astype(np.uint64), near << np.uint64(1) | np.uint64(1 << 63), near[:1], near[:0]):
+        assert sorting(x).tolist() == np.argsort(x, kind="stable").tolist()
+
+
+def test_a_written_block_takes_less_than_its_text():
+    """Frequent words have small numbers, and numbers take no more bytes than they need."""
+    rng = np.random.default_rng(11)
+    spelled = np.array(["".join(chr(97 + k) for k in rng.integers(0, 26, 7)) for _ in range(60_000)])
+    weight = 1 / np.arange(1, 60_001)
+    drawn = [spelled[rng.choice(60_000, 1000, p=weight / weight.sum())] for _ in range(200)]
+    p = P.Pairs(next(blocks(pa.array([" ".join(x) for x in drawn]), limit=1 << 62)), ["en"] * 200)
+    often = np.bincount(p.code)
+    assert often[0] >= often.max() // 2 and (often[:-1] * 2 > often[1:]).all()
+    sizes = [len(P._planes(p.code)), len(P._rising(p.words))]
+    # the numbers' entropy is a floor under any order; 64-bit numbers took 8 bytes each
+    floor = -(often / len(p.code) * np.log2(often / len(p.code))).sum() * len(p.code) / 8
+    assert sizes[0] < 1.15 * floor and sizes[1] < 7 * len(p.words)
+    assert len(P._planes(np.ones((1000, 5), dtype=np.uint64))) < 100
+
+
+def test_texts_are_split_in_small_chunks_with_the_same_result(spark, monkeypatch):
+    """What is hashed at once fits a core's cache: the rows are those of one chunk a block."""
+    texts = ["Der the кот x&&& the кот", None, "", "我们 are 猫 cats", "one", "a b c\na b c\na b c", "long " * 200] * 3
+    langs = ["en", None, "en", "zh", "fr", "fr", "en"] * 3
+    df = spark.createDataFrame([(t, x or P.NO_LANGUAGE, i) for i, (t, x) in enumerate(zip(texts, langs))],
+                               "text string, lang string, doc_id long").coalesce(1).toArrow().to_batches()
+    monkeypatch.setattr(P, "TaskContext", type("", (), {"get": staticmethod(lambda: type("", (), {"partitionId": lambda s: 0})())}))
+    rows, most = {}, {}
+    real = P.base
+    for chunk in (1 << 30, 32, 1):
+        seen = []
+        monkeypatch.setattr(P, "base", lambda b, seen=seen: seen.append(len(b.buf)) or real(b))
+        monkeypatch.setattr(P, "CHUNK", chunk)
+        rows[chunk] = [x.to_pylist() for x in P._to_blocks(iter(df))]
+        most[chunk] = max(seen)
+    assert rows[1] == rows[32] == rows[1 << 30]
+    assert most[1] == most[32] == 1000 < most[1 << 30]
